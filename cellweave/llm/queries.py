@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, linededup, mixing, near, quality, secrets, units
+from . import bpe, exact, linededup, mixing, near, pagediff, quality, secrets, toxicity, units
 from .common import table
 from .oracles import ORACLES
 
@@ -23,6 +23,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.repeated_units(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,11 @@ def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_exact_content_sort, op2_secret_scan, op4_repeated_units, op5_site_lines, op7_word_bpe, op8_temperature_mix, op9_jaccard_join, op10_quality_rules]
+    found = [op1_exact_content_sort, op2_secret_scan, op3_page_text, op4_repeated_units, op5_site_lines, op6_toxicity, op7_word_bpe, op8_temperature_mix, op9_jaccard_join, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
