@@ -50,16 +50,32 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*found).toDF(*columns)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and forget how they were made."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a new local one where it is unset, as in tests."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
+    return named or context.getCheckpointDir()
+
+
+#: While set, an action's shuffle files go when the action is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and forget how they were made.
+
+    The shuffle files behind them go at once: nothing reads them again.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # select: a plan made under the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def split_words(text: Column) -> Column:

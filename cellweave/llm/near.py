@@ -8,7 +8,7 @@ covers all rows, and its 2**22 cells are a fixed size; a crowded table only make
 1. Texts with equal sets are one node.
 2. Prefixes are dealt out by shingle. Of each shingle's holders one is the hub, the one where the shingle
    stands first. Holders that pass the length and positional filters are paired with it.
-3. Each pair is verified once, on the whole sets, after a suffix filter.
+3. Each pair is verified once, on the whole sets (made again for the nodes in pairs), after a suffix filter.
 4. Nodes linked so far are joined to components. Then holders outside the hub's
    component are paired with the other holders in other components, by the same filters, and
    verified. Pairs in one component are not needed: no result depends on them.
@@ -241,7 +241,6 @@ def linked(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
 
 def _edges(rows: DataFrame, found: DataFrame, like: Likeness, salt: int) -> DataFrame:
-    spark = rows.sparkSession
     nodes = found.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     holders = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
@@ -251,10 +250,7 @@ def _edges(rows: DataFrame, found: DataFrame, like: Likeness, salt: int) -> Data
     holders = cut(holders.filter(F.col("after").isNotNull() | (F.col("node") != F.col("hub.node"))).select("token", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")))
     close = near_enough(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), like.percent)
     pairs = holders.filter((F.col("node") != F.col("hub")) & close).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    wanted = spark.sparkContext.broadcast(node_filter(holders.select("node").distinct()).tobytes())
-    sets = rows.select("text").mapInArrow(partial(_sets, like=like, wanted=wanted, salt=salt), "node long, tokens binary")
-    sets = cut(sets.groupBy("node").agg(F.first("tokens").alias("tokens")))
-    first = cut(_verified(pairs, sets, like))
+    first = cut(_verified(cut(pairs), rows, like, salt))
     roots = cut(components(first))
 
     def component(df: DataFrame, node: str, name: str) -> DataFrame:
@@ -268,11 +264,16 @@ def _edges(rows: DataFrame, found: DataFrame, like: Likeness, salt: int) -> Data
     new = (F.col("root") != F.col("other_root")) & (F.col("other") != F.col("hub")) & ((F.col("other_root") == F.col("hub_root")) | (F.col("node") < F.col("other")))
     more = apart.join(others, (apart["token"] == others["its"]) & new & near_enough(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), like.percent))
     pairs = more.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return first.unionByName(cut(_verified(pairs, sets, like)))
+    return first.unionByName(cut(_verified(cut(pairs), rows, like, salt)))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs a, b that link."""
+def _verified(pairs: DataFrame, rows: DataFrame, like: Likeness, salt: int) -> DataFrame:
+    """The pairs a, b that link. Sets are made again from the texts, for the nodes in pairs only."""
+    context = rows.sparkSession.sparkContext
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = context.broadcast(node_filter(nodes).tobytes())
+    sets = rows.select("text").mapInArrow(partial(_sets, like=like, wanted=wanted, salt=salt), "node long, tokens binary")
+    sets = cut(sets.groupBy("node").agg(F.first("tokens").alias("tokens")))
     left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("left"))
     right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("right"))
     both = pairs.join(left, pairs["a"] == left["x"]).join(right, pairs["b"] == right["y"]).select("a", "b", "left", "right")
