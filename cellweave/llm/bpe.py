@@ -182,47 +182,45 @@ class WordBpe:
         """Without a decoder in the file: the tokens joined by spaces."""
         return " ".join(self.names[i] for i in ids)
 
-    def _remember(self, word: str) -> None:
-        if len(self.ids_of) >= REMEMBERED:
-            self.ids_of.clear()
-            self.text_of.clear()
-        ids = self.encode_word(word)
-        self.ids_of[word] = np.array(ids, "<u4").tobytes()
-        self.text_of[word] = self.decode(ids)
+    def coded(self, text: str) -> Iterator[tuple[list[bytes], list[str]]]:
+        """Ids (as bytes) and decoded texts of the words, part by part; words seen before come from memory."""
+        for part in self.cutter.split(text) if self.cutter and "<" in text else (text,):
+            if part in self.specials:
+                yield [np.array([self.specials[part]], "<u4").tobytes()], [part]
+                continue
+            words = self.find(self.normalised(part)) if part else []
+            for at in range(0, len(words), 4096):
+                some = words[at : at + 4096]
+                try:
+                    yield list(map(self.ids_of.__getitem__, some)), list(map(self.text_of.__getitem__, some))
+                except KeyError:
+                    yield tuple(map(list, zip(*map(self._word, some), strict=True)))
+
+    def _word(self, word: str) -> tuple[bytes, str]:
+        if word not in self.ids_of:
+            ids = self.encode_word(word)
+            found = np.array(ids, "<u4").tobytes(), self.decode(ids)
+            if len(word) > LONGEST:
+                return found
+            if len(self.ids_of) >= REMEMBERED:
+                self.ids_of.clear()
+                self.text_of.clear()
+            self.ids_of[word], self.text_of[word] = found
+        return self.ids_of[word], self.text_of[word]
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids and of the decoded text."""
-        ids, parts = hashlib.sha256(), hashlib.sha256()
+        ids, texts = hashlib.sha256(), hashlib.sha256()
         n = 0
-        for part in self.cutter.split(text) if self.cutter and "<" in text else (text,):
-            if part in self.specials:
-                coded, plain = [np.array([self.specials[part]], "<u4").tobytes()], [part]
-            else:
-                words = self.find(self.normalised(part)) if part else []
-                coded, plain = [], []
-                for at in range(0, len(words), 4096):
-                    some = words[at : at + 4096]
-                    try:
-                        coded += map(self.ids_of.__getitem__, some)
-                        plain += map(self.text_of.__getitem__, some)
-                    except KeyError:
-                        del coded[at:], plain[at:]
-                        for w in some:
-                            if w not in self.ids_of:
-                                if len(w) > LONGEST:
-                                    found = self.encode_word(w)
-                                    coded.append(np.array(found, "<u4").tobytes())
-                                    plain.append(self.decode(found))
-                                    continue
-                                self._remember(w)
-                            coded.append(self.ids_of[w])
-                            plain.append(self.text_of[w])
+        for coded, plain in self.coded(text):
             joined = b"".join(coded)
-            if joined:
-                parts.update((" " * bool(n) + " ".join(plain)).encode("utf-8", "surrogatepass"))
-                n += len(joined) // 4
-                ids.update(joined)
-        return n, ids.hexdigest(), parts.hexdigest()
+            texts.update((" " * bool(n) + " ".join(plain)).encode("utf-8", "surrogatepass"))
+            n += len(joined) // 4
+            ids.update(joined)
+        return n, ids.hexdigest(), texts.hexdigest()
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(b"".join(coded) for coded, _ in self.coded(text)), "<u4")
 
 
 _ENCODERS: dict[str, WordBpe] = {}
@@ -249,14 +247,20 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = encoder(path)
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.encode(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            found = [bpe.ids(t.as_py() or "") for t in batch.column(1)]
+            sizes = [len(x) for x in found]
+            flat = np.concatenate(found).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], names=["doc_id", "n_tokens", "ids"])
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids: array of int."""
+    """doc_id, n_tokens, ids: array of int."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_ids, path=path), "doc_id long, ids array<int>")
+    return rows.mapInArrow(partial(_ids, path=path), "doc_id long, n_tokens long, ids array<int>")
 
 
 def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
