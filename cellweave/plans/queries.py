@@ -1,17 +1,396 @@
-"""Named queries over the driver's tables, and the SQL they are checked against."""
+"""Named queries over the driver's tables, and the SQL they are checked against.
+
+Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import sequence as seq
+from ..operators import barcodes, counts, genes, grouping, metrics, qc, tagging
+from ..schema import COMMON_METRICS, GENE_METRICS
+from ..streaming.molecules import streamed_counts
+from .oracles import ORACLES
+from .reads import alignments, gtf, whitelist
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(F.col(c) + 1e-10, 6).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+def _long(c: Column) -> Column:
+    return c.cast("long")
+
+
+# sources, positions
+
+
+@query
+def scan_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments(spark, sf_dir)
+    return rows.groupBy("rname").agg(F.count(F.lit(1)).alias("n"), F.count_if(seq.has_flag(F.col("flag"), 4)).alias("n_unmapped"), F.count_if(seq.has_flag(F.col("flag"), 16)).alias("n_reverse"), F.count_if(seq.has_flag(F.col("flag"), 1024)).alias("n_duplicate"), F.count_if(seq.spliced(F.col("cigar"))).alias("n_spliced"))
+
+
+@query
+def select_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each order, by ordinal."""
+    rows = alignments(spark, sf_dir)
+    wanted = rows.groupBy("qname").agg(F.min("rec").alias("rec")).select("rec")
+    return rows.join(wanted, "rec", "left_semi").groupBy("qname", "rec").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def zip_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and customers side by side by ordinal, as far as the shorter goes."""
+    left = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("rec"), "o_orderstatus")
+    right = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("rec"), "c_mktsegment")
+    return tagging.zipped(left, right)
+
+
+@query
+def feature_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genes.features(gtf(spark, sf_dir), "exon").select("rec", "seqname", _long(F.col("start")).alias("start"), _long(F.col("end")).alias("end"))
+
+
+# sequences
+
+
+@query
+def extract_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments(spark, sf_dir).select("file", "rec", F.concat("CR", "UR").alias("sequence"), F.concat("CY", "UY").alias("quality"))
+    found = tagging.extract(rows, [tagging.Embedded(0, 8, "CR", "CY"), tagging.Embedded(8, 13, "UR", "UY")])
+    return found.groupBy("CR", "UR").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def extract_read_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments(spark, sf_dir).select("file", "rec", F.concat("CR", "UR").alias("sequence"), F.concat("CY", "UY").alias("quality"))
+    return tagging.extract_structure(rows, "3C2X3C4M1X").groupBy("CR", "UR").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def avg_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments(spark, sf_dir).select("CR", seq.mean_quality(F.col("CY")).alias("q"))
+    return _rounded(rows.groupBy("CR").agg(F.min("q").alias("q_min"), F.max("q").alias("q_max")))
+
+
+@query
+def frac_above_30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments(spark, sf_dir).select("rname", seq.share_above(seq.phred(F.col("CY"))).alias("cell"), seq.share_above(seq.aligned_part(F.col("qual"), F.col("cigar"))).alias("genomic"))
+    return _rounded(rows.groupBy("rname").agg(F.avg("cell").alias("cell"), F.avg("genomic").alias("genomic")))
+
+
+@query
+def features17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of sorted output, one row an alignment."""
+    rows = metrics.read_features(alignments(spark, sf_dir))
+    return _rounded(rows.groupBy("CB", "UB", "GE", "XF", "NH", "perfect_cell", "perfect_molecule", "mapped", "reverse", "duplicate", "spliced", "reference", "pos", "cell_above", "molecule_above", "genomic_above", "genomic_mean").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def first_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(spark, sf_dir).groupBy(seq.first_tag(F.col("CB"), F.col("CR")).alias("barcode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def encode_two_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitelist(spark, sf_dir)
+    code = seq.encode_two_bit(F.col("barcode"))
+    return rows.select("barcode", code.alias("code"), seq.decode_two_bit(code, F.length("barcode")).alias("decoded"), _long(seq.gc_count_encoded(code, 2)).alias("gc"))
+
+
+@query
+def encode_three_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitelist(spark, sf_dir)
+    code = seq.encode_three_bit(F.col("barcode"))
+    return rows.select("barcode", code.alias("code"), seq.decode_three_bit(code).alias("decoded"), _long(seq.gc_count_encoded(code, 3)).alias("gc"))
+
+
+@query
+def gc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(spark, sf_dir).groupBy(_long(seq.gc_count(F.concat("CR", "UR"))).alias("gc")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def hamming_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments(spark, sf_dir).filter("CB is not null")
+    codes = [seq.encode_two_bit(F.col(c)) for c in ("CB", "CR")]
+    return rows.groupBy(_long(seq.hamming(F.col("CB"), F.col("CR"))).alias("text_distance"), _long(seq.hamming_encoded(*codes, bits=2)).alias("code_distance")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def read_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments(spark, sf_dir)
+    bits = [seq.has_flag(F.col("flag"), b).alias(n) for b, n in ((4, "unmapped"), (16, "reverse"), (1024, "duplicate"))]
+    return rows.groupBy(*bits, seq.spliced(F.col("cigar")).alias("spliced")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# whitelists and barcode sets
+
+
+@query
+def whitelist_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = barcodes.variants(whitelist(spark, sf_dir))
+    return found.groupBy("corrected").agg(F.count(F.lit(1)).alias("n_variants"))
+
+
+@query
+def whitelist_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = barcodes.correct(alignments(spark, sf_dir), whitelist(spark, sf_dir))
+    return done.groupBy("CR", "CB").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def correct_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagging.correct_alignments(alignments(spark, sf_dir), whitelist(spark, sf_dir)).groupBy("CB").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def correction_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(barcodes.correction_tally(barcodes.correct(alignments(spark, sf_dir), whitelist(spark, sf_dir)), "file"))
+
+
+@query
+def distinct_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.distinct_barcodes(alignments(spark, sf_dir), ["CB", "CR"])
+
+
+@query
+def barcode_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return barcodes.multiset(alignments(spark, sf_dir), "UR")
+
+
+@query
+def reads_per_barcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return barcodes.counts_descending(alignments(spark, sf_dir), "CR")
+
+
+@query
+def base_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(barcodes.base_frequency(alignments(spark, sf_dir), "CR"))
+
+
+@query
+def effective_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(barcodes.effective_diversity(alignments(spark, sf_dir), "CR"))
+
+
+@query
+def position_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(barcodes.position_weights(alignments(spark, sf_dir), "UR"))
+
+
+@query
+def hamming_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(barcodes.hamming_summary(whitelist(spark, sf_dir)))
+
+
+@query
+def partition_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return barcodes.partition_overlap(alignments(spark, sf_dir))
+
+
+# metrics
+
+
+def _mito(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size % 25 = 0").select(F.col("p_brand").alias("gene")).distinct()
+
+
+@query
+def cell_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.cell_metrics(alignments(spark, sf_dir), _mito(spark, sf_dir)))
+
+
+@query
+def gene_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.gene_metrics(alignments(spark, sf_dir)))
+
+
+@query
+def online_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments(spark, sf_dir).groupBy("CB", "UB").agg(F.avg("pos").alias("mean"), F.var_samp("pos").alias("variance"))
+    return _rounded(rows)
+
+
+@query
+def merge_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of cells by chunk of disjoint cells, put together."""
+    rows = alignments(spark, sf_dir)
+    part = F.pmod(F.length("CB") + F.ascii(F.substring("CB", 8, 1)), F.lit(2))
+    chunks = [metrics.cell_metrics(rows.filter(F.col("CB").isNotNull() & (part == k))) for k in (0, 1)]
+    return metrics.merge_cell_metrics(*chunks).select("CB", "n_reads", "n_molecules", "n_fragments", "n_genes")
+
+
+@query
+def merge_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of genes by chunk, merged."""
+    rows = alignments(spark, sf_dir)
+    chunks = [metrics.gene_metrics(rows.filter(F.col("rname") == r)) for r in ("A", "N", "R")]
+    merged = metrics.merge_gene_metrics(*chunks)
+    return _rounded(merged.select("GE", *[c for c in (*COMMON_METRICS, *GENE_METRICS) if not c.endswith("_variance")]))
+
+
+# counts
+
+
+@query
+def count_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_matrix(alignments(spark, sf_dir))
+
+
+@query
+def count_matrix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments(spark, sf_dir)
+    return counts.merge_counts(*[counts.count_matrix(rows.filter(F.col("file") == f"f{k}")) for k in range(4)]).groupBy("cell", "gene").agg(F.sum("n").alias("n"))
+
+
+@query
+def cell_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.cell_index(alignments(spark, sf_dir))
+
+
+@query
+def streamed_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream: distinct (user, kind, ten-minute window) counted by user and kind."""
+    return streamed_counts(spark, sf_dir)
+
+
+# order and parts
+
+
+@query
+def run_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.run_sizes(alignments(spark, sf_dir).select("qname", "rec", "GE"), "GE", by=["qname"])
+
+
+@query
+def query_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.queries(alignments(spark, sf_dir))
+
+
+@query
+def verify_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grouping.out_of_order(alignments(spark, sf_dir).select("file", "rec", "qname", "CB", "UB"), ["CB", "UB"], by=["qname"])
+    return found.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def tag_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.tag_sort(alignments(spark, sf_dir).select("rec", "qname", "CB", "UB", "GE"), grouping.tag_order("BUG"))
+
+
+@query
+def tag_order_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first alignment by each order of the tags."""
+    rows = alignments(spark, sf_dir)
+    firsts = [F.min(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(grouping.sort_keys(grouping.tag_order(o)))], "rec")).getField("rec").alias(o) for o in grouping.TAG_ORDERS]
+    return rows.agg(*firsts)
+
+
+@query
+def subset_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return grouping.subset(alignments(spark, sf_dir).select("rec", "rname", "qname"), 20, "A", 5)
+
+
+@query
+def split_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = grouping.split_bins(alignments(spark, sf_dir), ["CB", "CR"], 7)
+    return done.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("CB", "CR")).alias("n_barcodes")).select(_long(F.col("bin")).alias("bin"), "n", "n_barcodes")
+
+
+@query
+def shard_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcodes that are in more than one shard: none."""
+    done = grouping.shard(alignments(spark, sf_dir), 16)
+    return done.groupBy(F.coalesce("CB", "CR").alias("barcode")).agg(F.count_distinct("shard").alias("shards")).groupBy("shards").agg(F.count(F.lit(1)).alias("n_barcodes"))
+
+
+# annotation
+
+
+@query
+def gene_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genes.gene_index(gtf(spark, sf_dir))
+
+
+@query
+def mito_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genes.mitochondrial_genes(gtf(spark, sf_dir))
+
+
+@query
+def gene_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(genes.gene_places(gtf(spark, sf_dir)))
+
+
+@query
+def gene_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = genes.gene_exons(gtf(spark, sf_dir))
+    shown = F.array_join(F.transform("exons", lambda e: F.concat_ws("-", e["start"].cast("string"), e["end"].cast("string"))), ",")
+    return found.select("chromosome", "gene", shown.alias("exons"))
+
+
+@query
+def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.lit("chr"), (F.col("c_nationkey") % 5).cast("string")).alias("chromosome"), (F.col("c_custkey") * 13).cast("int").alias("at"))
+    inside = genes.containing(points, genes.gene_places(gtf(spark, sf_dir)), width=1 << 10)
+    return inside.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("gene").alias("gene"))
+
+
+@query
+def gtf_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute text back to columns; the last of repeated keys stays."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat(F.lit('gene_id "G'), F.col("p_partkey").cast("string"), F.lit('"; tag "first"; gene_name "'), F.col("p_brand"), F.lit('"; tag "'), F.col("p_type"), F.lit('";\n'))
+    found = p.select("p_partkey", genes.attributes(text).alias("a"))
+    return found.select("p_partkey", *[F.element_at("a", k).alias(k) for k in ("gene_id", "gene_name", "tag")])
+
+
+# quality logs
+
+
+@query
+def qc_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as samples, order priorities as metrics: long rows to a table."""
+    return qc.pivoted(_qc_rows(spark, sf_dir))
+
+
+def _qc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").join(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey"))
+    sums = orders.groupBy(F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("sample"), F.substring("o_orderpriority", 1, 1).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return sums.select("sample", F.lit("Orders").alias("class"), F.concat(F.lit("N"), "p").alias("metric"), F.col("n").cast("string").alias("value"))
+
+
+@query
+def qc_outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers by nation, outer."""
+    tables = []
+    for name, key, label in (("customer", "c_nationkey", "customers"), ("supplier", "s_nationkey", "suppliers")):
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").groupBy(F.concat(F.lit("s"), F.col(key).cast("string")).alias("sample")).agg(F.count(F.lit(1)).alias(label))
+        tables.append(rows)
+    return qc.outer_merged(*tables)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
