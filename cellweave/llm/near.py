@@ -220,7 +220,7 @@ def near_enough(n: Column, pos: Column, m: Column, at: Column, percent: int) ->
 
 
 def linked(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """doc_id, n_shingles, node, component_id for every row."""
+    """doc_id, n_shingles, node (name of the set), root (name of the component), component_id for every row."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = spark.sparkContext.broadcast(rarity(rows, like))
@@ -237,7 +237,7 @@ def linked(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     named = cut(named)
     least = named.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least"))
     full = named.join(least, named["root"] == least["of"], "left")
-    return full.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return full.select("doc_id", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def _edges(rows: DataFrame, found: DataFrame, like: Likeness, salt: int) -> DataFrame:
@@ -246,10 +246,13 @@ def _edges(rows: DataFrame, found: DataFrame, like: Likeness, salt: int) -> Data
     by_token = Window.partitionBy("token")
     ranked = by_token.orderBy("pos", F.xxhash64("node"), "node")
     me = F.struct("node", "n", "pos")
-    holders = holders.select("token", "node", "n", "pos", F.first(me).over(ranked).alias("hub"), F.lead("node").over(ranked).alias("after"))
-    holders = cut(holders.filter(F.col("after").isNotNull() | (F.col("node") != F.col("hub.node"))).select("token", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")))
-    close = near_enough(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), like.percent)
-    pairs = holders.filter((F.col("node") != F.col("hub")) & close).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    near = {i: F.lag("node", -i).over(ranked).isNotNull() for i in (-2, -1, 1, 2)}
+    holders = holders.select("token", "node", "n", "pos", F.first(me).over(ranked).alias("hub"), (near[2] | near[-2] | near[1] & near[-1]).alias("many"))
+    close = near_enough(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), like.percent)
+    # of two holders, the pair with the hub is the only one: rows of three and more are needed again
+    holders = holders.withColumn("paired", (F.col("node") != F.col("hub.node")) & close).filter("many or paired")
+    holders = cut(holders.select("token", "node", "n", "pos", F.col("hub.node").alias("hub"), "many", "paired"))
+    pairs = holders.filter("paired").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = cut(_verified(cut(pairs), rows, like, salt))
     roots = cut(components(first))
 
@@ -257,7 +260,7 @@ def _edges(rows: DataFrame, found: DataFrame, like: Likeness, salt: int) -> Data
         its = roots.select(F.col("node").alias("its"), F.col("root").alias(name))
         return df.join(its, df[node] == its["its"], "left").withColumn(name, F.coalesce(name, node)).drop("its")
 
-    known = cut(component(component(holders, "node", "root"), "hub", "hub_root"))
+    known = cut(component(component(holders.filter("many").drop("many", "paired"), "node", "root"), "hub", "hub_root"))
     apart = known.filter("root <> hub_root").select("token", "node", "n", "pos", "root", "hub", "hub_root")
     tokens = apart.select("token").distinct()
     others = known.join(tokens, "token", "left_semi").select(F.col("token").alias("its"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other_root"))
@@ -281,18 +284,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, like: Likeness, salt: int) -> D
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """The documents, of each component only the row with the smallest doc_id, with all their columns.
+    """The documents, of each component only the row with the smallest doc_id (none ranks last), with all their columns.
 
-    Rows without doc_id stay if their component has no doc_id, one of them. Rows equal in doc_id and set are
-    numbered within these rows only, and one of them stays.
+    Of rows of one doc_id the one with the smallest name of its set stays; rows equal in both are numbered, among
+    themselves only, and one of them stays.
     """
-    found = cut(linked(docs, like).filter("node is not null"))
-    twins = found.groupBy("doc_id", "node", "component_id").agg(F.count(F.lit(1)).alias("n"))
-    goes = cut(twins.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n") > 1)).select("doc_id", "node", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("all")))
-    # a component whose smallest doc_id stands on rows of several sets keeps the smallest set's
-    ends = twins.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("node").alias("best"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    more = twins.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("t").join(ends.alias("e"), F.col("t.component_id").eqNullSafe(F.col("e.component_id")) & (F.col("t.node") != F.col("e.best"))).select("doc_id", "node", F.lit(True).alias("all"))
-    goes = cut(goes.unionByName(more).groupBy("doc_id", "node").agg(F.max("all").alias("all"))).select(F.col("doc_id").alias("its_id"), F.col("node").alias("its_node"), "all")
+    found = linked(docs, like).filter("node is not null")
+    twins = cut(found.groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")))
+    best = twins.groupBy(F.col("root").alias("of")).agg(F.min("rank").alias("best"))
+    ranked = twins.join(best, twins["root"] == best["of"]).select("doc_id", "node", "n", (F.col("rank") != F.col("best")).alias("all"))
+    goes = cut(ranked.filter("all or n > 1").select(F.col("doc_id").alias("its_id"), F.col("node").alias("its_node"), "all"))
     if goes.count() <= BROADCAST_ROWS:
         goes = F.broadcast(goes)
     named = packed(docs, "doc_id", "text").withColumn("node", _node_column(F.coalesce(F.col("text").cast("string"), F.lit("")), like))
