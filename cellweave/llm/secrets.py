@@ -64,7 +64,7 @@ def normal_below(z: float) -> float:
 
 
 def symbol_class(c: str) -> int:
-    return 3 if c.isdigit() else 4 if not c.isalpha() else (0 if c.islower() else 1)
+    return 2 if c.isdigit() else int(c.isupper())
 
 
 def battery(run: str) -> float:
@@ -82,11 +82,11 @@ def battery(run: str) -> float:
     delta = k * match - 1  # of the non-centrality, per letter
     mean, variance = (k - 1) + n * delta, 2 * (k - 1) + 4 * n * delta * (1 + delta / 2)
     p_uniform = normal_below((chi - mean) / math.sqrt(variance))
-    # runs of one class (lower, upper, digit, other): language changes class at a word's start at most
-    classes = [symbol_class(c) for c in bare]
+    # runs of one class (lower, upper, digit), signs aside: language changes class at a word's start at most
+    classes = [symbol_class(c) for c in bare if c.isalnum()]
     changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
     rate = 0.08
-    p_runs = _binomial_above(changes, n - 1, rate)
+    p_runs = _binomial_above(changes, len(classes) - 1, rate)
     # serial correlation of letter codes: language alternates vowels and consonants, which shows as lag-1 correlation
     codes = np.array([alphabet.index(c) if c in alphabet else 0 for c in folded], float)
     spread = codes.std()

@@ -47,7 +47,8 @@ DIGITS = dict(zip("0134578@$!", "oieastbasi", strict=True))
 EXCEPTIONS = ("trash can", "trash bin", "circus clown", "clown fish", "kill time", "dumb bell")
 
 _FOLD = str.maketrans(HOMOGLYPHS)
-_STANDS = re.compile(r"(?<=[^\W\d_])[0134578](?=[\W_]|[^\W\d_])|[0134578@$!](?=[^\W\d_])")
+_STANDS = re.compile(r"[0134578@$!]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+(?![^\W_])")
+_LETTERS = str.maketrans(DIGITS)
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -56,7 +57,7 @@ def folded(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = text.translate(_FOLD)
-    text = _STANDS.sub(lambda m: DIGITS[m[0]], text)
+    text = _STANDS.sub(lambda m: m[0].translate(_LETTERS), text)
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
