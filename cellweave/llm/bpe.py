@@ -28,6 +28,7 @@ from functools import partial
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,11 @@ from .common import pick
 #: A word's last letter is moved up by so much instead of carrying the end mark.
 END = 0x1000
 #: Words that a worker remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 48
+REMEMBERED, LONGEST = 600_000, 48
+#: Pairs of tokens whose compatibility it remembers at most.
+PAIRS = 400_000
+#: Characters that are encoded together.
+PORTION = 2_000_000
 #: From here on the tables of regex and of Python can differ.
 HIGH = re.compile("[\u0530-\U0010ffff]")
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -63,6 +68,27 @@ def category(kind: str) -> str:
     return "".join(out)
 
 
+class Memory:
+    """What a function gives for words. Two halves: when the newer is full it becomes the older, whose words are forgotten unless they were asked for again."""
+
+    def __init__(self, function, size: int):  # noqa: ANN001
+        self.function, self.size = function, size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, word: str) -> bytes:
+        found = self.new.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                found = self.function(word)
+            if len(word) <= LONGEST:
+                if len(self.new) * 2 >= self.size:
+                    self.old, self.new = self.new, {}
+                self.new[word] = found
+        return found
+
+
 class WordBpe:
     """Encoder for a tokenizers file with a BPE model whose tokens at the end of a word carry a suffix."""
 
@@ -97,9 +123,9 @@ class WordBpe:
             inner = self.inner(token)
             self.automaton.add_word(inner, (i, len(inner)))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.ids_of: dict[str, bytes] = {}
-        self.text_of: dict[str, str] = {}
+        self.fits: dict[int, bool] = {}
+        self.ids_of = Memory(lambda w: np.array(self.encode_word(w), "<u4").tobytes(), REMEMBERED)
+        self.name_array = pa.array([self.names.get(i) for i in range(max(self.names) + 1)], pa.string())
 
     def inner(self, token: str) -> str:
         if not token.endswith(self.suffix) or token == self.suffix:
@@ -107,14 +133,6 @@ class WordBpe:
         bare = token[: -len(self.suffix)]
         return bare[:-1] + chr(ord(bare[-1]) + END)
 
-    def compatible(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[a, b] = self._compatible(a, b)
-        return known
-
     def _compatible(self, a: int, b: int) -> bool:
         """Whether the border between tokens a and b survives the merging of their joint text."""
         limit, left_undone = 1 << 60, False
@@ -140,18 +158,24 @@ class WordBpe:
         mapped = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
         inner = mapped[:-1] + chr(ord(mapped[-1]) + END)
         n = len(inner)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(inner):
-            ending[end].append(found)
         last, size = [-1] * n, [0] * n
-        for i in range(n):
-            for token, length in sorted(ending[i], key=lambda x: -x[1]):
-                before = i - length
-                if before < 0 or last[before] >= 0 and self.compatible(last[before], token):
-                    last[i], size[i] = token, length
-                    break
-            else:
-                raise ValueError(f"no token ends a prefix of {word!r}")
+        fits = self.fits
+        # matches come by their end, the longest first
+        for end, (token, length) in self.automaton.iter(inner):
+            if last[end] < 0:
+                before = end - length
+                if before >= 0:
+                    pair = last[before] << 20 | token
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = self._compatible(last[before], token)
+                        if len(fits) < PAIRS:
+                            fits[pair] = fit
+                    if not fit:
+                        continue
+                last[end], size[end] = token, length
+        if min(last) < 0:
+            raise ValueError(f"no token ends a prefix of {word!r}")
         ids, i = [], n - 1
         while i >= 0:
             ids.append(last[i])
@@ -182,45 +206,49 @@ class WordBpe:
         """Without a decoder in the file: the tokens joined by spaces."""
         return " ".join(self.names[i] for i in ids)
 
-    def coded(self, text: str) -> Iterator[tuple[list[bytes], list[str]]]:
-        """Ids (as bytes) and decoded texts of the words, part by part; words seen before come from memory."""
-        for part in self.cutter.split(text) if self.cutter and "<" in text else (text,):
-            if part in self.specials:
-                yield [np.array([self.specials[part]], "<u4").tobytes()], [part]
-                continue
-            words = self.find(self.normalised(part)) if part else []
-            for at in range(0, len(words), 4096):
-                some = words[at : at + 4096]
-                try:
-                    yield list(map(self.ids_of.__getitem__, some)), list(map(self.text_of.__getitem__, some))
-                except KeyError:
-                    yield tuple(map(list, zip(*map(self._word, some), strict=True)))
-
-    def _word(self, word: str) -> tuple[bytes, str]:
-        if word not in self.ids_of:
-            ids = self.encode_word(word)
-            found = np.array(ids, "<u4").tobytes(), self.decode(ids)
-            if len(word) > LONGEST:
-                return found
-            if len(self.ids_of) >= REMEMBERED:
-                self.ids_of.clear()
-                self.text_of.clear()
-            self.ids_of[word], self.text_of[word] = found
-        return self.ids_of[word], self.text_of[word]
+    def many(self, texts: list[str]) -> tuple[list[np.ndarray], pa.StringArray]:
+        """Ids and decoded text of each text; each distinct word of them all is looked up once."""
+        words: list[str] = []
+        ends = [0]
+        for text in texts:
+            for part in self.cutter.split(text) if self.cutter and "<" in text else (text,):
+                if part in self.specials:
+                    words.append(part)  # no match of the pattern looks like one
+                elif part:
+                    words += self.find(self.normalised(part))
+            ends.append(len(words))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy().astype(np.int64)
+        found = [np.array([self.specials[w]], "<u4").tobytes() if w in self.specials else self.ids_of(w) for w in names]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        after = np.concatenate(([0], np.cumsum(each)))
+        ids = flat[np.repeat(starts[at] - after[:-1], each) + np.arange(after[-1])]
+        cuts = after[np.array(ends)]
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), self.name_array.take(pa.array(ids)))
+        return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pc.binary_join(lists, " ")
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids and of the decoded text."""
-        ids, texts = hashlib.sha256(), hashlib.sha256()
-        n = 0
-        for coded, plain in self.coded(text):
-            joined = b"".join(coded)
-            texts.update((" " * bool(n) + " ".join(plain)).encode("utf-8", "surrogatepass"))
-            n += len(joined) // 4
-            ids.update(joined)
-        return n, ids.hexdigest(), texts.hexdigest()
+        (ids,), texts = self.many([text])
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[0].as_buffer() or b"").hexdigest()
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(b"".join(coded) for coded, _ in self.coded(text)), "<u4")
+
+def portions(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts without null, some PORTION characters at a time."""
+    held, n = [], 0
+    for t in texts:
+        text = t.as_py() or ""
+        held.append(text)
+        n += len(text)
+        if n >= PORTION:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 _ENCODERS: dict[str, WordBpe] = {}
@@ -235,9 +263,13 @@ def encoder(path: str) -> WordBpe:
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = encoder(path)
     for batch in batches:
-        found = [bpe.digests(t.as_py() or "") for t in batch.column(1)]
-        columns = list(zip(*found, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        n, coded, plain = [], [], []
+        for texts in portions(batch.column(1)):
+            ids, decoded = bpe.many(texts)
+            n += map(len, ids)
+            coded += [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
+            plain += [hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in decoded]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -247,14 +279,14 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = encoder(path)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            found = [bpe.ids(t.as_py() or "") for t in batch.column(1)]
+    for batch in batches:
+        at = 0
+        for texts in portions(batch.column(1)):
+            found, _ = bpe.many(texts)
             sizes = [len(x) for x in found]
-            flat = np.concatenate(found).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], names=["doc_id", "n_tokens", "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), lists], names=["doc_id", "n_tokens", "ids"])
+            at += len(texts)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
