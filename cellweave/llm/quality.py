@@ -120,5 +120,8 @@ def rules_filter(docs: DataFrame, rules: Rules = Rules(), host: str = "source")
     flags = measured(rows, ["host"]).select("host", fails(rules).alias("base_failed"))
     verdicts = cut(host_verdicts(flags, rules).select("host", "host_failed"))
     whole = packed(docs, "text", host).withColumnRenamed(host, "host")
-    good = measured(whole, ["row", "host"]).filter(~fails(rules)).select("row", "host")
-    return unpacked(join_groups(good, verdicts, "host").filter(~F.col("host_failed")), docs.columns)
+    # the id keeps the optimizer from copying the counts' expressions, many times over, into a filter further down
+    failed = fails(rules) | (F.monotonically_increasing_id() < 0)
+    marked = measured(whole, ["row", "host"]).select("row", "host", failed.alias("base_failed"))
+    good = join_groups(marked, verdicts, "host").filter(~F.col("base_failed") & ~F.col("host_failed"))
+    return unpacked(good, docs.columns)
