@@ -77,6 +77,17 @@ def containing(points: DataFrame, intervals: DataFrame, width: int = 1 << 16) ->
     return dealt.join(bins, inside).drop("its", "bin", "its_bin")
 
 
+def set_attribute(gtf: DataFrame, key: str, value: Column) -> DataFrame:
+    """Rows with an attribute added or replaced."""
+    others = F.map_filter("attributes", lambda k, _: k != key)
+    return gtf.withColumn("attributes", F.map_concat(others, F.create_map(F.lit(key), value.cast("string"))))
+
+
+def identity(gtf: DataFrame) -> Column:
+    """A hash of a row's text: equal for equal rows."""
+    return F.xxhash64(serialised(gtf))
+
+
 def size(start: Column, end: Column) -> Column:
     """end - start; less than 0 is an error."""
     return F.when(end >= start, end - start).otherwise(F.raise_error(F.lit("feature ends before it starts")).cast("int"))

@@ -19,20 +19,56 @@ class SortError(Exception):
     """Alignments aren't in the order that was claimed."""
 
 
-def run_groups(rows: DataFrame, tag: str, by: Sequence[str] = (), drop_null: bool = False) -> DataFrame:
+#: Ordinals that one task orders: a file's records are dealt out in stretches of so many.
+STRETCH = 1 << 20
+
+
+def _stretches(rows: DataFrame, width: int) -> DataFrame:
+    return rows.withColumn("stretch", F.floor(F.col("rec") / width))
+
+
+def _same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
+    """Condition that the keys and the stretch are equal; right's columns are named its_..."""
+    found = left["stretch"] == right["its_stretch"]
+    for c in by:
+        found &= left[c].eqNullSafe(right[f"its_{c}"])
+    return found
+
+
+def with_previous(rows: DataFrame, value: Column, by: Sequence[str] = ("file",), width: int = STRETCH) -> DataFrame:
+    """rows with before: the value of the row before in the order of rec (as struct {value}; null for the first one), and stretch.
+
+    Rows are ordered within stretches of ordinals; the last row of each stretch, one row a stretch, is handed on.
+    """
+    dealt = _stretches(rows, width).withColumn("own", F.struct(value.alias("value")))
+    order = Window.partitionBy(*by, "stretch").orderBy("rec")
+    inside = dealt.withColumn("inner", F.lag("own").over(order))
+    ends = dealt.groupBy(*by, "stretch").agg(F.max_by("own", "rec").alias("last"))
+    handed = ends.withColumn("last", F.lag("last").over(Window.partitionBy(*by).orderBy("stretch")))
+    handed = handed.select(*[F.col(c).alias(f"its_{c}") for c in (*by, "stretch")], F.col("last").alias("outer"))
+    joined = inside.join(handed, _same(inside, handed, by), "left")
+    return joined.withColumn("before", F.coalesce("inner", "outer")).drop("own", "inner", "outer", *[f"its_{c}" for c in (*by, "stretch")])
+
+
+def run_groups(rows: DataFrame, tag: str, by: Sequence[str] = ("file",), drop_null: bool = False, width: int = STRETCH) -> DataFrame:
     """rows with run: the number (from 1) of the stretch of equal tags that a row is in, in the order of rec.
 
-    Null is a tag; a tag that comes again starts another run. by: runs within files or other parts, which are
-    numbered side by side.
+    Null is a tag; a tag that comes again starts another run. Runs are numbered within each file, or other parts (by).
     """
-    order = Window.partitionBy(*by).orderBy("rec")
-    new = (~F.col(tag).eqNullSafe(F.lag(tag).over(order)) | (F.row_number().over(order) == 1)).cast("long")
-    out = rows.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
+    marked = with_previous(rows, F.col(tag), by, width)
+    marked = marked.withColumn("new", (F.col("before").isNull() | ~F.col(tag).eqNullSafe(F.col("before.value"))).cast("long"))
+    sums = marked.groupBy(*by, "stretch").agg(F.sum("new").alias("n"))
+    earlier = Window.partitionBy(*by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(c).alias(f"its_{c}") for c in (*by, "stretch")], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    order = Window.partitionBy(*by, "stretch").orderBy("rec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = marked.withColumn("k", F.sum("new").over(order))
+    joined = inside.join(starts, _same(inside, starts, by))
+    out = joined.withColumn("run", F.col("start") + F.col("k")).drop("new", "before", "stretch", "k", "start", *[f"its_{c}" for c in (*by, "stretch")])
     return out.filter(F.col(tag).isNotNull()) if drop_null else out
 
 
-def run_sizes(rows: DataFrame, tag: str, by: Sequence[str] = ()) -> DataFrame:
-    return run_groups(rows, tag, by).groupBy(*by, "run", tag).agg(F.count(F.lit(1)).alias("n"), F.min("rec").alias("first_rec"))
+def run_sizes(rows: DataFrame, tag: str, by: Sequence[str] = ("file",), width: int = STRETCH) -> DataFrame:
+    return run_groups(rows, tag, by, width=width).groupBy(*by, "run", tag).agg(F.count(F.lit(1)).alias("n"), F.min("rec").alias("first_rec"))
 
 
 def queries(rows: DataFrame) -> DataFrame:
@@ -58,11 +94,10 @@ def tag_order(code: str, cell: str = "CB", molecule: str = "UB", gene: str = "GE
     return [{"B": cell, "U": molecule, "G": gene}[c] for c in code]
 
 
-def out_of_order(rows: DataFrame, tags: Sequence[str], by: Sequence[str] = ("file",)) -> DataFrame:
+def out_of_order(rows: DataFrame, tags: Sequence[str], by: Sequence[str] = ("file",), width: int = STRETCH) -> DataFrame:
     """Rows that sort before their predecessor in the file."""
-    order = Window.partitionBy(*by).orderBy("rec")
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(sort_keys(tags))])
-    return rows.withColumn("key", key).withColumn("before", F.lag("key").over(order)).filter(F.col("key") < F.col("before")).drop("key", "before")
+    return with_previous(rows, key, by, width).filter(key < F.col("before.value")).drop("before", "stretch")
 
 
 def verify_sort(rows: DataFrame, tags: Sequence[str], by: Sequence[str] = ("file",)) -> None:

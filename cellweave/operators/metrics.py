@@ -7,6 +7,9 @@ Means and variances come from a second aggregate with map-side sums.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ def _spread(name: str, column: Column) -> list[Column]:
     return [F.avg(column).alias(f"{name}_mean"), F.var_samp(column).alias(f"{name}_variance")]
 
 
-def _sums(features: DataFrame, entity: str) -> DataFrame:
+def _sums(features: DataFrame, entity: str, extra: Sequence[Column] = ()) -> DataFrame:
     mapped = F.col("mapped")
     known = mapped & F.col("XF").isNotNull()
     return features.groupBy(entity).agg(
@@ -60,6 +63,7 @@ def _sums(features: DataFrame, entity: str) -> DataFrame:
         F.count_if(F.col("XF").isNull()).alias("reads_unmapped"),
         F.lit(0).cast("long").alias("reads_mapped_too_many_loci"),
         *_spread("cell_barcode_fraction_bases_above_30", F.col("cell_above")),
+        *extra,
     )
 
 
@@ -100,8 +104,8 @@ def _counts(table: DataFrame, entity: str, mitochondrial: DataFrame | None) -> D
     return table.groupBy(F.col(entity).alias("entity")).agg(*found)
 
 
-def _metrics(features: DataFrame, entity: str, mitochondrial: DataFrame | None) -> DataFrame:
-    sums = _sums(features, entity)
+def _metrics(features: DataFrame, entity: str, mitochondrial: DataFrame | None, extra: Sequence[Column] = ()) -> DataFrame:
+    sums = _sums(features, entity, extra)
     counts = _counts(pairs(features), entity, mitochondrial)
     both = sums.join(counts, sums[entity].eqNullSafe(counts["entity"])).drop("entity")
     both = both.withColumns({
@@ -114,16 +118,21 @@ def _metrics(features: DataFrame, entity: str, mitochondrial: DataFrame | None)
     return both
 
 
-def cell_metrics(alignments: DataFrame, mitochondrial: DataFrame | None = None, drop_null: bool = False) -> DataFrame:
-    """One row per cell barcode (null is one, unless dropped); mitochondrial: rows with column gene."""
+def cell_metrics(alignments: DataFrame, mitochondrial: DataFrame | None = None, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({})) -> DataFrame:
+    """One row per cell barcode (null is one, unless dropped); mitochondrial: rows with column gene.
+
+    extra: further aggregates over the columns of read_features, by name.
+    """
     rows = alignments.filter(F.col("CB").isNotNull()) if drop_null else alignments
-    return _metrics(read_features(rows), "CB", mitochondrial).select("CB", *COMMON_METRICS, *CELL_METRICS)
+    added = [c.alias(k) for k, c in extra.items()]
+    return _metrics(read_features(rows), "CB", mitochondrial, added).select("CB", *COMMON_METRICS, *CELL_METRICS, *extra)
 
 
-def gene_metrics(alignments: DataFrame, drop_null: bool = False) -> DataFrame:
-    """One row per gene name (null is one, unless dropped); reads of several genes are left out."""
+def gene_metrics(alignments: DataFrame, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({})) -> DataFrame:
+    """One row per gene name (null is one, unless dropped); reads of several genes are left out. extra: as for cells."""
     rows = alignments.filter(single_gene(F.col("GE")) if drop_null else F.coalesce(single_gene(F.col("GE")), F.lit(True)))
-    return _metrics(read_features(rows), "GE", None).select("GE", *COMMON_METRICS, *GENE_METRICS)
+    added = [c.alias(k) for k, c in extra.items()]
+    return _metrics(read_features(rows), "GE", None, added).select("GE", *COMMON_METRICS, *GENE_METRICS, *extra)
 
 
 def merge_cell_metrics(*chunks: DataFrame) -> DataFrame:

@@ -29,6 +29,13 @@ def lines(spark: SparkSession, paths: str | list[str], comment: str | None = Non
     return read(spark, "lines", paths, **({"comment": comment} if comment else {}))
 
 
+def select_records(rows: DataFrame, indices: set[int] | DataFrame) -> DataFrame:
+    """Rows with these ordinals: a set of a few, or a frame with column rec of any number."""
+    if isinstance(indices, DataFrame):
+        return rows.join(indices.select("rec"), "rec", "left_semi")
+    return rows.filter(F.col("rec").isin(sorted(indices)))
+
+
 def fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read(spark, "fastq", paths)
 

@@ -123,6 +123,8 @@ def test_metrics_by_hand(spark):
     assert set(by_gene) == {"g", "h", None} and by_gene["g"].number_cells_expressing == 1 and by_gene["g"].number_cells_detected_multiple == 1
     assert metrics.gene_metrics(df).columns == ["GE", *COMMON_METRICS, *GENE_METRICS]
     assert metrics.cell_metrics(df.limit(0)).count() == 0
+    more = metrics.cell_metrics(df, extra={"last_pos": F.max("pos")})
+    assert more.columns[-1] == "last_pos" and {r.last_pos for r in more.collect()} == {5}
 
 
 def test_merged_means_keep_what_is_missing(spark):
@@ -167,11 +169,15 @@ def test_counts_against_a_loop(spark):
         counts.count_matrix(df, index, strict=True).collect()
 
 
-def test_runs(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "a", None, None, "a", "b"])], "rec long, t string")
-    assert [(r.run, r.t, r.n) for r in grouping.run_sizes(df, "t").orderBy("run").collect()] == [(1, "a", 2), (2, None, 2), (3, "a", 1), (4, "b", 1)]
-    assert grouping.run_groups(df, "t", drop_null=True).count() == 4
-    assert grouping.run_sizes(df.limit(0), "t").count() == 0
+@pytest.mark.parametrize("width", [1, 2, 3, 1 << 20])
+def test_runs(spark, width):
+    tags = ["a", "a", None, None, "a", "b"]
+    df = spark.createDataFrame([(f, i, t) for f in ("x", "y") for i, t in enumerate(tags)], "file string, rec long, t string")
+    wanted = [(f, *run) for f in ("x", "y") for run in ((1, "a", 2), (2, None, 2), (3, "a", 1), (4, "b", 1))]
+    assert [(r.file, r.run, r.t, r.n) for r in grouping.run_sizes(df, "t", width=width).orderBy("file", "run").collect()] == wanted
+    assert grouping.run_groups(df, "t", drop_null=True, width=width).count() == 8
+    assert grouping.run_sizes(df.limit(0), "t", width=width).count() == 0
+    assert grouping.run_groups(df, "t").columns == ["file", "rec", "t", "run"]
 
 
 def test_sorting(spark):
@@ -179,6 +185,8 @@ def test_sorting(spark):
     assert [(r.qname, r.CB) for r in grouping.tag_sort(df, ["CB"]).collect()] == [("a", None), ("a", "a"), ("y", "a"), ("x", "b")]
     with pytest.raises(grouping.SortError):
         grouping.verify_sort(df, ["CB"])
+    for width in (1, 2, 100):
+        assert [r.rec for r in grouping.out_of_order(df, ["CB"], width=width).orderBy("rec").collect()] == [1, 2]
     grouping.verify_sort(df.limit(1), ["CB"])
     with pytest.raises(ValueError):
         grouping.tag_order("XYZ")

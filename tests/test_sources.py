@@ -36,6 +36,7 @@ def test_fastq_by_first_bytes(spark, files):
     rows = readers.fastq(spark, [str(files / n) for n in ("a.fastq", "b.txt", "c.fastq")])
     assert rows.groupBy("file").count().filter("count = 5").count() == 3
     assert [r.rec for r in rows.filter(F.col("file").endswith("b.txt")).orderBy("rec").collect()] == [0, 1, 2, 3, 4]
+    assert readers.select_records(rows, {1, 3}).count() == 6 and readers.select_records(rows, rows.filter("rec = 2")).count() == 3
     assert raw.total_size([str(files / "a.fastq")]) == (files / "a.fastq").stat().st_size
     with pytest.raises(TypeError):
         readers.fastq(spark, 3)
@@ -90,6 +91,8 @@ def test_gtf(spark, files):
     assert [r.gene for r in genes.mitochondrial_genes(rows).collect()] == ["G1"]
     assert genes.gene_places_sorted(rows).first().genes[0].gene == "mt-A"
     assert genes.gene_exons(rows).first().exons[0].start == 60951
+    named = genes.set_attribute(rows, "tag", F.lit("new"))
+    assert {r.attributes["tag"] for r in named.collect()} == {"new"} and rows.select(genes.identity(rows)).distinct().count() == 3
     assert rows.select(genes.serialised(rows).alias("t")).first().t.startswith("19\tx\tgene\t60951\t71626\t.\t-\t.\t")
 
 
