@@ -38,11 +38,11 @@ from .common import pick
 #: A word's last letter is moved up by so much instead of carrying the end mark.
 END = 0x1000
 #: Words that a worker remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 48
+REMEMBERED, LONGEST = 240_000, 48
 #: Pairs of tokens whose compatibility it remembers at most.
-PAIRS = 400_000
+PAIRS = 150_000
 #: Characters that are encoded together.
-PORTION = 2_000_000
+PORTION = 300_000
 #: From here on the tables of regex and of Python can differ.
 HIGH = re.compile("[\u0530-\U0010ffff]")
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -249,6 +249,7 @@ def portions(texts: pa.Array) -> Iterator[list[str]]:
             held, n = [], 0
     if held:
         yield held
+    pa.default_memory_pool().release_unused()
 
 
 _ENCODERS: dict[str, WordBpe] = {}
