@@ -31,7 +31,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.lines_filter(docs)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of 1,000 rows: some 4 MB of them, not 40."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near.one_of_each(docs, near.Likeness(words=5, percent=80))
 
 
@@ -41,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids."""
+    small_batches(spark)
     return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
