@@ -151,6 +151,8 @@ def test_article_is_taken_whole():
     source = "<body><nav>menu</nav><div>outside</div><article><h1>T</h1><p>one<p>one<div class='ad'>buy</div></article><footer>f</footer></body>"
     page = htmltext.blocks(source)
     assert [t for t, k in page.blocks if k == page.level] == ["T", "one", "one"]
+    page = htmltext.blocks("<div id=menu>m</div><div class='content has-sidebar'>a<p>b</div><div class='sidebar right'>s</div>")
+    assert [t for t, k in page.blocks if k == page.level] == ["a", "b"]
 
 
 @settings(max_examples=200, deadline=None)
