@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +61,8 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
-#: While set, an action's shuffle files go when the action is over.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For the time of a checkpoint: its shuffle files go when it is over, and workers get rows in small batches.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,12 +72,34 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    with _settings(spark):
+        return df.select("*").checkpoint(eager=True)  # select: a plan made under the settings
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@contextlib.contextmanager
+def scratch(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows as a table in the shared folder, which is deleted when the block ends: for what is large and soon of no use."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    with _settings(spark):
+        df.select("*").write.parquet(path)
     try:
-        return df.select("*").checkpoint(eager=True)  # select: a plan made under the setting
+        yield spark.read.schema(df.schema).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def split_words(text: Column) -> Column:
