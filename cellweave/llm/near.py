@@ -23,6 +23,7 @@ there is no other); an empty table gives an empty table; other columns are ignor
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, cut, packed, pick, unpacked
+from .common import BROADCAST_ROWS, cut, packed, pick, scratch, unpacked
 from .components import components
 from .shingles import shingle_sets
 
@@ -112,7 +113,8 @@ def rarity(rows: DataFrame, like: Likeness) -> np.ndarray:
     parts = rows.select("text").mapInArrow(partial(_count_cells, words=like.words), "block int, places binary, counts binary")
     blocks = 1 << CELL_BITS - BLOCK_BITS
     table = np.zeros((blocks, 1 << BLOCK_BITS), np.uint8)
-    for row in parts.repartition(blocks, "block").mapInArrow(_sum_cells, "block int, steps binary").collect():
+    tasks = min(blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for row in parts.repartition(tasks, "block").mapInArrow(_sum_cells, "block int, steps binary").collect():
         table[row["block"]] = np.frombuffer(row["steps"], np.uint8)
     return table.reshape(-1)
 
@@ -221,27 +223,40 @@ def near_enough(n: Column, pos: Column, m: Column, at: Column, percent: int) ->
 
 def linked(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """doc_id, n_shingles, node (name of the set), root (name of the component), component_id for every row."""
+    return _linked(docs, like)[0]
+
+
+def _linked(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
+    """linked(), and the salt of its names."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = spark.sparkContext.broadcast(rarity(rows, like))
     salt = 0
     while True:
-        found = cut(rows.mapInArrow(partial(_prefixes, like=like, table=table, salt=salt), PREFIXES))
-        names = found.filter("n > 0").groupBy("node").agg(F.min("twin").alias("x"), F.max("twin").alias("y"))
-        if names.filter("x <> y").isEmpty():
+        with contextlib.ExitStack() as later:
+            # the prefixes of all rows are of use until one of each set is picked, those until they are dealt out
+            with scratch(rows.mapInArrow(partial(_prefixes, like=like, table=table, salt=salt), PREFIXES)) as found:
+                full = found.filter("n > 0")
+                names = full.groupBy("node").agg(F.min("twin").alias("x"), F.max("twin").alias("y"))
+                if not names.filter("x <> y").isEmpty():
+                    salt += 1  # two sets of one name: name them anew
+                    continue
+                named = cut(found.select("doc_id", F.col("n").alias("n_shingles"), "node"))
+                nodes = later.enter_context(scratch(full.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))))
+            holders = _holders(nodes, like)
             break
-        salt += 1  # two sets of one name: name them anew
-    roots = components(_edges(rows, found, like, salt))
-    named = found.select("doc_id", F.col("n").alias("n_shingles"), "node")
+    roots = components(_edges(rows, holders, like, salt))
     named = named.join(roots.withColumnRenamed("node", "its"), named["node"] == F.col("its"), "left").withColumn("root", F.coalesce("root", "node")).drop("its")
     named = cut(named)
-    least = named.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least"))
+    # cut: a join of two plain shuffles, which adaptive execution splits where a component is large
+    least = cut(named.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least")))
     full = named.join(least, named["root"] == least["of"], "left")
-    return full.select("doc_id", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return full.select("doc_id", "n_shingles", "node", "root", component.alias("component_id")), salt
 
 
-def _edges(rows: DataFrame, found: DataFrame, like: Likeness, salt: int) -> DataFrame:
-    nodes = found.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+def _holders(nodes: DataFrame, like: Likeness) -> DataFrame:
+    """token, node, n, pos of prefixes, the token's hub; many: it has three holders or more; paired: a candidate with the hub."""
     holders = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
     ranked = by_token.orderBy("pos", F.xxhash64("node"), "node")
@@ -251,9 +266,12 @@ def _edges(rows: DataFrame, found: DataFrame, like: Likeness, salt: int) -> Data
     close = near_enough(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), like.percent)
     # of two holders, the pair with the hub is the only one: rows of three and more are needed again
     holders = holders.withColumn("paired", (F.col("node") != F.col("hub.node")) & close).filter("many or paired")
-    holders = cut(holders.select("token", "node", "n", "pos", F.col("hub.node").alias("hub"), "many", "paired"))
+    return cut(holders.select("token", "node", "n", "pos", F.col("hub.node").alias("hub"), "many", "paired"))
+
+
+def _edges(rows: DataFrame, holders: DataFrame, like: Likeness, salt: int) -> DataFrame:
     pairs = holders.filter("paired").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    first = cut(_verified(cut(pairs), rows, like, salt))
+    first = _verified(cut(pairs), rows, like, salt)
     roots = cut(components(first))
 
     def component(df: DataFrame, node: str, name: str) -> DataFrame:
@@ -267,7 +285,7 @@ def _edges(rows: DataFrame, found: DataFrame, like: Likeness, salt: int) -> Data
     new = (F.col("root") != F.col("other_root")) & (F.col("other") != F.col("hub")) & ((F.col("other_root") == F.col("hub_root")) | (F.col("node") < F.col("other")))
     more = apart.join(others, (apart["token"] == others["its"]) & new & near_enough(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), like.percent))
     pairs = more.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return first.unionByName(cut(_verified(cut(pairs), rows, like, salt)))
+    return first.unionByName(_verified(cut(pairs), rows, like, salt))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, like: Likeness, salt: int) -> DataFrame:
@@ -276,11 +294,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, like: Likeness, salt: int) -> D
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = context.broadcast(node_filter(nodes).tobytes())
     sets = rows.select("text").mapInArrow(partial(_sets, like=like, wanted=wanted, salt=salt), "node long, tokens binary")
-    sets = cut(sets.groupBy("node").agg(F.first("tokens").alias("tokens")))
-    left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("right"))
-    both = pairs.join(left, pairs["a"] == left["x"]).join(right, pairs["b"] == right["y"]).select("a", "b", "left", "right")
-    return both.mapInArrow(partial(_verify, percent=like.percent), "a long, b long")
+    with scratch(sets.groupBy("node").agg(F.first("tokens").alias("tokens"))) as sets:
+        left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("left"))
+        right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("right"))
+        both = pairs.join(left, pairs["a"] == left["x"]).join(right, pairs["b"] == right["y"]).select("a", "b", "left", "right")
+        return cut(both.mapInArrow(partial(_verify, percent=like.percent), "a long, b long"))
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -289,14 +307,15 @@ def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     Of rows of one doc_id the one with the smallest name of its set stays; rows equal in both are numbered, among
     themselves only, and one of them stays.
     """
-    found = linked(docs, like).filter("node is not null")
+    found, salt = _linked(docs, like)
+    found = found.filter("node is not null")
     twins = cut(found.groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")))
-    best = twins.groupBy(F.col("root").alias("of")).agg(F.min("rank").alias("best"))
+    best = cut(twins.groupBy(F.col("root").alias("of")).agg(F.min("rank").alias("best")))
     ranked = twins.join(best, twins["root"] == best["of"]).select("doc_id", "node", "n", (F.col("rank") != F.col("best")).alias("all"))
     goes = cut(ranked.filter("all or n > 1").select(F.col("doc_id").alias("its_id"), F.col("node").alias("its_node"), "all"))
     if goes.count() <= BROADCAST_ROWS:
         goes = F.broadcast(goes)
-    named = packed(docs, "doc_id", "text").withColumn("node", _node_column(F.coalesce(F.col("text").cast("string"), F.lit("")), like))
+    named = packed(docs, "doc_id", "text").withColumn("node", _node_column(F.coalesce(F.col("text").cast("string"), F.lit("")), like, salt))
     both = named.join(goes, F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.col("node") == F.col("its_node")), "left")
     kept = unpacked(both.filter("its_node is null"), docs.columns)
     if goes.filter("not all").isEmpty():
@@ -306,14 +325,14 @@ def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     return kept.unionByName(unpacked(ties, docs.columns))
 
 
-def _node_column(text: Column, like: Likeness) -> Column:
-    """Name of a text's set (salt 0), null for an empty one."""
+def _node_column(text: Column, like: Likeness, salt: int) -> Column:
+    """Name of a text's set, null for an empty one."""
 
     @F.pandas_udf("long")
     def name(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
         sets = shingle_sets(pa.array(texts, pa.large_string()), like.words)
-        return pd.Series([node_of(s, 0)[0] if len(s) else None for s in sets], dtype="Int64")
+        return pd.Series([node_of(s, salt)[0] if len(s) else None for s in sets], dtype="Int64")
 
     return name(text)
