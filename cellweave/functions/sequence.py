@@ -60,6 +60,12 @@ def share_above(qualities: Column, threshold: int = 30) -> Column:
     return F.try_divide(F.size(F.filter(qualities, lambda q: q > threshold)), F.size(qualities))
 
 
+def share_above_text(quality: Column, threshold: int = 30) -> Column:
+    """The same for a quality string, without making it an array; null for an empty one."""
+    low = "".join(chr(33 + q) for q in range(threshold + 1))
+    return F.try_divide(F.length(F.translate(quality, low, "")), F.length(quality))
+
+
 def mean_of(qualities: Column) -> Column:
     return F.try_divide(F.aggregate(qualities, F.lit(0).cast("long"), lambda s, x: s + x), F.size(qualities))
 

@@ -13,7 +13,7 @@ from types import MappingProxyType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import DUPLICATE, REVERSE, UNMAPPED, aligned_part, has_flag, mean_of, phred, share_above, single_gene, spliced
+from ..functions.sequence import DUPLICATE, REVERSE, UNMAPPED, aligned_part, has_flag, mean_of, share_above, share_above_text, single_gene, spliced
 from ..schema import CELL_METRICS, CODING, COMMON_METRICS, GENE_METRICS, INTERGENIC, INTRONIC, UTR
 
 
@@ -29,8 +29,8 @@ def read_features(alignments: DataFrame) -> DataFrame:
         has_flag(F.col("flag"), DUPLICATE).alias("duplicate"),
         spliced(F.col("cigar")).alias("spliced"),
         F.col("rname").alias("reference"), "pos",
-        share_above(phred(F.col("CY"))).alias("cell_above"),
-        share_above(phred(F.col("UY"))).alias("molecule_above"),
+        share_above_text(F.col("CY")).alias("cell_above"),
+        share_above_text(F.col("UY")).alias("molecule_above"),
         share_above(genomic).alias("genomic_above"),
         mean_of(genomic).alias("genomic_mean"),
     )

@@ -39,6 +39,8 @@ def test_qualities(spark):
     assert scalar(spark, seq.mean_quality(F.lit(""))) is None
     assert scalar(spark, seq.share_above(F.lit([30, 31, 40, 2]))) == 0.5
     assert scalar(spark, seq.share_above(F.array().cast("array<int>"))) is None
+    for text in ("!?@I", "I", "", "?", "@@"):
+        assert scalar(spark, seq.share_above_text(F.lit(text))) == scalar(spark, seq.share_above(seq.phred(F.lit(text))))
     quals = F.lit(list(range(10)))
     assert scalar(spark, seq.aligned_part(quals, F.lit("2S6M2S"))) == [2, 3, 4, 5, 6, 7]
     assert scalar(spark, seq.aligned_part(quals, F.lit("3H10M"))) == list(range(10))
