@@ -4,9 +4,13 @@ A line is boilerplate of a host when at least min_pages of its pages hold it and
 hold it are more than max_ratio of all pages of the host. Every page loses all boilerplate lines of
 its host; the other lines stay as they were, joined by newlines.
 
+Counted so, a text with many copies on a host loses all its lines in every copy. Where copies are removed only later,
+by_text counts each different text of a host as one page, however many rows hold it, and a page that would lose
+more than most_lost of its characters (blanks aside) keeps all its lines: it is a near copy, not a page with boilerplate.
+
 Defined cases: a null text stays null and counts as a page without lines; an empty text stays empty; lines
 that are blank once trimmed are never dropped; a null host is a host of its own; each row is a
-page, so repeated rows count as pages of their own; rows with the same doc_id keep apart as far as
+page, so repeated rows count as pages of their own (with by_text all null texts of a host are one page); rows with the same doc_id keep apart as far as
 their hosts differ; an empty table gives an empty table.
 Lines are compared by the 128-bit MD5 of the line without white space at its ends.
 """
@@ -28,17 +32,29 @@ SALTS = 64
 class Limits:
     max_ratio: float = 0.01
     min_pages: int = 5
+    by_text: bool = False
+    most_lost: float = 1.0
 
 
 def digest(line: Column) -> Column:
     return F.unhex(F.md5(F.btrim(line, F.lit(BLANKS)).cast("binary")))
 
 
+def n_marks(lines: Column) -> Column:
+    """Characters of all lines, blanks aside."""
+    return F.length(F.translate(F.array_join(lines, ""), BLANKS, ""))
+
+
 def boilerplate(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
     """Rows host, line (digest), pages, of_pages: the lines to drop."""
     pages = pick(docs, "text", host).withColumnRenamed(host, "host")
     lines = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    each = pages.select("host", F.explode(F.array_distinct(F.transform(lines, digest))).alias("line"))
+    found = F.array_distinct(F.transform(lines, digest))
+    if limits.by_text:
+        pages = pages.groupBy("host", F.unhex(F.md5(F.col("text").cast("binary"))).alias("whole")).agg(F.first(found).alias("lines"))
+        each = pages.select("host", F.explode("lines").alias("line"))
+    else:
+        each = pages.select("host", F.explode(found).alias("line"))
     seen = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= limits.min_pages)
     seen = seen.withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of_pages"))
@@ -65,6 +81,9 @@ def thinned(docs: DataFrame, limits: Limits = Limits(), host: str = "source") ->
     both = whole.join(gone, whole["doc_id"].eqNullSafe(gone["its_id"]) & whole["host"].eqNullSafe(gone["of"]), "left")
     split = both.select("row", "doc_id", "text", F.coalesce("gone", F.array().cast("array<binary>")).alias("gone"), F.split("text", "\n").alias("lines"))
     kept = F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("gone"), digest(x)) | (F.btrim(x, F.lit(BLANKS)) == "")))
+    if limits.most_lost < 1:
+        left = n_marks(kept) < n_marks(F.col("lines")) * F.lit(1 - limits.most_lost)
+        kept = F.when((F.size("gone") == 0) | left, F.col("lines")).otherwise(kept)
     split = split.select("row", "doc_id", "lines", kept.alias("kept"))
     return split.select(
         "row",

@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the
 columns of documents. The first drops the documents that the rules or their hosts' verdicts reject; the second
-thins texts and drops no document; the third keeps one document of each group of near duplicates (five
+thins texts and drops no document, counting copies of a text as one page; the third keeps one document of each group of near duplicates (five
 words, 0.8), the one with the smallest doc_id; the fourth deals out each document at least once, those of
 small sources up to twice; the last returns the ids of every text.
 
@@ -27,8 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.rules_filter(docs)
 
 
+#: Copies are still there, for near_dedup: they count as one page, and no page loses more than half to boilerplate.
+COPIES_STAY = linededup.Limits(by_text=True, most_lost=0.5)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.lines_filter(docs)
+    return linededup.lines_filter(docs, COPIES_STAY)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -66,3 +66,17 @@ def test_run_and_empty_tables(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert corpus_pipeline.ORACLE_SQL is None and list(corpus_pipeline.queries()) == ["pipeline"]
+
+
+def test_copies_over_the_line_ratio_leave_one_whole_document(spark, frame):
+    """Exact and near copies in more than 1 % of a host's pages come out of near_dedup as one whole text each."""
+    steps = dict(corpus_pipeline.STAGES)
+    lines = lambda name: [" ".join(f"{name}{k}x{i}" for i in range(40)) for k in range(6)]
+    exact, near = lines("e"), lines("n")
+    rows = [(i, "\n".join(exact), "s") for i in range(30)]
+    rows += [(100 + i, "\n".join([*near[: i % 6], near[i % 6] + f" v{i}", *near[i % 6 + 1 :]]), "s") for i in range(30)]
+    own = {200 + i: "\n".join(" ".join(f"o{i}x{k}x{j}" for j in range(30)) for k in range(3)) for i in range(60)}
+    rows += [(i, f"{t}\nthe footer of this site", "s") for i, t in own.items()]
+    thin = steps["line_dedup"](spark, frame(rows), DATA)
+    got = {r.doc_id: r.text for r in steps["near_dedup"](spark, thin, DATA).collect()}
+    assert got == {0: rows[0][1], 100: rows[30][1], **own}
