@@ -1,12 +1,15 @@
 """Substring dedup by hashing lines or paragraphs.
 
-A unit is a line of at least min_words words, or a paragraph (lines up to a blank one). Units are compared by the
+A unit is a line of at least min_words words, or a paragraph (lines up to a blank one), or a run: consecutive lines that
+have min_words words together, blank lines between them aside. Runs find passages laid out in short lines; from each line on
+and up to each line the shortest run is taken, which covers every repeated run whatever surrounds it. Units are compared by the
 128-bit BLAKE2 digest of their words in lower case joined by single spaces. Of equal units the one with the smallest
 (doc_id, start) stays; the others are removed, and listed with their offsets in the original text.
 
 Defined cases: null and empty texts have no units; rows without doc_id rank last; of rows equal in doc_id and
 text one keeps its unit (n_rows counts the rows that lose it); a unit twice in a text goes the second time; an empty
-table gives an empty table; other columns are ignored.
+table gives an empty table; other columns are ignored. Runs that are removed may overlap, also with the run they repeat (as where one
+line is repeated many times); the first of equal lines stays in any case.
 """
 
 from __future__ import annotations
@@ -40,12 +43,41 @@ def fingerprint(unit: str) -> tuple[int, bytes]:
     return len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def shortest(sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """First and last (exclusive) of the shortest runs of so many words from each place on, and up to each place."""
+    found, j, n = set(), 0, 0
+    for i, size in enumerate(sizes):
+        while j < len(sizes) and n < least:
+            n += sizes[j]
+            j += 1
+        if n >= least:
+            found.add((i, j))
+        n -= size
+    i, n = len(sizes), 0
+    for j in range(len(sizes), 0, -1):
+        while i > 0 and n < least:
+            i -= 1
+            n += sizes[i]
+        if n >= least:
+            found.add((i, j))
+        n -= sizes[j - 1]
+    return sorted(found)
+
+
+def pieces(text: str, kind: str, min_words: int) -> list[tuple[int, int, int]]:
+    """Number, start and end of what may be units."""
+    if kind != "run":
+        return [(k, a, b) for k, (a, b) in enumerate(cut_text(text, kind))]
+    lines = [(k, a, b, n) for k, (a, b) in enumerate(cut_text(text, "line")) if (n := len(text[a:b].split()))]
+    return [(lines[i][0], lines[i][1], lines[j - 1][2]) for i, j in shortest([x[3] for x in lines], min_words)]
+
+
 def _scan(batches: Iterator[pa.RecordBatch], kind: str, min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(6)]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             body = text.as_py() or ""
-            for k, (a, b) in enumerate(cut_text(body, kind)):
+            for k, a, b in pieces(body, kind, min_words):
                 if b - a < 2 * min_words - 1:
                     continue
                 n, digest = fingerprint(body[a:b])
@@ -78,7 +110,7 @@ def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = 50) ->
 
 
 def without_units(docs: DataFrame, kind: str = "line", min_words: int = 50) -> DataFrame:
-    """doc_id, text without the repeated units (their separators stay), removed: array of {start, end} in the old text.
+    """doc_id, text without the repeated units (their separators stay), removed: array of {start, end} in the old text; those of runs may overlap.
 
     Meant for tables with distinct doc_ids; texts are dealt out by doc_id once.
     """
@@ -87,6 +119,6 @@ def without_units(docs: DataFrame, kind: str = "line", min_words: int = 50) -> D
     both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["its"]), "left").drop("its")
     both = both.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")))
     left = F.expr("""aggregate(removed, named_struct('out', '', 'at', 0L),
-        (s, x) -> named_struct('out', s.out || substring(text, int(s.at + 1), int(x.start - s.at)), 'at', x.end),
+        (s, x) -> named_struct('out', s.out || substring(text, int(s.at + 1), int(greatest(x.start - s.at, 0L))), 'at', greatest(s.at, x.end)),
         s -> s.out || substring(text, int(s.at + 1)))""")
     return both.select("doc_id", F.when(F.size("removed") == 0, F.col("text")).otherwise(left).alias("text"), "removed")

@@ -75,3 +75,28 @@ def test_units(spark, frame):
 def test_paragraphs():
     text = "a b\nc\n\nd\n \n  e"
     assert [text[a:b] for a, b in units.cut_text(text, "paragraph")] == ["a b\nc", "d", "e"]
+
+
+def test_runs_of_short_lines(spark, frame):
+    """A passage in lines of under 50 words goes where it comes again, whatever surrounds it; shorter repeats stay."""
+    line = lambda name, n=20: " ".join(f"{name}{i}" for i in range(n))
+    passage = "\n".join([line("a"), line("b"), "", line("c"), line("d", 5)])
+    short = "\n".join([line("e"), line("f")])
+    rows = [(1, f"one\n{passage}\nthen"), (2, f"two two\n{line('a')}\n{passage.upper()}\nelse"), (3, short), (4, f"{short}\nmine"), (5, "\n".join([line("g")] * 9)), (6, None), (7, "")]
+    assert units.repeated_units(frame(rows)).count() == 0
+    texts = {r.doc_id: r.text for r in units.without_units(frame(rows), "run").collect()}
+    assert texts == dict(rows) | {2: f"two two\n{line('a')}\n\nelse", 5: line("g") + "\n"}
+    assert units.repeated_units(frame(rows + rows[:1]), "run").filter("doc_id = 1 and n_rows = 1").count() > 0
+    assert units.repeated_units(frame([]), "run").count() == 0
+
+
+def test_shortest_runs_cover_every_run():
+    rng = random.Random(2)
+    for _ in range(300):
+        sizes = [rng.randint(1, 60) for _ in range(rng.randint(0, 12))]
+        whole = set(units.shortest(sizes, 50))
+        assert all(sum(sizes[i:j]) >= 50 for i, j in whole)
+        for a in range(len(sizes)):
+            for b in range(a + 1, len(sizes) + 1):
+                inside = {k for i, j in whole if a <= i and j <= b for k in range(i, j)}
+                assert inside == (set(range(a, b)) if sum(sizes[a:b]) >= 50 else set())
