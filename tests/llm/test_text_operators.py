@@ -218,6 +218,22 @@ def test_partition_edges_know_their_neighbours(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_copies_are_passed_over_for_the_next_page(spark):
+    """All copies on a host lose the lines they share with the next other page, however many tasks hold them."""
+    shell = "<div>Menu</div><p>Text {0}</p><div>Imprint</div>"
+    rows = [(i, f"http://h.example/{i:03d}", shell.format(i if i in (0, 59) else "of copies")) for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in ("1", "7", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            texts = {r.page_id: r.text for r in pagediff.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+            assert texts == {i: f"Text {i if i in (0, 59) else 'of copies'}" for i in range(60)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_pages_query(spark):
     rows = {r.page_id: r for r in queries()["op3_page_text"](spark, DATA).collect()}
     for page in spark.read.parquet(f"{DATA}/pages.parquet").collect():
