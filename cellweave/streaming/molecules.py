@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..llm.common import shared_folder
+
 
 def distinct_molecules(stream: DataFrame, keys: list[str], time: str = "ts", lateness: str = "1 hour", window: str = "10 minutes") -> DataFrame:
     """Rows of a stream, one for each distinct keys and time window; state is dropped with the watermark."""
@@ -20,13 +22,13 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    rows = stream.select("ts", "user_id", "event_type")
-    started = rows.withColumn("window_start", F.window("ts", "10 minutes")["start"]).select("user_id", "event_type", "window_start").dropDuplicates()
-    counted = started.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    table = f"streamed_{uuid.uuid4().hex}"
-    running = counted.writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).start()
+    span = spark.read.parquet(path).agg((F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")).alias("s")).first()["s"]
+    rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    distinct = distinct_molecules(rows, ["user_id", "event_type"], lateness=f"{int(span or 0) + 600} seconds")  # no row is late
+    folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    running = distinct.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     running.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(distinct.schema).parquet(f"{folder}/rows").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

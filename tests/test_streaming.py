@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+from cellweave.streaming import molecules
 from cellweave.streaming.molecules import distinct_molecules
 
 
@@ -11,3 +12,16 @@ def test_molecules_once_per_window(spark, tmp_path):
     running = distinct_molecules(stream, ["CB", "UB"]).writeStream.format("memory").queryName("molecules").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     running.awaitTermination()
     assert sorted((r.UB, r.window_start.minute) for r in spark.table("molecules").collect()) == [("a", 0), ("a", 10), ("b", 0)]
+
+
+def test_query_goes_through_the_operator_and_not_through_the_driver(spark, tmp_path, monkeypatch):
+    """Rows in any order over days are counted by the operator; nothing is gathered in a memory table."""
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(minutes=37 * ((i * 61) % 200)), i % 3, "k") for i in range(200)] * 2
+    frame = spark.createDataFrame(rows, "ts timestamp, user_id long, event_type string")
+    frame.write.option("maxRecordsPerFile", 50).parquet(str(tmp_path / "events.parquet"))
+    calls = []
+    monkeypatch.setattr(molecules, "distinct_molecules", lambda *a, **b: calls.append(a) or distinct_molecules(*a, **b))
+    got = {r.user_id: r.n for r in molecules.streamed_counts(spark, str(tmp_path)).collect()}
+    assert got == {u: len({(t - start) // timedelta(minutes=10) for t, v, _ in rows if v == u}) for u in range(3)}
+    assert len(calls) == 1 and not any(t.name.startswith("streamed_") for t in spark.catalog.listTables())
