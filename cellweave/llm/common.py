@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The six white space characters of the contracts, as a character set for translate and trim.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -126,3 +127,37 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     copies = renamed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     matched = dealt[key].eqNullSafe(copies["its_key"]) & (dealt["its_salt"] == copies["part"])
     return dealt.join(copies, matched, "left").drop("its_key", "its_salt", "part")
+
+
+def text_key(text: Column) -> Column:
+    """Name of a text: with doc_id beside it, what tells rows apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def remaining(text: Column, removed: Column) -> Column:
+    """A text without sorted spans, which may overlap."""
+    empty = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
+    piece = lambda begin, end: F.substring(text, begin.cast("int") + 1, (end - begin).cast("int"))
+    step = lambda s, x: F.struct(F.concat(s["parts"], F.array(piece(s["at"], F.greatest(x["start"], s["at"])))).alias("parts"), F.greatest(x["end"], s["at"]).alias("at"))
+    return F.aggregate(removed, empty, step, lambda s: F.array_join(F.concat(s["parts"], F.array(piece(s["at"], F.length(text).cast("long")))), ""))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc_id, text without the spans that it loses, removed: these spans {start, end}; a row for every row.
+
+    gone: key (of the text), doc_id, start, end, twin. Spans with twin are lost by all but one of the rows equal in doc_id and text.
+    """
+    span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    lists = gone.groupBy(F.col("key").alias("its_key"), F.col("doc_id").alias("its_id")).agg(
+        F.array_sort(F.collect_set(span)).alias("all"),
+        F.array_sort(F.collect_set(F.when(~F.col("twin"), span))).alias("ones"),
+        F.max("twin").alias("twins"),
+    )
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("key", text_key(F.col("text")))
+    both = texts.join(lists, (texts["key"] == lists["its_key"]) & texts["doc_id"].eqNullSafe(lists["its_id"]), "left")
+    # rows are numbered among twins only
+    k = F.row_number().over(Window.partitionBy("key", "doc_id").orderBy(F.lit(1)))
+    single = both.filter("twins is null or not twins").withColumn("removed", F.coalesce("all", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    twins = both.filter("twins").withColumn("k", k).withColumn("removed", F.when(F.col("k") == 1, F.col("ones")).otherwise(F.col("all"))).drop("k")
+    return single.unionByName(twins).select("doc_id", F.when(F.size("removed") == 0, F.col("text")).otherwise(remaining(F.col("text"), F.col("removed"))).alias("text"), "removed")

@@ -8,28 +8,33 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-UNITS = r"""
+PASSAGES = r"""
 WITH pieces AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS parts FROM documents
 ), numbered AS (
-  SELECT doc_id, unnest(range(len(parts))) AS unit, unnest(parts) AS body FROM pieces
+  SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS piece FROM pieces
 ), placed AS (
-  SELECT doc_id, unit, body,
-         CAST(coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM numbered
-), worded AS (
-  SELECT doc_id, unit, start, start + length(body) AS "end",
-         regexp_extract_all(lower(body), '[^\s]+') AS words
-  FROM placed
+  SELECT doc_id, i, regexp_extract(piece, '[^\x20\x09-\x0D]+') AS word, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS "end" FROM numbered
+), texts AS (
+  SELECT doc_id, list(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY i) AS words FROM placed GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, words, unnest(range(len(words) - 49)) AS i FROM texts WHERE len(words) >= 50
 ), hashed AS (
-  SELECT doc_id, unit, start, "end", CAST(len(words) AS BIGINT) AS n_words, array_to_string(words, ' ') AS same
-  FROM worded WHERE len(words) >= 50
+  SELECT w.doc_id, w.i, md5(array_to_string(words[w.i + 1 : w.i + 50], ' ')) AS same, "end" - length(word) AS start
+  FROM windows w JOIN placed p ON p.doc_id = w.doc_id AND p.i = w.i
 ), ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start, first_value("end") OVER w AS keep_end, row_number() OVER w AS k
-  FROM hashed WINDOW w AS (PARTITION BY same ORDER BY doc_id, start)
+  SELECT *, row_number() OVER o AS k, first_value(doc_id) OVER o AS keep_doc_id, first_value(start) OVER o AS keep_start
+  FROM hashed WINDOW o AS (PARTITION BY same ORDER BY doc_id, start)
+), marked AS (
+  SELECT *, coalesce(i > lag(i) OVER o + 50, TRUE) AS fresh FROM ranked WHERE k > 1 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), joined AS (
+  SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked
+), spans AS (
+  SELECT doc_id, min(start) AS start, min(i) AS first, max(i) + 49 AS last, arg_min(keep_doc_id, i) AS keep_doc_id, arg_min(keep_start, i) AS keep_start
+  FROM joined GROUP BY doc_id, span
 )
-SELECT doc_id, CAST(unit AS BIGINT) AS unit, start, "end", n_words, CAST(1 AS BIGINT) AS n_rows, keep_doc_id, keep_start, keep_end
-FROM ranked WHERE k > 1
+SELECT s.doc_id, s.start, p."end", CAST(last - first + 1 AS BIGINT) AS n_words, CAST(1 AS BIGINT) AS n_rows, keep_doc_id, keep_start
+FROM spans s JOIN placed p ON p.doc_id = s.doc_id AND p.i = s.last
 """
 
 LINES = f"""
@@ -145,7 +150,7 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 
 ORACLES = {
     "op1_exact_content_sort": EXACT,
-    "op4_repeated_units": UNITS,
+    "op4_repeated_units": PASSAGES,
     "op5_site_lines": LINES,
     "op8_temperature_mix": MIX,
     "op9_jaccard_join": JACCARD,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, linededup, mixing, near, pagediff, quality, secrets, toxicity, units
+from . import bpe, exact, linededup, mixing, near, pagediff, passages, quality, secrets, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -28,7 +28,7 @@ def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.repeated_units(table(spark, sf_dir, "documents"))
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), least=50)
 
 
 def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ LETTER = mixed(FOLDED * np.uint64(0xD1342543DE82EF95) + np.uint64(77))
 PLACES = series(0, 4096, 1)
 
 
-def word_codes(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the joined texts, and the index of each text's first word. begins: where texts begin."""
+def word_codes(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and number of bytes of each word of the joined texts; index of each text's first word. begins: where texts begin."""
     blank = SPACES[raw]
     first = ~blank
     first[1:] &= blank[:-1] | False
@@ -38,7 +38,8 @@ def word_codes(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[inner] = ~blank[inner]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(len(begins), np.int64)
+        none = np.empty(0, np.int64)
+        return none.astype(np.uint64), none, none, np.zeros(len(begins), np.int64)
     owner = np.cumsum(first) - 1
     place = np.arange(len(raw)) - starts[np.maximum(owner, 0)]
     longest = int(np.where(blank, 0, place).max()) + 1
@@ -47,7 +48,7 @@ def word_codes(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     value[blank] = 0
     total = np.add.reduceat(value, starts)
     length = np.add.reduceat((~blank).astype(np.uint64), starts)
-    return mixed(total + length * np.uint64(0xA0761D6478BD642F)), np.searchsorted(starts, begins)
+    return mixed(total + length * np.uint64(0xA0761D6478BD642F)), starts, length.astype(np.int64), np.searchsorted(starts, begins)
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -69,7 +70,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         if not len(raw):
             yield from (np.empty(0, np.uint64) for _ in begins)
             continue
-        codes, firsts = word_codes(raw, begins)
+        codes, _, _, firsts = word_codes(raw, begins)
         bounds = np.append(firsts, len(codes))
         m = max(0, len(codes) - k + 1)
         windows = np.zeros(m, np.uint64)

@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines or paragraphs.
+"""Substring dedup by hashing lines or paragraphs. Passages that begin or end inside a line need module passages.
 
 A unit is a line of at least min_words words, or a paragraph (lines up to a blank one), or a run: consecutive lines that
 have min_words words together, blank lines between them aside. Runs find passages laid out in short lines; from each line on
@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, text_key, without
 
 SPLIT = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
-FOUND = "doc_id long, unit long, start long, end long, n_words long, digest binary"
+FOUND = "key long, doc_id long, unit long, start long, end long, n_words long, digest binary"
+GONE = ("doc_id", "unit", "start", "end", "n_words", "n_rows", "keep_doc_id", "keep_start", "keep_end")
 
 
 def cut_text(text: str, kind: str) -> list[tuple[int, int]]:
@@ -74,51 +75,50 @@ def pieces(text: str, kind: str, min_words: int) -> list[tuple[int, int, int]]:
 
 def _scan(batches: Iterator[pa.RecordBatch], kind: str, min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        out: list[list] = [[] for _ in range(7)]
+        for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             body = text.as_py() or ""
             for k, a, b in pieces(body, kind, min_words):
                 if b - a < 2 * min_words - 1:
                     continue
                 n, digest = fingerprint(body[a:b])
                 if n >= min_words:
-                    for column, value in zip(out, (doc, k, a, b, n, digest), strict=True):
+                    for column, value in zip(out, (key, doc, k, a, b, n, digest), strict=True):
                         column.append(value)
-        kinds = [pa.int64()] * 5 + [pa.binary()]
+        kinds = [pa.int64()] * 6 + [pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
 def units(docs: DataFrame, kind: str = "line", min_words: int = 50) -> DataFrame:
-    """doc_id, unit, start, end, n_words, digest of every unit that is long enough."""
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """key (of the text), doc_id, unit, start, end, n_words, digest of every unit that is long enough."""
+    rows = pick(docs, "doc_id", "text").select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(partial(_scan, kind=kind, min_words=min_words), FOUND)
 
 
-def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = 50) -> DataFrame:
-    """What goes: doc_id, unit, start, end, n_words, n_rows, and keep_doc_id, keep_start, keep_end of the unit that stays."""
+def _gone(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """The columns GONE with key (of the text) and twin: of the rows equal in doc_id and text one keeps the unit."""
     found = cut(units(docs, kind, min_words))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "end")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "end", "key")
     groups = found.groupBy("digest").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = groups.select(F.col("digest").alias("of"), "keep")
+    # cut: a join of two plain shuffles, which adaptive execution splits where a unit is in many texts
+    groups = cut(groups.select(F.col("digest").alias("of"), "keep"))
     hits = found.join(groups, found["digest"] == groups["of"]).drop("of", "digest")
-    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start"))
-    others = hits.filter(~same).withColumn("n_rows", F.lit(1).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start")) & (F.col("end") == F.col("keep.end")) & (F.col("key") == F.col("keep.key"))
+    others = hits.filter(~same).withColumn("n_rows", F.lit(1).cast("long")).withColumn("twin", F.lit(False))
     # rows equal to the one that stays: all but one lose the unit
-    twins = hits.filter(same).groupBy("doc_id", "unit", "start", "end", "n_words", "keep").agg((F.count(F.lit(1)) - 1).alias("n_rows")).filter("n_rows > 0")
-    rows = others.unionByName(twins)
-    return rows.select("doc_id", "unit", "start", "end", "n_words", "n_rows", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), F.col("keep.end").alias("keep_end"))
+    twins = hits.filter(same).groupBy("key", "doc_id", "unit", "start", "end", "n_words", "keep").agg((F.count(F.lit(1)) - 1).alias("n_rows")).filter("n_rows > 0")
+    rows = others.unionByName(twins.withColumn("twin", F.lit(True)))
+    return rows.withColumns({f"keep_{c}": F.col(f"keep.{c}") for c in ("doc_id", "start", "end")}).select(*GONE, "key", "twin")
+
+
+def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = 50) -> DataFrame:
+    """What goes: doc_id, unit, start, end, n_words, n_rows, and keep_doc_id, keep_start, keep_end of the unit that stays."""
+    return _gone(docs, kind, min_words).select(*GONE)
 
 
 def without_units(docs: DataFrame, kind: str = "line", min_words: int = 50) -> DataFrame:
     """doc_id, text without the repeated units (their separators stay), removed: array of {start, end} in the old text; those of runs may overlap.
 
-    Meant for tables with distinct doc_ids; texts are dealt out by doc_id once.
+    A row for every row; of rows equal in doc_id and text one keeps the units that stay.
     """
-    gone = repeated_units(docs, kind, min_words).groupBy(F.col("doc_id").alias("its")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    rows = pick(docs, "doc_id", "text")
-    both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["its"]), "left").drop("its")
-    both = both.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    left = F.expr("""aggregate(removed, named_struct('out', '', 'at', 0L),
-        (s, x) -> named_struct('out', s.out || substring(text, int(s.at + 1), int(greatest(x.start - s.at, 0L))), 'at', greatest(s.at, x.end)),
-        s -> s.out || substring(text, int(s.at + 1)))""")
-    return both.select("doc_id", F.when(F.size("removed") == 0, F.col("text")).otherwise(left).alias("text"), "removed")
+    return without(docs, _gone(docs, kind, min_words))
