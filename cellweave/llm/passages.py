@@ -35,6 +35,8 @@ from .common import cut, pick, scratch, without
 from .shingles import chunks, mixed, word_codes
 
 LEAST = 50
+#: Bytes of text that a task has arrays for at a time (or one text).
+PART = 1 << 18
 #: Odd multipliers of the two hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, np.ndarray] = {}
@@ -44,7 +46,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
     held = _powers.get(base)
     if held is None or len(held) < n:
-        held = np.full(max(n, 1 << 18), base, np.uint64)
+        held = np.full(max(n, PART // 4), base, np.uint64)
         held[0] = 1
         np.multiply.accumulate(held, out=held)
         _powers[base] = held
@@ -91,14 +93,15 @@ class Windows:
     def again(self) -> np.ndarray:
         """Which windows are equal to another one of their text."""
         found = self.hashes(BASES[0])
+        out = np.zeros(len(found), bool)
         ordered = np.sort(found)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if not len(twice):
-            return np.zeros(0, np.int64)
-        some = np.flatnonzero(np.isin(found, twice))
-        some = some[np.lexsort((found[some], self.text[some]))]
-        same = (found[some][1:] == found[some][:-1]) & (self.text[some][1:] == self.text[some][:-1])
-        return some[np.append(same, False) | np.append(False, same)]
+        if len(twice):
+            some = np.flatnonzero(np.isin(found, twice))
+            some = some[np.lexsort((found[some], self.text[some]))]
+            same = (found[some][1:] == found[some][:-1]) & (self.text[some][1:] == self.text[some][:-1])
+            out[some[np.append(same, False) | np.append(False, same)]] = True
+        return out
 
 
 NAMED = "key long, other long, doc_id long, name long, again boolean, start long, end long, n_words long"
@@ -114,23 +117,22 @@ def _name(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
     """The names of each text's windows, once for each stretch of windows that share one; and a row without a name for the text itself."""
     for batch in batches:
         key, other, doc_id = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-        for first, raw, begins in chunks(batch.column(3)):
+        for first, raw, begins in chunks(batch.column(3), PART):
             if not len(raw):
                 continue
             w = Windows(raw, begins, least)
             if not len(w.at):
                 continue
-            new = np.append(True, (w.names[1:] != w.names[:-1]) | (w.text[1:] != w.text[:-1]))
-            some = np.concatenate((np.flatnonzero(new), again := w.again()))
+            some = np.flatnonzero(np.append(True, (w.names[1:] != w.names[:-1]) | (w.text[1:] != w.text[:-1])))
             texts = np.unique(w.text)
             whole = np.arange(len(some) + len(texts)) >= len(some)
             owner = np.concatenate((w.text[some], texts))
             pad = lambda x, owner=owner, whole=whole: pa.array(np.where(whole, x[owner], 0), pa.int64(), mask=~whole)
             a, b = w.bounds[:-1], w.bounds[1:]
             names = pa.array(np.concatenate((w.names[some], np.zeros(len(texts), np.uint64))).view(np.int64), pa.int64(), mask=whole)
-            twice = np.arange(len(owner)) >= len(owner) - len(texts) - len(again)
+            again = np.append(np.logical_or.reduceat(w.again(), some), np.zeros(len(texts), bool))
             starts, ends = w.starts[np.minimum(a, len(w.starts) - 1)], w.ends[np.maximum(b, 1) - 1]
-            yield _batch(NAMED, key[first + owner], other[first + owner], doc_id.take(pa.array(first + owner)), names, twice & ~whole, pad(starts), pad(ends), pad(b - a))
+            yield _batch(NAMED, key[first + owner], other[first + owner], doc_id.take(pa.array(first + owner)), names, again, pad(starts), pad(ends), pad(b - a))
 
 
 WINDOWS = "key long, doc_id long, high long, low long, word int, start int, end int"
@@ -140,7 +142,7 @@ def _hash(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
     """The windows that have one of the names in question."""
     for batch in batches:
         key, doc_id, wanted = batch.column(0).to_numpy(), batch.column(1), batch.column(3)
-        for first, raw, begins in chunks(batch.column(2)):
+        for first, raw, begins in chunks(batch.column(2), PART):
             if not len(raw):
                 continue
             w = Windows(raw, begins, least)

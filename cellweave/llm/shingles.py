@@ -51,14 +51,14 @@ def word_codes(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed(total + length * np.uint64(0xA0761D6478BD642F)), starts, length.astype(np.int64), np.searchsorted(starts, begins)
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Index of the first text, bytes, where each text begins: slices of about CHUNK bytes."""
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Index of the first text, bytes, where each text begins: slices of about size bytes."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i]
         i = j
 
