@@ -146,10 +146,10 @@ def _count_arguments(p: argparse.ArgumentParser) -> None:
 @command("CreateCountMatrix", _count_arguments)
 def create_counts(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = readers.alignments(spark, a.bam_file)
-    known = lambda t: F.col(t) if t in rows.columns else F.element_at("tags", t)
-    rows = rows.withColumns({"CB": known(a.cell_barcode_tag), "UB": known(a.molecule_barcode_tag), "GE": known(a.gene_id_tag)})
-    found = counts.count_matrix(rows, genes.gene_index(readers.gtf(spark, a.gtf_annotation_file)), strict=True)
-    sinks.count_archive(found.select("cell", "gene", "n"), a.output_prefix)
+    rows = _with_tags(rows, CB=a.cell_barcode_tag, UB=a.molecule_barcode_tag, GE=a.gene_id_tag)
+    index = genes.gene_index(readers.gtf(spark, a.gtf_annotation_file))
+    found = counts.count_matrix(rows, index, strict=True)
+    sinks.count_archive(found.select("cell", "gene", "n"), a.output_prefix, counts.cell_index(rows), index)
 
 
 def _merge_counts_arguments(p: argparse.ArgumentParser) -> None:
@@ -159,7 +159,18 @@ def _merge_counts_arguments(p: argparse.ArgumentParser) -> None:
 
 @command("MergeCountMatrices", _merge_counts_arguments)
 def merge_counts(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.count_archive(counts.merge_counts(*[readers.count_archive(spark, p) for p in a.input_prefixes]), a.output_stem)
+    """Rows of the archives one after the other; their columns must be the same genes."""
+    columns = [readers.archive_names(spark, p, "gene") for p in a.input_prefixes]
+    if any(not c.exceptAll(columns[0]).isEmpty() or c.count() != columns[0].count() for c in columns[1:]):
+        raise ValueError("the archives have other genes")
+    rows, chunks, start = None, [], 0
+    for p in a.input_prefixes:
+        names = readers.archive_names(spark, p, "cell")
+        moved = names.withColumn("cell_index", F.col("cell_index") + start)
+        rows = moved if rows is None else rows.unionByName(moved)
+        chunks.append(readers.archive_entries(spark, p).withColumn("cell_index", F.col("cell_index") + start))
+        start += names.count()
+    sinks.write_archive(counts.merge_counts(*chunks), rows, columns[0], a.output_stem)
 
 
 def _sort_arguments(p: argparse.ArgumentParser) -> None:
@@ -247,7 +258,7 @@ def _as_alignments(reads):  # noqa: ANN001, ANN202
 
     none = {"rname": None, "cigar": None, "rnext": None, "NH": None}
     number = {"ref_id": -1, "pos": -1, "mapq": 255, "pnext": -1, "tlen": 0}
-    rows = reads.withColumns({k: F.lit(v) for k, v in (none | number).items()} | {"qual": phred(F.col("quality")), "tags": F.create_map(F.lit("RG"), F.col("RG"))})
+    rows = reads.withColumns({k: F.lit(v) for k, v in (none | number).items()} | {"qual": phred(F.col("quality")), "tags": F.create_map(F.lit("RG"), F.col("RG")), "tag_types": F.create_map(F.lit("RG"), F.lit("Z"))})
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in ALIGNMENTS.fields], "shard")
 
 
@@ -278,6 +289,24 @@ def fastq_metrics(spark: SparkSession, a: argparse.Namespace) -> None:
         sinks.barcode_tables(barcodes.position_weights(tags, tag).orderBy("position"), f"{a.output}/{a.sample_id}.barcode_distribution_{mark}.txt")
 
 
+#: Options of the tags and the columns that hold them.
+TAG_COLUMNS = {"barcode": "CB", "umi": "UB", "gene": "GE"}
+
+
+class _InOrder(argparse.Action):
+    """Keeps the value, and in order the names of the tag options as they come."""
+
+    def __call__(self, parser, space, value, option=None):  # noqa: ANN001
+        setattr(space, self.dest, value)
+        name = self.dest.removesuffix("_tag")
+        space.order = [*[n for n in getattr(space, "order", None) or [] if n != name], name]
+
+
+def _with_tags(rows, **tags: str):  # noqa: ANN001, ANN202
+    """Alignments with the tags named in the columns of the usual ones."""
+    return rows.withColumns({c: F.col(t) if t in rows.columns else F.element_at("tags", t) for c, t in tags.items()})
+
+
 def _tag_sort_arguments(p: argparse.ArgumentParser) -> None:
     p.add_argument("--bam-input", required=True)
     p.add_argument("--gtf-file")
@@ -289,8 +318,8 @@ def _tag_sort_arguments(p: argparse.ArgumentParser) -> None:
     p.add_argument("--output-sorted-info", action="store_true")
     p.add_argument("--alignments-per-thread", type=int, default=1_000_000)
     p.add_argument("--nthreads", type=int, default=1)
-    for name in ("barcode", "umi", "gene"):
-        p.add_argument(f"--{name}-tag", required=True)
+    for name in TAG_COLUMNS:
+        p.add_argument(f"--{name}-tag", required=True, action=_InOrder)
     p.add_argument("--mitochondrial-gene-names-filename")
 
 
@@ -303,12 +332,10 @@ def tag_sort_metrics(spark: SparkSession, a: argparse.Namespace) -> None:
         raise ValueError("1000 alignments a thread at least, and 1 to 30 threads")
     if a.compute_metric and (not a.metric_type or not a.metric_output or a.metric_type == "cell" and not a.gtf_file):
         raise ValueError("metrics need a type and an output, those of cells an annotation")
-    rows = readers.alignments(spark, a.bam_input)
+    rows = _with_tags(readers.alignments(spark, a.bam_input), **{c: getattr(a, f"{n}_tag") for n, c in TAG_COLUMNS.items()})
     if a.output_sorted_info:
-        flags = {sys.argv.index(f"--{n}-tag"): getattr(a, f"{n}_tag") for n in ("barcode", "umi", "gene") if f"--{n}-tag" in sys.argv}
-        order = [flags[k] for k in sorted(flags)] or [a.barcode_tag, a.umi_tag, a.gene_tag]
         features = metrics.read_features(rows)
-        sinks.sorted_text(features.orderBy(*[F.coalesce(F.col(t), F.lit("")) for t in order]), a.sorted_output)
+        sinks.sorted_text(features.orderBy(*[F.coalesce(F.col(TAG_COLUMNS[n]), F.lit("")) for n in a.order]), a.sorted_output)
     if a.compute_metric and a.metric_type == "cell":
         names = readers.gene_list(spark, a.mitochondrial_gene_names_filename) if a.mitochondrial_gene_names_filename else None
         mito = genes.mitochondrial_genes(readers.gtf(spark, a.gtf_file), names)

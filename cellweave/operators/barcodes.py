@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import entropy4, hamming, letters
 
 ALPHABET = "ACGTN"
-#: A whitelist's variants are broadcast up to this many rows (about 60 a barcode); larger ones are joined by shuffle.
+#: A whitelist's variants are broadcast up to this many rows; larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -26,7 +26,9 @@ def variants(whitelist: DataFrame) -> DataFrame:
 def correct(rows: DataFrame, whitelist: DataFrame, raw: str = "CR", into: str = "CB", fall_back: bool = False) -> DataFrame:
     """rows with the whitelisted barcode of column raw; where there is none: null, or with fall_back the raw one."""
     known = variants(whitelist)
-    if 60 * whitelist.count() <= BROADCAST_ROWS:
+    # each base of a barcode can become one of the others of the alphabet, or it stays
+    most = whitelist.agg(F.sum(1 + F.length("barcode") * len(ALPHABET)).alias("n")).first()["n"] or 0
+    if most <= BROADCAST_ROWS:
         known = F.broadcast(known)
     joined = rows.drop(into).join(known, rows[raw] == known["variant"], "left").drop("variant")
     return joined.withColumn(into, F.coalesce("corrected", raw) if fall_back else F.col("corrected")).drop("corrected")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.sequence import single_gene
 from ..schema import INTERGENIC
+from ..shared import written_once
 
 
 def molecules(alignments: DataFrame) -> DataFrame:
@@ -43,15 +44,19 @@ def first_seen(alignments: DataFrame) -> DataFrame:
 def dense_index(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with a dense index from 0 in the order of columns.
 
-    Two steps, so that no task sees all rows: a range sort numbers rows within its tasks, whose
-    sizes are then summed.
+    No task sees all rows: a range sort is written to the checkpoint folder once, which fixes what is in each
+    partition, and numbers rows within its partitions, whose sizes are then summed. Rows may have columns of any name.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    plain = rows.toDF(*[f"_{i}" for i in range(len(rows.columns))])
+    by = [f"_{rows.columns.index(c)}" for c in order]
+    dealt = written_once(plain.repartitionByRange(*by).sortWithinPartitions(*by))
+    dealt = dealt.withColumn("part", F.spark_partition_id())
     dealt = dealt.withColumn("k", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = sizes.select(F.col("part").alias("its"), F.coalesce(F.sum("size").over(over), F.lit(0)).alias("start"))
-    return dealt.join(F.broadcast(starts), dealt["part"] == starts["its"]).withColumn(name, F.col("start") + F.col("k")).drop("part", "its", "k", "start")
+    joined = dealt.join(F.broadcast(starts), dealt["part"] == starts["its"])
+    return joined.select(*plain.columns, (F.col("start") + F.col("k")).alias("index")).toDF(*rows.columns, name)
 
 
 def cell_index(alignments: DataFrame) -> DataFrame:

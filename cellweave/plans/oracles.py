@@ -61,7 +61,7 @@ def _gene_chunks() -> str:
     for r in "ANR":
         text += _metrics("GE", f"coalesce(instr(GE, ',') = 0, true) AND reference = '{r}'", more=_GENE_MORE, joins=f"LEFT JOIN by_cell c ON r.e IS NOT DISTINCT FROM c.GE AND c.reference = '{r}'", name=f"m{r}").replace("round(", "(").replace(", 6)", ")")
     sums = ["n_reads", "noise_reads", "perfect_molecule_barcodes", "reads_mapped_exonic", "reads_mapped_intronic", "reads_mapped_utr", "reads_mapped_uniquely", "reads_mapped_multiple", "duplicate_reads", "spliced_reads", "antisense_reads", "n_molecules", "n_fragments", "fragments_with_single_read_evidence", "molecules_with_single_read_evidence", "number_cells_detected_multiple", "number_cells_expressing"]
-    means = ["molecule_barcode_fraction_bases_above_30_mean", "genomic_reads_fraction_bases_quality_above_30_mean", "genomic_read_quality_mean"]
+    means = [f"{k}_{what}" for k in ("molecule_barcode_fraction_bases_above_30", "genomic_reads_fraction_bases_quality_above_30", "genomic_read_quality") for what in ("mean", "variance")]
     shown = [f"CAST(sum({c}) AS BIGINT) AS {c}" for c in sums] + [f"CASE WHEN count({c}) < count(*) THEN NULL ELSE round(sum({c} * n_reads) / sum(n_reads), 6) END AS {c}" for c in means]
     ratios = [f"round(sum({a}) / nullif(sum({b}), 0), 6) AS {k}" for k, a, b in (("reads_per_molecule", "n_reads", "n_molecules"), ("fragments_per_molecule", "n_fragments", "n_molecules"), ("reads_per_fragment", "n_reads", "n_fragments"))]
     return text + f" SELECT GE, {', '.join(shown + ratios)} FROM (SELECT * FROM mA UNION ALL BY NAME SELECT * FROM mN UNION ALL BY NAME SELECT * FROM mR) GROUP BY GE"
@@ -78,11 +78,17 @@ _CODE2 = "list_reduce(list_prepend(CAST(0 AS BIGINT), " + _CODES.format("CAST(CA
 _CODE3 = "list_reduce(list_prepend(CAST(0 AS BIGINT), " + _CODES.format("CAST(CASE c WHEN 'C' THEN 1 WHEN 'A' THEN 2 WHEN 'G' THEN 3 WHEN 'T' THEN 4 ELSE 6 END AS BIGINT)") + "), lambda s, x: s * 8 + x)"
 _GC = "CAST(length(regexp_replace(barcode, '[^GC]', '', 'g')) AS BIGINT) AS gc"
 _LETTERS = "letters AS (SELECT unnest(range(length(b))) AS pos, unnest(string_split(b, '')) AS letter FROM (SELECT DISTINCT CR AS b FROM reads))"
+_QUALITY = "list_transform(range(12), lambda i: (l_orderkey * 7 + i * 11) % 41)"
 _KEYS = {"B": "coalesce(CB, '')", "U": "coalesce(UB, '')", "G": "coalesce(GE, '')"}
 _ORDERS = ("BUG", "BGU", "UBG", "UGB", "GUB", "GBU")
 
+_SCANNED = f"""{READS_SQL} SELECT rname, count(*) AS n, count(*) FILTER (unmapped) AS n_unmapped, count(*) FILTER (rev) AS n_reverse, count(*) FILTER (dup) AS n_duplicate, count(*) FILTER (spliced) AS n_spliced,
+      CAST(sum(pos) AS BIGINT) AS score, CAST(sum(list_sum({_QUALITY})) AS BIGINT) AS quality, CAST(sum(NH) AS BIGINT) AS hits, count(DISTINCT CB) AS n_cells, count(DISTINCT GE) AS n_genes, count(*) AS n_typed FROM reads GROUP BY rname"""
+
 ORACLES: dict[str, str] = {
-    "scan_reads": f"{READS_SQL} SELECT rname, count(*) AS n, count(*) FILTER (unmapped) AS n_unmapped, count(*) FILTER (rev) AS n_reverse, count(*) FILTER (dup) AS n_duplicate, count(*) FILTER (spliced) AS n_spliced FROM reads GROUP BY rname",
+    "scan_reads": _SCANNED,
+    "scan_sam": _SCANNED,
+    "scan_fastq": f"{READS_SQL} SELECT CR, UR, count(*) AS n, min(array_to_string(list_transform(cq, lambda q: chr(33 + q)), '')) AS least_quality FROM reads GROUP BY ALL",
     "select_by_index": f"{READS_SQL} SELECT qname, rec, count(*) AS n FROM (SELECT qname, rec, min(rec) OVER (PARTITION BY qname) AS least FROM reads) WHERE rec = least GROUP BY qname, rec",
     "zip_positional": "SELECT o_orderkey AS rec, o_orderstatus, c_mktsegment FROM orders, customer WHERE o_orderkey = c_custkey",
     "feature_filter": f"WITH {GTF_SQL} SELECT rec, seqname, CAST(\"start\" AS BIGINT) AS \"start\", CAST(\"end\" AS BIGINT) AS \"end\" FROM gtf WHERE feature = 'exon'",
@@ -90,7 +96,7 @@ ORACLES: dict[str, str] = {
     "extract_read_structure": f"{READS_SQL} SELECT left(s, 3) || substr(s, 6, 3) AS CR, substr(s, 9, 4) AS UR, count(*) AS n FROM (SELECT CR || UR AS s FROM reads) GROUP BY 1, 2",
     "avg_quality": f"{READS_SQL} SELECT CR, round(min(list_avg(cq)), 6) AS q_min, round(max(list_avg(cq)), 6) AS q_max FROM reads GROUP BY CR",
     "frac_above_30": f"{FEATURES} SELECT reference AS rname, round(avg(cell_above), 6) AS cell, round(avg(genomic_above), 6) AS genomic FROM f GROUP BY 1",
-    "features17": f"{FEATURES} SELECT CB, UB, GE, XF, CAST(NH AS BIGINT) AS NH, perfect_cell, perfect_molecule, mapped, reverse, duplicate, spliced, reference, CAST(pos AS BIGINT) AS pos, round(cell_above, 6) AS cell_above, round(molecule_above, 6) AS molecule_above, round(genomic_above, 6) AS genomic_above, round(genomic_mean, 6) AS genomic_mean, count(*) AS n FROM f GROUP BY ALL",
+    "features17": f"{FEATURES} SELECT CB, UB, GE, XF, CAST(NH AS BIGINT) AS NH, perfect_cell, perfect_molecule, mapped, reverse, duplicate, spliced, reference, CAST(pos AS BIGINT) AS pos, round(cell_above, 6) AS cell_above, round(molecule_above, 6) AS molecule_above, round(genomic_above, 6) AS genomic_above, round(genomic_mean, 6) AS genomic_mean FROM f",
     "first_tag": f"{READS_SQL} SELECT CASE WHEN CB IS NULL THEN CR ELSE CB END AS barcode, count(*) AS n FROM reads GROUP BY 1",
     "encode_two_bit": f"WITH {WHITELIST_SQL} SELECT barcode, {_CODE2} AS code, barcode AS decoded, {_GC} FROM wl",
     "encode_three_bit": f"WITH {WHITELIST_SQL} SELECT barcode, {_CODE3} AS code, barcode AS decoded, {_GC} FROM wl",
@@ -115,23 +121,24 @@ ORACLES: dict[str, str] = {
     "cell_metrics": _CELL,
     "gene_metrics": _GENE,
     "online_stats": f"{READS_SQL} SELECT CB, UB, round(avg(pos), 6) AS mean, round(var_samp(pos), 6) AS variance FROM reads GROUP BY ALL",
-    "merge_cell": f"{_CELL.replace('SELECT * FROM m', 'SELECT CB, n_reads, n_molecules, n_fragments, n_genes FROM m WHERE CB IS NOT NULL')}",
+    "merge_cell": f"{_CELL} WHERE CB IS NOT NULL",
     "merge_gene": _gene_chunks(),
     "count_matrix": f"{_COUNTED} SELECT cell, gene, count(DISTINCT molecule) AS n FROM counted GROUP BY ALL",
+    "count_matrix_genes": f"{_COUNTED}, {GTF_SQL}, known AS (SELECT gene, row_number() OVER (ORDER BY min(rec)) - 1 AS gene_index FROM gtf WHERE feature = 'gene' GROUP BY gene) SELECT cell, gene, gene_index, count(DISTINCT molecule) AS n FROM counted JOIN known USING (gene) GROUP BY ALL",
     "count_matrix_merge": f"{_COUNTED}, parts AS (SELECT cell, gene, CAST(substr(qname, 2) AS BIGINT) % 4 AS part, count(DISTINCT molecule) AS n FROM counted GROUP BY ALL) SELECT cell, gene, CAST(sum(n) AS BIGINT) AS n FROM parts GROUP BY ALL",
     "cell_first_seen": f"{_COUNTED} SELECT cell, row_number() OVER (ORDER BY min(rec), cell) - 1 AS cell_index FROM counted GROUP BY cell",
     "streamed_molecules": "SELECT user_id, event_type, count(DISTINCT time_bucket(INTERVAL 10 MINUTE, ts)) AS n FROM events GROUP BY ALL",
-    "run_groups": f"""{READS_SQL}, marked AS (SELECT qname, rec, GE, CASE WHEN row_number() OVER w = 1 OR GE IS DISTINCT FROM lag(GE) OVER w THEN 1 ELSE 0 END AS new FROM reads WINDOW w AS (PARTITION BY qname ORDER BY rec)),
-      numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY qname ORDER BY rec ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM marked)
-      SELECT qname, run, GE, count(*) AS n, min(rec) AS first_rec FROM numbered GROUP BY ALL""",
+    "run_groups": f"""{READS_SQL}, marked AS (SELECT file, rec, GE, CASE WHEN row_number() OVER w = 1 OR GE IS DISTINCT FROM lag(GE) OVER w THEN 1 ELSE 0 END AS new FROM reads WINDOW w AS (PARTITION BY file ORDER BY rec)),
+      numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY file ORDER BY rec ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM marked)
+      SELECT file, run, GE, count(*) AS n, min(rec) AS first_rec FROM numbered GROUP BY ALL""",
     "query_groups": f"{READS_SQL} SELECT qname, count(*) AS n, min(rec) AS first_rec FROM reads GROUP BY qname",
-    "verify_sort": f"""{READS_SQL}, l AS (SELECT file, coalesce(CB, '') AS b, coalesce(UB, '') AS u, lag(coalesce(CB, '')) OVER w AS pb, lag(coalesce(UB, '')) OVER w AS pu FROM reads WINDOW w AS (PARTITION BY qname ORDER BY rec))
-      SELECT file, count(*) AS n FROM l WHERE b < pb OR b = pb AND u < pu GROUP BY file""",
+    "verify_sort": f"""{READS_SQL}, l AS (SELECT file, coalesce(CB, '') AS b, coalesce(UB, '') AS u, lag(coalesce(CB, '')) OVER w AS pb, lag(coalesce(UB, '')) OVER w AS pu, qname, lag(qname) OVER w AS pq FROM reads WINDOW w AS (PARTITION BY file ORDER BY rec))
+      SELECT file, count(*) AS n FROM l WHERE b < pb OR b = pb AND (u < pu OR u = pu AND qname < pq) GROUP BY file""",
     "tag_sort": f"{READS_SQL} SELECT rec, qname, CB, UB, GE FROM reads",
-    "tag_order_permutations": f"{READS_SQL} SELECT " + ", ".join(f"(SELECT rec FROM reads ORDER BY {', '.join(_KEYS[c] for c in o)}, qname, rec LIMIT 1) AS {o}" for o in _ORDERS),
+    "tag_order_permutations": f"{READS_SQL} " + " UNION ALL ".join(f"(SELECT '{o}' AS tags, rec FROM reads ORDER BY {', '.join(_KEYS[c] for c in o)}, qname, rec LIMIT 200)" for o in _ORDERS),
     "subset_chromosome": f"{READS_SQL} (SELECT rec, rname, qname FROM reads WHERE rname = 'A' ORDER BY rec LIMIT 20) UNION ALL (SELECT rec, rname, qname FROM reads WHERE rname <> 'A' ORDER BY rec LIMIT 5)",
     "split_bins": f"{READS_SQL}, k AS (SELECT coalesce(CB, CR) AS b FROM reads), r AS (SELECT b, (row_number() OVER (ORDER BY b) - 1) % 7 AS bin FROM (SELECT DISTINCT b FROM k)) SELECT bin, count(*) AS n, count(DISTINCT b) AS n_barcodes FROM k JOIN r USING (b) GROUP BY bin",
-    "shard_hash": f"{READS_SQL} SELECT CAST(1 AS BIGINT) AS shards, count(DISTINCT coalesce(CB, CR)) AS n_barcodes FROM reads",
+    "shard_hash": f"{READS_SQL} SELECT coalesce(CB, CR) AS barcode, count(*) AS n, CAST(1 AS BIGINT) AS shards, true AS known FROM reads GROUP BY ALL",
     "gene_index": f"WITH {GTF_SQL} SELECT gene, row_number() OVER (ORDER BY min(rec)) - 1 AS gene_index FROM gtf WHERE feature = 'gene' GROUP BY gene",
     "mito_genes": f"WITH {GTF_SQL} SELECT DISTINCT gene_id AS gene FROM gtf WHERE feature = 'gene' AND lower(gene) LIKE 'mt-%'",
     "gene_locations": f"WITH {GTF_SQL} SELECT seqname AS chromosome, gene, CAST(arg_max(\"start\", rec) AS BIGINT) AS \"start\", CAST(arg_max(\"end\", rec) AS BIGINT) AS \"end\" FROM gtf WHERE feature = 'gene' GROUP BY ALL",

@@ -5,20 +5,25 @@ Every query reads its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as seq
 from ..operators import barcodes, counts, genes, grouping, metrics, qc, tagging
-from ..schema import COMMON_METRICS, GENE_METRICS
+from ..shared import removed, shared_folder, written_once
+from ..sources import readers, sinks
 from ..streaming.molecules import streamed_counts
 from .oracles import ORACLES
 from .reads import alignments, gtf, whitelist
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
+#: Ordinals of 16 orders: small, so that rows are handed on between stretches.
+STRETCH = 1 << 39
 
 
 def query(f: Query) -> Query:
@@ -37,18 +42,62 @@ def _long(c: Column) -> Column:
 # sources, positions
 
 
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads with every field that files of alignments have."""
+    rows = alignments(spark, sf_dir)
+    some = {"mapq": F.lit(60), "rnext": F.lit(None), "pnext": F.lit(-1), "tlen": F.lit(0), "seq": F.concat("CR", F.substring("UR", 1, 4))}
+    tags = {"tags": F.create_map(F.lit("AS"), F.col("pos").cast("string"), F.lit("XG"), F.col("rname")), "tag_types": F.create_map(F.lit("AS"), F.lit("i"), F.lit("XG"), F.lit("A"))}
+    return rows.withColumns(some | tags)
+
+
+def _scanned(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Reads written as files, read again and counted; the files go."""
+    folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    try:
+        sinks.alignments(_full(spark, sf_dir), folder, ["@HD\tVN:1.6", *[f"@SQ\tSN:{r}\tLN:1000" for r in "ANR"]], kind)
+        rows = readers.alignments(spark, folder, {"sam": "r", "bam": "rb"}[kind])
+        score, place = F.element_at("tags", "AS").cast("long"), F.element_at("tag_types", "AS")
+        flags = {n: F.count_if(seq.has_flag(F.col("flag"), b)) for b, n in ((4, "n_unmapped"), (16, "n_reverse"), (1024, "n_duplicate"))}
+        sums = {"score": F.sum(score), "quality": F.sum(F.aggregate("qual", F.lit(0).cast("long"), lambda s, q: s + q)), "hits": F.sum("NH"), "n_cells": F.count_distinct("CB"), "n_genes": F.count_distinct("GE"), "n_typed": F.count_if(place.isin("i", "c", "C", "s", "S", "I"))}
+        counted = rows.groupBy("rname").agg(F.count(F.lit(1)).alias("n"), F.count_if(seq.spliced(F.col("cigar"))).alias("n_spliced"), *[c.alias(k) for k, c in (flags | sums).items()])
+        return written_once(counted)
+    finally:
+        removed(spark, folder)
+
+
 @query
 def scan_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alignments(spark, sf_dir)
-    return rows.groupBy("rname").agg(F.count(F.lit(1)).alias("n"), F.count_if(seq.has_flag(F.col("flag"), 4)).alias("n_unmapped"), F.count_if(seq.has_flag(F.col("flag"), 16)).alias("n_reverse"), F.count_if(seq.has_flag(F.col("flag"), 1024)).alias("n_duplicate"), F.count_if(seq.spliced(F.col("cigar"))).alias("n_spliced"))
+    return _scanned(spark, sf_dir, "bam")
+
+
+@query
+def scan_sam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir, "sam")
+
+
+@query
+def scan_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of FASTQ files, written, read again and counted by barcode; the files go."""
+    folder = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
+    rows = alignments(spark, sf_dir).withColumns({"seq": F.concat("CR", "UR"), "quality": F.concat("CY", "UY")})
+    try:
+        sinks.fastq_shards(grouping.shard(rows, 3), folder)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/R1")
+        parts = [f.getPath().toString() for f in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop) if f.isDirectory()]
+        local = [p.removeprefix("file:") if not p.startswith("file://") else p for p in parts]
+        reads = readers.fastq(spark, local)
+        found = tagging.extract(reads, [tagging.Embedded(0, 8, "CR", "CY"), tagging.Embedded(8, 13, "UR", "UY")])
+        return written_once(found.groupBy("CR", "UR").agg(F.count(F.lit(1)).alias("n"), F.min("CY").alias("least_quality")))
+    finally:
+        removed(spark, folder)
 
 
 @query
 def select_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each order, by ordinal."""
     rows = alignments(spark, sf_dir)
-    wanted = rows.groupBy("qname").agg(F.min("rec").alias("rec")).select("rec")
-    return rows.join(wanted, "rec", "left_semi").groupBy("qname", "rec").agg(F.count(F.lit(1)).alias("n"))
+    wanted = rows.groupBy("qname").agg(F.min("rec").alias("rec"))
+    return readers.select_records(rows, wanted).groupBy("qname", "rec").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -95,8 +144,7 @@ def frac_above_30(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def features17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields of sorted output, one row an alignment."""
-    rows = metrics.read_features(alignments(spark, sf_dir))
-    return _rounded(rows.groupBy("CB", "UB", "GE", "XF", "NH", "perfect_cell", "perfect_molecule", "mapped", "reverse", "duplicate", "spliced", "reference", "pos", "cell_above", "molecule_above", "genomic_above", "genomic_mean").agg(F.count(F.lit(1)).alias("n")))
+    return _rounded(metrics.read_features(alignments(spark, sf_dir)))
 
 
 @query
@@ -230,8 +278,8 @@ def merge_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of cells by chunk of disjoint cells, put together."""
     rows = alignments(spark, sf_dir)
     part = F.pmod(F.length("CB") + F.ascii(F.substring("CB", 8, 1)), F.lit(2))
-    chunks = [metrics.cell_metrics(rows.filter(F.col("CB").isNotNull() & (part == k))) for k in (0, 1)]
-    return metrics.merge_cell_metrics(*chunks).select("CB", "n_reads", "n_molecules", "n_fragments", "n_genes")
+    chunks = [metrics.cell_metrics(rows.filter(F.col("CB").isNotNull() & (part == k)), _mito(spark, sf_dir)) for k in (0, 1)]
+    return _rounded(metrics.merge_cell_metrics(*chunks))
 
 
 @query
@@ -239,8 +287,7 @@ def merge_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of genes by chunk, merged."""
     rows = alignments(spark, sf_dir)
     chunks = [metrics.gene_metrics(rows.filter(F.col("rname") == r)) for r in ("A", "N", "R")]
-    merged = metrics.merge_gene_metrics(*chunks)
-    return _rounded(merged.select("GE", *[c for c in (*COMMON_METRICS, *GENE_METRICS) if not c.endswith("_variance")]))
+    return _rounded(metrics.merge_gene_metrics(*chunks))
 
 
 # counts
@@ -251,6 +298,12 @@ def count_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_matrix(alignments(spark, sf_dir))
 
 
+@query
+def count_matrix_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the annotation's genes, with the gene's index."""
+    return counts.count_matrix(alignments(spark, sf_dir), genes.gene_index(gtf(spark, sf_dir)))
+
+
 @query
 def count_matrix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = alignments(spark, sf_dir)
@@ -273,7 +326,8 @@ def streamed_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.run_sizes(alignments(spark, sf_dir).select("qname", "rec", "GE"), "GE", by=["qname"])
+    """Runs within files, ordered in stretches of 16 orders."""
+    return grouping.run_sizes(alignments(spark, sf_dir).select("file", "rec", "GE"), "GE", width=STRETCH)
 
 
 @query
@@ -283,7 +337,8 @@ def query_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def verify_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = grouping.out_of_order(alignments(spark, sf_dir).select("file", "rec", "qname", "CB", "UB"), ["CB", "UB"], by=["qname"])
+    """Rows out of order by file, looked at in stretches of 16 orders."""
+    found = grouping.out_of_order(alignments(spark, sf_dir).select("file", "rec", "qname", "CB", "UB"), ["CB", "UB"], width=STRETCH)
     return found.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -294,10 +349,10 @@ def tag_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tag_order_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first alignment by each order of the tags."""
-    rows = alignments(spark, sf_dir)
-    firsts = [F.min(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(grouping.sort_keys(grouping.tag_order(o)))], "rec")).getField("rec").alias(o) for o in grouping.TAG_ORDERS]
-    return rows.agg(*firsts)
+    """The first 200 alignments by each order of the tags."""
+    rows = alignments(spark, sf_dir).select("rec", "qname", "CB", "UB", "GE")
+    firsts = [grouping.tag_sort(rows, grouping.tag_order(o)).limit(200).select(F.lit(o).alias("tags"), "rec") for o in grouping.TAG_ORDERS]
+    return reduce(DataFrame.unionByName, firsts)
 
 
 @query
@@ -317,9 +372,10 @@ def split_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shard_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Barcodes that are in more than one shard: none."""
+    """Each barcode's rows, in how many shards they are (one), and whether that is one of the 16."""
     done = grouping.shard(alignments(spark, sf_dir), 16)
-    return done.groupBy(F.coalesce("CB", "CR").alias("barcode")).agg(F.count_distinct("shard").alias("shards")).groupBy("shards").agg(F.count(F.lit(1)).alias("n_barcodes"))
+    each = done.groupBy(F.coalesce("CB", "CR").alias("barcode"), "shard").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("barcode").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("shards"), F.bool_and(F.col("shard").between(0, 15)).alias("known"))
 
 
 # annotation

@@ -11,17 +11,26 @@ BASES = "ACTG"
 
 def dna(x: Column, n: int) -> Column:
     """The last n base-4 digits of a number as letters."""
-    return F.concat(*[F.substring(F.lit(BASES), F.shiftright(x, 2 * i).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1)) for i in range(n - 1, -1, -1)])
+    digits = F.conv(F.pmod(x, F.lit(4**n)).cast("string"), 10, 4)
+    return F.translate(F.lpad(digits, n, "0"), "0123", BASES)
+
+
+#: (key * 7 + i * 11) % 41 for i from 0 on is this cycle from place key * 7 * 15 % 41 on, 15 being the inverse of 11.
+CYCLE = [i * 11 % 41 for i in range(41 + 16)]
+
+
+def _place(key: Column) -> Column:
+    return (F.pmod(key * (7 * 15), F.lit(41)) + 1).cast("int")
 
 
 def qualities(key: Column, n: int) -> Column:
     """n numbers from 0 to 40."""
-    return F.array(*[((key * 7 + i * 11) % 41).cast("int") for i in range(n)])
+    return F.slice(F.lit(CYCLE), _place(key), F.lit(n))
 
 
 def characters(key: Column, n: int) -> Column:
     """The same as quality characters."""
-    return F.concat(*[F.char(33 + (key * 7 + i * 11) % 41) for i in range(n)])
+    return F.substring(F.lit("".join(chr(33 + q) for q in CYCLE)), _place(key), F.lit(n))
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,5 +38,6 @@ ALIGNMENTS = T.StructType(
         T.StructField("seq", T.StringType()), T.StructField("qual", T.ArrayType(T.IntegerType())),
         *[T.StructField(t, T.StringType()) for t in TEXT_TAGS], T.StructField("NH", T.IntegerType()),
         T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("tag_types", T.MapType(T.StringType(), T.StringType())),
     ]
 )

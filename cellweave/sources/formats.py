@@ -58,15 +58,15 @@ def fastq_rows(path: str, options: dict) -> Iterator[tuple]:
             four = []
 
 
-def typed(tag: str, kind: str, value: str):
-    return int(value) if tag == "NH" and kind == "i" else value
-
-
-def alignment_row(path: str, rec: int, fields: list, qual: list[int] | None, tags: dict[str, str], references: dict[str, int]) -> tuple:
-    known = [tags.pop(t, None) for t in TEXT_TAGS]
-    hits = tags.pop("NH", None)
+def alignment_row(path: str, rec: int, fields: list, qual: list[int] | None, found: dict[str, tuple[str, str]], references: dict[str, int]) -> tuple:
+    """found: type and value of each tag. Types are kept of the tags without a column of their own, and where a column's isn't the usual one."""
+    known = [found[t][1] if t in found else None for t in TEXT_TAGS]
+    hits = int(found["NH"][1]) if "NH" in found else None
+    own = {*TEXT_TAGS, "NH"}
+    tags = {t: v for t, (_, v) in found.items() if t not in own}
+    kinds = {t: k for t, (k, _) in found.items() if k != ("Z" if t in TEXT_TAGS else "i" if t == "NH" else None)}
     qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq = fields
-    return (path, rec, qname, flag, rname, references.get(rname, -1) if rname else -1, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, *known, None if hits is None else int(hits), tags)
+    return (path, rec, qname, flag, rname, references.get(rname, -1) if rname else -1, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, *known, hits, tags, kinds)
 
 
 def sam_rows(path: str, options: dict) -> Iterator[tuple]:
@@ -80,7 +80,7 @@ def sam_rows(path: str, options: dict) -> Iterator[tuple]:
             continue
         f = line.split("\t")
         none = lambda x: None if x == "*" else x
-        tags = {t[:2]: t[5:] for t in f[11:]}
+        tags = {t[:2]: (t[3], t[5:]) for t in f[11:]}
         fields = [f[0], int(f[1]), none(f[2]), int(f[3]) - 1, int(f[4]), none(f[5]), none(f[6]), int(f[7]) - 1, int(f[8]), none(f[9])]
         yield alignment_row(path, rec, fields, None if f[10] == "*" else [ord(c) - 33 for c in f[10]], tags, references)
         rec += 1
@@ -94,7 +94,8 @@ BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b00030000000000000000
 BGZF_BLOCK = 0xFF00
 
 
-def bam_tags(data: bytes) -> dict[str, str]:
+def bam_tags(data: bytes) -> dict[str, tuple[str, str]]:
+    """Type and value of each tag, as SAM would have the value."""
     out, at = {}, 0
     while at < len(data):
         tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
@@ -113,7 +114,7 @@ def bam_tags(data: bytes) -> dict[str, str]:
             value, at = ",".join([inner, *map(str, numbers)]), at + 5 + n * struct.calcsize("<" + BAM_NUMBERS[inner])
         else:
             raise ValueError(f"unknown tag type {kind!r}")
-        out[tag] = value
+        out[tag] = kind, value
     return out
 
 
@@ -154,17 +155,45 @@ def bam_rows(path: str, options: dict) -> Iterator[tuple]:
             rec += 1
 
 
-def row_tags(row) -> dict[str, str]:  # noqa: ANN001
-    tags = {t: row[t] for t in TEXT_TAGS if t in row and row[t] is not None}
-    return tags | dict((row["tags"] if "tags" in row else None) or {})
+def row_tags(row) -> list[tuple[str, str, str]]:  # noqa: ANN001
+    """Tag, type and value; text where no type is known."""
+    tags = {t: row[t] for t in (*TEXT_TAGS, "NH") if t in row and row[t] is not None}
+    tags |= dict((row["tags"] if "tags" in row else None) or {})
+    kinds = (row["tag_types"] if "tag_types" in row else None) or {}
+    return [(t, kinds.get(t, "i" if t == "NH" else "Z"), str(v)) for t, v in tags.items()]
+
+
+#: Fixed value: the least and the largest number of each of the binary format's integer types.
+INTEGERS = {"c": (-(1 << 7), 1 << 7), "C": (0, 1 << 8), "s": (-(1 << 15), 1 << 15), "S": (0, 1 << 16), "i": (-(1 << 31), 1 << 31), "I": (0, 1 << 32)}
+
+
+def sam_tag(tag: str, kind: str, value: str) -> str:
+    return f"{tag}:{'i' if kind in INTEGERS else kind}:{value}"
+
+
+def bam_tag(tag: str, kind: str, value: str) -> bytes:
+    head = tag.encode()
+    if kind in INTEGERS:
+        number = int(value)
+        if not INTEGERS[kind][0] <= number < INTEGERS[kind][1]:
+            kind = next(k for k, (low, high) in INTEGERS.items() if low <= number < high)
+        return head + kind.encode() + struct.pack("<" + BAM_NUMBERS[kind], number)
+    if kind == "f":
+        return head + b"f" + struct.pack("<f", float(value))
+    if kind == "B":
+        inner, *numbers = value.split(",")
+        packed = struct.pack(f"<{len(numbers)}{BAM_NUMBERS[inner]}", *map(float if inner == "f" else int, numbers))
+        return head + b"B" + inner.encode() + struct.pack("<I", len(numbers)) + packed
+    if kind == "A":
+        return head + b"A" + value.encode()[:1]
+    return head + kind.encode() + value.encode() + b"\0"
 
 
 def sam_line(row) -> str:  # noqa: ANN001
     star = lambda x: "*" if x is None else str(x)
     qual = "*" if row["qual"] is None else "".join(chr(q + 33) for q in row["qual"])
     fields = [row["qname"], row["flag"], star(row["rname"]), row["pos"] + 1, row["mapq"], star(row["cigar"]), star(row["rnext"]), row["pnext"] + 1, row["tlen"], star(row["seq"]), qual]
-    tags = [f"{t}:Z:{v}" for t, v in row_tags(row).items()] + ([f"NH:i:{row['NH']}"] if row["NH"] is not None else [])
-    return "\t".join([*map(str, fields), *tags])
+    return "\t".join([*map(str, fields), *[sam_tag(*t) for t in row_tags(row)]])
 
 
 def bin_of(start: int, end: int) -> int:
@@ -188,9 +217,7 @@ def bam_record(row, references: dict[str, int]) -> bytes:  # noqa: ANN001
     ref = references.get(row["rname"], -1)
     mate = ref if row["rnext"] == "=" else references.get(row["rnext"], -1)
     name = row["qname"].encode() + b"\0"
-    tags = b"".join(t.encode() + b"Z" + v.encode() + b"\0" for t, v in row_tags(row).items())
-    if row["NH"] is not None:
-        tags += b"NHi" + struct.pack("<i", row["NH"])
+    tags = b"".join(bam_tag(*t) for t in row_tags(row))
     start = max(row["pos"], 0)
     body = struct.pack("<iiBBHHHiiii", ref, row["pos"], len(name), row["mapq"], bin_of(start, start + span), len(cigar), row["flag"], len(seq), mate, row["pnext"], row["tlen"])
     body += name + struct.pack(f"<{len(cigar)}I", *(n << 4 | op for n, op in cigar)) + packed + qual + tags

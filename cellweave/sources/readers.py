@@ -94,7 +94,12 @@ def matrix_market(spark: SparkSession, path: str, rows: str, columns: str) -> Da
 
 
 def count_archive(spark: SparkSession, prefix: str) -> DataFrame:
-    """cell, gene, n of <prefix>.npz, <prefix>_row_index.npy and <prefix>_col_index.npy.
+    """cell, gene, n of an archive."""
+    return archive_entries(spark, prefix).select("cell", "gene", "n")
+
+
+def archive_entries(spark: SparkSession, prefix: str) -> DataFrame:
+    """cell, gene, n, cell_index, gene_index of <prefix>.npz, <prefix>_row_index.npy and <prefix>_col_index.npy.
 
     The archive is one compressed object, so it is decoded in one task; its entries are dealt out from there.
     """
@@ -110,6 +115,22 @@ def count_archive(spark: SparkSession, prefix: str) -> DataFrame:
         at = np.repeat(np.arange(len(m["indptr"]) - 1), np.diff(m["indptr"]))
         for k in range(0, len(at), 100_000):
             part = slice(k, k + 100_000)
-            yield pd.DataFrame({"cell": rows[at[part]].astype(str), "gene": columns[m["indices"][part]].astype(str), "n": m["data"][part].astype("int64")})
+            yield pd.DataFrame({"cell": rows[at[part]].astype(str), "gene": columns[m["indices"][part]].astype(str), "n": m["data"][part].astype("int64"), "cell_index": at[part], "gene_index": m["indices"][part].astype("int64")})
+
+    return files.mapInPandas(decode, "cell string, gene string, n long, cell_index long, gene_index long")
+
+
+def archive_names(spark: SparkSession, prefix: str, what: str) -> DataFrame:
+    """cell and cell_index, or gene and gene_index: what the rows or columns of a count archive are."""
+    path = f"{prefix}_{'row' if what == 'cell' else 'col'}_index.npy"
+
+    def decode(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for content in b["content"]:
+                names = np.load(io.BytesIO(bytes(content)), allow_pickle=False)
+                yield pd.DataFrame({what: names.astype(str), f"{what}_index": np.arange(len(names))})
 
-    return files.mapInPandas(decode, "cell string, gene string, n long")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, f"{what} string, {what}_index long")

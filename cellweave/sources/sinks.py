@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -55,8 +56,8 @@ def shard_header(sample: str) -> list[str]:
 
 
 def binned_alignments(rows: DataFrame, path: str, n: int, header: list[str], by: str = "bin", kind: str = "bam") -> None:
-    """One file per bin: all rows of a bin are in one partition, in the order of rec."""
-    dealt = rows.repartitionByRange(n, by).sortWithinPartitions(by, "rec").drop(by)
+    """One file per bin, part-<bin>: rows of bin k (from 0 to n - 1) are in partition k, in the order of rec. A bin without rows is a file of the header."""
+    dealt = rows.repartitionById(n, F.col(by).cast("int")).sortWithinPartitions(*[c for c in ("file", "rec") if c in rows.columns]).drop(by)
     alignments(dealt, path, header, kind)
 
 
@@ -101,17 +102,34 @@ def count_tables(counts: DataFrame, path: str) -> None:
     counts.join(cells, "cell").join(genes, "gene").select("cell_index", "gene_index", "n").write.mode("overwrite").parquet(f"{path}/counts")
 
 
-def count_archive(counts: DataFrame, prefix: str) -> None:
+def count_archive(counts: DataFrame, prefix: str, cells: DataFrame | None = None, genes: DataFrame | None = None) -> None:
     """<prefix>.npz (compressed sparse rows), <prefix>_row_index.npy, <prefix>_col_index.npy.
 
-    The archive is one file of one process: for matrices that fit it. count_tables is the form for larger ones.
+    cells (cell, cell_index) and genes (gene, gene_index) say what the rows and columns are, also those without counts, so that archives
+    of one annotation can be stacked; without them: the names that occur, sorted. The archive is one file of one process: for
+    matrices that fit it. count_tables is the form for larger ones.
     """
-    rows = counts.orderBy("cell", "gene").toPandas()
-    cells, at = np.unique(rows["cell"].to_numpy(str), return_inverse=True)
-    genes, column = np.unique(rows["gene"].to_numpy(str), return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(cells)))))
-    parts = {"indices": column.astype(np.int32), "indptr": starts.astype(np.int32), "format": np.array(b"csr"), "shape": np.array([len(cells), len(genes)]), "data": rows["n"].to_numpy(np.uint32)}
-    for name, write in ((".npz", lambda f: np.savez_compressed(f, **parts)), ("_row_index.npy", lambda f: np.save(f, cells)), ("_col_index.npy", lambda f: np.save(f, genes))):
+    placed, named = counts.select("cell", "gene", "n"), {}
+    for what, given in (("cell", cells), ("gene", genes)):
+        names = dense_index(counts.select(what).distinct(), [what], f"{what}_index") if given is None else given.select(what, f"{what}_index")
+        named[what] = names
+        its = names.withColumnRenamed(what, "its")
+        unknown = F.raise_error(F.concat(F.lit(f"unknown {what} "), F.col(what))).cast("long")
+        placed = placed.join(its, placed[what] == its["its"], "left").withColumn(f"{what}_index", F.coalesce(f"{what}_index", unknown)).drop("its")
+    write_archive(placed, named["cell"], named["gene"], prefix)
+
+
+def write_archive(entries: DataFrame, cells: DataFrame, genes: DataFrame, prefix: str) -> None:
+    """An archive of cell_index, gene_index, n and the names of rows (cell, cell_index) and columns (gene, gene_index)."""
+    rows, columns, data = array("i"), array("i"), array("I")
+    for r in entries.select("cell_index", "gene_index", "n").orderBy("cell_index", "gene_index").toLocalIterator():
+        rows.append(r["cell_index"])
+        columns.append(r["gene_index"])
+        data.append(r["n"])
+    found = [np.array([r[w] for r in t.orderBy(f"{w}_index").toLocalIterator()], str) for t, w in ((cells, "cell"), (genes, "gene"))]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(np.array(rows, np.int64), minlength=len(found[0])))))
+    parts = {"indices": np.array(columns, np.int32), "indptr": starts.astype(np.int32), "format": np.array(b"csr"), "shape": np.array([len(x) for x in found]), "data": np.array(data, np.uint32)}
+    for name, write in ((".npz", lambda f: np.savez_compressed(f, **parts)), ("_row_index.npy", lambda f: np.save(f, found[0])), ("_col_index.npy", lambda f: np.save(f, found[1]))):
         held = io.BytesIO()
         write(held)
         system, inner = located(prefix + name)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..llm.common import shared_folder
+from ..shared import removed, shared_folder, written_once
 
 
 def distinct_molecules(stream: DataFrame, keys: list[str], time: str = "ts", lateness: str = "1 hour", window: str = "10 minutes") -> DataFrame:
@@ -28,7 +28,10 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
     running = distinct.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     running.awaitTermination()
-    return spark.read.schema(distinct.schema).parquet(f"{folder}/rows").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    found = spark.read.schema(distinct.schema).parquet(f"{folder}/rows").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    found = written_once(found)
+    removed(spark, folder)
+    return found
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -47,6 +47,10 @@ def test_attach_metrics_counts_sort_split(spark, files):
     assert readers.alignments(spark, f("split"), mode="rb").count() == 5
     main(["TagSort", "--bam-input", _one(files / "sorted.bam"), "--gtf-file", f("x.gtf"), "--compute-metric", "--metric-type", "cell", "--metric-output", f("native"), "--output-sorted-info", "--sorted-output", f("sorted.tsv"), "--barcode-tag", "CB", "--umi-tag", "UB", "--gene-tag", "GE"])
     assert (files / "native.csv.gz").exists()
+    common = ["TagSort", "--bam-input", _one(files / "sorted.bam"), "--output-sorted-info", "--sorted-output", f("other.tsv")]
+    main([*common, "--gene-tag=GE", "--umi-tag", "UB", "--barcode-tag=CR"])
+    got = [line.split("\t") for p in sorted((files / "other.tsv").glob("part-*.csv")) for line in p.read_text().splitlines()]
+    assert len(got) == 5 and [(r[2], r[1], r[0]) for r in got] == sorted((r[2], r[1], r[0]) for r in got) and {len(r[0]) for r in got} == {16}
     with pytest.raises(ValueError):
         main(["TagSort", "--bam-input", "x.bam", "--barcode-tag", "CB", "--umi-tag", "UB", "--gene-tag", "GE"])
 

@@ -237,3 +237,64 @@ def test_zip_is_as_long_as_the_shortest(spark):
     assert [r.rec for r in tagging.zipped(a, b, indices=[1]).collect()] == [1]
     with pytest.raises(TypeError):
         tagging.extract(a, tagging.Embedded(0, 1, "CR", "CY"))
+
+
+def test_dense_index_numbers_every_row(spark):
+    """Two million rows with a payload, several coalesced parts, and columns of the names used inside."""
+    for n, advisory in ((2_000_000, "64m"), (400_000, "1m")):
+        before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+        try:
+            rows = spark.range(n).select((F.col("id") * 7919 % n).alias("x"), F.lit("payload").alias("part"), F.col("id").alias("k"), F.lit(1).alias("its"), F.lit(2).alias("start"))
+            done = counts.dense_index(rows, ["x"], "number")
+            assert done.columns == [*rows.columns, "number"]
+            got = done.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("number") != F.col("x")).alias("wrong"), F.count_distinct("number").alias("distinct")).first()
+            assert (got.n, got.wrong, got.distinct) == (n, 0, n)
+        finally:
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert counts.dense_index(spark.range(0), ["id"], "number").count() == 0
+
+
+def test_dense_index_of_ties(spark):
+    rows = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "x string")
+    assert sorted((r.number, r.x or "") for r in counts.dense_index(rows, ["x"], "number").collect()) == [(0, ""), (1, "a"), (2, "b"), (3, "b")]
+
+
+def test_shared_folder_is_asked_for_off_local(spark, monkeypatch):
+    from cellweave import shared
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared.shared_folder(Session)
+    assert shared.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_long_barcodes_are_joined_by_shuffle(spark, monkeypatch):
+    """The bound of the broadcast follows the barcodes' length."""
+    whitelist = spark.createDataFrame([("A" * 24, 0)], "barcode string, line_no long")
+    reads = spark.createDataFrame([("A" * 23 + "C",)], "CR string")
+    monkeypatch.setattr(barcodes, "BROADCAST_ROWS", 100)
+    assert "broadcast" not in str(barcodes.correct(reads, whitelist)._jdf.queryExecution().analyzed()).lower()
+    assert barcodes.correct(reads, whitelist).first().CB == "A" * 24
+    monkeypatch.setattr(barcodes, "BROADCAST_ROWS", 121)
+    assert "broadcast" in str(barcodes.correct(reads, whitelist)._jdf.queryExecution().analyzed()).lower()
+
+
+def test_only_the_corpus_folders_know_the_corpus_operators():
+    """Nothing in the library but the subpackage itself imports it."""
+    import re
+    from pathlib import Path
+
+    import cellweave
+
+    root = Path(cellweave.__file__).parent
+    for p in root.rglob("*.py"):
+        if "llm" not in p.relative_to(root).parts:
+            assert not re.search(r"^\s*(from|import)\b.*\bllm\b", p.read_text(), re.M), p

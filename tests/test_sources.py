@@ -2,6 +2,7 @@ import bz2
 import gzip
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,41 @@ def test_binned_files_hold_whole_bins(spark, files):
     assert readers.alignments(spark, str(files / "bins"), mode="r").count() == 2
 
 
+def test_one_file_per_bin(spark, files):
+    """Seven bins, one with nearly all rows and one with none: a file each, in the order of the ordinals."""
+    many = spark.range(5000).select(F.col("id").alias("rec"), F.when(F.col("id") % 100 == 7, F.col("id") % 6).otherwise(2).cast("int").alias("bin"), F.concat(F.lit("q"), "id").alias("qname"))
+    one = readers.alignments(spark, str(files / "x.sam")).filter("rec = 0").drop("rec", "qname")
+    rows = many.crossJoin(one)
+    for kind, mode in (("sam", "r"), ("bam", "rb")):
+        sinks.binned_alignments(rows, str(files / kind), 7, HEADER, kind=kind)
+        parts = sorted((files / kind).glob("part-*"))
+        assert [int(p.name.split("-")[1]) for p in parts] == list(range(7))
+        for k, p in enumerate(parts):
+            names = [r.qname for r in readers.alignments(spark, str(p), mode).orderBy("rec").collect()]
+            assert names == [f"q{i}" for i in range(5000) if (i % 6 if i % 100 == 7 else 2) == k]
+
+
+def test_types_of_tags_stay(spark, tmp_path):
+    """SAM to BAM to SAM: integers, floats, characters, hex and arrays keep their types and values."""
+    tags = ["AS:i:97", "XA:A:c", "XF:Z:CODING", "XH:H:1AE3", "XI:i:-70000", "XL:i:4000000000", "XN:f:0.5", "XB:B:c,1,-2", "XC:B:f,0.5,2.0", "XZ:Z:text", "NH:i:3", "CB:Z:AC"]
+    line = "a\t0\t19\t101\t60\t4M\t*\t0\t0\tACGT\tIIII\t" + "\t".join(tags)
+    (tmp_path / "x.sam").write_text("\n".join([*HEADER, line]) + "\n")
+    rows = readers.alignments(spark, str(tmp_path / "x.sam"))
+    sinks.alignments(rows, str(tmp_path / "b"), HEADER, "bam")
+    again = readers.alignments(spark, str(tmp_path / "b"), mode="rb")
+    assert again.first().tag_types["XL"] == "I" and again.first().tags == rows.first().tags
+    sinks.alignments(again, str(tmp_path / "s"), HEADER, "sam")
+    written = next(x for p in (tmp_path / "s").glob("part-*") for x in p.read_text().splitlines() if x.startswith("a\t"))
+    assert sorted(written.split("\t")[11:]) == sorted(tags) and written.split("\t")[:11] == line.split("\t")[:11]
+
+
+def test_tags_without_types_are_text(spark, files):
+    rows = readers.alignments(spark, str(files / "x.sam")).drop("tag_types")
+    sinks.alignments(rows, str(files / "plain"), HEADER, "bam")
+    again = readers.alignments(spark, str(files / "plain"), mode="rb").orderBy("rec").collect()
+    assert [r.tags for r in again] == [r.tags for r in rows.orderBy("rec").collect()] and [r.NH for r in again] == [1, None, 2]
+
+
 def test_gtf(spark, files):
     rows = readers.gtf(spark, str(files / "x.gtf"))
     first = rows.orderBy("rec").first()
@@ -120,6 +156,27 @@ def test_matrices(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t/counts")).count() == 2
 
 
+def test_archives_hold_all_genes_and_stack(spark, tmp_path):
+    """Rows in the order of first appearance, a column for every gene; two archives of one annotation go one after the other."""
+    from cellweave.cli import main
+
+    genes_of = spark.createDataFrame([("B", 0), ("unused", 1), ("A", 2)], "gene string, gene_index long")
+    for k, cells in enumerate((["z", "a"], ["q", "a"])):
+        table = spark.createDataFrame([(c, i) for i, c in enumerate(cells)], "cell string, cell_index long")
+        counts = spark.createDataFrame([(cells[0], "A", 2 + k), (cells[1], "B", 5), (cells[1], "A", 7)], "cell string, gene string, n long")
+        sinks.count_archive(counts, str(tmp_path / f"m{k}"), table, genes_of)
+    dense = {"z": [0, 0, 2], "a": [5, 0, 7]}
+    m = np.load(str(tmp_path / "m0.npz"))
+    assert m["shape"].tolist() == [2, 3] and m["indptr"].tolist() == [0, 1, 3] and m["indices"].tolist() == [2, 0, 2] and m["data"].tolist() == [2, 5, 7]
+    assert np.load(str(tmp_path / "m0_row_index.npy")).tolist() == list(dense) and np.load(str(tmp_path / "m0_col_index.npy")).tolist() == ["B", "unused", "A"]
+    main(["MergeCountMatrices", "-i", str(tmp_path / "m0"), str(tmp_path / "m1"), "-o", str(tmp_path / "both")])
+    m = np.load(str(tmp_path / "both.npz"))
+    assert m["shape"].tolist() == [4, 3] and m["indptr"].tolist() == [0, 1, 3, 4, 6] and m["data"].tolist() == [2, 5, 7, 3, 5, 7]
+    assert np.load(str(tmp_path / "both_row_index.npy")).tolist() == ["z", "a", "q", "a"]
+    with pytest.raises(Exception, match="unknown gene"):
+        sinks.count_archive(spark.createDataFrame([("z", "other", 1)], "cell string, gene string, n long"), str(tmp_path / "bad"), None, genes_of)
+
+
 def test_metrics_files(spark, tmp_path):
     table = spark.createDataFrame([("A", 1, 0.5), (None, 2, None)], "CB string, n_reads long, genomic_read_quality_mean double")
     path = sinks.metrics_file(table, str(tmp_path / "m"))
