@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import removed, shared_folder
+
 #: The six white space characters of the contracts, as a character set for translate and trim.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -53,15 +54,6 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*found).toDF(*columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a new local one where it is unset, as in tests."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
-    return named or context.getCheckpointDir()
-
-
 #: For the time of a checkpoint: its shuffle files go when it is over, and workers get rows in small batches.
 SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
@@ -99,8 +91,7 @@ def scratch(df: DataFrame) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        removed(spark, path)
 
 
 def split_words(text: Column) -> Column:
