@@ -1,14 +1,15 @@
 """Secret scans: three fixed patterns, and a randomness test battery for what they miss.
 
 The battery takes runs of 20 or more characters of [A-Za-z0-9+/_=-] that no fixed span touches and
-infers the encoding of each from its letters (hex, base32, base64 and its like). Against the null hypothesis that a
-run is written language - letters as frequent as in the documents themselves, each following the last as they do
-in words - it computes three p-values: that the chi-squared distance from a uniform alphabet is as
-small as it is, that there are as many runs of vowels and consonants, digits and cases, and that the serial
-correlation is as near 0. Fisher's sum joins them. Runs in one case (hex, base32) have few changes of class and small
+infers the encoding of each from its letters (hex, base32, base36 in one case, base64 and its like). Against the null hypothesis
+that a run is written language, whose figures are the constants below, it computes three p-values: that the chi-squared distance from
+a uniform alphabet is as small as it is, that there are as many runs of digits and cases, and that the serial correlation of
+vowels and consonants, which alternate in words, is as large. Fisher's sum joins them. Runs in one case have few changes of class and small
 alphabets, so that these tests find little; there the p-value is the likelihood ratio of written language to a uniform alphabet, which by
-Markov's inequality is at most so small by chance. Within a text the Benjamini-Hochberg rule with
-weights by length bounds the share of false discoveries.
+Markov's inequality is at most so small by chance; in both cases it is the smaller of the two, doubled. Within a text the Benjamini-Hochberg rule with
+weights by length bounds the share of false discoveries; texts are judged one by one, so that a row's spans don't depend on other rows.
+
+Runs of digits alone, and of letters of one case alone, are passed over: the tests have no power there.
 
 Defined cases: null and empty texts give no spans and the digest of the empty string; rows keep their number,
 repeated or not; an empty table gives an empty table; other columns are ignored. Whole texts are scanned.
@@ -22,7 +23,6 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +38,13 @@ KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Alphabets by name, the smallest that holds a run is taken; what a run of language would look like in it.
-HEX_LETTERS, BASE32, BASE64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-FALSE_DISCOVERIES = 1e-4
+HEX_LETTERS, BASE32, BASE36, BASE64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+FALSE_DISCOVERIES = 1e-3
 #: Chance that language goes from letters to digits or back at a character (or, with both cases, to the other case).
 CLASS_CHANGE = 0.08
+#: Chance that two letters of words are the same (measured 0.086; less makes the test stricter), and how the correlation of vowels with the
+#: next letter's is spread over runs of words put together: mean, and standard deviation times the root of the length (documents sf0.1).
+LETTER_MATCH, SERIAL_MEAN, SERIAL_SPREAD = 0.075, -0.2, 0.93
 #: Letters a to z in 1,000 letters of documents (sf0.1).
 PER_MILLE = (77.2, 13.6, 19.5, 35.4, 168.9, 10.1, 13.5, 87.7, 70.3, 1.0, 1.9, 30.2, 5.8, 117.5, 66.1, 4.3, 4.4, 64.9, 42.1, 103.3, 31.8, 4.4, 9.3, 3.7, 8.5, 4.8)
 LOG_LETTER = {chr(97 + i): math.log(x / sum(PER_MILLE)) for i, x in enumerate(PER_MILLE)}
@@ -63,6 +66,8 @@ def encoding(run: str) -> tuple[str, str]:
         return "hex", HEX_LETTERS
     if re.fullmatch(r"[A-Z2-7]+", bare):
         return "base32", BASE32
+    if re.fullmatch(r"[0-9a-z]+|[0-9A-Z]+", bare):
+        return "base36", BASE36
     return "base64", BASE64
 
 
@@ -74,15 +79,30 @@ def symbol_class(c: str) -> int:
     return 2 if c.isdigit() else int(c.isupper())
 
 
+def word_classes(bare: str) -> list[int]:
+    """Lower case, upper case or digit of each letter and digit; a capital before a small letter begins a word and is of its class."""
+    shown = [c for c in bare if c.isalnum()]
+    return [0 if c.isalpha() and d.islower() else symbol_class(c) for c, d in zip(shown, [*shown[1:], ""], strict=True)]
+
+
 def language_over_uniform(bare: str, alphabet: str) -> float:
-    """Likelihood ratio for a run in one case: letters as in the documents, any digit, few changes between the two."""
-    lowered = bare.lower()
-    log = len(bare) * math.log(len(alphabet))
-    log += sum(LOG_LETTER.get(c, -math.log(10)) for c in lowered)
-    log += sum(math.log(CLASS_CHANGE if a.isdigit() != b.isdigit() else 1 - CLASS_CHANGE) for a, b in zip(lowered, lowered[1:], strict=False))
+    """Likelihood ratio: letters as in the documents, any digit or sign, few changes of class."""
+    classes = word_classes(bare)
+    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
+    log = len(bare) * math.log(len(alphabet)) + sum(LOG_LETTER.get(c, -math.log(10)) for c in bare.lower())
+    log += changes * math.log(CLASS_CHANGE) + (len(classes) - 1 - changes) * math.log(1 - CLASS_CHANGE)
     return math.exp(min(log, 0.0))
 
 
+def serial_correlation(marks: list[bool]) -> float:
+    """Correlation of each mark with the next; 0 if they are all the same."""
+    n, mean = len(marks), sum(marks) / max(len(marks), 1)
+    spread = mean * (1 - mean)
+    if n < 3 or spread == 0:
+        return 0.0
+    return sum((a - mean) * (b - mean) for a, b in zip(marks, marks[1:], strict=False)) / (n - 1) / spread
+
+
 def battery(run: str) -> float:
     """Joint p-value of a run under the null hypothesis of written language: small for random runs."""
     name, alphabet = encoding(run)
@@ -94,24 +114,22 @@ def battery(run: str) -> float:
     counts: dict[str, int] = {}
     for c in folded:
         counts[c] = counts.get(c, 0) + 1
-    # chi-squared over a uniform alphabet, per letter; under language a letter's chance of meeting itself is LANGUAGE_MATCH
+    # chi-squared over a uniform alphabet, per letter; under language a letter's chance of meeting itself is LETTER_MATCH
     chi = sum(v * v for v in counts.values()) * k / n - n
-    match = 0.075
-    delta = k * match - 1  # of the non-centrality, per letter
+    delta = k * LETTER_MATCH - 1  # of the non-centrality, per letter
     mean, variance = (k - 1) + n * delta, 2 * (k - 1) + 4 * n * delta * (1 + delta / 2)
     p_uniform = normal_below((chi - mean) / math.sqrt(variance))
-    # runs of one class (lower, upper, digit), signs aside: language changes class at a word's start at most
-    classes = [symbol_class(c) for c in bare if c.isalnum()]
+    # runs of one class, signs aside
+    classes = word_classes(bare)
     changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
     p_runs = _binomial_above(changes, len(classes) - 1, CLASS_CHANGE)
-    # serial correlation of letter codes: language alternates vowels and consonants, which shows as lag-1 correlation
-    codes = np.array([alphabet.index(c) if c in alphabet else 0 for c in folded], float)
-    spread = codes.std()
-    serial = 1.0 if spread == 0 or n < 3 else abs(float(np.mean((codes[1:] - codes.mean()) * (codes[:-1] - codes.mean())) / spread**2))
-    p_serial = min(1.0, max(0.05, serial * math.sqrt(n)))
+    letters = [c in "aeiouAEIOU" for c in bare if c.isalpha()]
+    p_serial = normal_below((SERIAL_MEAN - serial_correlation(letters)) * math.sqrt(max(len(letters), 1)) / SERIAL_SPREAD)
     stat = -2 * sum(math.log(max(p, 1e-300)) for p in (p_uniform, p_runs, p_serial))
     half = stat / 2  # chi-squared with 6 degrees of freedom
-    return math.exp(-half) * (1 + half + half * half / 2)
+    joint = math.exp(-half) * (1 + half + half * half / 2)
+    # the smaller of the two tells, at twice its value for there being two
+    return min(1.0, 2 * min(joint, language_over_uniform(bare, alphabet)))
 
 
 def _binomial_above(x: int, n: int, rate: float) -> float:
@@ -137,8 +155,8 @@ def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
     runs, k, far = [], 0, -1
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        # without digits, or digits alone: names, paths and numbers, where the tests have no power
-        if not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)):
+        # digits alone, or letters of one case alone: numbers and words, where the tests have no power
+        if not any(map(str.isalpha, run)) or not any(map(str.isdigit, run)) and (run.lower() == run or run.upper() == run):
             continue
         while k < len(taken) and taken[k][0] < m.end():
             far = max(far, taken[k][2])
