@@ -95,9 +95,15 @@ class Lexicon:
         n = body.count(" ") - 1 if body.strip() else 0
         if not len(self._automaton):
             return n, []
-        hits = [(end - size + 1, end, weight) for end, (size, weight) in self._automaton.iter(body)]
-        harmless = [(a, b) for a, b, w in hits if w == 0.0]
-        return n, [w for a, b, w in hits if w and not any(x <= a and b <= y for x, y in harmless)]
+        hits = sorted((end - size + 1, -end, weight) for end, (size, weight) in self._automaton.iter(body))
+        # by where they begin, of those the longest first: a match lies in a phrase if one that begins no later reaches its end
+        found, reach = [], -1
+        for _, end, weight in hits:
+            if weight == 0.0:
+                reach = max(reach, -end)
+            elif -end > reach:
+                found.append(weight)
+        return n, found
 
     def features(self, text: str) -> list[float]:
         n, found = self.matches(text)
