@@ -7,8 +7,9 @@ covers all rows, and its 2**22 cells are a fixed size; a crowded table only make
 
 1. Texts with equal sets are one node.
 2. Prefixes are dealt out by shingle. Of each shingle's holders one is the hub, the one where the shingle
-   stands first. Holders that pass the length and positional filters are paired with it.
-3. Each pair is verified once, on the whole sets (made again for the nodes in pairs), after a suffix filter.
+   stands first. Holders that pass the length and positional filters are paired with it. The holders of a shingle that the table
+   says is hot are dealt out in groups by hash, each with a hub of its own; these are paired with the first of them, the shingle's hub.
+3. Each pair is verified once, on the whole sets (made again for the texts of the nodes in pairs), after a suffix filter.
 4. Nodes linked so far are joined to components. Then holders outside the hub's
    component are paired with the other holders in other components, by the same filters, and
    verified. Pairs in one component are not needed: no result depends on them.
@@ -35,13 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, cut, packed, pick, scratch, unpacked
+from .common import BROADCAST_ROWS, cut, packed, pick, scratch, text_key, unpacked
 from .components import components
 from .shingles import shingle_sets
 
 CELL_BITS, BLOCK_BITS = 22, 16
-#: Bits of the filter that tells workers which nodes have partners: 8 a node, within these bounds.
+#: Bits of the filter that tells workers which texts have partners: 8 a text, within these bounds.
 LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 29
+#: The two numbers that a filter makes of a key.
+SHIFTS = (0, 29)
 
 
 @dataclass(frozen=True)
@@ -124,49 +127,69 @@ def node_of(found: np.ndarray, salt: int) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest(), np.int64).tolist())
 
 
-PREFIXES = "doc_id long, n long, node long, twin long, prefix array<long>"
+#: Holders that a group of a hot shingle has, about.
+GROUP = 256
+
+
+def group_counts(cells: np.ndarray) -> np.ndarray:
+    """In how many groups a shingle's holders are dealt, by the step of its cell: 0 (not at all) unless the cell is full and far above the mean."""
+    counts = 2 ** (np.arange(256) / 8) - 1
+    mean = float((np.bincount(cells, minlength=256) * counts).sum() / len(cells))
+    return np.where(counts > max(GROUP, 8 * mean), np.minimum(np.ceil(counts / GROUP), 1 << 30), 0).astype(np.int64)
+
+
+PREFIXES = "doc_id long, key long, n long, node long, twin long, prefix array<long>, groups array<int>"
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], like: Likeness, table, salt: int) -> Iterator[pa.RecordBatch]:
     cells = table.value
     mask = np.uint64(len(cells) - 1)
+    counts = group_counts(cells)
     for batch, texts in _texts(batches, 1):
-        sizes, nodes, twins, prefixes = [], [], [], []
+        sizes, nodes, twins, prefixes, groups = [], [], [], [], []
         for found in shingle_sets(texts, like.words):
             n = len(found)
             node, twin = node_of(found, salt) if n else (None, None)
             keep = n - like.least_common(n) + 1 if n else 0
             step = cells[(found & mask).astype(np.int64)]
             # found is sorted, so a stable sort by step orders by (step, hash)
-            prefixes.append(found[np.argsort(step, kind="stable")[:keep]].view(np.int64))
+            first = np.argsort(step, kind="stable")[:keep]
+            prefixes.append(found[first].view(np.int64))
+            dealt = counts[step[first]]
+            # the number of a node's group, from 1; null if no shingle of the prefix is hot
+            groups.append((np.where(dealt > 0, (node or 0) % np.maximum(dealt, 1) + 1, 0)).tolist() if dealt.any() else None)
             sizes.append(n)
             nodes.append(node)
             twins.append(twin)
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), lists], names=[x.split()[0] for x in PREFIXES.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), lists, pa.array(groups, pa.list_(pa.int32()))], names=[x.split()[0] for x in PREFIXES.split(", ")])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], like: Likeness, wanted, salt: int) -> Iterator[pa.RecordBatch]:
-    bits = wanted.value
+    """The sets of the texts whose key the filter knows."""
+    bits = np.frombuffer(wanted.value, np.uint8)
     mask = len(bits) * 8 - 1
-    for _, texts in _texts(batches, 0):
+    for batch, texts in _texts(batches, 1):
+        keys = batch.column(0).to_numpy()
+        known = np.ones(len(keys), bool)
+        for shift in SHIFTS:
+            at = (keys >> shift) & mask
+            known &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         nodes, sets = [], []
-        for found in shingle_sets(texts, like.words):
+        for found in shingle_sets(texts.filter(pa.array(known)), like.words):
             if len(found):
-                node, _ = node_of(found, salt)
-                if all(bits[(h := (node >> s) & mask) >> 3] >> (h & 7) & 1 for s in (0, 29)):
-                    nodes.append(node)
-                    sets.append(found.tobytes())
+                nodes.append(node_of(found, salt)[0])
+                sets.append(found.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
 
 def _mark(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Filter bits of this task's nodes, by block of 64 KB."""
+    """Filter bits of this task's keys, by block of 64 KB."""
     blocks: dict[int, np.ndarray] = {}
     for batch in batches:
         nodes = batch.column(0).to_numpy(zero_copy_only=False)
-        for shift in (0, 29):
+        for shift in SHIFTS:
             at = (nodes >> shift) & (size - 1)
             for k in np.unique(at >> 19):
                 mine = at[at >> 19 == k] & (1 << 19) - 1
@@ -174,14 +197,14 @@ def _mark(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())], names=["block", "bits"])
 
 
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A filter that holds all nodes and few others: of 64 MB at most."""
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A filter that holds all keys and few others: of 64 MB at most."""
     size = LEAST_FILTER * 8
-    n = nodes.count()
+    n = keys.count()
     while size < min(8 * n, MOST_FILTER):
         size *= 2
     bits = np.zeros(size // 8, np.uint8)
-    parts = nodes.repartition(max(1, min(64, size >> 22)), "node").mapInArrow(partial(_mark, size=size), "block int, bits binary")
+    parts = keys.repartition(max(1, min(64, size >> 22)), "key").mapInArrow(partial(_mark, size=size), "block int, bits binary")
     for row in parts.toLocalIterator():
         bits[row["block"] << 16 : (row["block"] + 1) << 16] |= np.frombuffer(row["bits"], np.uint8)
     return bits
@@ -229,23 +252,24 @@ def linked(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 def _linked(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
     """linked(), and the salt of its names."""
     spark = docs.sparkSession
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
     table = spark.sparkContext.broadcast(rarity(rows, like))
     salt = 0
     while True:
         with contextlib.ExitStack() as later:
             # the prefixes of all rows are of use until one of each set is picked, those until they are dealt out
-            with scratch(rows.mapInArrow(partial(_prefixes, like=like, table=table, salt=salt), PREFIXES)) as found:
+            with scratch(rows.select("doc_id", "text", "key").mapInArrow(partial(_prefixes, like=like, table=table, salt=salt), PREFIXES)) as found:
                 full = found.filter("n > 0")
                 names = full.groupBy("node").agg(F.min("twin").alias("x"), F.max("twin").alias("y"))
                 if not names.filter("x <> y").isEmpty():
                     salt += 1  # two sets of one name: name them anew
                     continue
                 named = cut(found.select("doc_id", F.col("n").alias("n_shingles"), "node"))
-                nodes = later.enter_context(scratch(full.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))))
+                nodes = later.enter_context(scratch(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "key", "prefix", "groups")])))
             holders = _holders(nodes, like)
+            keys = cut(nodes.select(F.col("node").alias("its"), "key"))
             break
-    roots = components(_edges(rows, holders, like, salt))
+    roots = components(_edges(rows, holders, keys, like, salt))
     named = named.join(roots.withColumnRenamed("node", "its"), named["node"] == F.col("its"), "left").withColumn("root", F.coalesce("root", "node")).drop("its")
     named = cut(named)
     # cut: a join of two plain shuffles, which adaptive execution splits where a component is large
@@ -256,44 +280,55 @@ def _linked(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
 
 
 def _holders(nodes: DataFrame, like: Likeness) -> DataFrame:
-    """token, node, n, pos of prefixes, the token's hub; many: it has three holders or more; paired: a candidate with the hub."""
-    holders = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
+    """token, part, node, n, pos of prefixes, the hub of the token's part; many: it has three holders or more; paired: a candidate with the hub."""
+    holders = nodes.select("node", F.col("n").cast("int").alias("n"), "groups", F.posexplode("prefix").alias("pos", "token"))
+    holders = holders.withColumn("part", F.coalesce(F.get("groups", "pos"), F.lit(0)))
+    by_token = Window.partitionBy("token", "part")
     ranked = by_token.orderBy("pos", F.xxhash64("node"), "node")
     me = F.struct("node", "n", "pos")
     near = {i: F.lag("node", -i).over(ranked).isNotNull() for i in (-2, -1, 1, 2)}
-    holders = holders.select("token", "node", "n", "pos", F.first(me).over(ranked).alias("hub"), (near[2] | near[-2] | near[1] & near[-1]).alias("many"))
+    several = near[2] | near[-2] | near[1] & near[-1] | (F.col("part") > 0)
+    holders = holders.select("token", "part", "node", "n", "pos", F.first(me).over(ranked).alias("hub"), several.alias("many"))
     close = near_enough(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), like.percent)
     # of two holders, the pair with the hub is the only one: rows of three and more are needed again
     holders = holders.withColumn("paired", (F.col("node") != F.col("hub.node")) & close).filter("many or paired")
-    return cut(holders.select("token", "node", "n", "pos", F.col("hub.node").alias("hub"), "many", "paired"))
-
-
-def _edges(rows: DataFrame, holders: DataFrame, like: Likeness, salt: int) -> DataFrame:
-    pairs = holders.filter("paired").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    first = _verified(cut(pairs), rows, like, salt)
+    return cut(holders.select("token", "part", "node", "n", "pos", F.col("hub.node").alias("hub"), "many", "paired"))
+
+
+def _edges(rows: DataFrame, holders: DataFrame, keys: DataFrame, like: Likeness, salt: int) -> DataFrame:
+    # the hubs of a hot token's parts, and the first of them
+    hubs = cut(holders.filter("part > 0 and node = hub").select("token", "node", "n", "pos"))
+    tops = hubs.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("node").alias("h"), "node", "n")).alias("top"))
+    tops = cut(tops.select(F.col("token").alias("its_token"), "top"))
+    close = near_enough(F.col("n"), F.col("pos"), F.col("top.n"), F.col("top.pos"), like.percent)
+    between = hubs.join(tops, hubs["token"] == tops["its_token"]).filter((F.col("node") != F.col("top.node")) & close).select("node", F.col("top.node").alias("hub"))
+    pairs = holders.filter("paired").select("node", "hub").unionByName(between)
+    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    first = _verified(cut(pairs), rows, keys, like, salt)
     roots = cut(components(first))
 
     def component(df: DataFrame, node: str, name: str) -> DataFrame:
         its = roots.select(F.col("node").alias("its"), F.col("root").alias(name))
         return df.join(its, df[node] == its["its"], "left").withColumn(name, F.coalesce(name, node)).drop("its")
 
-    known = cut(component(component(holders.filter("many").drop("many", "paired"), "node", "root"), "hub", "hub_root"))
+    many = holders.filter("many").select("token", "node", "n", "pos", "hub")
+    many = many.join(tops, many["token"] == tops["its_token"], "left").withColumn("hub", F.coalesce("top.node", "hub")).drop("its_token", "top")
+    known = cut(component(component(many, "node", "root"), "hub", "hub_root"))
     apart = known.filter("root <> hub_root").select("token", "node", "n", "pos", "root", "hub", "hub_root")
-    tokens = apart.select("token").distinct()
+    tokens = cut(apart.select("token").distinct())  # cut: joins of plain shuffles, which adaptive execution splits
     others = known.join(tokens, "token", "left_semi").select(F.col("token").alias("its"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other_root"))
     new = (F.col("root") != F.col("other_root")) & (F.col("other") != F.col("hub")) & ((F.col("other_root") == F.col("hub_root")) | (F.col("node") < F.col("other")))
     more = apart.join(others, (apart["token"] == others["its"]) & new & near_enough(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), like.percent))
     pairs = more.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return first.unionByName(_verified(cut(pairs), rows, like, salt))
+    return first.unionByName(_verified(cut(pairs), rows, keys, like, salt))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, like: Likeness, salt: int) -> DataFrame:
-    """The pairs a, b that link. Sets are made again from the texts, for the nodes in pairs only."""
+def _verified(pairs: DataFrame, rows: DataFrame, keys: DataFrame, like: Likeness, salt: int) -> DataFrame:
+    """The pairs a, b that link. Sets are made again, of one text of each node in pairs (keys: its, the node; key of the text)."""
     context = rows.sparkSession.sparkContext
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = context.broadcast(node_filter(nodes).tobytes())
-    sets = rows.select("text").mapInArrow(partial(_sets, like=like, wanted=wanted, salt=salt), "node long, tokens binary")
+    wanted = context.broadcast(key_filter(cut(nodes.join(keys, nodes["node"] == keys["its"]).select("key"))).tobytes())
+    sets = rows.select("key", "text").mapInArrow(partial(_sets, like=like, wanted=wanted, salt=salt), "node long, tokens binary")
     with scratch(sets.groupBy("node").agg(F.first("tokens").alias("tokens"))) as sets:
         left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("left"))
         right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("right"))

@@ -52,6 +52,19 @@ def test_crowded_count_table(spark, frame, monkeypatch):
     assert got == brute.components(rows, 3, 70)
 
 
+@pytest.mark.parametrize("step", [80, 96])
+def test_hot_shingles_in_groups(spark, frame, monkeypatch, step):
+    """Holders of shingles that the table says are hot are dealt out in groups with hubs of their own; the links are the same."""
+    cells = np.zeros(1 << 7, np.uint8)
+    cells[::12] = step
+    assert near.group_counts(cells)[step] > 1 and near.group_counts(cells)[8] == 0 and not near.group_counts(np.full(64, 250, np.uint8)).any()
+    monkeypatch.setattr(near, "rarity", lambda rows, like: cells)
+    for k, percent in ((3, 70), (1, 60)):
+        rows = corpus(11 + k, 200)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.linked(frame(rows).repartition(3), near.Likeness(k, percent)).collect()}
+        assert got == brute.components(rows, k, percent)
+
+
 def test_shingles_of_any_bytes():
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab AB\t\n\x0b\x0cé日\xa0\x1f") for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["x" * 9000, "a " * 5000, ""]
