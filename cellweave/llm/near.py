@@ -264,13 +264,13 @@ def _linked(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
                 if not names.filter("x <> y").isEmpty():
                     salt += 1  # two sets of one name: name them anew
                     continue
-                named = cut(found.select("doc_id", F.col("n").alias("n_shingles"), "node"))
-                nodes = later.enter_context(scratch(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "key", "prefix", "groups")])))
+                named = cut(found.select("doc_id", F.col("n").alias("n_shingles"), "node", "key"))
+                nodes = later.enter_context(scratch(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "groups")])))
             holders = _holders(nodes, like)
-            keys = cut(nodes.select(F.col("node").alias("its"), "key"))
             break
+    keys = named.select(F.col("node").alias("its"), "key")
     roots = components(_edges(rows, holders, keys, like, salt))
-    named = named.join(roots.withColumnRenamed("node", "its"), named["node"] == F.col("its"), "left").withColumn("root", F.coalesce("root", "node")).drop("its")
+    named = named.drop("key").join(roots.withColumnRenamed("node", "its"), named["node"] == F.col("its"), "left").withColumn("root", F.coalesce("root", "node")).drop("its")
     named = cut(named)
     # cut: a join of two plain shuffles, which adaptive execution splits where a component is large
     least = cut(named.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least")))
@@ -297,12 +297,15 @@ def _holders(nodes: DataFrame, like: Likeness) -> DataFrame:
 
 def _edges(rows: DataFrame, holders: DataFrame, keys: DataFrame, like: Likeness, salt: int) -> DataFrame:
     # the hubs of a hot token's parts, and the first of them
-    hubs = cut(holders.filter("part > 0 and node = hub").select("token", "node", "n", "pos"))
+    hubs = holders.filter("part > 0 and node = hub").select("token", "node", "n", "pos")
     tops = hubs.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("node").alias("h"), "node", "n")).alias("top"))
     tops = cut(tops.select(F.col("token").alias("its_token"), "top"))
     close = near_enough(F.col("n"), F.col("pos"), F.col("top.n"), F.col("top.pos"), like.percent)
     between = hubs.join(tops, hubs["token"] == tops["its_token"]).filter((F.col("node") != F.col("top.node")) & close).select("node", F.col("top.node").alias("hub"))
-    pairs = holders.filter("paired").select("node", "hub").unionByName(between)
+    pairs = holders.filter("paired").select("node", "hub")
+    hot = not tops.isEmpty()
+    if hot:
+        pairs = pairs.unionByName(between)
     pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = _verified(cut(pairs), rows, keys, like, salt)
     roots = cut(components(first))
@@ -312,11 +315,12 @@ def _edges(rows: DataFrame, holders: DataFrame, keys: DataFrame, like: Likeness,
         return df.join(its, df[node] == its["its"], "left").withColumn(name, F.coalesce(name, node)).drop("its")
 
     many = holders.filter("many").select("token", "node", "n", "pos", "hub")
-    many = many.join(tops, many["token"] == tops["its_token"], "left").withColumn("hub", F.coalesce("top.node", "hub")).drop("its_token", "top")
+    if hot:
+        many = many.join(tops, many["token"] == tops["its_token"], "left").withColumn("hub", F.coalesce("top.node", "hub")).drop("its_token", "top")
     known = cut(component(component(many, "node", "root"), "hub", "hub_root"))
     apart = known.filter("root <> hub_root").select("token", "node", "n", "pos", "root", "hub", "hub_root")
-    tokens = cut(apart.select("token").distinct())  # cut: joins of plain shuffles, which adaptive execution splits
-    others = known.join(tokens, "token", "left_semi").select(F.col("token").alias("its"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other_root"))
+    # a join of two plain shuffles, which adaptive execution splits where a token has many holders
+    others = known.select(F.col("token").alias("its"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other_root"))
     new = (F.col("root") != F.col("other_root")) & (F.col("other") != F.col("hub")) & ((F.col("other_root") == F.col("hub_root")) | (F.col("node") < F.col("other")))
     more = apart.join(others, (apart["token"] == others["its"]) & new & near_enough(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), like.percent))
     pairs = more.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -327,7 +331,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, keys: DataFrame, like: Likeness
     """The pairs a, b that link. Sets are made again, of one text of each node in pairs (keys: its, the node; key of the text)."""
     context = rows.sparkSession.sparkContext
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = context.broadcast(key_filter(cut(nodes.join(keys, nodes["node"] == keys["its"]).select("key"))).tobytes())
+    wanted = context.broadcast(key_filter(cut(nodes.join(keys, nodes["node"] == keys["its"]).select("key").distinct())).tobytes())
     sets = rows.select("key", "text").mapInArrow(partial(_sets, like=like, wanted=wanted, salt=salt), "node long, tokens binary")
     with scratch(sets.groupBy("node").agg(F.first("tokens").alias("tokens"))) as sets:
         left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("left"))
