@@ -58,13 +58,19 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows that a part of a checkpoint has at least, about, where their number is known: fewer parts, fewer tasks and files.
+PART_ROWS = 50_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write the rows to the shared checkpoint folder and forget how they were made.
 
-    The shuffle files behind them go at once: nothing reads them again.
+    The shuffle files behind them go at once: nothing reads them again. rows: how many there are at most, if that is known.
     """
     spark = df.sparkSession
     shared_folder(spark)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // PART_ROWS)))
     with _settings(spark):
         return df.select("*").checkpoint(eager=True)  # select: a plan made under the settings
 

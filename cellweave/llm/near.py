@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import BROADCAST_ROWS, cut, packed, pick, scratch, text_key, unpacked
-from .components import components
+from .components import components, joined_components
 from .shingles import shingle_sets
 
 CELL_BITS, BLOCK_BITS = 22, 16
@@ -269,7 +269,7 @@ def _linked(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
             holders = _holders(nodes, like)
             break
     keys = named.select(F.col("node").alias("its"), "key")
-    roots = components(_edges(rows, holders, keys, like, salt))
+    roots = _roots(rows, holders, keys, like, salt)
     named = named.drop("key").join(roots.withColumnRenamed("node", "its"), named["node"] == F.col("its"), "left").withColumn("root", F.coalesce("root", "node")).drop("its")
     named = cut(named)
     # cut: a join of two plain shuffles, which adaptive execution splits where a component is large
@@ -295,7 +295,8 @@ def _holders(nodes: DataFrame, like: Likeness) -> DataFrame:
     return cut(holders.select("token", "part", "node", "n", "pos", F.col("hub.node").alias("hub"), "many", "paired"))
 
 
-def _edges(rows: DataFrame, holders: DataFrame, keys: DataFrame, like: Likeness, salt: int) -> DataFrame:
+def _roots(rows: DataFrame, holders: DataFrame, keys: DataFrame, like: Likeness, salt: int) -> DataFrame:
+    """node, root of the nodes that have links."""
     # the hubs of a hot token's parts, and the first of them
     hubs = holders.filter("part > 0 and node = hub").select("token", "node", "n", "pos")
     tops = hubs.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("node").alias("h"), "node", "n")).alias("top"))
@@ -324,7 +325,8 @@ def _edges(rows: DataFrame, holders: DataFrame, keys: DataFrame, like: Likeness,
     new = (F.col("root") != F.col("other_root")) & (F.col("other") != F.col("hub")) & ((F.col("other_root") == F.col("hub_root")) | (F.col("node") < F.col("other")))
     more = apart.join(others, (apart["token"] == others["its"]) & new & near_enough(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), like.percent))
     pairs = more.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return first.unionByName(_verified(cut(pairs), rows, keys, like, salt))
+    pairs = cut(pairs)
+    return roots if pairs.isEmpty() else joined_components(roots, _verified(pairs, rows, keys, like, salt))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, keys: DataFrame, like: Likeness, salt: int) -> DataFrame:

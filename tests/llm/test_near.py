@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import brute
 from cellweave.llm import near
-from cellweave.llm.components import components
+from cellweave.llm.components import components, joined_components
 from cellweave.llm.oracles import ORACLES
 from cellweave.llm.queries import queries
 from cellweave.llm.shingles import shingle_sets
@@ -96,6 +96,14 @@ def test_components(spark, edges):
     assert got == root
 
 
+def test_edges_added_to_components(spark):
+    rng = random.Random(5)
+    for first, second in (([], [(1, 2)]), ([(1, 2)], []), ([(rng.randrange(40), rng.randrange(40)) for _ in range(15)], [(rng.randrange(60), rng.randrange(60)) for _ in range(20)])):
+        frames = [spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long") for edges in (first, second)]
+        whole = {r.node: r.root for r in components(frames[0].unionByName(frames[1])).collect()}
+        assert {r.node: r.root for r in joined_components(components(frames[0]), frames[1]).collect()} == whole
+
+
 def test_ids_of_any_kind(spark, frame):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(None, text), (7, text), (7, text), (3, text + " more"), (8, None), (None, None), (9, "other words altogether here")]
