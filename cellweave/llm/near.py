@@ -268,7 +268,7 @@ def _linked(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
                 nodes = later.enter_context(scratch(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "groups")])))
             holders = _holders(nodes, like)
             break
-    keys = named.select(F.col("node").alias("its"), "key")
+    keys = named.filter("node is not null").select(F.col("node").alias("its"), "key").distinct()  # copies are one
     roots = _roots(rows, holders, keys, like, salt)
     named = named.drop("key").join(roots.withColumnRenamed("node", "its"), named["node"] == F.col("its"), "left").withColumn("root", F.coalesce("root", "node")).drop("its")
     named = cut(named)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, join_groups, packed, pick, split_words, unpacked
+from .common import BLANKS, BROADCAST_ROWS, cut, join_groups, packed, pick, split_words, unpacked
 
 SYMBOLS = "#*$%&|<>"
 
@@ -113,15 +113,26 @@ def rules_report(docs: DataFrame, rules: Rules = Rules(), host: str = "source")
 def rules_filter(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
     """The documents that pass, with all their columns.
 
-    The counts are made twice, once for the hosts and once beside the rows: cheaper than writing
-    the texts or dealing them out by key.
+    A text is counted once: whether it fails depends on nothing else, so the texts that fail are looked up by a 128-bit hash.
+    A few are broadcast, many joined by plain shuffles, which adaptive execution splits where a text has many copies.
     """
     rows = pick(docs, "text", host).withColumnRenamed(host, "host")
-    flags = measured(rows, ["host"]).select("host", fails(rules).alias("base_failed"))
-    verdicts = cut(host_verdicts(flags, rules).select("host", "host_failed"))
-    whole = packed(docs, "text", host).withColumnRenamed(host, "host")
-    # the id keeps the optimizer from copying the counts' expressions, many times over, into a filter further down
-    failed = fails(rules) | (F.monotonically_increasing_id() < 0)
-    marked = measured(whole, ["row", "host"]).select("row", "host", failed.alias("base_failed"))
-    good = join_groups(marked, verdicts, "host").filter(~F.col("base_failed") & ~F.col("host_failed"))
+    flags = measured(_hashed(rows), ["host", *HASHES]).select("host", *HASHES, fails(rules).alias("base_failed"))
+    flags = cut(flags)
+    verdicts = cut(host_verdicts(flags.select("host", "base_failed"), rules).select("host", "host_failed"))
+    failed = cut(flags.filter("base_failed").select(F.col("key").alias("its_key"), F.col("other").alias("its_other")).distinct())
+    if failed.count() <= BROADCAST_ROWS:
+        failed = F.broadcast(failed)
+    whole = _hashed(packed(docs, "text", host).withColumnRenamed(host, "host"))
+    good = whole.join(failed, (whole["key"] == failed["its_key"]) & (whole["other"] == failed["its_other"]), "left_anti")
+    good = join_groups(good.select("row", "host"), verdicts, "host").filter(~F.col("host_failed"))
     return unpacked(good, docs.columns)
+
+
+HASHES = ("key", "other")
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """df with 128 bits of hash of column text, null as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return df.withColumns({"key": F.xxhash64(text), "other": F.xxhash64(F.lit(1), text)})

@@ -129,3 +129,17 @@ def test_mixing_edges(spark, frame):
     assert len(one) == 5
     wide = frame([(1, "a", "s")]).select("*", *[F.lit(1).alias(c) for c in ("key", "block", "row", "weight", "SOURCE")])
     assert mixing.mixed_documents(wide).columns == wide.columns
+
+
+def test_rules_filter_by_shuffle_and_with_copies(spark, frame, monkeypatch):
+    """Texts that fail are looked up by hash: broadcast or joined, the same rows go; a null text fails like an empty one."""
+    good, bad = " ".join(f"w{i}" for i in range(80)), "too short"
+    rows = [(i, good if i % 3 else bad, f"h{i % 4}") for i in range(120)] + [(200, None, "h1"), (201, "", "h1"), (None, good, None)]
+    rows += [(300 + i, bad if i else good, "failing") for i in range(40)]
+    wanted = sorted((r.doc_id or -1) for r in quality.rules_report(frame(rows)).filter("kept").collect())
+    assert wanted == sorted([i for i in range(120) if i % 3] + [-1])
+    for most in (200_000, 0):
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", most)
+        wide = frame(rows).select("*", F.lit(1).alias("key"), F.lit(2).alias("other"), F.lit(3).alias("row"), F.lit(4).alias("TEXT"))
+        kept = quality.rules_filter(wide)
+        assert kept.columns == wide.columns and sorted((r.doc_id or -1) for r in kept.select("doc_id").collect()) == wanted

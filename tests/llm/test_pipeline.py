@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -62,7 +63,11 @@ def test_stages_against_brute_force(spark):
 def test_run_and_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     docs.filter("doc_id < 60").withColumn("extra", F.lit(None).cast("int")).write.parquet(f"{tmp_path}/some/documents.parquet")
+    batch, folder = spark.conf.get(corpus_pipeline.BATCH), Path(spark.conf.get("spark.checkpoint.dir"))
+    there = set(folder.glob("pipeline-*/*"))
     assert corpus_pipeline.run(spark, f"{tmp_path}/some").count() > 0
+    # only the last stage's table is left, and the session is as it was
+    assert [p.name for p in set(folder.glob("pipeline-*/*")) - there] == ["4-encode_bpe"] and spark.conf.get(corpus_pipeline.BATCH) == batch
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert corpus_pipeline.ORACLE_SQL is None and list(corpus_pipeline.queries()) == ["pipeline"]
