@@ -18,7 +18,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm import bpe, linededup, mixing, near, quality
-from cellweave.llm.common import shared_folder, table
+from cellweave.llm.common import table
+from cellweave.shared import removed, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -35,9 +36,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.lines_filter(docs, COPIES_STAY)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python workers in batches of 1,000 rows: some 4 MB of them, not 40."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set(BATCH, "1000")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,13 +72,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again.
+
+    A stage's table goes when the next one is written; the last one stays, as the result is read from it.
+    The session's batch size is as before in the end.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    batch, before = spark.conf.get(BATCH), None
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            out = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(out)
+            docs = spark.read.parquet(out)
+            if before:
+                removed(spark, before)
+            before = out
+    finally:
+        spark.conf.set(BATCH, batch)
     return docs
 
 
