@@ -79,7 +79,7 @@ def _count_cells(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
         for found in shingle_sets(texts, words):
             waiting.append((found & np.uint64(len(cells) - 1)).astype(np.int32))
             held += len(found)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 add()
                 held = 0
     add()
@@ -246,11 +246,16 @@ def near_enough(n: Column, pos: Column, m: Column, at: Column, percent: int) ->
 
 def linked(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """doc_id, n_shingles, node (name of the set), root (name of the component), component_id for every row."""
-    return _linked(docs, like)[0]
+    named = _rooted(docs, like)[0]
+    # cut: a join of two plain shuffles, which adaptive execution splits where a component is large
+    least = cut(named.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least")))
+    full = named.join(least, named["root"] == least["of"], "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return full.select("doc_id", "n_shingles", "node", "root", component.alias("component_id"))
 
 
-def _linked(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
-    """linked(), and the salt of its names."""
+def _rooted(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
+    """doc_id, n_shingles, node, root for every row, written; and the salt of the names."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
     table = spark.sparkContext.broadcast(rarity(rows, like))
@@ -271,12 +276,7 @@ def _linked(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
     keys = named.filter("node is not null").select(F.col("node").alias("its"), "key").distinct()  # copies are one
     roots = _roots(rows, holders, keys, like, salt)
     named = named.drop("key").join(roots.withColumnRenamed("node", "its"), named["node"] == F.col("its"), "left").withColumn("root", F.coalesce("root", "node")).drop("its")
-    named = cut(named)
-    # cut: a join of two plain shuffles, which adaptive execution splits where a component is large
-    least = cut(named.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least")))
-    full = named.join(least, named["root"] == least["of"], "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return full.select("doc_id", "n_shingles", "node", "root", component.alias("component_id")), salt
+    return cut(named), salt
 
 
 def _holders(nodes: DataFrame, like: Likeness) -> DataFrame:
@@ -348,7 +348,7 @@ def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     Of rows of one doc_id the one with the smallest name of its set stays; rows equal in both are numbered, among
     themselves only, and one of them stays.
     """
-    found, salt = _linked(docs, like)
+    found, salt = _rooted(docs, like)
     found = found.filter("node is not null")
     twins = cut(found.groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")))
     best = cut(twins.groupBy(F.col("root").alias("of")).agg(F.min("rank").alias("best")))

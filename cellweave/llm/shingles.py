@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at a time: bounds the memory of the arrays beside them.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
