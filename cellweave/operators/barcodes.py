@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +102,42 @@ def hamming_summary(rows: DataFrame, barcode: str = "barcode") -> DataFrame:
 def partition_overlap(rows: DataFrame, barcode: str = "CB", part: str = "file") -> DataFrame:
     """Barcodes that are in several parts, and in how many: none, if the parts were split by barcode."""
     return rows.filter(F.col(barcode).isNotNull()).groupBy(barcode).agg(F.count_distinct(part).alias("parts")).filter("parts > 1")
+
+
+class Barcodes:
+    """Barcodes of one length and how often each is there, looked up like a mapping; each look is a job over the rows."""
+
+    def __init__(self, rows: DataFrame, length: int):
+        """rows: barcode, n."""
+        if not isinstance(length, int) or isinstance(length, bool) or length < 1:
+            raise ValueError("a barcode's length is a whole number of 1 or more")
+        self.rows, self.length = rows.select("barcode", F.col("n").cast("long").alias("n")), length
+
+    @classmethod
+    def from_rows(cls, rows: DataFrame, length: int, barcode: str = "barcode") -> Barcodes:
+        """Of rows of barcodes, repeated or not; null is none."""
+        return cls(multiset(rows.filter(F.col(barcode).isNotNull()), barcode), length)
+
+    def __contains__(self, barcode: str) -> bool:
+        return not self.rows.filter(F.col("barcode") == barcode).isEmpty()
+
+    def __getitem__(self, barcode: str) -> int:
+        found = self.rows.filter(F.col("barcode") == barcode).agg(F.sum("n").alias("n")).first()["n"]
+        if found is None:
+            raise KeyError(barcode)
+        return found
+
+    def __len__(self) -> int:
+        return self.rows.select("barcode").distinct().count()
+
+    def __iter__(self) -> Iterator[str]:
+        return (r["barcode"] for r in self.rows.select("barcode").distinct().toLocalIterator())
+
+    def base_frequency(self) -> DataFrame:
+        return base_frequency(self.rows)
+
+    def effective_diversity(self) -> DataFrame:
+        return effective_diversity(self.rows)
+
+    def hamming_summary(self) -> DataFrame:
+        return hamming_summary(self.rows)

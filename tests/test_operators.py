@@ -298,3 +298,16 @@ def test_only_the_corpus_folders_know_the_corpus_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"^\s*(from|import)\b.*\bllm\b", p.read_text(), re.M), p
+
+
+def test_barcodes_are_a_mapping(spark):
+    rows = spark.createDataFrame([("ACGT",), ("ACGA",), ("ACGT",), (None,)], "barcode string")
+    found = barcodes.Barcodes.from_rows(rows, 4)
+    assert len(found) == 2 and sorted(found) == ["ACGA", "ACGT"] and found["ACGT"] == 2 and "ACGA" in found and "TTTT" not in found
+    with pytest.raises(KeyError):
+        found["TTTT"]
+    for bad in (0, -1, "4", True):
+        with pytest.raises(ValueError):
+            barcodes.Barcodes.from_rows(rows, bad)
+    assert found.base_frequency().filter("pos = 3").first().asDict() == {"pos": 3, "A": 1, "C": 0, "T": 1, "G": 0}
+    assert found.hamming_summary().first().average == 1.0 and found.effective_diversity().filter("pos = 0").first().diversity == 0.0
