@@ -207,3 +207,16 @@ def test_names_of_windows():
         assert len(found) == len(both) - k + 1 and len(set(found[:41].tolist())) == 41
         same = 80 - k + 1
         assert found[10 : 10 + same].tolist() == found[90 : 90 + same].tolist()
+
+
+def test_windows_take_in_repeated_lines(spark):
+    """Every line of 50 words and more that repeats an earlier one lies in a span of repeated windows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = [r for r in units.repeated_units(docs, "line", 50).collect()]
+    spans = passages.repeated_passages(docs).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert lines
+    for x in lines:
+        body = texts[x.doc_id][x.start : x.end]
+        a, b = x.start + len(body) - len(body.lstrip()), x.start + len(body.rstrip())
+        assert any(s.doc_id == x.doc_id and s.start <= a and b <= s.end for s in spans), x
