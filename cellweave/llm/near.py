@@ -9,7 +9,9 @@ covers all rows, and its 2**22 cells are a fixed size; a crowded table only make
 2. Prefixes are dealt out by shingle. Of each shingle's holders one is the hub, the one where the shingle
    stands first. Holders that pass the length and positional filters are paired with it. The holders of a shingle that the table
    says is hot are dealt out in groups by hash, each with a hub of its own; these are paired with the first of them, the shingle's hub.
-3. Each pair is verified once, on the whole sets (made again for the texts of the nodes in pairs), after a suffix filter.
+3. Pairs whose sketches rule out a link go: a sketch has the number of a set's shingles in each range of the hash, some 4 to 8, and the
+   lesser numbers bound what two sets share (a suffix filter without the sets). The others are verified once, on the whole sets
+   (made again for the texts of the nodes in pairs), after a suffix filter of finer ranges.
 4. Nodes linked so far are joined to components. Then holders outside the hub's
    component are paired with the other holders in other components, by the same filters, and
    verified. Pairs in one component are not needed: no result depends on them.
@@ -138,7 +140,30 @@ def group_counts(cells: np.ndarray) -> np.ndarray:
     return np.where(counts > max(GROUP, 8 * mean), np.minimum(np.ceil(counts / GROUP), 1 << 30), 0).astype(np.int64)
 
 
-PREFIXES = "doc_id long, key long, n long, node long, twin long, prefix array<long>, groups array<int>"
+PREFIXES = "doc_id long, key long, n long, node long, twin long, prefix array<long>, groups array<int>, sketch binary"
+
+
+def sketch_of(found: np.ndarray) -> bytes:
+    """How many shingles of a set lie in each of 2**k even ranges of the hash, one byte each; 255 stands for that and more."""
+    bits = max(0, (len(found) - 1).bit_length() - 3)
+    ranges = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
+    return np.minimum(np.bincount(ranges, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def within_reach(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether sets with these sketches can link."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if max(x.max(), y.max()) == 255:
+        return True
+    n = min(len(x), len(y))
+    x, y = (v.reshape(n, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum()) * (100 + percent) >= percent * int(x.sum() + y.sum())
+
+
+def _reachable(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketches = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        yield batch.select([0, 1]).filter(pa.array([within_reach(x, y, percent) for x, y in sketches], pa.bool_()))
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], like: Likeness, table, salt: int) -> Iterator[pa.RecordBatch]:
@@ -146,7 +171,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], like: Likeness, table, salt: in
     mask = np.uint64(len(cells) - 1)
     counts = group_counts(cells)
     for batch, texts in _texts(batches, 1):
-        sizes, nodes, twins, prefixes, groups = [], [], [], [], []
+        sizes, nodes, twins, prefixes, groups, sketches = [], [], [], [], [], []
         for found in shingle_sets(texts, like.words):
             n = len(found)
             node, twin = node_of(found, salt) if n else (None, None)
@@ -161,9 +186,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], like: Likeness, table, salt: in
             sizes.append(n)
             nodes.append(node)
             twins.append(twin)
+            sketches.append(sketch_of(found) if n else None)
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), lists, pa.array(groups, pa.list_(pa.int32()))], names=[x.split()[0] for x in PREFIXES.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), lists, pa.array(groups, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=[x.split()[0] for x in PREFIXES.split(", ")])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], like: Likeness, wanted, salt: int) -> Iterator[pa.RecordBatch]:
@@ -270,11 +296,12 @@ def _rooted(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
                     salt += 1  # two sets of one name: name them anew
                     continue
                 named = cut(found.select("doc_id", F.col("n").alias("n_shingles"), "node", "key"))
-                nodes = later.enter_context(scratch(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "groups")])))
+                nodes = later.enter_context(scratch(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "groups", "sketch")])))
             holders = _holders(nodes, like)
+            sketches = cut(nodes.select("node", "sketch"))
             break
     keys = named.filter("node is not null").select(F.col("node").alias("its"), "key").distinct()  # copies are one
-    roots = _roots(rows, holders, keys, like, salt)
+    roots = _roots(rows, holders, sketches, keys, like, salt)
     named = named.drop("key").join(roots.withColumnRenamed("node", "its"), named["node"] == F.col("its"), "left").withColumn("root", F.coalesce("root", "node")).drop("its")
     return cut(named), salt
 
@@ -295,7 +322,15 @@ def _holders(nodes: DataFrame, like: Likeness) -> DataFrame:
     return cut(holders.select("token", "part", "node", "n", "pos", F.col("hub.node").alias("hub"), "many", "paired"))
 
 
-def _roots(rows: DataFrame, holders: DataFrame, keys: DataFrame, like: Likeness, salt: int) -> DataFrame:
+def _within_reach(pairs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs a, b whose sketches allow a link, written."""
+    left = sketches.select(F.col("node").alias("x"), F.col("sketch").alias("left"))
+    right = sketches.select(F.col("node").alias("y"), F.col("sketch").alias("right"))
+    both = pairs.join(left, pairs["a"] == left["x"]).join(right, pairs["b"] == right["y"]).select("a", "b", "left", "right")
+    return cut(both.mapInArrow(partial(_reachable, percent=like.percent), "a long, b long"))
+
+
+def _roots(rows: DataFrame, holders: DataFrame, sketches: DataFrame, keys: DataFrame, like: Likeness, salt: int) -> DataFrame:
     """node, root of the nodes that have links."""
     # the hubs of a hot token's parts, and the first of them
     hubs = holders.filter("part > 0 and node = hub").select("token", "node", "n", "pos")
@@ -308,7 +343,7 @@ def _roots(rows: DataFrame, holders: DataFrame, keys: DataFrame, like: Likeness,
     if hot:
         pairs = pairs.unionByName(between)
     pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    first = _verified(cut(pairs), rows, keys, like, salt)
+    first = _verified(_within_reach(pairs, sketches, like), rows, keys, like, salt)
     roots = cut(components(first))
 
     def component(df: DataFrame, node: str, name: str) -> DataFrame:
@@ -325,7 +360,7 @@ def _roots(rows: DataFrame, holders: DataFrame, keys: DataFrame, like: Likeness,
     new = (F.col("root") != F.col("other_root")) & (F.col("other") != F.col("hub")) & ((F.col("other_root") == F.col("hub_root")) | (F.col("node") < F.col("other")))
     more = apart.join(others, (apart["token"] == others["its"]) & new & near_enough(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), like.percent))
     pairs = more.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    pairs = cut(pairs)
+    pairs = _within_reach(pairs, sketches, like)
     return roots if pairs.isEmpty() else joined_components(roots, _verified(pairs, rows, keys, like, salt))
 
 

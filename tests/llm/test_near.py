@@ -65,6 +65,31 @@ def test_hot_shingles_in_groups(spark, frame, monkeypatch, step):
         assert got == brute.components(rows, k, percent)
 
 
+def test_sketches_lose_no_link():
+    """Whatever links is within reach, also where sets differ in size and a range is full; unrelated sets of some size are not."""
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for percent in (50, 80, 85, 100):
+        for n in (1, 2, 7, 8, 9, 64, 65, 500, 4000):
+            for change in (0, 1, n // 20, n // 8, n // 2, n):
+                x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+                y = np.unique(np.concatenate((x[change:], rng.integers(0, 1 << 64, rng.integers(0, change + 1), np.uint64))))
+                if not len(y):
+                    continue
+                both = len(np.intersect1d(x, y))
+                near_enough = 100 * both >= percent * (len(x) + len(y) - both)
+                found = near.within_reach(near.sketch_of(x), near.sketch_of(y), percent)
+                assert found or not near_enough
+                ruled_out += not found
+    assert ruled_out > 50
+    crowd = np.arange(2, 2 * 5000, 2, np.uint64)
+    assert max(near.sketch_of(crowd)) == 255
+    assert near.within_reach(near.sketch_of(crowd), near.sketch_of(crowd[:4600]), 85)
+    texts = [rng.integers(0, 1 << 64, 400, np.uint64) for _ in range(40)]
+    sketches = [near.sketch_of(np.unique(t)) for t in texts]
+    assert sum(near.within_reach(a, b, 85) for i, a in enumerate(sketches) for b in sketches[:i]) < 40
+
+
 def test_shingles_of_any_bytes():
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab AB\t\n\x0b\x0cé日\xa0\x1f") for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["x" * 9000, "a " * 5000, ""]
