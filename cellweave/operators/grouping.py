@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .counts import dense_index
+
 #: With more parts than these a split warns, or fails.
 MANY_PARTS, TOO_MANY_PARTS = 500, 1000
 TAG_ORDERS = ("BUG", "BGU", "UBG", "UGB", "GUB", "GBU")
@@ -87,6 +89,14 @@ def tag_sort(rows: DataFrame, tags: Sequence[str]) -> DataFrame:
     return rows.orderBy(*sort_keys(tags), "rec")
 
 
+def tag_places(rows: DataFrame, tags: Sequence[str], name: str = "place") -> DataFrame:
+    """rows (of distinct rec) with their places, from 0, in the order of tag_sort: by a range sort, no task sees all rows."""
+    keys = sort_keys(tags)
+    keyed = rows.select(*[k.alias(f"_key{i}") for i, k in enumerate(keys)], F.struct(*rows.columns).alias("_row"), F.col("rec").alias("_rec"))
+    placed = dense_index(keyed, [*[f"_key{i}" for i in range(len(keys))], "_rec"], "_place")
+    return placed.select("_row.*", F.col("_place").alias(name))
+
+
 def tag_order(code: str, cell: str = "CB", molecule: str = "UB", gene: str = "GE") -> list[str]:
     """Tags of a three-letter order: B(arcode), U(mi), G(ene)."""
     if code not in TAG_ORDERS:
@@ -140,8 +150,6 @@ def split_bins(rows: DataFrame, tags: Sequence[str], n: int, required: bool = Tr
     Rows without any of the tags fail, or with required=False are dropped.
     """
     from ..functions.sequence import first_tag
-    from .counts import dense_index
-
     key = first_tag(*[F.col(t) for t in tags], required=required)
     kept = rows.withColumn("bin_key", key).filter(F.col("bin_key").isNotNull())
     ranked = dense_index(kept.select("bin_key").distinct(), ["bin_key"], "rank")

@@ -135,7 +135,7 @@ ORACLES: dict[str, str] = {
     "verify_sort": f"""{READS_SQL}, l AS (SELECT file, coalesce(CB, '') AS b, coalesce(UB, '') AS u, lag(coalesce(CB, '')) OVER w AS pb, lag(coalesce(UB, '')) OVER w AS pu, qname, lag(qname) OVER w AS pq FROM reads WINDOW w AS (PARTITION BY file ORDER BY rec))
       SELECT file, count(*) AS n FROM l WHERE b < pb OR b = pb AND (u < pu OR u = pu AND qname < pq) GROUP BY file""",
     "tag_sort": f"{READS_SQL} SELECT rec, qname, CB, UB, GE FROM reads",
-    "tag_order_permutations": f"{READS_SQL} " + " UNION ALL ".join(f"(SELECT '{o}' AS tags, rec FROM reads ORDER BY {', '.join(_KEYS[c] for c in o)}, qname, rec LIMIT 200)" for o in _ORDERS),
+    "tag_order_permutations": f"{READS_SQL} " + " UNION ALL ".join(f"(SELECT '{o}' AS tags, rec, row_number() OVER (ORDER BY {', '.join(_KEYS[c] for c in o)}, qname, rec) - 1 AS place FROM reads)" for o in _ORDERS),
     "subset_chromosome": f"{READS_SQL} (SELECT rec, rname, qname FROM reads WHERE rname = 'A' ORDER BY rec LIMIT 20) UNION ALL (SELECT rec, rname, qname FROM reads WHERE rname <> 'A' ORDER BY rec LIMIT 5)",
     "split_bins": f"{READS_SQL}, k AS (SELECT coalesce(CB, CR) AS b FROM reads), r AS (SELECT b, (row_number() OVER (ORDER BY b) - 1) % 7 AS bin FROM (SELECT DISTINCT b FROM k)) SELECT bin, count(*) AS n, count(DISTINCT b) AS n_barcodes FROM k JOIN r USING (b) GROUP BY bin",
     "shard_hash": f"{READS_SQL} SELECT coalesce(CB, CR) AS barcode, count(*) AS n, CAST(1 AS BIGINT) AS shards, true AS known FROM reads GROUP BY ALL",

@@ -349,10 +349,10 @@ def tag_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tag_order_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 alignments by each order of the tags."""
+    """The place of every alignment in each order of the tags."""
     rows = alignments(spark, sf_dir).select("rec", "qname", "CB", "UB", "GE")
-    firsts = [grouping.tag_sort(rows, grouping.tag_order(o)).limit(200).select(F.lit(o).alias("tags"), "rec") for o in grouping.TAG_ORDERS]
-    return reduce(DataFrame.unionByName, firsts)
+    placed = [grouping.tag_places(rows, grouping.tag_order(o)).select(F.lit(o).alias("tags"), "rec", "place") for o in grouping.TAG_ORDERS]
+    return reduce(DataFrame.unionByName, placed)
 
 
 @query

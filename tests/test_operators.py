@@ -196,6 +196,20 @@ def test_sorting(spark):
         grouping.sort_keys([])
 
 
+@pytest.mark.parametrize("order", grouping.TAG_ORDERS)
+def test_places_in_tag_order(spark, order):
+    rng = Random(order)
+    some = [(k, f"q{rng.randrange(9)}", *[rng.choice([None, "", "a", "b"]) for _ in range(3)], "x") for k in range(300)]
+    df = spark.createDataFrame(some, "rec long, qname string, CB string, UB string, GE string, _place string").repartition(5)
+    tags = grouping.tag_order(order)
+    placed = grouping.tag_places(df, tags)
+    assert placed.columns == [*df.columns, "place"]
+    wanted = sorted(some, key=lambda r: (*[r[df.columns.index(t)] or "" for t in tags], r[1], r[0]))
+    assert [tuple(r) for r in placed.orderBy("place").collect()] == [(*r, k) for k, r in enumerate(wanted)]
+    assert [r.rec for r in grouping.tag_sort(df, tags).collect()] == [r[0] for r in wanted]
+    assert grouping.tag_places(df.limit(0), tags).isEmpty()
+
+
 def test_splitting(spark):
     df = spark.createDataFrame([(i, f"c{i % 5}" if i % 7 else None) for i in range(100)], "rec long, CB string")
     bins = grouping.split_bins(df, ["CB"], 3, required=False)
