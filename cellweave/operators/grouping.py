@@ -150,6 +150,7 @@ def split_bins(rows: DataFrame, tags: Sequence[str], n: int, required: bool = Tr
     Rows without any of the tags fail, or with required=False are dropped.
     """
     from ..functions.sequence import first_tag
+
     key = first_tag(*[F.col(t) for t in tags], required=required)
     kept = rows.withColumn("bin_key", key).filter(F.col("bin_key").isNotNull())
     ranked = dense_index(kept.select("bin_key").distinct(), ["bin_key"], "rank")
