@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import brute
 from cellweave.llm import near
+from cellweave.llm.common import cut
 from cellweave.llm.components import components, joined_components
 from cellweave.llm.oracles import ORACLES
 from cellweave.llm.queries import queries
@@ -121,6 +122,26 @@ def test_components(spark, edges):
     assert got == root
 
 
+def test_components_of_long_paths_keep_estimates_small(spark):
+    """Rounds of joins over checkpoints: Spark's estimate of a size must not double its digits with each of them."""
+    rng = random.Random(3)
+    names = rng.sample(range(10**6), 600)
+    edges = [(names[i], names[i + 1]) for i in range(599) if i % 200 != 199]
+    found = components(spark.createDataFrame(edges, "a long, b long"))
+    assert found._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() < 5000
+    got = {r.node: r.root for r in found.collect()}
+    assert got == {n: min(names[i // 200 * 200 : i // 200 * 200 + 200]) for i, n in enumerate(names)}
+
+
+def test_cut_in_a_loop_of_joins_keeps_estimates_small(spark):
+    rows = cut(spark.createDataFrame([(1, 2), (2, 3), (None, 4)], "x long, y long"))
+    for _ in range(14):
+        rows = cut(rows.join(rows.select(F.col("x").alias("k")), F.col("x") == F.col("k"), "left").drop("k"))
+    assert sorted(rows.collect(), key=str) == sorted([(1, 2), (2, 3), (None, 4)], key=str)
+    assert rows.schema.simpleString() == "struct<x:bigint,y:bigint>"
+    assert rows._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() <= 512
+
+
 def test_edges_added_to_components(spark):
     rng = random.Random(5)
     for first, second in (([], [(1, 2)]), ([(1, 2)], []), ([(rng.randrange(40), rng.randrange(40)) for _ in range(15)], [(rng.randrange(60), rng.randrange(60)) for _ in range(20)])):
