@@ -148,6 +148,63 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least, d
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+RESAMPLE = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries
+), words AS (
+  SELECT 0 AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), counts AS (
+  SELECT side, id, w, count(*) AS n FROM words GROUP BY ALL
+), byte_lists AS (
+  SELECT w, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT) AS b FROM (SELECT DISTINCT w FROM counts)
+), hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM byte_lists, crc
+), sums AS (
+  SELECT bucket, CAST(sum(n) FILTER (side = 0) AS DOUBLE) AS s, CAST(sum(n) FILTER (side = 1) AS DOUBLE) AS t FROM counts JOIN hashed USING (w) GROUP BY bucket
+), totals AS (
+  SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM sums
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (all_s + 10000) / ((coalesce(s, 0) + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM sums, totals
+), weighed AS (
+  SELECT id AS doc_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS total FROM counts JOIN hashed USING (w) JOIN gains USING (bucket) WHERE side = 0 GROUP BY id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+         CAST(('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS DOUBLE) AS h
+  FROM documents d LEFT JOIN weighed USING (doc_id)
+), noisy AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM noisy
+)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM placed
+"""
+
+
+def _cluster_sql(clusters: int = 8, rounds: int = 10) -> str:
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        "x AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(v) AS x FROM kept)",
+        f"""firsts AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v FROM kept QUALIFY j < {clusters})""",
+        "c0 AS MATERIALIZED (SELECT j, unnest(range(64)) AS i, unnest(v) AS y FROM firsts)",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"d{k} AS (SELECT r, j, sum((x - y) * (x - y)) AS d FROM x JOIN c{k} USING (i) GROUP BY r, j)")
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, j, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, j) = 1)")
+        if k < rounds:
+            moved = f"SELECT j, i, (s - ((s % n) + n) % n) // n AS y FROM (SELECT j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{k} JOIN x USING (r) GROUP BY j, i)"
+            steps.append(f"c{k + 1} AS MATERIALIZED ({moved} UNION ALL SELECT j, i, y FROM c{k} WHERE j NOT IN (SELECT j FROM a{k}))")
+    steps.append(f"named AS (SELECT j, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY j)")
+    steps.append(f"inertias AS (SELECT j, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY j)")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, cluster_inertia, CAST((SELECT sum(cluster_inertia) FROM inertias) AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN named USING (j) JOIN inertias USING (j)"""
+
+
 ORACLES = {
     "op1_exact_content_sort": EXACT,
     "op4_repeated_units": PASSAGES,
@@ -155,4 +212,6 @@ ORACLES = {
     "op8_temperature_mix": MIX,
     "op9_jaccard_join": JACCARD,
     "op10_quality_rules": RULES,
+    "op11_importance_resample": RESAMPLE,
+    "op13_block_clusters": _cluster_sql(),
 }

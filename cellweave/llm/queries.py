@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, linededup, mixing, near, pagediff, passages, quality, secrets, toxicity
+from . import bpe, clusters, exact, importance, linededup, mixing, near, pagediff, passages, quality, secrets, simhash, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -60,8 +60,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
+def op13_block_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_exact_content_sort, op2_secret_scan, op3_page_text, op4_repeated_units, op5_site_lines, op6_toxicity, op7_word_bpe, op8_temperature_mix, op9_jaccard_join, op10_quality_rules]
+    found = [op1_exact_content_sort, op2_secret_scan, op3_page_text, op4_repeated_units, op5_site_lines, op6_toxicity, op7_word_bpe, op8_temperature_mix, op9_jaccard_join, op10_quality_rules, op11_importance_resample, op12_simhash_covering, op13_block_clusters]
     return {f.__name__: f for f in found}
 
 
