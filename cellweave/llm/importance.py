@@ -9,9 +9,9 @@ Distinct-feature dictionary:
 
 1. Features are counted in tasks, then globally: one row a distinct feature. Each of these is hashed once, and buckets are sums over them.
 2. Gains (a row a bucket) are joined to the distinct features.
-3. The documents' feature counts, made again rather than kept, are joined with them. Features that make up 1 / FREQUENT of all or more are
-   FREQUENT at most, and of SHORT bytes at most each: these are broadcast, 13 MB at most. Their rows are summed by document where they are;
-   the rows of all others are joined by shuffle, of which no feature has over 1 / FREQUENT. A dictionary of FREQUENT features in all is all broadcast.
+3. The documents' feature counts, made again rather than kept, are joined with them. The most frequent features, FREQUENT at most and of SHORT
+   bytes at most each (51 MB), are broadcast, and their rows are summed by document where they are; the rows of all others are joined by shuffle.
+   How many are as frequent as that is read from numbers of features by the logarithm of their count, so no feature has to be ranked.
 4. Documents are numbered in the order of score by a range sort: no task sees all.
 
 Defined cases: null, empty and blank texts have no features and weight 0. A null doc_id is hashed like an empty one and ranks last among ties.
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.counts import dense_index
@@ -35,7 +35,9 @@ from .common import cut, pick, scratch, text_key
 from .tokens import plain_words, raw_texts, runs
 
 #: Distinct features that are broadcast at most, and the bytes that each has at most.
-FREQUENT, SHORT = 50_000, 256
+FREQUENT, SHORT = 200_000, 256
+#: Steps of a count for each doubling.
+STEPS = 8
 #: Distinct features that a task counts before it hands them on.
 HELD = 500_000
 #: Rows of feature counts that go to Spark at a time.
@@ -140,16 +142,30 @@ def gains(source: DataFrame, target: DataFrame, draw: Draw = Draw()) -> DataFram
     return both.select("bucket", F.floor(F.ln(ratio) * 1000.0).alias("gain"))
 
 
+def _step(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double")) * STEPS)
+
+
+def _least_step(known: DataFrame, frequent: int) -> int:
+    """The least step of a count that at most so many short features have or exceed."""
+    steps = known.filter(F.octet_length("its") <= SHORT).groupBy(_step(F.col("n")).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    least, held = 64 * STEPS, 0
+    for row in sorted(steps.collect(), reverse=True):  # some hundred rows at most
+        held += row["n"]
+        if held > frequent:
+            break
+        least = row["step"]
+    return least
+
+
 def weights(docs: DataFrame, target: DataFrame, draw: Draw = Draw(), frequent: int = FREQUENT) -> DataFrame:
     """doc_id, key (of the text), n_words, n_features, weight for every row. target: a frame with column text."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = rows.select("doc_id", text_key(F.col("text")).alias("key"), "text").mapInArrow(partial(_by_document, n=draw.n), BY_DOCUMENT)
     with scratch(dictionary(rows, draw)) as source:
         gain = gains(source, dictionary(pick(target, "text"), draw), draw)
-        distinct, total = source.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         known = source.join(F.broadcast(gain), "bucket").select(F.col("feature").alias("its"), "n", "gain")
-        often = (F.col("n") >= F.greatest(F.lit(1), F.ceil(F.lit(total) / frequent))) if distinct > frequent else F.lit(True)
-        often = often & (F.octet_length("its") <= SHORT)
+        often = (F.octet_length("its") <= SHORT) & (_step(F.col("n")) >= _least_step(known, frequent))
         hot = F.broadcast(known.filter(often).select("its", "gain"))
         keys = ["doc_id", "key"]
 

@@ -76,9 +76,10 @@ def prose(seed, n):
     return [(i, " ".join(rng.choice(common) if rng.random() < 0.7 else rng.choice(rare) for _ in range(rng.randrange(60)))) for i in range(n)]
 
 
-@pytest.mark.parametrize(("n", "frequent", "piece"), [(1, 50_000, 1 << 20), (1, 8, 1 << 20), (2, 30, 1 << 20), (3, 1, 64)])
+@pytest.mark.parametrize(("n", "frequent", "piece"), [(1, 50_000, 1 << 20), (1, 8, 1 << 20), (2, 30, 64), (3, 0, 64)])
 def test_resampling_against_brute_force(spark, frame, monkeypatch, n, frequent, piece):
     monkeypatch.setattr(importance, "ROWS", 50)
+    monkeypatch.setattr(importance, "plain_words", lambda raw: plain_words(raw, piece))
     draw = importance.Draw(n=n, buckets=97, percent=30, least_words=10, seed="7")
     rows = [*prose(n, 120), (500, None), (501, ""), (502, " -- \n"), (503, "Single"), (504, "w1 " * 3000)]
     target = [t for _, t in prose(99, 10)] + [None]
