@@ -48,12 +48,20 @@ def _outputs(p: argparse.ArgumentParser) -> None:
     p.add_argument("-o", "--output", required=True)
 
 
+def _written(rows, output: str, header: list[str]) -> None:  # noqa: ANN001
+    """The one file that x.bam names, or a folder of SAM or BAM parts."""
+    if output.endswith(".bam"):
+        sinks.single_bam(rows, output, header)
+    else:
+        sinks.alignments(rows, output, header, "sam" if output.endswith(".sam") else "bam")
+
+
 def _attach(spark: SparkSession, a: argparse.Namespace, layout: dict) -> None:
     r1 = readers.fastq(spark, a.r1)
     i1 = readers.fastq(spark, a.i1) if a.i1 else None
     wl = readers.whitelist(spark, a.whitelist) if a.whitelist else None
     done = tagging.attach_barcodes(readers.alignments(spark, a.u2), r1, layout, i1, wl)
-    sinks.alignments(done, a.output, _header([a.u2]), "sam" if a.output.endswith(".sam") else "bam")
+    _written(done, a.output, _header([a.u2]))
 
 
 def _attach_10x_arguments(p: argparse.ArgumentParser) -> None:
@@ -97,7 +105,7 @@ def _split_arguments(p: argparse.ArgumentParser) -> None:
 @command("SplitBam", _split_arguments)
 def split(spark: SparkSession, a: argparse.Namespace) -> None:
     n = grouping.parts_of(raw.total_size(a.bamfile) / 1e6, a.subfile_size)
-    bins = grouping.split_bins(readers.alignments(spark, a.bamfile), a.tags, n, required=not a.drop_missing)
+    bins = grouping.split_bins(readers.alignments(spark, a.bamfile, dense=False), a.tags, n, required=not a.drop_missing)
     sinks.binned_alignments(bins, a.output_prefix, n, _header(a.bamfile))
 
 
@@ -110,12 +118,12 @@ def _metric_arguments(p: argparse.ArgumentParser) -> None:
 @command("CalculateCellMetrics", _metric_arguments)
 def calculate_cell(spark: SparkSession, a: argparse.Namespace) -> None:
     mito = genes.mitochondrial_genes(readers.gtf(spark, a.gtf_annotation_file)) if a.gtf_annotation_file else None
-    sinks.metrics_file(metrics.cell_metrics(readers.alignments(spark, a.input_bam), mito), a.output_filestem)
+    sinks.metrics_file(metrics.cell_metrics(readers.alignments(spark, a.input_bam, dense=False), mito), a.output_filestem)
 
 
 @command("CalculateGeneMetrics", _metric_arguments)
 def calculate_gene(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.metrics_file(metrics.gene_metrics(readers.alignments(spark, a.input_bam)), a.output_filestem)
+    sinks.metrics_file(metrics.gene_metrics(readers.alignments(spark, a.input_bam, dense=False)), a.output_filestem)
 
 
 def _merge_arguments(p: argparse.ArgumentParser) -> None:
@@ -145,7 +153,7 @@ def _count_arguments(p: argparse.ArgumentParser) -> None:
 
 @command("CreateCountMatrix", _count_arguments)
 def create_counts(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = readers.alignments(spark, a.bam_file)
+    rows = readers.alignments(spark, a.bam_file, dense=False)
     rows = _with_tags(rows, CB=a.cell_barcode_tag, UB=a.molecule_barcode_tag, GE=a.gene_id_tag)
     index = genes.gene_index(readers.gtf(spark, a.gtf_annotation_file))
     found = counts.count_matrix(rows, index, strict=True)
@@ -185,12 +193,12 @@ def _flat(tags: list[list[str]]) -> list[str]:
 
 @command("TagSortBam", _sort_arguments)
 def tag_sort(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.alignments(grouping.tag_sort(readers.alignments(spark, a.input_bam), _flat(a.tags)), a.output_bam, _header([a.input_bam]))
+    _written(grouping.tag_sort(readers.alignments(spark, a.input_bam, dense=False), _flat(a.tags)), a.output_bam, _header([a.input_bam]))
 
 
 @command("VerifyBamSort", _sort_arguments)
 def verify(spark: SparkSession, a: argparse.Namespace) -> None:
-    grouping.verify_sort(readers.alignments(spark, a.input_bam), _flat(a.tags))
+    grouping.verify_sort(readers.alignments(spark, a.input_bam, dense=False), _flat(a.tags))
     print(f"{a.input_bam} is sorted by {_flat(a.tags)}")
 
 
@@ -228,28 +236,31 @@ def _fastq_arguments(p: argparse.ArgumentParser) -> None:
 
 
 def _tagged_reads(spark: SparkSession, a: argparse.Namespace):  # noqa: ANN202
-    """Reads of R2 with barcodes of R1, file by file, corrected; pairs of files are numbered."""
+    """Reads of R2 with barcodes of R1, file by file, corrected; pairs of files are numbered. And the bad records of all files.
+
+    A record that is bad in one file is left out of the others, too.
+    """
     if a.I1 and len(a.I1) != len(a.R1) or a.R2 and len(a.R2) != len(a.R1):
         raise ValueError("as many R2 (and I1) files as R1 files are needed")
     if a.read_structure:
         read_structure(a.read_structure)
     elif not a.barcode_length or not a.umi_length or min(a.barcode_length, a.umi_length) < 1:
         raise ValueError("barcode and UMI length, or a read structure")
-    out = None
+    out = failed = None
     for k, (r1, r2) in enumerate(zip(a.R1, a.R2, strict=True)):
-        first = readers.fastq(spark, r1)
+        files = {"R1": r1, "R2": r2} | ({"I1": a.I1[k]} if a.I1 else {})
+        reads, bad = tagging.in_step({name: readers.fastq(spark, f, keep_bad=True) for name, f in files.items()})
+        reads = {name: r.withColumn("file", F.lit(str(k))) for name, r in reads.items()}
         if a.read_structure:
-            tags = tagging.extract_structure(first, a.read_structure)
+            tags = tagging.extract_structure(reads["R1"], a.read_structure)
         else:
             b, u = a.barcode_length, a.umi_length
-            tags = tagging.extract(first, [tagging.Embedded(0, b, "CR", "CY"), tagging.Embedded(b, b + u, "UR", "UY")])
-        tags = tags.withColumn("file", F.lit(str(k)))
+            tags = tagging.extract(reads["R1"], [tagging.Embedded(0, b, "CR", "CY"), tagging.Embedded(b, b + u, "UR", "UY")])
         if a.I1:
-            index = readers.fastq(spark, a.I1[k]).select(F.lit(str(k)).alias("file"), "rec", F.col("sequence").alias("SR"), F.col("quality").alias("SY"))
-            tags = tags.join(index, ["file", "rec"])
-        reads = tagging.unmapped_records(readers.fastq(spark, r2).withColumn("file", F.lit(str(k))), tags)
-        out = reads if out is None else out.unionByName(reads)
-    return barcodes.correct(out, readers.whitelist(spark, a.white_list))
+            tags = tags.join(reads["I1"].select("file", "rec", F.col("sequence").alias("SR"), F.col("quality").alias("SY")), ["file", "rec"])
+        made = tagging.unmapped_records(reads["R2"], tags)
+        out, failed = (made, bad) if out is None else (out.unionByName(made), failed.unionByName(bad))
+    return barcodes.correct(out, readers.whitelist(spark, a.white_list)), failed
 
 
 def _as_alignments(reads):  # noqa: ANN001, ANN202
@@ -264,12 +275,14 @@ def _as_alignments(reads):  # noqa: ANN001, ANN202
 
 def _shards(spark: SparkSession, a: argparse.Namespace) -> None:
     n = grouping.parts_of(raw.total_size([*a.R1, *(a.R2 or []), *a.I1]) / 2**20, a.bam_size * 1024)
-    reads = grouping.shard(_tagged_reads(spark, a), n)
+    tagged, bad = _tagged_reads(spark, a)
+    reads = grouping.shard(tagged, n)
     if a.output_format == "FASTQ":
         sinks.fastq_shards(reads, a.output)
     else:
         sinks.binned_alignments(_as_alignments(reads), a.output, n, sinks.shard_header(a.sample_id), by="shard")
     barcodes.correction_tally(reads, "file").show(truncate=False)
+    tagging.bad_counts(bad).show(truncate=False)
 
 
 for _name in ("fastqprocess", "fastq_slideseq"):
@@ -278,12 +291,12 @@ for _name in ("fastqprocess", "fastq_slideseq"):
 
 @command("samplefastq", _fastq_arguments)
 def sample_fastq(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.downsampled_fastq(_tagged_reads(spark, a), a.output)
+    sinks.downsampled_fastq(_tagged_reads(spark, a)[0], a.output)
 
 
 @command("fastq_metrics", _fastq_arguments)
 def fastq_metrics(spark: SparkSession, a: argparse.Namespace) -> None:
-    tags = tagging.extract_structure(readers.fastq(spark, a.R1), a.read_structure)
+    tags = tagging.extract_structure(readers.fastq(spark, a.R1, dense=False), a.read_structure)
     for tag, mark in (("UR", "XM"), ("CR", "XC")):
         sinks.barcode_tables(barcodes.counts_descending(tags, tag).select("n", "barcode"), f"{a.output}/{a.sample_id}.numReads_perCell_{mark}.txt")
         sinks.barcode_tables(barcodes.position_weights(tags, tag).orderBy("position"), f"{a.output}/{a.sample_id}.barcode_distribution_{mark}.txt")
@@ -332,7 +345,7 @@ def tag_sort_metrics(spark: SparkSession, a: argparse.Namespace) -> None:
         raise ValueError("1000 alignments a thread at least, and 1 to 30 threads")
     if a.compute_metric and (not a.metric_type or not a.metric_output or a.metric_type == "cell" and not a.gtf_file):
         raise ValueError("metrics need a type and an output, those of cells an annotation")
-    rows = _with_tags(readers.alignments(spark, a.bam_input), **{c: getattr(a, f"{n}_tag") for n, c in TAG_COLUMNS.items()})
+    rows = _with_tags(readers.alignments(spark, a.bam_input, dense=False), **{c: getattr(a, f"{n}_tag") for n, c in TAG_COLUMNS.items()})
     if a.output_sorted_info:
         features = metrics.read_features(rows)
         sinks.sorted_text(features.orderBy(*[F.coalesce(F.col(TAG_COLUMNS[n]), F.lit("")) for n in a.order]), a.sorted_output)

@@ -80,8 +80,23 @@ def unmapped_records(reads: DataFrame, tags: DataFrame, group: str = "A") -> Dat
     return named.join(tags, ["file", "rec"])
 
 
+def in_step(reads: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Reads of files in step (read with keep_bad) without the ordinals at which any of them is bad; and the bad ones: read, file, rec, name, fault.
+
+    Bad records are few, so those of the other files are looked up without a shuffle of the good ones.
+    """
+    bad = reduce(DataFrame.unionByName, [r.filter("bad is not null").select(F.lit(k).alias("read"), "file", "rec", "name", F.col("bad").alias("fault")) for k, r in reads.items()])
+    gone = bad.select("rec").distinct()
+    return {k: r.join(gone, "rec", "left_anti").drop("bad") for k, r in reads.items()}, bad
+
+
+def bad_counts(bad: DataFrame) -> DataFrame:
+    """read, file, fault, n."""
+    return bad.groupBy("read", "file", "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
 def zipped(*frames: DataFrame, on: Sequence[str] = ("rec",), indices: Sequence[int] | None = None) -> DataFrame:
-    """Rows side by side by ordinal, as far as the shortest goes; a later frame's column replaces an earlier one's.
+    """Rows side by side by (dense) ordinal, as far as the shortest goes; a later frame's column replaces an earlier one's.
 
     indices: only these ordinals.
     """
@@ -94,7 +109,7 @@ def zipped(*frames: DataFrame, on: Sequence[str] = ("rec",), indices: Sequence[i
 
 
 def attach(alignments: DataFrame, *tags: DataFrame) -> DataFrame:
-    """Alignments with the tags of the reads of the same ordinal."""
+    """Alignments with the tags of the reads of the same ordinal. Ordinals are dense, over all files of each."""
     return zipped(alignments, *[t.drop("file") for t in tags])
 
 

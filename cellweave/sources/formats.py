@@ -1,13 +1,16 @@
-"""Spark data sources "lines", "fastq", "sam" and "bam": a partition per file, ordinals within the file.
+"""Spark data sources "lines", "fastq", "sam" and "bam".
 
-Files are read as streams, so a task holds a record at a time; gzip, bzip2 and plain files are told apart by their
-first bytes. Register with register(spark).
+Large plain files and files of BGZF blocks are read by many tasks, a split each (see splits); others by one. Files are read as streams,
+and rows go to Spark as Arrow batches; gzip, bzip2 and plain files are told apart by their first bytes. Column rec is the
+ordinal over all files in their order: dense if the splits were counted (readers does that), else it keeps the order only. The option
+columns names the ones to read: nothing else is decoded. Register with register(spark).
 """
 
 from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,143 +19,40 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..schema import ALIGNMENTS, FASTQ, TEXT_TAGS
-from .raw import expanded, lines, located, opened
+from .raw import located
+from .records import BAM_BASES, BAM_NUMBERS, BAM_OPERATIONS, BATCHES
+from .splits import INDEX, Split, loaded, splits_of
+
+#: Fixed value: the empty last block of a file.
+BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+BGZF_BLOCK = 0xFF00
 
 
-class FilePart(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class SplitPart(InputPartition):
+    def __init__(self, split: Split):
+        self.split = split
 
 
-class FileReader(DataSourceReader):
-    """One partition per file; rows by a function of the path."""
+class SplitReader(DataSourceReader):
+    """One partition per split; batches by a function of the split."""
 
-    def __init__(self, options: dict, rows):
+    def __init__(self, kind: str, options: dict, names: list[str]):
         given = options.get("paths") or options.get("path")
         if not given:
             raise ValueError("no path")
         self.paths = json.loads(given) if given.startswith("[") else [given]
-        self.options, self.rows = dict(options), rows
-
-    def partitions(self) -> list[FilePart]:
-        return [FilePart(p) for p in expanded(self.paths)]
-
-    def read(self, partition: FilePart) -> Iterator[tuple]:
-        yield from self.rows(partition.path, self.options)
-
-
-def line_rows(path: str, options: dict) -> Iterator[tuple]:
-    for rec, line in lines(path, options.get("comment")):
-        yield path, rec, line
-
-
-def fastq_rows(path: str, options: dict) -> Iterator[tuple]:
-    """Records of four lines; an incomplete last one is dropped."""
-    four: list[str] = []
-    for rec, line in lines(path):
-        four.append(line)
-        if len(four) == 4:
-            if not four[0].startswith("@"):
-                raise ValueError(f"{path}: record {rec // 4} doesn't start with @")
-            yield path, rec // 4, *four
-            four = []
-
-
-def alignment_row(path: str, rec: int, fields: list, qual: list[int] | None, found: dict[str, tuple[str, str]], references: dict[str, int]) -> tuple:
-    """found: type and value of each tag. Types are kept of the tags without a column of their own, and where a column's isn't the usual one."""
-    known = [found[t][1] if t in found else None for t in TEXT_TAGS]
-    hits = int(found["NH"][1]) if "NH" in found else None
-    own = {*TEXT_TAGS, "NH"}
-    tags = {t: v for t, (_, v) in found.items() if t not in own}
-    kinds = {t: k for t, (k, _) in found.items() if k != ("Z" if t in TEXT_TAGS else "i" if t == "NH" else None)}
-    qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq = fields
-    return (path, rec, qname, flag, rname, references.get(rname, -1) if rname else -1, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, *known, hits, tags, kinds)
-
-
-def sam_rows(path: str, options: dict) -> Iterator[tuple]:
-    references: dict[str, int] = {}
-    rec = 0
-    for _, line in lines(path):
-        if line.startswith("@"):
-            if line.startswith("@SQ"):
-                name = next(f[3:] for f in line.split("\t") if f.startswith("SN:"))
-                references.setdefault(name, len(references))
-            continue
-        f = line.split("\t")
-        none = lambda x: None if x == "*" else x
-        tags = {t[:2]: (t[3], t[5:]) for t in f[11:]}
-        fields = [f[0], int(f[1]), none(f[2]), int(f[3]) - 1, int(f[4]), none(f[5]), none(f[6]), int(f[7]) - 1, int(f[8]), none(f[9])]
-        yield alignment_row(path, rec, fields, None if f[10] == "*" else [ord(c) - 33 for c in f[10]], tags, references)
-        rec += 1
-
-
-#: Fixed values of the binary format: letters of sequences and CIGAR operations, sizes of tag types.
-BAM_BASES, BAM_OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-BAM_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-#: Fixed value: the empty last block of a file.
-BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-BGZF_BLOCK = 0xFF00
+        self.kind, self.options, self.names = kind, dict(options), names
 
+    def partitions(self) -> list[SplitPart]:
+        known = self.options.get("splits")
+        return [SplitPart(s) for s in (loaded(known) if known else splits_of(self.paths))]
 
-def bam_tags(data: bytes) -> dict[str, tuple[str, str]]:
-    """Type and value of each tag, as SAM would have the value."""
-    out, at = {}, 0
-    while at < len(data):
-        tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind == "A":
-            value, at = chr(data[at]), at + 1
-        elif kind in BAM_NUMBERS:
-            size = struct.calcsize("<" + BAM_NUMBERS[kind])
-            value, at = str(struct.unpack_from("<" + BAM_NUMBERS[kind], data, at)[0]), at + size
-        elif kind in "ZH":
-            end = data.index(0, at)
-            value, at = data[at:end].decode(), end + 1
-        elif kind == "B":
-            inner, n = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
-            numbers = struct.unpack_from(f"<{n}{BAM_NUMBERS[inner]}", data, at + 5)
-            value, at = ",".join([inner, *map(str, numbers)]), at + 5 + n * struct.calcsize("<" + BAM_NUMBERS[inner])
-        else:
-            raise ValueError(f"unknown tag type {kind!r}")
-        out[tag] = kind, value
-    return out
-
-
-def bam_rows(path: str, options: dict) -> Iterator[tuple]:
-    with opened(path) as stream:
-
-        def take(n: int) -> bytes:
-            data = stream.read(n)
-            if len(data) != n:
-                raise EOFError(f"{path} is cut off")
-            return data
-
-        if take(4) != b"BAM\1":
-            raise ValueError(f"{path} is not a BAM file")
-        take(struct.unpack("<i", take(4))[0])
-        names = []
-        for _ in range(struct.unpack("<i", take(4))[0]):
-            names.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
-            take(4)
-        references = {n: i for i, n in enumerate(names)}
-        rec = 0
-        while size := stream.read(4):
-            data = take(struct.unpack("<i", size)[0])
-            ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
-            at = 32 + n_name
-            qname = data[32 : at - 1].decode()
-            cigar = "".join(f"{x >> 4}{BAM_OPERATIONS[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", data, at))
-            at += 4 * n_cigar
-            packed = data[at : at + (n_seq + 1) // 2]
-            seq = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:n_seq]
-            at += len(packed)
-            qual = list(data[at : at + n_seq])
-            at += n_seq
-            name = lambda r: None if r < 0 else names[r]
-            mate = "=" if next_ref == ref and ref >= 0 else name(next_ref)
-            fields = [qname, flag, name(ref), pos, mapq, cigar or None, mate, next_pos, tlen, seq or None]
-            yield alignment_row(path, rec, fields, None if not qual or qual[0] == 255 else qual, bam_tags(data[at:]), references)
-            rec += 1
+    def read(self, partition: SplitPart | None) -> Iterator:
+        """partition: None where there is no split."""
+        if partition is None:
+            return
+        options = {k: v for k, v in self.options.items() if k not in ("splits", "paths")}
+        yield from BATCHES[self.kind](partition.split, options, self.names)
 
 
 def row_tags(row) -> list[tuple[str, str, str]]:  # noqa: ANN001
@@ -231,12 +131,49 @@ def bgzf_block(data: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
+#: Compressed bytes that an entry of an index stands for, about; references that an entry names at most (None: any).
+STRETCH, NAMED = 1 << 20, 64
+
+
+class Blocks:
+    """Records as BGZF blocks, each begun with a record unless one is larger than a block; entries of an index: offset, records, references."""
+
+    def __init__(self, out):  # noqa: ANN001
+        self.out, self.held, self.at, self.entries = out, bytearray(), 0, []
+
+    def flush(self) -> None:
+        while self.held:
+            block = bgzf_block(bytes(self.held[:BGZF_BLOCK]))
+            self.out.write(block)
+            self.at += len(block)
+            del self.held[:BGZF_BLOCK]
+
+    def add(self, record: bytes, reference: str | None) -> None:
+        if self.held and len(self.held) + len(record) > BGZF_BLOCK:
+            self.flush()
+        if not self.held and (not self.entries or self.at - self.entries[-1][0] >= STRETCH):
+            self.entries.append([self.at, 0, []])
+        self.held += record
+        entry = self.entries[-1]
+        entry[1] += 1
+        if entry[2] is not None and reference not in entry[2]:
+            entry[2] = [*entry[2], reference] if len(entry[2]) < NAMED else None
+
+
 class AlignmentWriter(DataSourceWriter):
-    """A SAM or BAM file per partition, named part-<partition>-<attempt>, those that lost are deleted. header: JSON list of lines."""
+    """A SAM or BAM file per partition, named part-<partition>-<attempt>, those that lost are deleted. header: JSON list of lines.
+
+    single: one BAM file instead, of all partitions in order. Tasks write their blocks beside it; the commit puts them one after the other
+    as they are, between one header and one end, and writes an index (<file>.index: where records begin, their ordinals and references).
+    """
 
     def __init__(self, kind: str, options: dict, overwrite: bool):
         self.kind, self.path, self.overwrite = kind, options["path"], overwrite
         self.header = json.loads(options.get("header", "[]"))
+        self.single = options.get("single") == "true"
+        if self.single and kind != "bam":
+            raise ValueError("one file of all partitions: BAM only")
+        self.folder = f"{self.path}.parts-{uuid.uuid4().hex}" if self.single else self.path
 
     def references(self) -> dict[str, tuple[int, int]]:
         """Number and length by name."""
@@ -247,43 +184,49 @@ class AlignmentWriter(DataSourceWriter):
                 out[found["SN"]] = (len(out), int(found["LN"]))
         return out
 
+    def head(self) -> bytes:
+        """The header of a BAM file, in blocks of its own."""
+        text, places = "".join(h + "\n" for h in self.header).encode(), self.references()
+        held = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(places))
+        for n, (_, length) in places.items():
+            held += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length)
+        return b"".join(bgzf_block(held[at : at + BGZF_BLOCK]) for at in range(0, len(held), BGZF_BLOCK))
+
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        system, folder = located(self.path)
+        system, folder = located(self.folder)
         system.create_dir(folder)
-        name = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.{self.kind}"
-        with system.open_output_stream(name) as out:
-            text = "".join(h + "\n" for h in self.header).encode()
+        done = WriterCommitMessage()
+        done.name, done.part, done.entries = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.{self.kind}", context.partitionId(), []
+        with system.open_output_stream(done.name, compression=None) as out:
             if self.kind == "sam":
-                out.write(text)
+                out.write("".join(h + "\n" for h in self.header).encode())
                 for row in iterator:
                     out.write(sam_line(row).encode() + b"\n")
             else:
-                places = self.references()
-                numbers = {n: i for n, (i, _) in places.items()}
-                held = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(places)))
-                for n, (_, length) in places.items():
-                    held += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length)
+                numbers = {n: i for n, (i, _) in self.references().items()}
+                if not self.single:
+                    out.write(self.head())
+                blocks = Blocks(out)
                 for row in iterator:
-                    held += bam_record(row, numbers)
-                    while len(held) >= BGZF_BLOCK:
-                        out.write(bgzf_block(bytes(held[:BGZF_BLOCK])))
-                        del held[:BGZF_BLOCK]
-                if held:
-                    out.write(bgzf_block(bytes(held)))
-                out.write(BGZF_END)
-        done = WriterCommitMessage()
-        done.name = name
+                    blocks.add(bam_record(row, numbers), row["rname"])
+                blocks.flush()
+                done.entries = blocks.entries
+                if not self.single:
+                    out.write(BGZF_END)
         return done
 
     def commit(self, messages: list) -> None:
         """Only committed files stay: others are of lost attempts, or with overwrite of earlier writes."""
         from pyarrow import fs
 
-        system, folder = located(self.path)
-        kept = {m.name for m in messages if m is not None}
+        kept = {m.name: m for m in messages if m is not None}
+        if self.single:
+            self._join(sorted(kept.values(), key=lambda m: m.part))
+            return
+        system, folder = located(self.folder)
         parts = {n.rsplit("-", 1)[0] for n in kept}
         if not kept:
             return
@@ -291,23 +234,47 @@ class AlignmentWriter(DataSourceWriter):
             if f.path not in kept and f.base_name.startswith("part-") and (self.overwrite or f.path.rsplit("-", 1)[0] in parts):
                 system.delete_file(f.path)
 
+    def _join(self, parts: list) -> None:
+        system, target = located(self.path)
+        head, at, rec, entries = self.head(), 0, 0, []
+        with system.open_output_stream(target, compression=None) as out:
+            out.write(head)
+            at = len(head)
+            for m in parts:
+                for offset, n, names in m.entries:
+                    entries.append([at + offset, rec, n, names])
+                    rec += n
+                with system.open_input_file(m.name) as part:
+                    while data := part.read(8 << 20):
+                        out.write(data)
+                        at += len(data)
+            out.write(BGZF_END)
+        with system.open_output_stream(target + INDEX, compression=None) as out:
+            out.write(json.dumps({"bytes": at + len(BGZF_END), "entries": entries}).encode())
+        if parts:
+            system.delete_dir(located(self.folder)[1])
+
     def abort(self, messages: list) -> None:
         for m in messages:
             if m is not None:
-                located(self.path)[0].delete_file(m.name)
+                located(self.folder)[0].delete_file(m.name)
 
 
-def _source(kind: str, fields: StructType, read_rows, writes: bool = False) -> type[DataSource]:
+def _source(kind: str, fields: StructType, writes: bool = False) -> type[DataSource]:
     class Source(DataSource):
         @classmethod
         def name(cls) -> str:
             return kind
 
         def schema(self) -> StructType:
-            return fields
+            wanted = self.options.get("columns")
+            every = fields.fields + ([StructField("bad", StringType())] if kind == "fastq" and self.options.get("bad") == "keep" else [])
+            if not wanted:
+                return StructType(every)
+            return StructType([next(f for f in every if f.name == n) for n in json.loads(wanted)])
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return FileReader(self.options, read_rows)
+            return SplitReader(kind, self.options, schema.names)
 
         def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
             if not writes:
@@ -319,7 +286,8 @@ def _source(kind: str, fields: StructType, read_rows, writes: bool = False) -> t
 
 
 LINES = StructType([StructField("file", StringType()), StructField("rec", LongType()), StructField("line", StringType())])
-SOURCES = [_source("lines", LINES, line_rows), _source("fastq", FASTQ, fastq_rows), _source("sam", ALIGNMENTS, sam_rows, True), _source("bam", ALIGNMENTS, bam_rows, True)]
+SCHEMAS = {"lines": LINES, "fastq": FASTQ, "sam": ALIGNMENTS, "bam": ALIGNMENTS}
+SOURCES = [_source(kind, fields, kind in ("sam", "bam")) for kind, fields in SCHEMAS.items()]
 
 
 def register(spark: SparkSession) -> SparkSession:

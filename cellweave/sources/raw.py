@@ -27,7 +27,7 @@ def expanded(paths: list[str]) -> list[str]:
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
         if info.type == fs.FileType.Directory:
-            names = sorted(f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
+            names = sorted(f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")) and not f.base_name.endswith(".index"))
             prefix = path[: path.index("://") + 3] if "://" in path else ""
             out += [prefix + n for n in names]
         else:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.genes import attributes
 from .formats import register
+from .splits import SPLIT, dumped, indexed_splits, numbered, splits_of
 
 
 def _paths(paths: str | list[str]) -> str:
@@ -20,13 +21,27 @@ def _paths(paths: str | list[str]) -> str:
     return json.dumps(list(paths))
 
 
-def read(spark: SparkSession, kind: str, paths: str | list[str], **options: str) -> DataFrame:
-    return register(spark).read.format(kind).options(**options).option("paths", _paths(paths)).load()
+def read(spark: SparkSession, kind: str, paths: str | list[str], dense: bool = True, columns: list[str] | None = None, split: int = SPLIT, **options: str) -> DataFrame:
+    """The records of the files, in their order one stream: rec is a record's ordinal in it.
+
+    dense: ordinals without gaps, for what goes by position (zip, attach, select). Where there are several splits that takes a job at once that
+    counts them. Without it, ordinals of a split begin at its number * 2**40: enough for what only needs the order.
+    BAM files with an index beside them have their ordinals there.
+    columns: those to read; split: the bytes that one task reads, about, where a file can be cut.
+    """
+    given = json.loads(_paths(paths))
+    found = indexed_splits(given, split, options.get("reference")) if kind == "bam" else None
+    if found is None:
+        found = splits_of(given, split) if "comment" not in options else splits_of(given, 1 << 62)
+        if dense and len(found) > 1:
+            found = numbered(spark, kind, found, {k: v for k, v in options.items() if k != "reference"})
+    reader = register(spark).read.format(kind).options(**options).option("paths", json.dumps(given)).option("splits", dumped(found))
+    return (reader.option("columns", json.dumps(list(columns))) if columns else reader).load()
 
 
-def lines(spark: SparkSession, paths: str | list[str], comment: str | None = None) -> DataFrame:
+def lines(spark: SparkSession, paths: str | list[str], comment: str | None = None, dense: bool = True) -> DataFrame:
     """file, rec, line: without each file's leading run of comment lines."""
-    return read(spark, "lines", paths, **({"comment": comment} if comment else {}))
+    return read(spark, "lines", paths, dense, **({"comment": comment} if comment else {}))
 
 
 def select_records(rows: DataFrame, indices: set[int] | DataFrame) -> DataFrame:
@@ -36,12 +51,21 @@ def select_records(rows: DataFrame, indices: set[int] | DataFrame) -> DataFrame:
     return rows.filter(F.col("rec").isin(sorted(indices)))
 
 
-def fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return read(spark, "fastq", paths)
+def fastq(spark: SparkSession, paths: str | list[str], dense: bool = True, keep_bad: bool = False, **more) -> DataFrame:  # noqa: ANN003
+    """Reads of files. A record whose name doesn't begin with @ is an error.
+
+    keep_bad: it is a row instead, with what is wrong in column bad (null for the others) and an ordinal, as are records
+    whose lines don't fit together; reading goes on with the next record that has all four marks.
+    """
+    return read(spark, "fastq", paths, dense, **({"bad": "keep"} if keep_bad else {}), **more)
+
 
+def alignments(spark: SparkSession, paths: str | list[str], mode: str | None = None, dense: bool = True, reference: str | None = None, **more) -> DataFrame:  # noqa: ANN003
+    """mode: r (SAM) or rb (BAM); by the name's ending if there is none.
 
-def alignments(spark: SparkSession, paths: str | list[str], mode: str | None = None) -> DataFrame:
-    """mode: r (SAM) or rb (BAM); by the name's ending if there is none."""
+    reference: the alignments to this one only, with the ordinals that they have among all. Of BAM files with an index
+    only the stretches that have some are read.
+    """
     first = paths if isinstance(paths, str) else paths[0]
     kinds = {"r": "sam", "rb": "bam"}
     if mode is not None and mode not in kinds:
@@ -49,7 +73,11 @@ def alignments(spark: SparkSession, paths: str | list[str], mode: str | None = N
     kind = kinds[mode] if mode else next((k for k in ("sam", "bam") if first.endswith(f".{k}")), None)
     if kind is None:
         raise ValueError(f"{first}: neither .sam nor .bam, and no mode")
-    return read(spark, kind, paths)
+    if reference is None:
+        return read(spark, kind, paths, dense, **more)
+    if kind == "bam":
+        return read(spark, kind, paths, dense, reference=reference, **more)
+    return read(spark, kind, paths, dense, **more).filter(F.col("rname") == reference)
 
 
 def gtf(spark: SparkSession, paths: str | list[str]) -> DataFrame:

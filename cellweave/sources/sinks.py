@@ -51,6 +51,15 @@ def alignments(rows: DataFrame, path: str, header: list[str], kind: str = "bam",
     rows.write.format(kind).mode(mode).option("header", json.dumps(header)).save(path)
 
 
+def single_bam(rows: DataFrame, path: str, header: list[str]) -> None:
+    """One BAM file of all rows, partition after partition (a sorted frame stays sorted), and its index. An earlier file is replaced.
+
+    Tasks compress; the commit, one process, only copies their blocks.
+    """
+    register(rows.sparkSession)
+    rows.write.format("bam").mode("overwrite").option("header", json.dumps(header)).option("single", "true").save(path)
+
+
 def shard_header(sample: str) -> list[str]:
     return ["@HD\tVN:1.6\tSO:unsorted", f"@RG\tID:A\tSM:{sample}"]
 

@@ -56,7 +56,9 @@ def test_attach_metrics_counts_sort_split(spark, files):
 
 
 def _one(folder: Path) -> str:
-    """The folder of parts, or its part if there is one only."""
+    """The file; of a folder of parts the part if there is one only."""
+    if folder.is_file():
+        return str(folder)
     parts = sorted(folder.glob("part-*"))
     return str(parts[0] if len(parts) == 1 else folder)
 

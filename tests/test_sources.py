@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import genes, grouping, qc, tagging
+from cellweave.operators import counts, genes, grouping, qc, tagging
 from cellweave.sources import raw, readers, sinks
 
 FASTQ = "".join(f"@r{i} x\n{'ACGT' * 6}AC\n+\n{'I' * 26}\n" for i in range(5))
@@ -35,8 +35,9 @@ def files(tmp_path):
 def test_fastq_by_first_bytes(spark, files):
     rows = readers.fastq(spark, [str(files / n) for n in ("a.fastq", "b.txt", "c.fastq")])
     assert rows.groupBy("file").count().filter("count = 5").count() == 3
-    assert [r.rec for r in rows.filter(F.col("file").endswith("b.txt")).orderBy("rec").collect()] == [0, 1, 2, 3, 4]
-    assert readers.select_records(rows, {1, 3}).count() == 6 and readers.select_records(rows, rows.filter("rec = 2")).count() == 3
+    # three files are one stream
+    assert [r.rec for r in rows.filter(F.col("file").endswith("b.txt")).orderBy("rec").collect()] == [5, 6, 7, 8, 9]
+    assert readers.select_records(rows, {1, 3, 11}).count() == 3 and readers.select_records(rows, rows.filter("rec = 2")).count() == 1
     assert raw.total_size([str(files / "a.fastq")]) == (files / "a.fastq").stat().st_size
     with pytest.raises(TypeError):
         readers.fastq(spark, 3)
@@ -145,14 +146,14 @@ def test_whitelist_and_gene_list(spark, tmp_path):
 
 
 def test_matrices(spark, tmp_path):
-    counts = spark.createDataFrame([("c1", "g1", 2), ("c2", "g2", 3)], "cell string, gene string, n long")
-    sinks.count_archive(counts, str(tmp_path / "m"))
+    table = spark.createDataFrame([("c1", "g1", 2), ("c2", "g2", 3)], "cell string, gene string, n long")
+    sinks.count_archive(table, str(tmp_path / "m"))
     assert sorted(map(tuple, readers.count_archive(spark, str(tmp_path / "m")).collect())) == [("c1", "g1", 2), ("c2", "g2", 3)]
     (tmp_path / "x.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n%\n2 2 2\n1 1 2\n2 2 3\n")
     (tmp_path / "rows").write_text("c1\nc2\n")
     (tmp_path / "cols").write_text("g1\ng2\n")
     assert sorted(map(tuple, readers.matrix_market(spark, *[str(tmp_path / n) for n in ("x.mtx", "rows", "cols")]).collect())) == [("c1", "g1", 2), ("c2", "g2", 3)]
-    sinks.count_tables(counts, str(tmp_path / "t"))
+    sinks.count_tables(table, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t/counts")).count() == 2
 
 
@@ -163,8 +164,8 @@ def test_archives_hold_all_genes_and_stack(spark, tmp_path):
     genes_of = spark.createDataFrame([("B", 0), ("unused", 1), ("A", 2)], "gene string, gene_index long")
     for k, cells in enumerate((["z", "a"], ["q", "a"])):
         table = spark.createDataFrame([(c, i) for i, c in enumerate(cells)], "cell string, cell_index long")
-        counts = spark.createDataFrame([(cells[0], "A", 2 + k), (cells[1], "B", 5), (cells[1], "A", 7)], "cell string, gene string, n long")
-        sinks.count_archive(counts, str(tmp_path / f"m{k}"), table, genes_of)
+        found = spark.createDataFrame([(cells[0], "A", 2 + k), (cells[1], "B", 5), (cells[1], "A", 7)], "cell string, gene string, n long")
+        sinks.count_archive(found, str(tmp_path / f"m{k}"), table, genes_of)
     dense = {"z": [0, 0, 2], "a": [5, 0, 7]}
     m = np.load(str(tmp_path / "m0.npz"))
     assert m["shape"].tolist() == [2, 3] and m["indptr"].tolist() == [0, 1, 3] and m["indices"].tolist() == [2, 0, 2] and m["data"].tolist() == [2, 5, 7]
@@ -197,6 +198,99 @@ def test_attach(spark, files):
         tagging.attach_barcodes(rows, reads, tagging.TEN_X_V2)
 
 
+def _lanes(tmp_path, sizes, name, line):
+    """Files of so many records each, numbered over all."""
+    paths, k = [], 0
+    for i, n in enumerate(sizes):
+        (tmp_path / f"{name}{i}").write_text("".join(line(j) for j in range(k, k + n)))
+        paths.append(str(tmp_path / f"{name}{i}"))
+        k += n
+    return paths
+
+
+def _dna(j):
+    return "".join("ACGT"[j >> 2 * i & 3] for i in range(16))
+
+
+@pytest.mark.parametrize(("sizes", "sams"), [((2, 2), (4,)), ((3, 1, 5), (4, 5)), ((4, 5), (1, 7, 1)), ((6,), (2, 2, 2))])
+def test_lanes_are_one_stream(spark, tmp_path, sizes, sams):
+    """Several files of reads and of alignments: everything that goes by position is as in a plain loop over all of them."""
+    r1 = _lanes(tmp_path, sizes, "r1_", lambda j: f"@q{j}\n{_dna(j)}ACGTACGTAC\n+\n{'I' * 26}\n")
+    u2 = _lanes(tmp_path, sams, "u2_", lambda j: f"q{j}\t0\t{19 + j % 2}\t{j + 1}\t60\t4M\t*\t0\t0\tACGT\tIIII\tCB:Z:c{(j * 7) % 5}\tUB:Z:u{j}\tGE:Z:g\tXF:Z:CODING\n")
+    reads, rows = readers.fastq(spark, r1), readers.alignments(spark, u2, mode="r")
+    n = min(sum(sizes), sum(sams))
+    done = tagging.attach_barcodes(rows, reads, {k: v for k, v in tagging.TEN_X_V2.items() if k != "sample"}).orderBy("rec").collect()
+    assert [(r.rec, r.qname, r.CR) for r in done] == [(j, f"q{j}", _dna(j)) for j in range(n)]
+    assert sorted(r.name for r in readers.select_records(reads, {0, 3}).collect()) == ["@q0", "@q3"]
+    wanted = spark.createDataFrame([(0,), (n - 1,)], "rec long")
+    assert sorted(r.qname for r in readers.select_records(rows, wanted).collect()) == sorted({"q0", f"q{n - 1}"})
+    seen = list(dict.fromkeys(f"c{(j * 7) % 5}" for j in range(sum(sams))))
+    assert [r.cell for r in counts.cell_index(rows).orderBy("cell_index").collect()] == seen
+    some = grouping.subset(rows, 2, "19", 1).orderBy("rec").collect()
+    assert [r.qname for r in some] == ["q0", "q1", "q2"]
+    # the order is enough for what only needs an order
+    loose = readers.alignments(spark, u2, mode="r", dense=False)
+    assert [r.qname for r in loose.orderBy("rec").collect()] == [f"q{j}" for j in range(sum(sams))]
+    assert [r.cell for r in counts.cell_index(loose).orderBy("cell_index").collect()] == seen
+    assert loose.select("rname", "CB").count() == sum(sams)
+
+
+def test_large_files_are_read_by_many_tasks(spark, tmp_path):
+    reads = "".join(f"@q{j}\n{_dna(j)}\n+\n@{'I' * 15}\n" for j in range(2000))
+    (tmp_path / "r").write_text(reads)
+    frames = [readers.fastq(spark, str(tmp_path / "r"), split=s) for s in (1 << 30, len(reads) // 3 + 1, len(reads) // 16 + 1)]
+    assert [f.rdd.getNumPartitions() for f in frames] == [1, 3, 16]
+    assert {tuple(map(tuple, f.orderBy("rec").collect())) for f in frames} == {tuple((str(tmp_path / "r"), j, f"@q{j}", _dna(j), "+", "@" + "I" * 15) for j in range(2000))}
+    few = readers.fastq(spark, str(tmp_path / "r"), columns=["sequence"], split=len(reads) // 4)
+    assert few.columns == ["sequence"] and few.distinct().count() == 2000
+
+
+def test_bad_records_go_in_step(spark, tmp_path):
+    """A record that is broken in one file is left out of all, and is one row of the bad."""
+    name = lambda kind, j: "" if (kind, j) in (("r1", 3), ("r2", 5), ("i1", 5)) else "@"
+    paths = {kind: _lanes(tmp_path, (4, 4), kind, lambda j, kind=kind: f"{name(kind, j)}q{j}\n{_dna(j)}\n+\n{'I' * 16}\n") for kind in ("r1", "r2", "i1")}
+    reads = {kind: readers.fastq(spark, p, keep_bad=True) for kind, p in paths.items()}
+    kept, bad = tagging.in_step(reads)
+    for kind in reads:
+        assert [r.name for r in kept[kind].orderBy("rec").collect()] == [f"@q{j}" for j in (0, 1, 2, 4, 6, 7)]
+    assert sorted((r.read, r.rec, r.name) for r in bad.collect()) == [("i1", 5, "q5"), ("r1", 3, "q3"), ("r2", 5, "q5")]
+    assert sorted(map(tuple, tagging.bad_counts(bad).select("read", "fault", "n").collect())) == [(k, "the name doesn't start with @", 1) for k in ("i1", "r1", "r2")]
+
+
+def test_one_sorted_bam_and_its_index(spark, tmp_path):
+    """All partitions in one file in order, one header and one end; the index has ordinals, and what a reference needs."""
+    one = lambda j: f"q{j:04d}\t0\tchr{j % 7}\t{j + 1}\t60\t400M\t*\t0\t0\t{'ACGT' * 100}\t{'I' * 400}\tCB:Z:c{j % 5}\n"
+    header = ["@HD\tVN:1.6", *[f"@SQ\tSN:chr{i}\tLN:100000" for i in range(7)]]
+    (tmp_path / "x.sam").write_text("\n".join(header) + "\n" + "".join(one(j) for j in range(3000)))
+    rows = readers.alignments(spark, str(tmp_path / "x.sam"))
+    from cellweave.sources import formats, splits
+
+    target = str(tmp_path / "y.bam")
+    stretch, formats.STRETCH = formats.STRETCH, 1000
+    try:
+        sinks.single_bam(rows.repartition(6).orderBy("rname", "qname"), target, header)
+    finally:
+        formats.STRETCH = stretch
+    assert sorted(p.name for p in tmp_path.iterdir() if "y.bam" in p.name) == ["y.bam", "y.bam.index"]
+    data = gzip.decompress((tmp_path / "y.bam").read_bytes())
+    assert data.count(b"BAM\1") == 1 and (tmp_path / "y.bam").read_bytes().endswith(formats.BGZF_END) and (tmp_path / "y.bam").read_bytes().count(formats.BGZF_END) == 1
+    wanted = [(r.rname, r.qname) for r in rows.orderBy("rname", "qname").collect()]
+    for size in (1, 5000, 1 << 30):
+        again = readers.alignments(spark, target, split=size)
+        assert [(r.rname, r.qname) for r in again.orderBy("rec").collect()] == wanted and again.agg(F.max("rec")).first()[0] == 2999
+    read = lambda found: sum((s.end or (tmp_path / "y.bam").stat().st_size) - s.begin for s in found)
+    some, every = splits.indexed_splits([target], 1, "chr3"), splits.indexed_splits([target], 1)
+    if len(every) > 7:  # the workers knew of the short stretch
+        assert read(some) < read(every) / 2
+    here = readers.alignments(spark, target, reference="chr3").orderBy("rec").collect()
+    assert [(r.rec, r.rname, r.qname) for r in here] == [(k, *w) for k, w in enumerate(wanted) if w[0] == "chr3"]
+    assert readers.alignments(spark, target, reference="none").count() == 0
+    (tmp_path / "y.bam.index").unlink()
+    assert [r.rec for r in readers.alignments(spark, target, reference="chr3", split=20_000).orderBy("rec").collect()] == [r.rec for r in here]
+    sinks.single_bam(rows.limit(0), str(tmp_path / "none.bam"), header)
+    assert readers.alignments(spark, str(tmp_path / "none.bam")).count() == 0
+
+
 def test_fastq_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("f", 0, "q", "A" * 16, "I" * 16, "C" * 10, "I" * 10, "A" * 16, "ACGT", "IIII", 1)], "file string, rec long, qname string, CR string, CY string, UR string, UY string, CB string, seq string, quality string, shard int")
     sinks.fastq_shards(rows, str(tmp_path / "s"))
