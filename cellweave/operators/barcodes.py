@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import entropy4, hamming, letters
+from ..functions.sequence import THREE_BIT_LONGEST, decode_three_bit, decode_two_bit, encode_three_bit, encode_two_bit, entropy4, hamming, hamming_encoded, letters
 
 ALPHABET = "ACGTN"
 #: A whitelist's variants are broadcast up to this many rows; larger ones are joined by shuffle.
@@ -25,13 +25,46 @@ def variants(whitelist: DataFrame) -> DataFrame:
     return whitelist.select("barcode", "line_no", F.explode(every).alias("variant")).groupBy("variant").agg(F.max_by("barcode", "line_no").alias("corrected"))
 
 
-def correct(rows: DataFrame, whitelist: DataFrame, raw: str = "CR", into: str = "CB", fall_back: bool = False) -> DataFrame:
-    """rows with the whitelisted barcode of column raw; where there is none: null, or with fall_back the raw one."""
-    known = variants(whitelist)
+#: Letters that a three-bit code holds, and how many of them.
+CODED = f"^[{ALPHABET}]{{1,{THREE_BIT_LONGEST}}}$"
+
+
+def _halves(barcode: Column) -> Column:
+    """Both halves of a barcode, as array of structs: which half, the length of the whole, the half."""
+    n = F.length(barcode)
+    first = (n / 2).cast("int")
+    part = lambda k, text: F.struct(F.lit(k).alias("half"), n.alias("length"), text.alias("part"))
+    return F.array(part(0, F.substring(barcode, F.lit(1), first)), part(1, F.substring(barcode, first + 1, n - first)))
+
+
+def nearest(raws: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """raw, corrected: of each distinct raw barcode (column raw) the last whitelisted one within a substitution by a letter of ALPHABET.
+
+    Of two barcodes within one substitution one half is equal: they are joined on halves and then compared, as numbers where all
+    their letters have a code. A whitelist is indexed by two rows a barcode, whatever its length.
+    """
+    known = whitelist.select("barcode", "line_no").withColumn("code", F.when(F.col("barcode").rlike(CODED), encode_three_bit(F.col("barcode"))))
+    wanted = raws.select("raw").filter("raw is not null").distinct().withColumn("raw_code", F.when(F.col("raw").rlike(CODED), encode_three_bit(F.col("raw"))))
+    left = wanted.select("raw", "raw_code", F.explode(_halves(F.col("raw"))).alias("at")).select("raw", "raw_code", "at.*")
+    right = known.select("barcode", "line_no", "code", F.explode(_halves(F.col("barcode"))).alias("its")).select("barcode", "line_no", "code", *[F.col(f"its.{c}").alias(f"its_{c}") for c in ("half", "length", "part")])
+    same = (F.col("half") == F.col("its_half")) & (F.col("length") == F.col("its_length")) & (F.col("part") == F.col("its_part"))
+    coded = left.filter("raw_code is not null").join(right.filter("code is not null"), same).filter(hamming_encoded(F.col("raw_code"), F.col("code"), 3) <= 1)
+    # a letter that has no code can stay, but nothing can become it
+    odd = left.join(right, same & (F.col("raw_code").isNull() | F.col("code").isNull()))
+    changed = F.filter(F.zip_with(letters(F.col("raw")), letters(F.col("barcode")), lambda x, y: F.when(x != y, x)), lambda x: x.isNotNull())
+    odd = odd.filter((F.size(changed) == 0) | (F.size(changed) == 1) & F.get(changed, F.lit(0)).isin(*ALPHABET))
+    found = coded.select("raw", "barcode", "line_no").unionByName(odd.select("raw", "barcode", "line_no"))
+    return found.groupBy("raw").agg(F.max_by("barcode", "line_no").alias("corrected"))
+
+
+def correct(rows: DataFrame, whitelist: DataFrame, raw: str = "CR", into: str = "CB", fall_back: bool = False, most: int | None = None) -> DataFrame:
+    """rows with the whitelisted barcode of column raw; where there is none: null, or with fall_back the raw one.
+
+    A whitelist of few variants (most, or BROADCAST_ROWS, at most) is looked up by them, broadcast; a larger one by halves of the distinct raw barcodes.
+    """
     # each base of a barcode can become one of the others of the alphabet, or it stays
-    most = whitelist.agg(F.sum(1 + F.length("barcode") * len(ALPHABET)).alias("n")).first()["n"] or 0
-    if most <= BROADCAST_ROWS:
-        known = F.broadcast(known)
+    n = whitelist.agg(F.sum(1 + F.length("barcode") * len(ALPHABET)).alias("n")).first()["n"] or 0
+    known = F.broadcast(variants(whitelist)) if n <= (BROADCAST_ROWS if most is None else most) else nearest(rows.select(F.col(raw).alias("raw")), whitelist).withColumnRenamed("raw", "variant")
     joined = rows.drop(into).join(known, rows[raw] == known["variant"], "left").drop("variant")
     return joined.withColumn(into, F.coalesce("corrected", raw) if fall_back else F.col("corrected")).drop("corrected")
 
@@ -84,14 +117,41 @@ def position_weights(rows: DataFrame, sequence: str) -> DataFrame:
     return counts.select((F.col("pos") + 1).alias("position"), *"ACGTN")
 
 
+#: Barcodes of a tile, about: all pairs are compared tile by tile.
+TILE = 4096
+#: Barcodes that are compared as numbers of two bits a letter.
+PLAIN = "^[ACGT]{1,31}$"
+
+
+def distance_counts(rows: DataFrame, barcode: str = "barcode", tile: int = TILE) -> DataFrame:
+    """d, n: how many pairs of distinct barcodes of one length are at each distance.
+
+    Barcodes are dealt out to tiles by hash, and every two tiles, and each with itself, meet in a join of their own key: all pairs are
+    there once, by many tasks, and each is counted where it is made. Those of other letters than A, C, G, T are compared as text.
+    """
+    one = rows.select(F.col(barcode).alias("a")).filter("a is not null").distinct()
+    tiles = max(1, -(-one.count() // tile))
+    one = one.withColumns({"length": F.length("a"), "code": F.when(F.col("a").rlike(PLAIN), encode_two_bit(F.col("a"))), "home": F.pmod(F.xxhash64("a"), F.lit(tiles)).cast("int")})
+    left = one.select("a", "length", F.col("code").alias("x"), F.col("home").alias("i"), F.explode(F.sequence("home", F.lit(tiles - 1))).alias("j"))
+    right = one.select(F.col("a").alias("b"), F.col("length").alias("its"), F.col("code").alias("y"), F.explode(F.sequence(F.lit(0), F.col("home"))).alias("p"), F.col("home").alias("q"))
+    met = (F.col("i") == F.col("p")) & (F.col("j") == F.col("q")) & (F.col("length") == F.col("its")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+
+    def counted(pairs: DataFrame, d: Column) -> DataFrame:
+        return pairs.groupBy(d.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+
+    found = counted(left.filter("x is not null").join(right.filter("y is not null"), met), hamming_encoded(F.col("x"), F.col("y"), 2))
+    if not one.filter("code is null").isEmpty():
+        other = left.join(right, met & (F.col("x").isNull() | F.col("y").isNull()))
+        found = found.unionByName(counted(other, hamming(F.col("a"), F.col("b"))))
+    return found.groupBy("d").agg(F.sum("n").alias("n"))
+
+
 def hamming_summary(rows: DataFrame, barcode: str = "barcode") -> DataFrame:
-    """minimum, 25th percentile, median, 75th percentile, maximum and average distance of all pairs of distinct barcodes.
+    """minimum, 25th percentile, median, 75th percentile, maximum and average distance of all pairs of distinct barcodes of one length.
 
     All pairs are the definition: meant for whitelists. Distances are counted by value before they are ranked.
     """
-    one = rows.select(F.col(barcode).alias("a")).distinct()
-    pairs = one.join(one.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
-    counts = pairs.groupBy(hamming(F.col("a"), F.col("b")).alias("d")).agg(F.count(F.lit(1)).alias("n")).filter("d is not null")
+    counts = distance_counts(rows, barcode)
     q = [F.percentile("d", F.lit(x), F.col("n")) for x in (0.25, 0.5, 0.75)]
     return counts.agg(
         F.min("d").cast("double").alias("minimum"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"),
@@ -118,6 +178,21 @@ class Barcodes:
         """Of rows of barcodes, repeated or not; null is none."""
         return cls(multiset(rows.filter(F.col(barcode).isNotNull()), barcode), length)
 
+    @classmethod
+    def from_whitelist(cls, spark: SparkSession, path: str, length: int) -> Barcodes:
+        """Of a file of one barcode a line; a line that comes again counts again."""
+        from ..sources import readers
+
+        return cls.from_rows(readers.whitelist(spark, path), length)
+
+    @classmethod
+    def from_encoded(cls, rows: DataFrame, length: int, code: str = "code", bits: int = 2) -> Barcodes:
+        """Of rows of encoded barcodes of 2 or 3 bits a base."""
+        if bits not in (2, 3):
+            raise ValueError("2 or 3 bits a base")
+        text = decode_two_bit(F.col(code), length) if bits == 2 else decode_three_bit(F.col(code))
+        return cls.from_rows(rows.filter(F.col(code).isNotNull()).select(text.alias("barcode")), length)
+
     def __contains__(self, barcode: str) -> bool:
         return not self.rows.filter(F.col("barcode") == barcode).isEmpty()
 

@@ -325,3 +325,53 @@ def test_barcodes_are_a_mapping(spark):
             barcodes.Barcodes.from_rows(rows, bad)
     assert found.base_frequency().filter("pos = 3").first().asDict() == {"pos": 3, "A": 1, "C": 0, "T": 1, "G": 0}
     assert found.hamming_summary().first().average == 1.0 and found.effective_diversity().filter("pos = 0").first().diversity == 0.0
+
+
+def test_halves_find_what_variants_do(spark):
+    """Corrections by halves of barcodes against those by the table of all variants: collisions, N, other letters, other lengths."""
+    import random
+
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    white = [text(n) for n in (1, 2, 5, 5, 6, 30) for _ in range(15)] + ["AXGTA", "ACGTACGTAC", "ACGTACGTAG", "acgta"]
+    raw = set(white)
+    for w in list(white):
+        for _ in range(6):
+            chars = list(w)
+            for _ in range(rng.choice([1, 1, 2])):
+                chars[rng.randrange(len(chars))] = rng.choice("ACGTNRx")
+            raw.add("".join(chars))
+    raw |= {"", "A" * 40, "N" * 5}
+    whitelist = spark.createDataFrame(list(enumerate(rng.sample(white, len(white)))), "line_no long, barcode string").repartition(3)
+    reads = spark.createDataFrame([(r,) for r in raw] * 2 + [(None,)], "CR string")
+    for fall_back in (False, True):
+        a, b = (sorted(map(str, barcodes.correct(reads, whitelist, fall_back=fall_back, most=most).collect())) for most in (10**6, 0))
+        assert a == b and len(a) == 2 * len(raw) + 1
+
+
+def test_distances_by_tiles(spark):
+    """Every pair once, whatever the tiles; texts with other letters, too; no nested loop in the plan."""
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    rng = random.Random(3)
+    words = {"".join(rng.choice("ACGT") for _ in range(n)) for n in (4, 7, 31, 40) for _ in range(25)} | {"ACGN", "ANGN", "acgt"}
+    wanted = Counter(sum(x != y for x, y in zip(a, b, strict=True)) for a, b in combinations(words, 2) if len(a) == len(b))
+    rows = spark.createDataFrame([(w,) for w in words] * 2 + [(None,)], "barcode string")
+    for tile in (1, 10, 1000):
+        found = barcodes.distance_counts(rows, tile=tile)
+        assert {r.d: r.n for r in found.collect()} == wanted
+        assert "NestedLoop" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
+
+
+def test_barcodes_of_files_and_codes(spark, tmp_path):
+    (tmp_path / "w").write_text("ACGT\nACGA\nACGT\n")
+    found = barcodes.Barcodes.from_whitelist(spark, str(tmp_path / "w"), 4)
+    assert len(found) == 2 and found["ACGT"] == 2 and "ACGA" in found
+    frame = spark.createDataFrame([("ACGT",), ("ACGT",), ("TTTT",)], "b string")
+    for bits, encode in ((2, seq.encode_two_bit), (3, seq.encode_three_bit)):
+        coded = barcodes.Barcodes.from_encoded(frame.select(encode(F.col("b")).alias("code")), 4, bits=bits)
+        assert sorted(coded) == ["ACGT", "TTTT"] and coded["ACGT"] == 2
+    with pytest.raises(ValueError):
+        barcodes.Barcodes.from_encoded(frame, 4, bits=4)
