@@ -88,6 +88,12 @@ _SCANNED = f"""{READS_SQL} SELECT rname, count(*) AS n, count(*) FILTER (unmappe
 ORACLES: dict[str, str] = {
     "scan_reads": _SCANNED,
     "scan_sam": _SCANNED,
+    "attach_lanes": f"{READS_SQL} SELECT CR, UR, count(*) AS n, count(*) AS n_own FROM reads GROUP BY ALL",
+    "broken_reads": f"""{READS_SQL}, at_ AS (SELECT *, (rec >> 32) % 8 AS k FROM reads)
+SELECT CR AS barcode, 'kept' AS fault, count(*) AS n, count(*) AS n_alike FROM at_ WHERE k NOT IN (2, 3) GROUP BY CR
+UNION ALL SELECT 'R1', 'the name doesn''t start with @', count(*), CAST(0 AS BIGINT) FROM at_ WHERE k = 2 HAVING count(*) > 0
+UNION ALL SELECT 'R2', 'sequence and quality differ in length', count(*), CAST(0 AS BIGINT) FROM at_ WHERE k = 3 HAVING count(*) > 0
+UNION ALL SELECT 'I1', 'sequence and quality differ in length', count(*), CAST(0 AS BIGINT) FROM at_ WHERE k = 2 HAVING count(*) > 0""",
     "scan_fastq": f"{READS_SQL} SELECT CR, UR, count(*) AS n, min(array_to_string(list_transform(cq, lambda q: chr(33 + q)), '')) AS least_quality FROM reads GROUP BY ALL",
     "select_by_index": f"{READS_SQL} SELECT qname, rec, count(*) AS n FROM (SELECT qname, rec, min(rec) OVER (PARTITION BY qname) AS least FROM reads) WHERE rec = least GROUP BY qname, rec",
     "zip_positional": "SELECT o_orderkey AS rec, o_orderstatus, c_mktsegment FROM orders, customer WHERE o_orderkey = c_custkey",
@@ -128,6 +134,7 @@ ORACLES: dict[str, str] = {
     "count_matrix_merge": f"{_COUNTED}, parts AS (SELECT cell, gene, CAST(substr(qname, 2) AS BIGINT) % 4 AS part, count(DISTINCT molecule) AS n FROM counted GROUP BY ALL) SELECT cell, gene, CAST(sum(n) AS BIGINT) AS n FROM parts GROUP BY ALL",
     "cell_first_seen": f"{_COUNTED} SELECT cell, row_number() OVER (ORDER BY min(rec), cell) - 1 AS cell_index FROM counted GROUP BY cell",
     "streamed_molecules": "SELECT user_id, event_type, count(DISTINCT time_bucket(INTERVAL 10 MINUTE, ts)) AS n FROM events GROUP BY ALL",
+    "streamed_increments": "SELECT user_id, event_type, count(DISTINCT time_bucket(INTERVAL 10 MINUTE, ts)) AS n FROM events GROUP BY ALL",
     "run_groups": f"""{READS_SQL}, marked AS (SELECT file, rec, GE, CASE WHEN row_number() OVER w = 1 OR GE IS DISTINCT FROM lag(GE) OVER w THEN 1 ELSE 0 END AS new FROM reads WINDOW w AS (PARTITION BY file ORDER BY rec)),
       numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY file ORDER BY rec ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM marked)
       SELECT file, run, GE, count(*) AS n, min(rec) AS first_rec FROM numbered GROUP BY ALL""",

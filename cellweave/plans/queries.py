@@ -16,7 +16,7 @@ from ..functions import sequence as seq
 from ..operators import barcodes, counts, genes, grouping, metrics, qc, tagging
 from ..shared import removed, shared_folder, written_once
 from ..sources import readers, sinks
-from ..streaming.molecules import streamed_counts
+from ..streaming import molecules
 from .oracles import ORACLES
 from .reads import alignments, gtf, whitelist
 
@@ -92,6 +92,58 @@ def scan_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed(spark, folder)
 
 
+def _local(spark: SparkSession, folder: str, pattern: str = "part-") -> list[str]:
+    """The files of a folder in the order of their names, as paths that the readers open."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(f.getPath().toString() for f in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop) if f.getPath().getName().startswith(pattern))
+    return [n.removeprefix("file:") if not n.startswith("file://") else n for n in names]
+
+
+def _lanes(rows: DataFrame, path: str, n: int, sequence: Column, quality: Column, name: Column | None = None) -> None:
+    """n FASTQ files, plain text, of the rows in the order of their ordinals over all files."""
+    name = F.concat(F.lit("@"), F.col("qname")) if name is None else name
+    text = F.concat_ws("\n", name, sequence, F.lit("+"), quality).alias("value")
+    rows.repartitionByRange(n, "rec").sortWithinPartitions("rec").select(text).write.text(path)
+
+
+@query
+def attach_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcodes of reads in three files onto alignments in two, by ordinal over all files; files are read in splits of 256 KB."""
+    folder = f"{shared_folder(spark)}/lanes-{uuid.uuid4().hex}"
+    rows = _full(spark, sf_dir)
+    try:
+        _lanes(rows, f"{folder}/r1", 3, F.concat("CR", "UR"), F.concat("CY", "UY"))
+        named = rows.select("rec", *[c for c in rows.columns if c not in ("rec", "CR", "CY", "UR", "UY", "tags", "tag_types")], F.create_map(F.lit("XR"), F.concat("CR", "UR")).alias("tags"))
+        sinks.alignments(named.repartitionByRange(2, "rec").sortWithinPartitions("rec"), f"{folder}/u2", ["@HD\tVN:1.6", *[f"@SQ\tSN:{r}\tLN:1000" for r in "ANR"]])
+        reads = readers.fastq(spark, _local(spark, f"{folder}/r1"), split=1 << 18)
+        bam = readers.alignments(spark, _local(spark, f"{folder}/u2"), "rb", columns=["rec", "qname", "tags"], split=1 << 18)
+        done = tagging.attach_barcodes(bam, reads, tagging.layout(cell=(0, 8), molecule=(8, 5)))
+        own = F.element_at("tags", "XR") == F.concat("CR", "UR")
+        return written_once(done.groupBy("CR", "UR").agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("n_own")))
+    finally:
+        removed(spark, folder)
+
+
+@query
+def broken_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files in step, each with broken records of its own: what is left of each order's reads, and the bad ones by file and fault."""
+    folder = f"{shared_folder(spark)}/broken-{uuid.uuid4().hex}"
+    rows = alignments(spark, sf_dir)
+    at, barcode, quality = F.pmod(F.shiftright("rec", 32), F.lit(8)), F.concat("CR", "UR"), F.concat("CY", "UY")
+    name = F.concat(F.when(at == 2, F.lit("")).otherwise(F.lit("@")), F.col("qname"))
+    try:
+        _lanes(rows, f"{folder}/R1", 2, barcode, quality, name)
+        _lanes(rows, f"{folder}/R2", 2, barcode, F.when(at == 3, F.concat(quality, F.lit("I"))).otherwise(quality))
+        _lanes(rows, f"{folder}/I1", 2, F.col("UR"), F.when(at == 2, F.lit("")).otherwise(F.col("UY")))
+        kept, bad = tagging.in_step({k: readers.fastq(spark, _local(spark, f"{folder}/{k}"), keep_bad=True, split=1 << 18) for k in ("R1", "R2", "I1")})
+        fine = tagging.zipped(*[kept[k].select("rec", F.col("sequence").alias(k)) for k in kept])
+        good = fine.groupBy(F.substring("R1", 1, 8).alias("barcode"), F.lit("kept").alias("fault")).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("R1") == F.col("R2")) & F.col("R1").endswith(F.col("I1"))).alias("n_alike"))
+        lost = bad.groupBy(F.col("read").alias("barcode"), "fault").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("n_alike"))
+        return written_once(good.unionByName(lost))
+    finally:
+        removed(spark, folder)
+
+
 @query
 def select_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each order, by ordinal."""
@@ -318,7 +370,13 @@ def cell_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def streamed_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream: distinct (user, kind, ten-minute window) counted by user and kind."""
-    return streamed_counts(spark, sf_dir)
+    return molecules.streamed_counts(spark, sf_dir)
+
+
+@query
+def streamed_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from increments of counts, by a keyed state that is dropped as time passes."""
+    return molecules.streamed_increments(spark, sf_dir)
 
 
 # order and parts

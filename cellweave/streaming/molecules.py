@@ -1,11 +1,15 @@
-"""Counts over a stream of reads: distinct molecules within a watermark."""
+"""Counts over a stream of reads: distinct molecules within a watermark, as rows or as increments of counts."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..shared import removed, shared_folder, written_once
 
@@ -16,24 +20,80 @@ def distinct_molecules(stream: DataFrame, keys: list[str], time: str = "ts", lat
     return started.withWatermark(time, lateness).dropDuplicatesWithinWatermark([*keys, "window_start"])
 
 
+#: Parts that a key's molecules are dealt out to: those of a large cell are kept by several tasks.
+PARTS = 16
+
+
+def _counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, names: list[str]) -> Iterator[pd.DataFrame]:
+    """State: the molecules of a key's part that are alive, and until when (milliseconds of event time)."""
+    alive = dict(zip(*state.get, strict=True)) if state.exists else {}
+    new = 0
+    for frame in frames:
+        for molecule, until in frame.groupby("molecule")["until"].max().items():
+            new += molecule not in alive
+            alive[molecule] = max(int(until), alive.get(molecule, 0))
+    now = state.getCurrentWatermarkMs()
+    alive = {m: t for m, t in alive.items() if t > now}
+    if alive:
+        state.update((list(alive), list(alive.values())))
+        state.setTimeoutTimestamp(min(alive.values()))
+    elif state.exists:
+        state.remove()
+    if new:
+        yield pd.DataFrame({**{n: [v] for n, v in zip(names, key, strict=False)}, "n": [new]})
+
+
+def molecule_increments(stream: DataFrame, keys: list[str], molecule: str, time: str = "ts", lateness: str = "1 hour", life: str = "1 hour", parts: int = PARTS) -> DataFrame:
+    """The keys and n, how many molecules (column molecule, text) are new to them, for every part of a micro-batch that brings some: counts are sums of n.
+
+    A molecule is known until the life after it was last seen has passed in event time; then its state goes, and it would be a new one.
+    Rows behind the watermark are late: Spark drops them and says how many. So the state is that of the molecules of about
+    lateness + life, whatever has gone by.
+    """
+    until = F.unix_millis(F.col(time) + F.expr(f"interval {life}")).alias("until")
+    rows = stream.withWatermark(time, lateness).select(*keys, F.col(molecule).cast("string").alias("molecule"), time, until)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("molecule"), F.lit(parts)).cast("int"))
+    fields = ", ".join(f"{n} {dict(stream.dtypes)[n]}" for n in keys)
+    return rows.groupBy(*keys, "part").applyInPandasWithState(partial(_counted, names=keys), f"{fields}, n long", "names array<string>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: In how many pieces the table of a query comes in, in the order of time.
+PIECES = 6
+
+
+def arrived(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an operator makes of the events table that comes in as a stream, piece by piece in the order of time; written."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    first, last = events.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    width = ((last or 0) - (first or 0)) // PIECES + 1
+    running = None
+    try:
+        for k in range(PIECES):
+            begin = (first or 0) + k * width
+            events.filter((F.unix_millis("ts") >= begin) & (F.unix_millis("ts") < begin + width)).write.mode("append").parquet(f"{folder}/in")
+            if running is None:
+                made = operator(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
+                running = made.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").start(f"{folder}/rows")
+            running.processAllAvailable()
+        return written_once(spark.read.schema(made.schema).parquet(f"{folder}/rows"))
+    finally:
+        if running is not None:
+            running.stop()
+        removed(spark, folder)
+
+
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, event_type, n: distinct windows over the events table, read as a stream to its end."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    span = spark.read.parquet(path).agg((F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")).alias("s")).first()["s"]
-    rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    distinct = distinct_molecules(rows, ["user_id", "event_type"], lateness=f"{int(span or 0) + 600} seconds")  # no row is late
-    folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
-    running = distinct.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
-    running.awaitTermination()
-    found = spark.read.schema(distinct.schema).parquet(f"{folder}/rows").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    found = written_once(found)
-    removed(spark, folder)
-    return found
+    found = arrived(spark, sf_dir, lambda rows: distinct_molecules(rows, ["user_id", "event_type"]))
+    return found.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def streamed_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, event_type, n: the same from increments of counts, whose state lives for the length of a window."""
 
+    def increments(rows: DataFrame) -> DataFrame:
+        named = rows.withColumn("started", F.window("ts", "10 minutes")["start"].cast("string"))
+        return molecule_increments(named, ["user_id", "event_type"], "started", life="10 minutes")
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    return arrived(spark, sf_dir, increments).groupBy("user_id", "event_type").agg(F.sum("n").alias("n"))
