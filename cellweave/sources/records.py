@@ -173,7 +173,10 @@ def _first_read(w: Window) -> int | None:
 
 
 def _reads(w: Window, keep_bad: bool) -> Iterator[tuple[list, list, list, list, list]]:
-    """Names, sequences, third lines, qualities and faults (None: none) of the records of the split."""
+    """Names, sequences, third lines, qualities and faults (None: none) of the records of the split.
+
+    What lies between two good records is as many bad ones as it has fours of lines, rounded, and one at least.
+    """
     at = _first_read(w)
     if not keep_bad:
         for found in line_groups(w, 4, at):
@@ -204,7 +207,9 @@ def _reads(w: Window, keep_bad: bool) -> Iterator[tuple[list, list, list, list,
             if k is None:
                 break
             if k > j:
-                rows.append([bare[j][:1000], None, None, None, fault(bare[j:k]).encode()])
+                # as many bad records as it has lines for, the last with what is over
+                ends = [*range(j + 4, j + 4 * max(1, (k - j + 2) // 4), 4), k]
+                rows += [[bare[a][:1000], None, None, None, fault(bare[a:b]).encode()] for a, b in zip([j, *ends], ends)]  # noqa: B905
             else:
                 k = j + 4
                 rows.append([*bare[j:k], None])

@@ -203,6 +203,19 @@ def test_bad_records_are_rows(tmp_path, size, pack):
             split_rows("fastq", [tmp_path / "f"], 1 << 30)
 
 
+@pytest.mark.parametrize("size", SIZES)
+def test_bad_records_in_a_row_are_counted_one_by_one(tmp_path, size):
+    records = reads(4, 30)
+    lines = [list(r) for r in records]
+    for i in (3, 4, 5, 20):
+        lines[i][0] = lines[i][0][1:]
+    lines[21] = lines[21][:3]
+    (tmp_path / "f").write_bytes("".join(x + "\n" for r in lines for x in r).encode())
+    got = split_rows("fastq", [tmp_path / "f"], size, bad="keep")
+    assert [r[1] for r in got] == list(range(30)) and [r[1] for r in got if r[6]] == [3, 4, 5, 20, 21]
+    assert [r[2:6] for r in got if not r[6]] == [r for i, r in enumerate(records) if i not in (3, 4, 5, 20, 21)]
+
+
 def test_garbage_is_cut_into_rows(tmp_path, monkeypatch):
     from cellweave.sources import records
 
