@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, packed, pick, unpacked
+from .common import BLANKS, cut, packed, pick, text_key, unpacked
 
 #: Copies of each host's page total, so that a large host is joined by many tasks.
 SALTS = 64
@@ -64,26 +64,29 @@ def boilerplate(docs: DataFrame, limits: Limits = Limits(), host: str = "source"
 
 
 def dropped_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> DataFrame:
-    """Rows doc_id, host, gone (digests): what the pages of that doc_id and host have to lose."""
-    pages = pick(docs, "doc_id", "text", host).withColumnRenamed(host, "host")
-    found = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), digest))
-    each = pages.select("doc_id", "host", F.explode(found).alias("line"))
+    """Rows doc_id, host, key (of the text), gone: a byte for each line up to the last that the pages of that doc_id, host and text have to lose, 1 for those."""
+    pages = pick(docs, "doc_id", "text", host).withColumnRenamed(host, "host").withColumn("key", text_key(F.col("text")))
+    each = pages.select("doc_id", "host", "key", F.posexplode(F.split("text", "\n")).alias("place", "bare")).filter(F.btrim("bare", F.lit(BLANKS)) != "")
+    each = each.select("doc_id", "host", "key", "place", digest(F.col("bare")).alias("line"))
     known = lines.select(F.col("host").alias("of"), F.col("line").alias("known"))
     hits = each.join(known, each["host"].eqNullSafe(known["of"]) & (each["line"] == known["known"]), "left_semi")
-    return hits.groupBy("doc_id", "host").agg(F.collect_set("line").alias("gone"))
+    found = hits.groupBy("doc_id", "host", "key").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    # bytes, not a set: a look into it takes as long however many lines go
+    gap = F.transform("places", lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i > 0, F.get(F.col("places"), i - 1)).otherwise(-1) - 1), F.lit("1")))
+    return found.select("doc_id", "host", "key", F.array_join(gap, "").cast("binary").alias("gone"))
 
 
 def thinned(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
     """Columns row, text (thinned), n_lines, n_dropped for every document."""
     lines = cut(boilerplate(docs, limits, host))
-    gone = dropped_lines(docs, lines, host).select(F.col("doc_id").alias("its_id"), F.col("host").alias("of"), "gone")
-    whole = packed(docs, "doc_id", "text", host).withColumnRenamed(host, "host")
-    both = whole.join(gone, whole["doc_id"].eqNullSafe(gone["its_id"]) & whole["host"].eqNullSafe(gone["of"]), "left")
-    split = both.select("row", "doc_id", "text", F.coalesce("gone", F.array().cast("array<binary>")).alias("gone"), F.split("text", "\n").alias("lines"))
-    kept = F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("gone"), digest(x)) | (F.btrim(x, F.lit(BLANKS)) == "")))
+    gone = dropped_lines(docs, lines, host).select(F.col("doc_id").alias("its_id"), F.col("host").alias("of"), F.col("key").alias("its_key"), "gone")
+    whole = packed(docs, "doc_id", "text", host).withColumnRenamed(host, "host").withColumn("key", text_key(F.col("text")))
+    both = whole.join(gone, whole["doc_id"].eqNullSafe(gone["its_id"]) & whole["host"].eqNullSafe(gone["of"]) & (whole["key"] == gone["its_key"]), "left")
+    split = both.select("row", "doc_id", "gone", F.split("text", "\n").alias("lines"))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: F.substring(F.col("gone"), i + 1, F.lit(1)) != F.lit(b"1")))
     if limits.most_lost < 1:
         left = n_marks(kept) < n_marks(F.col("lines")) * F.lit(1 - limits.most_lost)
-        kept = F.when((F.size("gone") == 0) | left, F.col("lines")).otherwise(kept)
+        kept = F.when(F.col("gone").isNull() | left, F.col("lines")).otherwise(kept)
     split = split.select("row", "doc_id", "lines", kept.alias("kept"))
     return split.select(
         "row",

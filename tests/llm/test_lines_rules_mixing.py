@@ -143,3 +143,18 @@ def test_rules_filter_by_shuffle_and_with_copies(spark, frame, monkeypatch):
         wide = frame(rows).select("*", F.lit(1).alias("key"), F.lit(2).alias("other"), F.lit(3).alias("row"), F.lit(4).alias("TEXT"))
         kept = quality.rules_filter(wide)
         assert kept.columns == wide.columns and sorted((r.doc_id or -1) for r in kept.select("doc_id").collect()) == wanted
+
+
+def test_long_pages_take_time_in_proportion(spark, frame):
+    """Pages of thousands of lines that are all boilerplate, kept ones among them."""
+    import time
+
+    took = {}
+    for n in (4000, 16000):
+        text = "\n".join(f"line {i}" if i % 3 else f"  line {i}\t" for i in range(n))
+        rows = [(i, text + f"\nown {i}\n\nline 5") for i in range(6)]
+        began = time.perf_counter()
+        got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.thinned(frame(rows), linededup.Limits(0.5, 3)).collect()}
+        took[n] = time.perf_counter() - began
+        assert got == {i: (f"own {i}\n", n + 1) for i in range(6)}
+    assert took[16000] < 4 * took[4000] + 10
