@@ -484,3 +484,94 @@ def test_arrow_batches_without_rows():
     assert sum(b.num_rows for b in secrets._scanned(iter([empty]))) == 0
     assert sum(b.num_rows for b in bpe._digests(iter([empty]), VOCABULARY)) == 0
     assert sum(b.num_rows for b in bpe._ids(iter([empty]), VOCABULARY)) == 0
+
+
+# HTML: what is made is known from how it was made, not from a parser
+
+
+class Writer:
+    """Pages with the text that belongs to their article, block by block."""
+
+    def __init__(self, seed):
+        self.rng, self.n = random.Random(seed), 0
+
+    def words(self):
+        self.n += 1
+        return f"w{self.n} " + " ".join(self.rng.choice(["alpha", "beta", "x&y", "a<b", "\u00e9t\u00e9", "\"quoted\""]) for _ in range(self.rng.randrange(1, 6)))
+
+    def shown(self, text):
+        out = text.replace("&", "&amp;").replace("<", self.rng.choice(["&lt;", "&#60;", "&#x3c;"])).replace("\u00e9", self.rng.choice(["\u00e9", "&eacute;"]))
+        return out.replace(" ", self.rng.choice([" ", "\n  ", " <!-- <p>no</p> --> ", " <script>if (a<b) document.write('<p>no</p>')</script>"]), 1)
+
+    def inline(self, text):
+        first, _, rest = text.partition(" ")
+        mark = self.rng.choice(["b", "em", "a href='/x?a>b'", "span class=\"word\"", "SPAN title='>'"])
+        return f"<{mark}>{self.shown(first)}</{mark.split()[0]}> {self.shown(rest)}"
+
+    def noise(self, deep=0):
+        """Something that isn't the article's, well formed or not, with noise in it."""
+        kind = self.rng.randrange(9)
+        inner = f"<p>{self.shown(self.words())}</p>" + (self.noise(deep + 1) if deep < 3 and self.rng.random() < 0.5 else "")
+        return [
+            f"<div class='ad banner'>{inner}</div>",
+            f"<aside>{inner}<p>open</aside>",
+            f"<div id=comments><ul><li>{inner}<li>another</ul></div>",
+            f"<nav><a href=/>Home</a>{inner}</nav>",
+            f"<form><input name=q>{inner}<select><option>one<option>two</select></form>",
+            f"<style>p > a {{ color: red }}</style><footer>{inner}</footer>",
+            f"<div style='display: none'>{inner}</div>",
+            f"<section class=\"related posts\">{inner}</section>",
+            f"<div hidden><div>{inner}</div></div>",
+        ][kind]
+
+    def block(self, deep=0):
+        """HTML of some blocks of the article, and their texts."""
+        kind = self.rng.randrange(7)
+        text = self.words()
+        if kind == 0:
+            return f"<p>{self.inline(text)}", [text]  # left open
+        if kind == 1:
+            return f"<h2>{self.shown(text)}</h2>", [text]
+        if kind == 2:
+            more = [self.words() for _ in range(3)]
+            return "<ul>" + "".join(f"<li>{self.shown(t)}" for t in more) + "</ul>", more
+        if kind == 3:
+            return f"<blockquote><p>{self.shown(text)}</p></blockquote>", [text]
+        if kind == 4 and deep < 3:
+            parts = [self.block(deep + 1) if self.rng.random() < 0.7 else (self.noise(), []) for _ in range(3)]
+            return f"<div class=part>{''.join(h for h, _ in parts)}</div>", [t for _, ts in parts for t in ts]
+        if kind == 5:
+            other = self.words()
+            return f"<p>{self.shown(text)}</p></span></b><table><tr><td>{self.shown(other)}</table>", [text, other]
+        return f"<p>{self.shown(text)}</p>", [text]
+
+    def page(self):
+        parts = [self.block() if self.rng.random() < 0.7 else (self.noise(), []) for _ in range(12)]
+        title = self.words()
+        body = f"<header class=top><h1>{self.shown(title)}</h1></header>" + "".join(h for h, _ in parts)
+        around = [self.noise() for _ in range(4)]
+        source = f"<!DOCTYPE html><html><head><title>{self.words()}</title><meta charset=utf-8></head><body class='page with-sidebar'>{around[0]}{around[1]}<article id=a1>{body}</article>{around[2]}{around[3]}</body></html>"
+        inside = [t for _, ts in parts for t in ts]
+        return source, inside, title
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_article_text_of_made_pages(seed):
+    from cellweave.llm.htmltext import blocks
+
+    source, inside, title = Writer(seed).page()
+    page = blocks(source)
+    got = [t for t, k in page.blocks if k == page.level]
+    assert got in ([title, *inside], inside)
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<span>", "<a<", "</script", "<p x='", "<p>", "</b>", "<!--x", "<![CDATA[", "&#"])
+@pytest.mark.parametrize("tail", ["", ">", "<p>" * 30_000, "\"'>"])
+def test_bad_pages_take_time_in_proportion(unit, tail):
+    import time
+
+    from cellweave.llm.htmltext import blocks
+
+    began = time.perf_counter()
+    blocks("<article>" + unit * (1_000_000 // len(unit)) + tail)
+    assert time.perf_counter() - began < 10
