@@ -118,18 +118,29 @@ def _metrics(features: DataFrame, entity: str, mitochondrial: DataFrame | None,
     return both
 
 
-def cell_metrics(alignments: DataFrame, mitochondrial: DataFrame | None = None, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({})) -> DataFrame:
+def required(alignments: DataFrame, *tags: str) -> DataFrame:
+    """The alignments, all of which have to have these tags: the first without one is an error. XF and NH are for mapped ones only."""
+    mapped = ~has_flag(F.col("flag"), 4)
+    missing = F.coalesce(*[F.when((mapped if t in ("XF", "NH") else F.lit(True)) & F.col(t).isNull(), F.lit(t)) for t in tags])
+    fault = F.raise_error(F.concat(F.lit("alignment "), F.col("qname"), F.lit(" without tag "), missing)).cast("boolean")
+    return alignments.filter(F.when(missing.isNotNull(), fault).otherwise(F.lit(True)))
+
+
+def cell_metrics(alignments: DataFrame, mitochondrial: DataFrame | None = None, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({}), strict: bool = False) -> DataFrame:
     """One row per cell barcode (null is one, unless dropped); mitochondrial: rows with column gene.
 
-    extra: further aggregates over the columns of read_features, by name.
+    extra: further aggregates over the columns of read_features, by name. strict: alignments without the tags that metrics are made of are an
+    error; else they count in no metric of that tag.
     """
+    alignments = required(alignments, "UY", "CY", "XF", "NH") if strict else alignments
     rows = alignments.filter(F.col("CB").isNotNull()) if drop_null else alignments
     added = [c.alias(k) for k, c in extra.items()]
     return _metrics(read_features(rows), "CB", mitochondrial, added).select("CB", *COMMON_METRICS, *CELL_METRICS, *extra)
 
 
-def gene_metrics(alignments: DataFrame, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({})) -> DataFrame:
-    """One row per gene name (null is one, unless dropped); reads of several genes are left out. extra: as for cells."""
+def gene_metrics(alignments: DataFrame, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({}), strict: bool = False) -> DataFrame:
+    """One row per gene name (null is one, unless dropped); reads of several genes are left out. extra, strict: as for cells."""
+    alignments = required(alignments, "UY", "XF", "NH") if strict else alignments
     rows = alignments.filter(single_gene(F.col("GE")) if drop_null else F.coalesce(single_gene(F.col("GE")), F.lit(True)))
     added = [c.alias(k) for k, c in extra.items()]
     return _metrics(read_features(rows), "GE", None, added).select("GE", *COMMON_METRICS, *GENE_METRICS, *extra)

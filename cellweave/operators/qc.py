@@ -44,8 +44,9 @@ def picard_table(files: DataFrame) -> DataFrame:
     """One row per line of the metrics section, Sample first: for files of one class."""
     cells = picard_rows(files)
     keys = [r["key"] for r in cells.filter("row = 0").groupBy("key").agg(F.min("column").alias("c")).orderBy("c").collect()]  # a header's names
-    wide = cells.groupBy("sample", "file", "row").pivot("key", keys).agg(F.first("value"))
-    return wide.orderBy("file", "row").select(F.col("sample").alias("Sample"), *[F.col(f"`{k}`") for k in keys])
+    # a key may be sample in capitals
+    wide = cells.withColumn("key", F.concat(F.lit("its "), "key")).groupBy("sample", "file", "row").pivot("key", [f"its {k}" for k in keys]).agg(F.first("value"))
+    return wide.orderBy("file", "row").select(F.col("sample").alias("Sample"), *[F.col(f"`its {k}`").alias(k) for k in keys])
 
 
 def hisat2_metrics(files: DataFrame) -> DataFrame:

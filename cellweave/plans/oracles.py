@@ -127,6 +127,7 @@ UNION ALL SELECT 'I1', 'sequence and quality differ in length', count(*), CAST(0
     "cell_metrics": _CELL,
     "gene_metrics": _GENE,
     "online_stats": f"{READS_SQL} SELECT CB, UB, round(avg(pos), 6) AS mean, round(var_samp(pos), 6) AS variance FROM reads GROUP BY ALL",
+    "native_cells": f"{_CELL} WHERE CB IS NOT NULL",
     "merge_cell": f"{_CELL} WHERE CB IS NOT NULL",
     "merge_gene": _gene_chunks(),
     "count_matrix": f"{_COUNTED} SELECT cell, gene, count(DISTINCT molecule) AS n FROM counted GROUP BY ALL",

@@ -17,6 +17,7 @@ from ..operators import barcodes, counts, genes, grouping, metrics, qc, tagging
 from ..shared import removed, shared_folder, written_once
 from ..sources import readers, sinks
 from ..streaming import molecules
+from . import files
 from .oracles import ORACLES
 from .reads import alignments, gtf, whitelist
 
@@ -502,9 +503,15 @@ def qc_outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.outer_merged(*tables)
 
 
+@query
+def native_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of cells without the null one."""
+    return _rounded(metrics.cell_metrics(alignments(spark, sf_dir), _mito(spark, sf_dir), drop_null=True))
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | files.ORACLES

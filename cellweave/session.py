@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def session(master: str | None = None, app: str = "cellweave", **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; the last of repeated map keys wins (GTF attributes)."""
+    """A session in UTC with adaptive execution; the last of repeated map keys wins (GTF attributes), and checkpoints that nothing refers to are deleted."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -15,6 +15,7 @@ def session(master: str | None = None, app: str = "cellweave", **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

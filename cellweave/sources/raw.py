@@ -15,6 +15,7 @@ GZIP, BZIP2 = b"\x1f\x8b", b"BZh"
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
+    path = path.removeprefix("file:") if path.startswith("file:") and "://" not in path else path
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
-from array import array
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.counts import dense_index
 from ..operators.tagging import downsampled_read
+from .archives import write_archive
 from .formats import register
 from .raw import located
 
@@ -115,8 +113,8 @@ def count_archive(counts: DataFrame, prefix: str, cells: DataFrame | None = None
     """<prefix>.npz (compressed sparse rows), <prefix>_row_index.npy, <prefix>_col_index.npy.
 
     cells (cell, cell_index) and genes (gene, gene_index) say what the rows and columns are, also those without counts, so that archives
-    of one annotation can be stacked; without them: the names that occur, sorted. The archive is one file of one process: for
-    matrices that fit it. count_tables is the form for larger ones.
+    of one annotation can be stacked; without them: the names that occur, sorted. Many tasks make the archive's parts. count_tables is the
+    form that many tasks can read.
     """
     placed, named = counts.select("cell", "gene", "n"), {}
     for what, given in (("cell", cells), ("gene", genes)):
@@ -128,24 +126,6 @@ def count_archive(counts: DataFrame, prefix: str, cells: DataFrame | None = None
     write_archive(placed, named["cell"], named["gene"], prefix)
 
 
-def write_archive(entries: DataFrame, cells: DataFrame, genes: DataFrame, prefix: str) -> None:
-    """An archive of cell_index, gene_index, n and the names of rows (cell, cell_index) and columns (gene, gene_index)."""
-    rows, columns, data = array("i"), array("i"), array("I")
-    for r in entries.select("cell_index", "gene_index", "n").orderBy("cell_index", "gene_index").toLocalIterator():
-        rows.append(r["cell_index"])
-        columns.append(r["gene_index"])
-        data.append(r["n"])
-    found = [np.array([r[w] for r in t.orderBy(f"{w}_index").toLocalIterator()], str) for t, w in ((cells, "cell"), (genes, "gene"))]
-    starts = np.concatenate(([0], np.cumsum(np.bincount(np.array(rows, np.int64), minlength=len(found[0])))))
-    parts = {"indices": np.array(columns, np.int32), "indptr": starts.astype(np.int32), "format": np.array(b"csr"), "shape": np.array([len(x) for x in found]), "data": np.array(data, np.uint32)}
-    for name, write in ((".npz", lambda f: np.savez_compressed(f, **parts)), ("_row_index.npy", lambda f: np.save(f, found[0])), ("_col_index.npy", lambda f: np.save(f, found[1]))):
-        held = io.BytesIO()
-        write(held)
-        system, inner = located(prefix + name)
-        with system.open_output_stream(inner) as out:
-            out.write(held.getvalue())
-
-
 def qc_csv(table: DataFrame, path: str) -> str:
     """One CSV file of a pivoted quality table (a row a sample)."""
     path = path if path.endswith(".csv") else path + ".csv"

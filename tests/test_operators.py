@@ -375,3 +375,15 @@ def test_barcodes_of_files_and_codes(spark, tmp_path):
         assert sorted(coded) == ["ACGT", "TTTT"] and coded["ACGT"] == 2
     with pytest.raises(ValueError):
         barcodes.Barcodes.from_encoded(frame, 4, bits=4)
+
+
+def test_strict_metrics_need_their_tags(spark):
+    fine = [read(0), read(1, flag=4, XF=None, NH=None)]
+    for rows, tag in ((fine, None), ([*fine, read(2, UY=None)], "UY"), ([*fine, read(2, CY=None)], "CY"), ([*fine, read(2, XF=None)], "XF"), ([*fine, read(2, NH=None)], "NH")):
+        df = spark.createDataFrame(rows, READ)
+        assert metrics.cell_metrics(df).count() == 1
+        if tag is None:
+            assert metrics.cell_metrics(df, strict=True).first().n_reads == 2 and metrics.gene_metrics(df, strict=True).count() == 1
+        else:
+            with pytest.raises(Exception, match=f"q2 without tag {tag}"):
+                metrics.cell_metrics(df, strict=True).collect()

@@ -178,6 +178,46 @@ def test_archives_hold_all_genes_and_stack(spark, tmp_path):
         sinks.count_archive(spark.createDataFrame([("z", "other", 1)], "cell string, gene string, n long"), str(tmp_path / "bad"), None, genes_of)
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_archives_made_of_many_blocks(spark, tmp_path, monkeypatch, wide):
+    """Blocks of three rows, some without entries; pointers of 64 bits from some number of entries on."""
+    from cellweave.sources import archives
+
+    monkeypatch.setattr(archives, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(archives, "WIDE", 5 if wide else 1 << 31)
+    dense = np.random.default_rng(1).integers(0, 3, (20, 6)) * (np.arange(20)[:, None] % 4 != 1)
+    dense[9:15] = 0
+    rows, columns = np.nonzero(dense)
+    entries = spark.createDataFrame([(int(i), int(j), int(dense[i, j])) for i, j in zip(rows, columns, strict=True)], "cell_index long, gene_index long, n long").repartition(5)
+    cells = spark.createDataFrame([(f"c{'x' * (i % 3)}{i}", i) for i in range(20)], "cell string, cell_index long")
+    names = spark.createDataFrame([(f"g{j}", j) for j in range(6)], "gene string, gene_index long")
+    archives.write_archive(entries, cells, names, str(tmp_path / "m"))
+    m = np.load(str(tmp_path / "m.npz"))
+    assert m["indptr"].dtype == m["indices"].dtype == (np.int64 if wide else np.int32) and m["data"].dtype == np.uint32 and m["format"] == b"csr"
+    assert m["shape"].tolist() == [20, 6] and m["indptr"].tolist() == [0, *np.cumsum((dense > 0).sum(axis=1)).tolist()]
+    assert m["indices"].tolist() == columns.tolist() and m["data"].tolist() == dense[rows, columns].tolist()
+    assert np.load(str(tmp_path / "m_row_index.npy")).tolist() == [f"c{'x' * (i % 3)}{i}" for i in range(20)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["m.npz", "m_col_index.npy", "m_row_index.npy"]
+    assert {(r.cell_index, r.gene_index): r.n for r in readers.archive_entries(spark, str(tmp_path / "m")).collect()} == {(i, j): dense[i, j] for i, j in zip(rows.tolist(), columns.tolist(), strict=True)}
+    empty = spark.createDataFrame([], "cell_index long, gene_index long, n long")
+    archives.write_archive(empty, cells.limit(0), names.limit(0), str(tmp_path / "e"))
+    assert np.load(str(tmp_path / "e.npz"))["indptr"].tolist() == [0] and np.load(str(tmp_path / "e_row_index.npy")).tolist() == []
+    with pytest.raises(Exception, match="doesn't fit"):
+        archives.write_archive(entries.withColumn("n", F.lit(1 << 33)), cells, names, str(tmp_path / "bad"))
+
+
+def test_checksums_of_joined_bytes():
+    import random
+    import zlib
+
+    from cellweave.sources.archives import joined_crc
+
+    rng = random.Random(1)
+    for _ in range(100):
+        a, b = rng.randbytes(rng.randrange(50)), rng.randbytes(rng.randrange(5000))
+        assert joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_metrics_files(spark, tmp_path):
     table = spark.createDataFrame([("A", 1, 0.5), (None, 2, None)], "CB string, n_reads long, genomic_read_quality_mean double")
     path = sinks.metrics_file(table, str(tmp_path / "m"))
