@@ -63,6 +63,47 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray
         i = j
 
 
+def pieces(raw: np.ndarray, size: int = CHUNK) -> Iterator[np.ndarray]:
+    """A text's bytes in parts of about size, cut at blanks; a longer word stays whole."""
+    at = 0
+    while at < len(raw):
+        end = at + size
+        while end < len(raw) and not (blank := SPACES[raw[end : end + size]]).any():
+            end += size
+        end = len(raw) if end >= len(raw) else end + int(blank.argmax())
+        yield raw[at:end]
+        at = end
+
+
+def _windows(codes: np.ndarray, k: int, places: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    m = max(0, len(codes) - k + 1)
+    windows = np.zeros(m, np.uint64)
+    for j in range(k):
+        windows += codes[j : j + m] * places[j]
+    return mixed(windows)
+
+
+def _short(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The hash of all words, where there are fewer than a shingle has; none of none."""
+    n = len(codes)
+    return mixed((codes * places[:n]).sum(keepdims=True) + np.uint64(n * 0xE7037ED1A0B428DB & (1 << 64) - 1)) if n else np.empty(0, np.uint64)
+
+
+def long_set(raw: np.ndarray, k: int, size: int = CHUNK) -> np.ndarray:
+    """The same as shingle_sets of one text, part by part: k - 1 words are carried over. Beside the text there are 8 bytes a word."""
+    places = series(0, k, 5)
+    tail, found = np.empty(0, np.uint64), []
+    for part in pieces(raw, size):
+        codes = np.concatenate((tail, word_codes(part, np.zeros(1, np.int64))[0]))
+        if len(codes) >= k:
+            found.append(np.unique(_windows(codes, k, places)))
+            tail = codes[len(codes) - k + 1 :]
+        else:
+            tail = codes
+    return np.unique(np.concatenate(found)) if found else _short(tail, places)
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text (no nulls) its sorted distinct shingles of k words; of fewer words, one of them all."""
     places = series(0, k, 5)
@@ -70,18 +111,11 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         if not len(raw):
             yield from (np.empty(0, np.uint64) for _ in begins)
             continue
+        if len(begins) == 1 and len(raw) > 2 * CHUNK:
+            yield long_set(raw, k)
+            continue
         codes, _, _, firsts = word_codes(raw, begins)
         bounds = np.append(firsts, len(codes))
-        m = max(0, len(codes) - k + 1)
-        windows = np.zeros(m, np.uint64)
-        for j in range(k):
-            windows += codes[j : j + m] * places[j]
-        windows = mixed(windows)
+        windows = _windows(codes, k, places)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            n = b - a
-            if n >= k:
-                yield np.unique(windows[a : b - k + 1])
-            elif n:
-                yield mixed((codes[a:b] * places[:n]).sum(keepdims=True) + np.uint64(int(n) * 0xE7037ED1A0B428DB & (1 << 64) - 1))
-            else:
-                yield np.empty(0, np.uint64)
+            yield np.unique(windows[a : b - k + 1]) if b - a >= k else _short(codes[a:b], places)

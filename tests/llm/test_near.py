@@ -165,3 +165,26 @@ def test_empty_and_clashing_columns(spark, frame):
     assert near.linked(frame([])).count() == 0 and near.one_of_each(frame([])).count() == 0
     wide = frame([(1, "a b c d e f"), (2, "a b c d e f")]).select("*", *[F.lit(1).alias(c) for c in ("node", "token", "row", "its_id", "TEXT")])
     assert near.one_of_each(wide).columns == wide.columns and near.one_of_each(wide).count() == 1
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+@pytest.mark.parametrize("size", [1, 5, 64, 1000])
+def test_long_texts_part_by_part(k, size):
+    from cellweave.llm.shingles import long_set
+
+    rng = random.Random(k)
+    for text in ("", " ", "one", "a b", "  a  b\tc ", "x" * 300, " ".join(rng.choice(["a", "bb", "Ccc", "d" * 90]) for _ in range(400)) + " \n"):
+        whole = next(shingle_sets(pa.array([text]), k))
+        assert (long_set(np.frombuffer(text.encode(), np.uint8), k, size) == whole).all(), text[:40]
+
+
+def test_memory_of_a_long_text():
+    """64 MB of text take well under 1 GB."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import resource, pyarrow as pa; from cellweave.llm.shingles import shingle_sets; text = pa.array([' '.join(str(i * 7919 % 1000003) for i in range(9_500_000))]); n = len(next(shingle_sets(text, 5))); print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    n, megabytes = map(int, done.stdout.split())
+    assert n > 900_000 and megabytes < 1500
