@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import DUPLICATE, REVERSE, UNMAPPED, aligned_part, has_flag, mean_of, share_above, share_above_text, single_gene, spliced
 from ..schema import CELL_METRICS, CODING, COMMON_METRICS, GENE_METRICS, INTERGENIC, INTRONIC, UTR
+from .ordered import sorted_pairs
 
 
 def read_features(alignments: DataFrame) -> DataFrame:
@@ -104,9 +105,9 @@ def _counts(table: DataFrame, entity: str, mitochondrial: DataFrame | None) -> D
     return table.groupBy(F.col(entity).alias("entity")).agg(*found)
 
 
-def _metrics(features: DataFrame, entity: str, mitochondrial: DataFrame | None, extra: Sequence[Column] = ()) -> DataFrame:
+def _metrics(features: DataFrame, entity: str, mitochondrial: DataFrame | None, extra: Sequence[Column] = (), order: Sequence[str] | None = None) -> DataFrame:
     sums = _sums(features, entity, extra)
-    counts = _counts(pairs(features), entity, mitochondrial)
+    counts = _counts(sorted_pairs(features, order) if order else pairs(features), entity, mitochondrial)
     both = sums.join(counts, sums[entity].eqNullSafe(counts["entity"])).drop("entity")
     both = both.withColumns({
         "reads_per_molecule": F.try_divide("n_reads", "n_molecules"),
@@ -126,24 +127,25 @@ def required(alignments: DataFrame, *tags: str) -> DataFrame:
     return alignments.filter(F.when(missing.isNotNull(), fault).otherwise(F.lit(True)))
 
 
-def cell_metrics(alignments: DataFrame, mitochondrial: DataFrame | None = None, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({}), strict: bool = False) -> DataFrame:
+def cell_metrics(alignments: DataFrame, mitochondrial: DataFrame | None = None, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({}), strict: bool = False, order: Sequence[str] | None = None) -> DataFrame:
     """One row per cell barcode (null is one, unless dropped); mitochondrial: rows with column gene.
 
     extra: further aggregates over the columns of read_features, by name. strict: alignments without the tags that metrics are made of are an
-    error; else they count in no metric of that tag.
+    error; else they count in no metric of that tag. order: the tags CB, UB, GE as the alignments are sorted by them, file after file; molecules are
+    then counted where they are, without a shuffle of reads, and another order is an error.
     """
     alignments = required(alignments, "UY", "CY", "XF", "NH") if strict else alignments
     rows = alignments.filter(F.col("CB").isNotNull()) if drop_null else alignments
     added = [c.alias(k) for k, c in extra.items()]
-    return _metrics(read_features(rows), "CB", mitochondrial, added).select("CB", *COMMON_METRICS, *CELL_METRICS, *extra)
+    return _metrics(read_features(rows), "CB", mitochondrial, added, order).select("CB", *COMMON_METRICS, *CELL_METRICS, *extra)
 
 
-def gene_metrics(alignments: DataFrame, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({}), strict: bool = False) -> DataFrame:
-    """One row per gene name (null is one, unless dropped); reads of several genes are left out. extra, strict: as for cells."""
+def gene_metrics(alignments: DataFrame, drop_null: bool = False, extra: Mapping[str, Column] = MappingProxyType({}), strict: bool = False, order: Sequence[str] | None = None) -> DataFrame:
+    """One row per gene name (null is one, unless dropped); reads of several genes are left out. extra, strict, order: as for cells."""
     alignments = required(alignments, "UY", "XF", "NH") if strict else alignments
     rows = alignments.filter(single_gene(F.col("GE")) if drop_null else F.coalesce(single_gene(F.col("GE")), F.lit(True)))
     added = [c.alias(k) for k, c in extra.items()]
-    return _metrics(read_features(rows), "GE", None, added).select("GE", *COMMON_METRICS, *GENE_METRICS, *extra)
+    return _metrics(read_features(rows), "GE", None, added, order).select("GE", *COMMON_METRICS, *GENE_METRICS, *extra)
 
 
 def merge_cell_metrics(*chunks: DataFrame) -> DataFrame:

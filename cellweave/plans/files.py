@@ -215,6 +215,18 @@ _COUNTED = f"""{READS_SQL}, firsts AS (SELECT qname, arg_min(coalesce(CB, ''), r
 SELECT cell, gene, count(DISTINCT molecule) AS n FROM firsts WHERE n_genes = 1 AND cell <> '' AND molecule <> '' GROUP BY cell, gene"""
 
 
+@query(f"{READS_SQL}, m AS (SELECT CB, UB, GE, count(*) AS n FROM reads GROUP BY ALL), f AS (SELECT CB, UB, GE, rname, pos, rev, count(*) AS n FROM reads WHERE NOT unmapped GROUP BY ALL), x AS (SELECT CB, count(*) AS n_molecules, count(*) FILTER (n = 1) AS molecules_single, CAST(sum(n) AS BIGINT) AS n_reads, count(DISTINCT coalesce(GE, '')) AS n_genes FROM m GROUP BY CB), y AS (SELECT CB, count(*) AS n_fragments, count(*) FILTER (n = 1) AS fragments_single FROM f GROUP BY CB) SELECT x.*, n_fragments, fragments_single FROM x JOIN y ON x.CB IS NOT DISTINCT FROM y.CB")
+def sorted_file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of cells from a sorted BAM file read in splits: reads aren't shuffled."""
+    with folder(spark) as path:
+        target = f"{path}/sorted.bam"
+        located(path)[0].create_dir(located(path)[1])
+        sinks.single_bam(grouping.tag_sort(_full(spark, sf_dir), ["CB", "UB", "GE"]), target, HEADER)
+        found = metrics.cell_metrics(readers.alignments(spark, target, dense=False, split=1 << 18), order=("CB", "UB", "GE"))
+        names = {"molecules_with_single_read_evidence": "molecules_single", "fragments_with_single_read_evidence": "fragments_single"}
+        return written_once(found.select("CB", *[F.col(c).alias(names.get(c, c)) for c in ("n_reads", "n_genes", "n_molecules", "n_fragments", *names)]))
+
+
 @query(_COUNTED)
 def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of two disjoint sets of cells as archives, stacked in a third, read again."""

@@ -387,3 +387,31 @@ def test_strict_metrics_need_their_tags(spark):
         else:
             with pytest.raises(Exception, match=f"q2 without tag {tag}"):
                 metrics.cell_metrics(df, strict=True).collect()
+
+
+@pytest.mark.parametrize("held", [100_000, 3])
+@pytest.mark.parametrize("pieces", [1, 4, 40])
+def test_metrics_of_sorted_alignments(spark, monkeypatch, held, pieces):
+    """As without the order, however the sorted rows are cut into partitions and batches; molecules, cells and nulls go on over the edges."""
+    from cellweave.operators import ordered
+
+    rng = Random(held)
+    rows = []
+    for rec in range(900):
+        cell, molecule, gene = (rng.choice(x) for x in (["A", "C", "G", None], ["AA", "CC", "T", None], ["g1", "g2", "g2,g3", None]))
+        rows.append(read(rec, CB=cell, UB=molecule, GE=gene, pos=rng.randrange(3), rname=rng.choice("12"), flag=rng.choice([0, 16, 4]), XF=rng.choice(["CODING", None, "INTERGENIC"])))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    monkeypatch.setattr(ordered, "HELD", held)
+    by = {c: i for i, c in enumerate(f.split()[0] for f in READ.split(", "))}
+    try:
+        for order, f in ((("CB", "UB", "GE"), metrics.cell_metrics), (("GE", "CB", "UB"), metrics.gene_metrics)):
+            lined = sorted(rows, key=lambda r: tuple((r[by[t]] or "").encode() for t in order))  # noqa: B023
+            df = spark.createDataFrame(spark.sparkContext.parallelize(lined, pieces), READ)
+            assert df.rdd.getNumPartitions() == pieces
+            got, wanted = (sorted(map(str, frame.collect())) for frame in (f(df, order=order), f(df)))
+            assert got == wanted
+        with pytest.raises(Exception, match="sorted by"):
+            metrics.cell_metrics(spark.createDataFrame(spark.sparkContext.parallelize(lined, pieces), READ), order=("CB", "UB", "GE")).collect()
+        assert metrics.cell_metrics(df.limit(0), order=("CB", "UB", "GE")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
