@@ -21,7 +21,7 @@ def distinct_molecules(stream: DataFrame, keys: list[str], time: str = "ts", lat
 
 
 #: Parts that a key's molecules are dealt out to: those of a large cell are kept by several tasks.
-PARTS = 16
+PARTS = 4
 
 
 def _counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, names: list[str]) -> Iterator[pd.DataFrame]:
