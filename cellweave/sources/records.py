@@ -153,10 +153,10 @@ def _first_read(w: Window) -> int | None:
         return i
     over = False
     while True:
-        data = bytes(w.held[i:])
-        found = [x.rstrip(b"\r") for x in data.split(b"\n")]
-        if not over or not found[-1]:
-            found.pop()
+        raw = bytes(w.held[i:]).split(b"\n")
+        if not over or not raw[-1]:
+            raw.pop()
+        found = [x.rstrip(b"\r") for x in raw]
         at = i
         for p in range(len(found) - 3):
             if w.limit is not None and at > w.limit:
@@ -166,7 +166,7 @@ def _first_read(w: Window) -> int | None:
                 return at
             if not enough:
                 break
-            at = i + sum(len(x) + 1 for x in data.split(b"\n")[: p + 1])
+            at += len(raw[p]) + 1
         if over:
             return None
         over = not w.more()
