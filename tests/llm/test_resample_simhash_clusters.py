@@ -270,3 +270,29 @@ def test_bounds_never_rule_out_the_nearest():
         at, best, exact = clusters.nearest(vectors, short, centroids, 8)
         all_ = ((vectors[:, None, :] - centroids[None]) ** 2).sum(axis=2)
         assert (at == all_.argmin(axis=1)).all() and (best == all_.min(axis=1)).all() and exact <= len(vectors) * len(centroids)
+
+
+def test_very_long_texts(spark, frame, monkeypatch):
+    """Texts of some MB, and a word of some MB, are taken in pieces and come to the same."""
+    long = " ".join(str(i * 7919 % 5003) for i in range(500_000))
+    word = "x" * 3_000_000
+    pieces = simhash.fingerprint(memoryview(long.encode()), 3)
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "spaced_words", lambda raw: spaced_words(raw, 1 << 30))
+        assert simhash.fingerprint(memoryview(long.encode()), 3) == pieces
+    rows = [(1, long), (2, word), (3, long), (4, f"{word} {word} a")]
+    found = {r.doc_id: r for r in simhash.near_copies(frame(rows)).collect()}
+    assert found[1].fingerprint == found[3].fingerprint == f"{pieces:016x}" and found[3].component_id == 1
+    assert found[2].fingerprint == f"{xxhash.xxh64_intdigest(word, 42):016x}"
+    got = {r.doc_id: r for r in importance.resampled(frame(rows), frame([(0, long)]), importance.Draw(percent=50)).collect()}
+    assert {i: r.n_features for i, r in got.items()} == {1: 500_000, 2: 1, 3: 500_000, 4: 3}
+    assert got[1].weight == got[3].weight and sorted(r["rank"] for r in got.values() if r["rank"]) == [1]
+
+
+def test_ties_go_to_the_smaller_id(spark, frame, monkeypatch):
+    """Equal scores: of all documents the first by number are drawn."""
+    monkeypatch.setattr(importance, "weights", lambda docs, target, draw, frequent: docs.select("doc_id", F.lit(1).cast("long").alias("key"), F.lit(30).cast("long").alias("n_words"), F.lit(30).cast("long").alias("n_features"), F.lit(0).cast("long").alias("weight")))
+    rows = [(i, "a") for i in range(200)]
+    draw = importance.Draw(percent=10)
+    scored = sorted(((r.doc_id, r.score, r["rank"]) for r in importance.resampled(frame(rows).repartition(7), frame([]), draw).collect()), key=lambda r: (-r[1], r[0]))
+    assert [r[2] for r in scored] == [*range(1, 21), *[None] * 180]
