@@ -20,18 +20,20 @@ def distinct_molecules(stream: DataFrame, keys: list[str], time: str = "ts", lat
     return started.withWatermark(time, lateness).dropDuplicatesWithinWatermark([*keys, "window_start"])
 
 
-#: Parts that a key's molecules are dealt out to: those of a large cell are kept by several tasks.
-PARTS = 4
+#: Parts that molecules are dealt out to by hash, each with its keys: a state a part, not one a key, so that many small keys cost a few calls, and those of a large cell are kept by several tasks.
+PARTS = 512
 
 
 def _counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, names: list[str]) -> Iterator[pd.DataFrame]:
-    """State: the molecules of a key's part that are alive, and until when (milliseconds of event time)."""
+    """State: keys and molecules of a part that are alive (a text of each), and until when (milliseconds of event time)."""
     alive = dict(zip(*state.get, strict=True)) if state.exists else {}
-    new = 0
+    seen = []
     for frame in frames:
-        for molecule, until in frame.groupby("molecule")["until"].max().items():
-            new += molecule not in alive
-            alive[molecule] = max(int(until), alive.get(molecule, 0))
+        latest = frame.sort_values("until").drop_duplicates("known", keep="last")
+        fresh = [k not in alive for k in latest["known"]]
+        for k, t in zip(latest["known"], latest["until"], strict=True):
+            alive[k] = max(int(t), alive.get(k, 0))
+        seen.append(latest.loc[fresh, names])
     now = state.getCurrentWatermarkMs()
     alive = {m: t for m, t in alive.items() if t > now}
     if alive:
@@ -39,22 +41,26 @@ def _counted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, name
         state.setTimeoutTimestamp(min(alive.values()))
     elif state.exists:
         state.remove()
-    if new:
-        yield pd.DataFrame({**{n: [v] for n, v in zip(names, key, strict=False)}, "n": [new]})
+    found = pd.concat(seen) if seen else None
+    if found is not None and len(found):
+        yield found.groupby(names, dropna=False, sort=False).size().rename("n").reset_index()
 
 
 def molecule_increments(stream: DataFrame, keys: list[str], molecule: str, time: str = "ts", lateness: str = "1 hour", life: str = "1 hour", parts: int = PARTS) -> DataFrame:
     """The keys and n, how many molecules (column molecule, text) are new to them, for every part of a micro-batch that brings some: counts are sums of n.
 
+    Molecules, with their keys, are dealt out to parts by hash: as many as keep a part's state, which a task holds whole, small.
+
     A molecule is known until the life after it was last seen has passed in event time; then its state goes, and it would be a new one.
     Rows behind the watermark are late: Spark drops them and says how many. So the state is that of the molecules of about
     lateness + life, whatever has gone by.
     """
     until = F.unix_millis(F.col(time) + F.expr(f"interval {life}")).alias("until")
-    rows = stream.withWatermark(time, lateness).select(*keys, F.col(molecule).cast("string").alias("molecule"), time, until)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("molecule"), F.lit(parts)).cast("int"))
+    known = F.to_json(F.array(*[F.col(k).cast("string") for k in keys], F.col(molecule).cast("string"))).alias("known")
+    rows = stream.withWatermark(time, lateness).select(*keys, known, time, until)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("known"), F.lit(parts)).cast("int"))
     fields = ", ".join(f"{n} {dict(stream.dtypes)[n]}" for n in keys)
-    return rows.groupBy(*keys, "part").applyInPandasWithState(partial(_counted, names=keys), f"{fields}, n long", "names array<string>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("part").applyInPandasWithState(partial(_counted, names=keys), f"{fields}, n long", "known array<string>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 #: In how many pieces the table of a query comes in, in the order of time.
