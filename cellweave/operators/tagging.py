@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import between, pieces
+from ..shared import written_once
 from .barcodes import correct
 
 
@@ -83,9 +84,10 @@ def unmapped_records(reads: DataFrame, tags: DataFrame, group: str = "A") -> Dat
 def in_step(reads: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """Reads of files in step (read with keep_bad) without the ordinals at which any of them is bad; and the bad ones: read, file, rec, name, fault.
 
-    Bad records are few, so those of the other files are looked up without a shuffle of the good ones.
+    Bad records are written to the checkpoint folder once, so that every file is read for them once; where they are few, those of the other
+    files are looked up without a shuffle of the good ones.
     """
-    bad = reduce(DataFrame.unionByName, [r.filter("bad is not null").select(F.lit(k).alias("read"), "file", "rec", "name", F.col("bad").alias("fault")) for k, r in reads.items()])
+    bad = written_once(reduce(DataFrame.unionByName, [r.filter("bad is not null").select(F.lit(k).alias("read"), "file", "rec", "name", F.col("bad").alias("fault")) for k, r in reads.items()]))
     gone = bad.select("rec").distinct()
     return {k: r.join(gone, "rec", "left_anti").drop("bad") for k, r in reads.items()}, bad
 

@@ -19,7 +19,7 @@ from ..sources import readers, sinks
 from ..streaming import molecules
 from . import files
 from .oracles import ORACLES
-from .reads import alignments, gtf, whitelist
+from .reads import alignments, gtf, pieces, split_bytes, whitelist
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -128,15 +128,16 @@ def attach_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def broken_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three files in step, each with broken records of its own: what is left of each order's reads, and the bad ones by file and fault."""
-    folder = f"{shared_folder(spark)}/broken-{uuid.uuid4().hex}"
+    folder, n = f"{shared_folder(spark)}/broken-{uuid.uuid4().hex}", pieces(spark, sf_dir, 2)
     rows = alignments(spark, sf_dir)
     at, barcode, quality = F.pmod(F.shiftright("rec", 32), F.lit(8)), F.concat("CR", "UR"), F.concat("CY", "UY")
     name = F.concat(F.when(at == 2, F.lit("")).otherwise(F.lit("@")), F.col("qname"))
     try:
-        _lanes(rows, f"{folder}/R1", 2, barcode, quality, name)
-        _lanes(rows, f"{folder}/R2", 2, barcode, F.when(at == 3, F.concat(quality, F.lit("I"))).otherwise(quality))
-        _lanes(rows, f"{folder}/I1", 2, F.col("UR"), F.when(at == 2, F.lit("")).otherwise(F.col("UY")))
-        kept, bad = tagging.in_step({k: readers.fastq(spark, _local(spark, f"{folder}/{k}"), keep_bad=True, split=1 << 18) for k in ("R1", "R2", "I1")})
+        _lanes(rows, f"{folder}/R1", n, barcode, quality, name)
+        _lanes(rows, f"{folder}/R2", n, barcode, F.when(at == 3, F.concat(quality, F.lit("I"))).otherwise(quality))
+        _lanes(rows, f"{folder}/I1", n, F.col("UR"), F.when(at == 2, F.lit("")).otherwise(F.col("UY")))
+        files = {k: _local(spark, f"{folder}/{k}") for k in ("R1", "R2", "I1")}
+        kept, bad = tagging.in_step({k: readers.fastq(spark, files[k], keep_bad=True, columns=["file", "rec", "name", "sequence", "bad"], split=split_bytes(files[k])) for k in files})
         fine = tagging.zipped(*[kept[k].select("rec", F.col("sequence").alias(k)) for k in kept])
         good = fine.groupBy(F.substring("R1", 1, 8).alias("barcode"), F.lit("kept").alias("fault")).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("R1") == F.col("R2")) & F.col("R1").endswith(F.col("I1"))).alias("n_alike"))
         lost = bad.groupBy(F.col("read").alias("barcode"), "fault").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("n_alike"))

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.raw import total_size
+from ..sources.splits import SPLIT
+
 BASES = "ACTG"
 
 
 def dna(x: Column, n: int) -> Column:
     """The last n base-4 digits of a number as letters."""
-    digits = F.conv(F.pmod(x, F.lit(4**n)).cast("string"), 10, 4)
-    return F.translate(F.lpad(digits, n, "0"), "0123", BASES)
+    parts, left = [], n
+    while left:
+        k = min(left, 4)
+        left -= k
+        word = F.shiftright(x.cast("long"), 2 * left).bitwiseAND(F.lit(4**k - 1)).cast("int")
+        parts.append(F.get(F.split(F.lit(",".join(map("".join, product(BASES, repeat=k)))), ","), word))
+    return F.concat(*parts)
 
 
 #: (key * 7 + i * 11) % 41 for i from 0 on is this cycle from place key * 7 * 15 % 41 on, 15 being the inverse of 11.
@@ -33,6 +43,22 @@ def characters(key: Column, n: int) -> Column:
     return F.substring(F.lit("".join(chr(33 + q) for q in CYCLE)), _place(key), F.lit(n))
 
 
+#: Alignments of a file that a query writes, about.
+FILE_ROWS = 500_000
+#: Bytes of a split of such files, at least; how many splits they are cut into at most, if that isn't more than a reader's own splits.
+SPLIT_BYTES, SPLITS = 1 << 18, 48
+
+
+def pieces(spark: SparkSession, sf_dir: str, least: int) -> int:
+    """How many files the alignments are written to: more as they grow, so that no task has more than so many."""
+    return max(least, -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // FILE_ROWS))
+
+
+def split_bytes(paths: str | list[str]) -> int:
+    """Bytes of a split: small, so that small tables have several, but not so many that tasks cost more than their work."""
+    return min(SPLIT, max(SPLIT_BYTES, total_size([paths] if isinstance(paths, str) else paths) // SPLITS))
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type")

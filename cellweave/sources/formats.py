@@ -41,18 +41,21 @@ class SplitReader(DataSourceReader):
         if not given:
             raise ValueError("no path")
         self.paths = json.loads(given) if given.startswith("[") else [given]
-        self.kind, self.options, self.names = kind, dict(options), names
+        self.splits = options.get("splits")
+        self.kind, self.options, self.names = kind, {k: v for k, v in options.items() if k not in ("splits", "paths")}, names
+
+    def __getstate__(self) -> dict:
+        """A task gets its own split, not the list of all of them."""
+        return self.__dict__ | {"splits": None, "paths": []}
 
     def partitions(self) -> list[SplitPart]:
-        known = self.options.get("splits")
-        return [SplitPart(s) for s in (loaded(known) if known else splits_of(self.paths))]
+        return [SplitPart(s) for s in (loaded(self.splits) if self.splits else splits_of(self.paths))]
 
     def read(self, partition: SplitPart | None) -> Iterator:
         """partition: None where there is no split."""
         if partition is None:
             return
-        options = {k: v for k, v in self.options.items() if k not in ("splits", "paths")}
-        yield from BATCHES[self.kind](partition.split, options, self.names)
+        yield from BATCHES[self.kind](partition.split, self.options, self.names)
 
 
 def row_tags(row) -> list[tuple[str, str, str]]:  # noqa: ANN001

@@ -172,6 +172,20 @@ def _first_read(w: Window) -> int | None:
         over = not w.more()
 
 
+#: Lines that are looked at for a run of good records.
+RUN = 256
+
+
+def _run(bare: list[bytes], j: int) -> int:
+    """How many good records are there in a row from a line on, as far as is looked."""
+    n = 0
+    for a, b, c, d in zip(*(bare[j + k : j + RUN : 4] for k in range(4)), strict=False):
+        if a[:1] != b"@" or c[:1] != b"+" or len(b) != len(d):
+            break
+        n += 1
+    return n
+
+
 def _reads(w: Window, keep_bad: bool) -> Iterator[tuple[list, list, list, list, list]]:
     """Names, sequences, third lines, qualities and faults (None: none) of the records of the split.
 
@@ -197,26 +211,35 @@ def _reads(w: Window, keep_bad: bool) -> Iterator[tuple[list, list, list, list,
         if not found[-1]:
             found.pop()
         bare = [x.rstrip(b"\r") for x in found]
-        rows: list[list] = []
+        columns: tuple[list, list, list, list, list] = ([], [], [], [], [])
         j = begin = 0
         while j < len(found):
             if w.limit is not None and begin > w.limit:
                 done = True
                 break
-            k = next((m for m in range(j, len(found) - 3) if good(bare[m : m + 4])), len(found) if over or cut - begin > GARBAGE else None)
-            if k is None:
-                break
-            if k > j:
+            n = _run(bare, j)
+            k = j + 4 * n
+            size = sum(map(len, found[j:k])) + k - j
+            if n > 1 and w.limit is not None and begin + size > w.limit:
+                n, k = 1, j + 4
+                size = sum(map(len, found[j:k])) + 4
+            if n:
+                for c, values in zip(columns, [*(bare[j + i : k : 4] for i in range(4)), [None] * n], strict=True):
+                    c += values
+            else:
+                k = next((m for m in range(j + 1, len(found) - 3) if good(bare[m : m + 4])), len(found) if over or cut - begin > GARBAGE else None)
+                if k is None:
+                    break
                 # as many bad records as it has lines for, the last with what is over
                 ends = [*range(j + 4, j + 4 * max(1, (k - j + 2) // 4), 4), k]
-                rows += [[bare[a][:1000], None, None, None, fault(bare[a:b]).encode()] for a, b in zip([j, *ends], ends)]  # noqa: B905
-            else:
-                k = j + 4
-                rows.append([*bare[j:k], None])
-            begin += sum(map(len, found[j:k])) + k - j
+                for a, b in zip([j, *ends], ends):  # noqa: B905
+                    for c, value in zip(columns, (bare[a][:1000], None, None, None, fault(bare[a:b]).encode()), strict=True):
+                        c.append(value)
+                size = sum(map(len, found[j:k])) + k - j
+            begin += size
             j = k
-        if rows:
-            yield tuple(map(list, zip(*rows, strict=True)))
+        if columns[0]:
+            yield columns
         w.drop(min(begin, cut))
 
 

@@ -16,3 +16,21 @@ def test_states_are_parts_not_keys(spark, tmp_path):
     states = max(p.stateOperators[0].numRowsTotal for p in running.recentProgress if p.stateOperators)
     running.stop()
     assert states <= 4 and spark.read.parquet(str(tmp_path / "out")).groupBy().sum("n").first()[0] == 300
+
+
+def test_tasks_get_their_own_split_only(tmp_path):
+    from cellweave.sources.formats import SplitReader
+    from cellweave.sources.splits import Split, dumped
+
+    known = [Split(str(tmp_path / f"{k}"), k) for k in range(1000)]
+    reader = SplitReader("lines", {"paths": '["x"]', "splits": dumped(known)}, ["line"])
+    assert len(reader.partitions()) == 1000 and len(pickle.dumps(reader)) < 1000
+
+
+def test_files_and_splits_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from cellweave.plans import reads
+
+    monkeypatch.setattr(reads, "FILE_ROWS", 1000)
+    assert reads.pieces(spark, "/root/testdata/sf0.001", 2) >= 6
+    (tmp_path / "a").write_bytes(bytes(48 << 20))
+    assert reads.split_bytes(str(tmp_path / "a")) == 1 << 20
