@@ -109,15 +109,17 @@ def _lanes(rows: DataFrame, path: str, n: int, sequence: Column, quality: Column
 
 @query
 def attach_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Barcodes of reads in three files onto alignments in two, by ordinal over all files; files are read in splits of 256 KB."""
+    """Barcodes of reads in three files onto alignments in two, by ordinal over all files; files are read in splits of 256 KB, larger ones where there are many."""
+    n = pieces(spark, sf_dir, 3)
     folder = f"{shared_folder(spark)}/lanes-{uuid.uuid4().hex}"
     rows = _full(spark, sf_dir)
     try:
-        _lanes(rows, f"{folder}/r1", 3, F.concat("CR", "UR"), F.concat("CY", "UY"))
+        _lanes(rows, f"{folder}/r1", n, F.concat("CR", "UR"), F.concat("CY", "UY"))
         named = rows.select("rec", *[c for c in rows.columns if c not in ("rec", "CR", "CY", "UR", "UY", "tags", "tag_types")], F.create_map(F.lit("XR"), F.concat("CR", "UR")).alias("tags"))
-        sinks.alignments(named.repartitionByRange(2, "rec").sortWithinPartitions("rec"), f"{folder}/u2", ["@HD\tVN:1.6", *[f"@SQ\tSN:{r}\tLN:1000" for r in "ANR"]])
-        reads = readers.fastq(spark, _local(spark, f"{folder}/r1"), split=1 << 18)
-        bam = readers.alignments(spark, _local(spark, f"{folder}/u2"), "rb", columns=["rec", "qname", "tags"], split=1 << 18)
+        sinks.alignments(named.repartitionByRange(max(2, n - 1), "rec").sortWithinPartitions("rec"), f"{folder}/u2", ["@HD\tVN:1.6", *[f"@SQ\tSN:{r}\tLN:1000" for r in "ANR"]])
+        files, bams = _local(spark, f"{folder}/r1"), _local(spark, f"{folder}/u2")
+        reads = readers.fastq(spark, files, columns=["file", "rec", "sequence", "quality"], split=split_bytes(files))
+        bam = readers.alignments(spark, bams, "rb", columns=["rec", "qname", "tags"], split=split_bytes(bams))
         done = tagging.attach_barcodes(bam, reads, tagging.layout(cell=(0, 8), molecule=(8, 5)))
         own = F.element_at("tags", "XR") == F.concat("CR", "UR")
         return written_once(done.groupBy("CR", "UR").agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("n_own")))

@@ -34,3 +34,14 @@ def test_files_and_splits_grow_with_the_input(spark, tmp_path, monkeypatch):
     assert reads.pieces(spark, "/root/testdata/sf0.001", 2) >= 6
     (tmp_path / "a").write_bytes(bytes(48 << 20))
     assert reads.split_bytes(str(tmp_path / "a")) == 1 << 20
+
+
+def test_lanes_grow_with_the_input(spark, monkeypatch):
+    from cellweave.plans import queries, reads
+
+    given = []
+    lanes = queries._lanes
+    monkeypatch.setattr(reads, "FILE_ROWS", 1000)
+    monkeypatch.setattr(queries, "_lanes", lambda rows, path, n, *more: given.append(n) or lanes(rows, path, n, *more))
+    queries.attach_lanes(spark, "/root/testdata/sf0.001")
+    assert given == [6]
