@@ -14,11 +14,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..schema import ALIGNMENTS, FASTQ, TEXT_TAGS
+from .encode import Odd, bam_records, parts_of, sam_lines
 from .raw import located
 from .records import BAM_BASES, BAM_NUMBERS, BAM_OPERATIONS, BATCHES
 from .splits import INDEX, Split, loaded, splits_of
@@ -62,7 +65,7 @@ def row_tags(row) -> list[tuple[str, str, str]]:  # noqa: ANN001
     """Tag, type and value; text where no type is known."""
     tags = {t: row[t] for t in (*TEXT_TAGS, "NH") if t in row and row[t] is not None}
     tags |= dict((row["tags"] if "tags" in row else None) or {})
-    kinds = (row["tag_types"] if "tag_types" in row else None) or {}
+    kinds = dict((row["tag_types"] if "tag_types" in row else None) or {})
     return [(t, kinds.get(t, "i" if t == "NH" else "Z"), str(v)) for t, v in tags.items()]
 
 
@@ -127,6 +130,22 @@ def bam_record(row, references: dict[str, int]) -> bytes:  # noqa: ANN001
     return struct.pack("<i", len(body)) + body
 
 
+def sam_array(batch: pa.RecordBatch) -> pa.Array:
+    """The lines of a batch, with their ends."""
+    try:
+        return sam_lines(batch, lambda *tag: b"\t" + sam_tag(*tag).encode())
+    except Odd:
+        return pa.array([sam_line(row).encode() + b"\n" for row in batch.to_pylist()], pa.binary())
+
+
+def bam_array(batch: pa.RecordBatch, references: dict[str, int]) -> pa.Array:
+    """The records of a batch."""
+    try:
+        return bam_records(batch, references, bam_tag)
+    except Odd:
+        return pa.array([bam_record(row, references) for row in batch.to_pylist()], pa.binary())
+
+
 def bgzf_block(data: bytes) -> bytes:
     squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = squeeze.compress(data) + squeeze.flush()
@@ -151,19 +170,40 @@ class Blocks:
             self.at += len(block)
             del self.held[:BGZF_BLOCK]
 
+    def add_all(self, records: pa.Array, references: list[str | None]) -> None:
+        """Many records, as add() has them one by one."""
+        data, ends = parts_of(records)
+        data, k = memoryview(data), 0
+        while k < len(records):
+            n = int(np.searchsorted(ends, ends[k] + BGZF_BLOCK - len(self.held), "right")) - 1 - k
+            if n <= 0:
+                self.add(bytes(data[ends[k] : ends[k + 1]]), references[k])
+                k += 1
+                continue
+            if not self.held and (not self.entries or self.at - self.entries[-1][0] >= STRETCH):
+                self.entries.append([self.at, 0, []])
+            self.held += data[ends[k] : ends[k + n]]
+            self.entries[-1][1] += n
+            for reference in dict.fromkeys(references[k : k + n]):
+                self._names(reference)
+            k += n
+
+    def _names(self, reference: str | None) -> None:
+        entry = self.entries[-1]
+        if entry[2] is not None and reference not in entry[2]:
+            entry[2] = [*entry[2], reference] if len(entry[2]) < NAMED else None
+
     def add(self, record: bytes, reference: str | None) -> None:
         if self.held and len(self.held) + len(record) > BGZF_BLOCK:
             self.flush()
         if not self.held and (not self.entries or self.at - self.entries[-1][0] >= STRETCH):
             self.entries.append([self.at, 0, []])
         self.held += record
-        entry = self.entries[-1]
-        entry[1] += 1
-        if entry[2] is not None and reference not in entry[2]:
-            entry[2] = [*entry[2], reference] if len(entry[2]) < NAMED else None
+        self.entries[-1][1] += 1
+        self._names(reference)
 
 
-class AlignmentWriter(DataSourceWriter):
+class AlignmentWriter(DataSourceArrowWriter):
     """A SAM or BAM file per partition, named part-<partition>-<attempt>, those that lost are deleted. header: JSON list of lines.
 
     single: one BAM file instead, of all partitions in order. Tasks write their blocks beside it; the commit puts them one after the other
@@ -206,15 +246,15 @@ class AlignmentWriter(DataSourceWriter):
         with system.open_output_stream(done.name, compression=None) as out:
             if self.kind == "sam":
                 out.write("".join(h + "\n" for h in self.header).encode())
-                for row in iterator:
-                    out.write(sam_line(row).encode() + b"\n")
+                for batch in iterator:
+                    out.write(memoryview(parts_of(sam_array(batch))[0]))
             else:
                 numbers = {n: i for n, (i, _) in self.references().items()}
                 if not self.single:
                     out.write(self.head())
                 blocks = Blocks(out)
-                for row in iterator:
-                    blocks.add(bam_record(row, numbers), row["rname"])
+                for batch in iterator:
+                    blocks.add_all(bam_array(batch, numbers), batch["rname"].to_pylist())
                 blocks.flush()
                 done.entries = blocks.entries
                 if not self.single:

@@ -45,3 +45,19 @@ def test_lanes_grow_with_the_input(spark, monkeypatch):
     monkeypatch.setattr(queries, "_lanes", lambda rows, path, n, *more: given.append(n) or lanes(rows, path, n, *more))
     queries.attach_lanes(spark, "/root/testdata/sf0.001")
     assert given == [6]
+
+
+def test_batches_are_encoded_as_rows_are():
+    import pyarrow as pa
+
+    from cellweave.sources import formats
+
+    fields = [("qname", pa.string()), ("flag", pa.int32()), ("rname", pa.string()), ("pos", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.string()), ("rnext", pa.string()), ("pnext", pa.int32()), ("tlen", pa.int32()), ("seq", pa.string()), ("qual", pa.list_(pa.int32())), ("CB", pa.string()), ("NH", pa.int32()), ("tags", pa.map_(pa.string(), pa.string())), ("tag_types", pa.map_(pa.string(), pa.string()))]
+    rows = []
+    for i in range(600):
+        seq = "ACGTN"[: i % 6]
+        values = (f"q{i}", i % 5 * 4, ("A", "N", None)[i % 3], (-1, 7, 70000)[i % 3], 60, ("12M", "6M100N6M", None)[i % 3], (None, "=", "N")[i % 3], -1, 0, seq or None, None if i % 7 == 0 else [30] * len(seq), None if i % 2 else "AC", (None, 1, 300)[i % 3], (None, [], [("AS", "5"), ("XX", "v")])[i % 3], (None, [("AS", "i")])[i % 2])
+        rows.append(dict(zip([n for n, _ in fields], values, strict=True)))
+    batch, numbers = pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields)), {"A": 0, "N": 1}
+    assert formats.bam_records(batch, numbers, formats.bam_tag).to_pylist() == [formats.bam_record(r, numbers) for r in batch.to_pylist()]
+    assert formats.sam_array(batch).to_pylist() == [formats.sam_line(r).encode() + b"\n" for r in batch.to_pylist()]
