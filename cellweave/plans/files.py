@@ -15,7 +15,7 @@ from ..operators.counts import dense_index
 from ..shared import removed, shared_folder, written_once
 from ..sources import raw, readers, sinks
 from ..sources.raw import located
-from .reads import GTF_SQL, READS_SQL, WHITELIST_SQL, alignments, gtf, whitelist
+from .reads import GTF_SQL, READS_SQL, WHITELIST_SQL, alignments, gtf, pieces, split_bytes, whitelist
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -97,8 +97,9 @@ def binned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{READS_SQL} SELECT coalesce(CB, CR) AS barcode, count(*) AS n, CAST(1 AS BIGINT) AS n_files FROM reads GROUP BY ALL")
 def sharded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards by barcode as BAM files: in how many of them a barcode is."""
+    n = pieces(spark, sf_dir, 4)
     with folder(spark) as path:
-        sinks.binned_alignments(grouping.shard(_full(spark, sf_dir), 4), path, 4, [*sinks.shard_header("s"), *HEADER[1:]], by="shard")
+        sinks.binned_alignments(grouping.shard(_full(spark, sf_dir), n), path, n, [*sinks.shard_header("s"), *HEADER[1:]], by="shard")
         rows = readers.alignments(spark, path, "rb", dense=False, columns=["file", "CB", "CR"])
         return written_once(rows.groupBy(F.coalesce("CB", "CR").alias("barcode")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files")))
 
