@@ -56,7 +56,8 @@ def _scanned(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     try:
         sinks.alignments(_full(spark, sf_dir), folder, ["@HD\tVN:1.6", *[f"@SQ\tSN:{r}\tLN:1000" for r in "ANR"]], kind)
-        rows = readers.alignments(spark, folder, {"sam": "r", "bam": "rb"}[kind])
+        used = ["rname", "flag", "cigar", "qual", "NH", "CB", "GE", "tags", "tag_types"]
+        rows = readers.alignments(spark, folder, {"sam": "r", "bam": "rb"}[kind], dense=False, columns=used)
         score, place = F.element_at("tags", "AS").cast("long"), F.element_at("tag_types", "AS")
         flags = {n: F.count_if(seq.has_flag(F.col("flag"), b)) for b, n in ((4, "n_unmapped"), (16, "n_reverse"), (1024, "n_duplicate"))}
         sums = {"score": F.sum(score), "quality": F.sum(F.aggregate("qual", F.lit(0).cast("long"), lambda s, q: s + q)), "hits": F.sum("NH"), "n_cells": F.count_distinct("CB"), "n_genes": F.count_distinct("GE"), "n_typed": F.count_if(place.isin("i", "c", "C", "s", "S", "I"))}
