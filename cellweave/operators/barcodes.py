@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,11 +125,35 @@ TILE = 4096
 PLAIN = "^[ACGT]{1,31}$"
 
 
+#: Tasks that compare pairs of tiles, at most.
+MOST_TASKS = 2000
+
+
+def _tile_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """d, n of pairs of tiles: i, j and two lists of two-bit codes of distinct barcodes. Of a tile with itself each pair counts once."""
+    found = np.zeros(33, np.int64)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            i, j, x, y = (batch.column(c)[k] for c in range(4))
+            x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+            own = np.zeros(33, np.int64)
+            for at in range(0, len(x), 64):
+                differing = x[at : at + 64, None] ^ y[None, :]
+                differing = (differing | differing >> np.uint64(1)) & np.uint64(0x5555555555555555)
+                own += np.bincount(np.bitwise_count(differing).ravel(), minlength=33)
+            if i.as_py() == j.as_py():
+                own[0] -= len(x)
+                own //= 2
+            found += own
+    d = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(found[d])], names=["d", "n"])
+
+
 def distance_counts(rows: DataFrame, barcode: str = "barcode", tile: int = TILE) -> DataFrame:
     """d, n: how many pairs of distinct barcodes of one length are at each distance.
 
-    Barcodes are dealt out to tiles by hash, and every two tiles, and each with itself, meet in a join of their own key: all pairs are
-    there once, by many tasks, and each is counted where it is made. Those of other letters than A, C, G, T are compared as text.
+    Barcodes are dealt out to tiles by hash, and every two tiles, and each with itself, meet in a row of their own: all pairs are
+    there once, by many tasks, and are counted where they are made. Those of other letters than A, C, G, T are compared as text.
     """
     one = rows.select(F.col(barcode).alias("a")).filter("a is not null").distinct()
     tiles = max(1, -(-one.count() // tile))
@@ -139,7 +165,11 @@ def distance_counts(rows: DataFrame, barcode: str = "barcode", tile: int = TILE)
     def counted(pairs: DataFrame, d: Column) -> DataFrame:
         return pairs.groupBy(d.alias("d")).agg(F.count(F.lit(1)).alias("n"))
 
-    found = counted(left.filter("x is not null").join(right.filter("y is not null"), met), hamming_encoded(F.col("x"), F.col("y"), 2))
+    each = one.filter("code is not null").groupBy("length", F.col("home").alias("i")).agg(F.collect_list("code").alias("x"))
+    its = each.select("length", F.col("i").alias("j"), F.col("x").alias("y"))
+    pairs = each.withColumn("j", F.explode(F.sequence("i", F.lit(tiles - 1)))).join(its, ["length", "j"]).select("i", "j", "x", "y")
+    # so many partitions, whatever their bytes: a pair of tiles is little to read and much to compare
+    found = pairs.repartition(min(tiles * (tiles + 1) // 2, MOST_TASKS)).mapInArrow(_tile_distances, "d int, n long")
     if not one.filter("code is null").isEmpty():
         other = left.join(right, met & (F.col("x").isNull() | F.col("y").isNull()))
         found = found.unionByName(counted(other, hamming(F.col("a"), F.col("b"))))

@@ -61,3 +61,21 @@ def test_batches_are_encoded_as_rows_are():
     batch, numbers = pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields)), {"A": 0, "N": 1}
     assert formats.bam_records(batch, numbers, formats.bam_tag).to_pylist() == [formats.bam_record(r, numbers) for r in batch.to_pylist()]
     assert formats.sam_array(batch).to_pylist() == [formats.sam_line(r).encode() + b"\n" for r in batch.to_pylist()]
+
+
+def test_tiles_are_compared_by_tasks_of_their_own(spark):
+    from itertools import combinations
+
+    from cellweave.operators import barcodes
+
+    texts = ["".join("ACGT"[(i * i * 7 + i * k) >> k & 3] for k in range(6)) for i in range(120)] + ["ACGT", "ACGA", "ACN", "ACG"]
+    wanted: dict[int, int] = {}
+    for a, b in combinations(sorted(set(texts)), 2):
+        if len(a) == len(b):
+            d = sum(x != y for x, y in zip(a, b, strict=True))
+            wanted[d] = wanted.get(d, 0) + 1
+    rows = spark.createDataFrame([(t,) for t in texts], "barcode string")
+    assert {r.d: r.n for r in barcodes.distance_counts(rows, tile=16).collect()} == wanted
+    code = spark.createDataFrame([(f"{i:016b}".translate({48: "A", 49: "C"}),) for i in range(64)], "barcode string")
+    plan = barcodes.distance_counts(code, tile=16)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
