@@ -53,10 +53,10 @@ def _text(rows: DataFrame, path: str, order: str, n: int = 2) -> None:
     rows.repartitionByRange(n, order).sortWithinPartitions(order).select("value").write.text(path)
 
 
-def _reads(rows: DataFrame, path: str) -> None:
-    """Barcodes of alignments as FASTQ files."""
+def _reads(rows: DataFrame, path: str, n: int = 2) -> None:
+    """Barcodes of alignments as n FASTQ files."""
     text = F.concat_ws("\n", F.concat(F.lit("@"), F.col("qname")), F.concat("CR", "UR"), F.lit("+"), F.concat("CY", "UY"))
-    _text(rows.select("rec", text.alias("value")), path, "rec")
+    _text(rows.select("rec", text.alias("value")), path, "rec", n)
 
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def sharded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unmapped_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records without a place, of reads and their tags by ordinal."""
     with folder(spark) as path:
-        _reads(alignments(spark, sf_dir), path)
+        _reads(alignments(spark, sf_dir), path, pieces(spark, sf_dir, 2))
         reads = readers.fastq(spark, parts(spark, path))
         made = tagging.unmapped_records(reads, tagging.extract(reads, [tagging.Embedded(0, 8, "CR", "CY"), tagging.Embedded(8, 13, "UR", "UY")]))
         return written_once(made.groupBy(F.col("flag").cast("long").alias("flag"), F.col("RG").alias("grp"), "CR", "UR").agg(F.count(F.lit(1)).alias("n")))
