@@ -83,7 +83,7 @@ def scan_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
     rows = alignments(spark, sf_dir).withColumns({"seq": F.concat("CR", "UR"), "quality": F.concat("CY", "UY")})
     try:
-        sinks.fastq_shards(grouping.shard(rows, 3), folder)
+        sinks.fastq_shards(grouping.shard(rows, pieces(spark, sf_dir, 3)), folder)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/R1")
         parts = [f.getPath().toString() for f in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop) if f.isDirectory()]
         local = [p.removeprefix("file:") if not p.startswith("file://") else p for p in parts]
