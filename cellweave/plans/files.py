@@ -129,7 +129,7 @@ def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = None
     with folder(spark) as path:
         for k in (0, 1):
-            _reads(rows.filter(F.col("lane") == k), f"{path}/{k}")
+            _reads(rows.filter(F.col("lane") == k), f"{path}/{k}", pieces(spark, sf_dir, 2))
             files = parts(spark, f"{path}/{k}")
             counted = readers.fastq(spark, files, dense=False, columns=["file"]).groupBy(F.lit(k).cast("long").alias("lane")).agg(F.count(F.lit(1)).alias("n"))
             counted = written_once(counted.withColumn("bytes", F.lit(raw.total_size(files)).cast("long")))
