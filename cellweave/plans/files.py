@@ -223,7 +223,7 @@ def sorted_file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         target = f"{path}/sorted.bam"
         located(path)[0].create_dir(located(path)[1])
         sinks.single_bam(grouping.tag_sort(_full(spark, sf_dir), ["CB", "UB", "GE"]), target, HEADER)
-        found = metrics.cell_metrics(readers.alignments(spark, target, dense=False, split=1 << 18), order=("CB", "UB", "GE"))
+        found = metrics.cell_metrics(readers.alignments(spark, target, dense=False, split=split_bytes(target)), order=("CB", "UB", "GE"))
         names = {"molecules_with_single_read_evidence": "molecules_single", "fragments_with_single_read_evidence": "fragments_single"}
         return written_once(found.select("CB", *[F.col(c).alias(names.get(c, c)) for c in ("n_reads", "n_genes", "n_molecules", "n_fragments", *names)]))
 
