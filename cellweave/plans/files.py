@@ -86,11 +86,12 @@ def one_sorted_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{READS_SQL}, k AS (SELECT coalesce(CB, CR) AS b FROM reads), r AS (SELECT b, (row_number() OVER (ORDER BY b) - 1) % 7 AS bin FROM (SELECT DISTINCT b FROM k)) SELECT bin, count(*) AS n, count(DISTINCT b) AS n_barcodes FROM k JOIN r USING (b) GROUP BY bin")
 def binned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file a bin, counted by file name."""
+    """A file a bin, several where there are many alignments, counted by file name."""
+    each = -(-pieces(spark, sf_dir, 7) // 7)
     with folder(spark) as path:
-        sinks.binned_alignments(grouping.split_bins(_full(spark, sf_dir), ["CB", "CR"], 7), path, 7, HEADER)
+        sinks.binned_alignments(grouping.split_bins(_full(spark, sf_dir), ["CB", "CR"], 7), path, 7, HEADER, files=each)
         rows = readers.alignments(spark, path, "rb", dense=False, columns=["file", "CB", "CR"])
-        number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+        number = F.floor(F.regexp_extract("file", r"part-(\d+)", 1).cast("long") / each)
         return written_once(rows.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("CB", "CR")).alias("n_barcodes")))
 
 

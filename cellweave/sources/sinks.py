@@ -62,9 +62,13 @@ def shard_header(sample: str) -> list[str]:
     return ["@HD\tVN:1.6\tSO:unsorted", f"@RG\tID:A\tSM:{sample}"]
 
 
-def binned_alignments(rows: DataFrame, path: str, n: int, header: list[str], by: str = "bin", kind: str = "bam") -> None:
-    """One file per bin, part-<bin>: rows of bin k (from 0 to n - 1) are in partition k, in the order of rec. A bin without rows is a file of the header."""
-    dealt = rows.repartitionById(n, F.col(by).cast("int")).sortWithinPartitions(*[c for c in ("file", "rec") if c in rows.columns]).drop(by)
+def binned_alignments(rows: DataFrame, path: str, n: int, header: list[str], by: str = "bin", kind: str = "bam", files: int = 1) -> None:
+    """One file per bin, part-<bin>: rows of bin k (from 0 to n - 1) are in partition k, in the order of rec. A bin without rows is a file of the header.
+
+    files: that many for a bin, for bins that are large: rows of bin k are dealt out by hash to part-<k * files> and those that follow, each in the order of rec.
+    """
+    number = F.col(by) if files == 1 else F.col(by) * files + F.pmod(F.xxhash64("rec"), F.lit(files))
+    dealt = rows.repartitionById(n * files, number.cast("int")).sortWithinPartitions(*[c for c in ("file", "rec") if c in rows.columns]).drop(by)
     alignments(dealt, path, header, kind)
 
 

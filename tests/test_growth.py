@@ -79,3 +79,12 @@ def test_tiles_are_compared_by_tasks_of_their_own(spark):
     code = spark.createDataFrame([(f"{i:016b}".translate({48: "A", 49: "C"}),) for i in range(64)], "barcode string")
     plan = barcodes.distance_counts(code, tile=16)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_bins_of_several_files(spark, tmp_path):
+    from cellweave.plans.files import HEADER, _full
+    from cellweave.sources import sinks
+
+    rows = _full(spark, "/root/testdata/sf0.001").selectExpr("*", "CAST(pos % 2 AS INT) AS bin")
+    sinks.binned_alignments(rows, str(tmp_path / "b"), 2, HEADER, files=3)
+    assert sorted({int(p.name.split("-")[1]) for p in (tmp_path / "b").glob("part-*.bam")}) == list(range(6))
