@@ -77,7 +77,7 @@ def one_sorted_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
         target = f"{path}/sorted.bam"
         located(path)[0].create_dir(located(path)[1])
         sinks.single_bam(grouping.tag_sort(_full(spark, sf_dir), ["CB", "UB"]), target, HEADER)
-        rows = readers.alignments(spark, target, columns=["file", "rec", "qname", "CB", "UB"], split=1 << 18)
+        rows = readers.alignments(spark, target, columns=["file", "rec", "qname", "CB", "UB"], split=split_bytes(target))
         late = grouping.out_of_order(rows, ["CB", "UB"]).select("CB", F.lit(1).cast("long").alias("late"), F.lit(0).cast("long").alias("here"), F.lit(0).cast("long").alias("n"))
         here = readers.alignments(spark, target, columns=["CB"], reference="A").select("CB", F.lit(0).cast("long").alias("late"), F.lit(1).cast("long").alias("here"), F.lit(0).cast("long").alias("n"))
         every = rows.select("CB", F.lit(0).cast("long").alias("late"), F.lit(0).cast("long").alias("here"), F.lit(1).cast("long").alias("n"))
