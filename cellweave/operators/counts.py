@@ -41,22 +41,24 @@ def first_seen(alignments: DataFrame) -> DataFrame:
     return molecules(alignments).groupBy("cell").agg(F.min("first_rec").alias("first_rec"))
 
 
-def dense_index(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with a dense index from 0 in the order of columns.
+def dense_index(rows: DataFrame, order: list[str], name: str, keep: list[str] | None = None) -> DataFrame:
+    """rows with a dense index from 0 in the order of columns. keep: the columns that stay (None: all); others are neither written nor kept.
 
     No task sees all rows: a range sort is written to the checkpoint folder once, which fixes what is in each
     partition, and numbers rows within its partitions, whose sizes are then summed. Rows may have columns of any name.
     """
     plain = rows.toDF(*[f"_{i}" for i in range(len(rows.columns))])
     by = [f"_{rows.columns.index(c)}" for c in order]
-    dealt = written_once(plain.repartitionByRange(*by).sortWithinPartitions(*by))
+    names = rows.columns if keep is None else keep
+    kept = [f"_{rows.columns.index(c)}" for c in names]
+    dealt = written_once(plain.repartitionByRange(*by).sortWithinPartitions(*by).select(*kept))
     dealt = dealt.withColumn("part", F.spark_partition_id())
     dealt = dealt.withColumn("k", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = sizes.select(F.col("part").alias("its"), F.coalesce(F.sum("size").over(over), F.lit(0)).alias("start"))
     joined = dealt.join(F.broadcast(starts), dealt["part"] == starts["its"])
-    return joined.select(*plain.columns, (F.col("start") + F.col("k")).alias("index")).toDF(*rows.columns, name)
+    return joined.select(*kept, (F.col("start") + F.col("k")).alias("index")).toDF(*names, name)
 
 
 def cell_index(alignments: DataFrame) -> DataFrame:

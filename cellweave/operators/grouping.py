@@ -89,11 +89,11 @@ def tag_sort(rows: DataFrame, tags: Sequence[str]) -> DataFrame:
     return rows.orderBy(*sort_keys(tags), "rec")
 
 
-def tag_places(rows: DataFrame, tags: Sequence[str], name: str = "place") -> DataFrame:
-    """rows (of distinct rec) with their places, from 0, in the order of tag_sort: by a range sort, no task sees all rows."""
+def tag_places(rows: DataFrame, tags: Sequence[str], name: str = "place", keep: Sequence[str] | None = None) -> DataFrame:
+    """rows (of distinct rec) with their places, from 0, in the order of tag_sort: by a range sort, no task sees all rows. keep: these columns only."""
     keys = sort_keys(tags)
-    keyed = rows.select(*[k.alias(f"_key{i}") for i, k in enumerate(keys)], F.struct(*rows.columns).alias("_row"), F.col("rec").alias("_rec"))
-    placed = dense_index(keyed, [*[f"_key{i}" for i in range(len(keys))], "_rec"], "_place")
+    keyed = rows.select(*[k.alias(f"_key{i}") for i, k in enumerate(keys)], F.struct(*(rows.columns if keep is None else keep)).alias("_row"), F.col("rec").alias("_rec"))
+    placed = dense_index(keyed, [*[f"_key{i}" for i in range(len(keys))], "_rec"], "_place", ["_row"])
     return placed.select("_row.*", F.col("_place").alias(name))
 
 

@@ -414,7 +414,7 @@ def tag_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_order_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every alignment in each order of the tags."""
     rows = alignments(spark, sf_dir).select("rec", "qname", "CB", "UB", "GE")
-    placed = [grouping.tag_places(rows, grouping.tag_order(o)).select(F.lit(o).alias("tags"), "rec", "place") for o in grouping.TAG_ORDERS]
+    placed = [grouping.tag_places(rows, grouping.tag_order(o), keep=["rec"]).select(F.lit(o).alias("tags"), "rec", "place") for o in grouping.TAG_ORDERS]
     return reduce(DataFrame.unionByName, placed)
 
 

@@ -88,3 +88,11 @@ def test_bins_of_several_files(spark, tmp_path):
     rows = _full(spark, "/root/testdata/sf0.001").selectExpr("*", "CAST(pos % 2 AS INT) AS bin")
     sinks.binned_alignments(rows, str(tmp_path / "b"), 2, HEADER, files=3)
     assert sorted({int(p.name.split("-")[1]) for p in (tmp_path / "b").glob("part-*.bam")}) == list(range(6))
+
+
+def test_places_of_kept_columns(spark):
+    from cellweave.operators import grouping
+
+    rows = spark.createDataFrame([(1, "q", "B", None, "g"), (2, "p", "A", "u", "g"), (3, "p", None, "u", "g")], "rec long, qname string, CB string, UB string, GE string")
+    got = grouping.tag_places(rows, ["CB", "UB"], keep=["rec"])
+    assert got.columns == ["rec", "place"] and sorted(map(tuple, got.collect())) == [(1, 2), (2, 1), (3, 0)]
