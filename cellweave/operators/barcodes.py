@@ -45,7 +45,8 @@ def nearest(raws: DataFrame, whitelist: DataFrame) -> DataFrame:
     Of two barcodes within one substitution one half is equal: they are joined on halves and then compared, as numbers where all
     their letters have a code. A whitelist is indexed by two rows a barcode, whatever its length.
     """
-    known = whitelist.select("barcode", "line_no").withColumn("code", F.when(F.col("barcode").rlike(CODED), encode_three_bit(F.col("barcode"))))
+    # only the last line of a barcode that comes again can win
+    known = whitelist.filter("barcode is not null").groupBy("barcode").agg(F.max("line_no").alias("line_no")).withColumn("code", F.when(F.col("barcode").rlike(CODED), encode_three_bit(F.col("barcode"))))
     wanted = raws.select("raw").filter("raw is not null").distinct().withColumn("raw_code", F.when(F.col("raw").rlike(CODED), encode_three_bit(F.col("raw"))))
     left = wanted.select("raw", "raw_code", F.explode(_halves(F.col("raw"))).alias("at")).select("raw", "raw_code", "at.*")
     right = known.select("barcode", "line_no", "code", F.explode(_halves(F.col("barcode"))).alias("its")).select("barcode", "line_no", "code", *[F.col(f"its.{c}").alias(f"its_{c}") for c in ("half", "length", "part")])
