@@ -195,9 +195,9 @@ def sorted_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.sorted_text(rows.orderBy(*[F.coalesce(F.col(k), F.lit("")) for k in keys]), path)
         lines = readers.lines(spark, parts(spark, path)).withColumn("file", F.lit("all"))
         fields = F.split("line", "\t")
-        marked = grouping.with_previous(lines.select("file", "rec", fields.alias("fields")), F.slice("fields", 1, 3))
-        own = F.nullif(F.get("fields", F.lit(0)), F.lit(""))
-        return written_once(marked.groupBy(own.alias("CB")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.slice("fields", 1, 3) < F.col("before.value")).alias("n_late")))
+        marked = grouping.with_previous(lines.select("file", "rec", F.slice(fields, 1, 3).alias("keys")), F.col("keys"))
+        own = F.nullif(F.get("keys", F.lit(0)), F.lit(""))
+        return written_once(marked.groupBy(own.alias("CB")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("keys") < F.col("before.value")).alias("n_late")))
 
 
 @query(f"{READS_SQL}, by_gene AS (SELECT GE, count(*) AS n, count(*) FILTER (coalesce(UR = UB, false)) AS perfect FROM reads WHERE coalesce(instr(GE, ',') = 0, true) GROUP BY GE) SELECT GE, n AS n_reads, perfect AS perfect_molecule_barcodes FROM by_gene")
