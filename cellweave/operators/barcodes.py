@@ -221,8 +221,10 @@ class Barcodes:
         """Of rows of encoded barcodes of 2 or 3 bits a base."""
         if bits not in (2, 3):
             raise ValueError("2 or 3 bits a base")
-        text = decode_two_bit(F.col(code), length) if bits == 2 else decode_three_bit(F.col(code))
-        return cls.from_rows(rows.filter(F.col(code).isNotNull()).select(text.alias("barcode")), length)
+        # codes are counted first, so that each distinct one is decoded once
+        counted = multiset(rows.filter(F.col(code).isNotNull()), code)
+        text = decode_two_bit(F.col("barcode"), length) if bits == 2 else decode_three_bit(F.col("barcode"))
+        return cls(counted.groupBy(text.alias("barcode")).agg(F.sum("n").alias("n")), length)
 
     def __contains__(self, barcode: str) -> bool:
         return not self.rows.filter(F.col("barcode") == barcode).isEmpty()
