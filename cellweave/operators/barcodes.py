@@ -16,6 +16,20 @@ ALPHABET = "ACGTN"
 BROADCAST_ROWS = 2_000_000
 
 
+def last_lines(whitelist: DataFrame) -> DataFrame:
+    """barcode, line_no: each barcode once. Only the last line of one that comes again can win."""
+    return whitelist.filter("barcode is not null").groupBy("barcode").agg(F.max("line_no").alias("line_no"))
+
+
+def most_variants(whitelist: DataFrame) -> int:
+    """A bound of the rows of variants(): each base of a barcode can become one of the others of the alphabet, or it stays; of letters of the alphabet there are only so many texts of a length."""
+    n = F.length("barcode")
+    sizes = last_lines(whitelist).groupBy(n.alias("n"), F.col("barcode").rlike(f"^[{ALPHABET}]*$").alias("plain")).agg(F.count(F.lit(1)).alias("barcodes"))
+    each = F.col("barcodes") * (1 + F.col("n") * len(ALPHABET))
+    texts = F.when(F.col("plain"), F.pow(F.lit(float(len(ALPHABET))), F.col("n")))
+    return int(sizes.agg(F.sum(F.least(each.cast("double"), texts)).alias("most")).first()["most"] or 0)
+
+
 def variants(whitelist: DataFrame) -> DataFrame:
     """variant, corrected: every text within one substitution of a barcode. whitelist: barcode, line_no.
 
@@ -24,7 +38,7 @@ def variants(whitelist: DataFrame) -> DataFrame:
     bc = F.col("barcode")
     changed = F.flatten(F.transform(F.sequence(F.lit(1), F.length(bc)), lambda i: F.transform(F.array(*map(F.lit, ALPHABET)), lambda b: F.overlay(bc, b, i, F.lit(1)))))
     every = F.array_union(F.array(bc), F.when(F.length(bc) > 0, changed).otherwise(F.array().cast("array<string>")))
-    return whitelist.select("barcode", "line_no", F.explode(every).alias("variant")).groupBy("variant").agg(F.max_by("barcode", "line_no").alias("corrected"))
+    return last_lines(whitelist).select("barcode", "line_no", F.explode(every).alias("variant")).groupBy("variant").agg(F.max_by("barcode", "line_no").alias("corrected"))
 
 
 #: Letters that a three-bit code holds, and how many of them.
@@ -45,8 +59,7 @@ def nearest(raws: DataFrame, whitelist: DataFrame) -> DataFrame:
     Of two barcodes within one substitution one half is equal: they are joined on halves and then compared, as numbers where all
     their letters have a code. A whitelist is indexed by two rows a barcode, whatever its length.
     """
-    # only the last line of a barcode that comes again can win
-    known = whitelist.filter("barcode is not null").groupBy("barcode").agg(F.max("line_no").alias("line_no")).withColumn("code", F.when(F.col("barcode").rlike(CODED), encode_three_bit(F.col("barcode"))))
+    known = last_lines(whitelist).withColumn("code", F.when(F.col("barcode").rlike(CODED), encode_three_bit(F.col("barcode"))))
     wanted = raws.select("raw").filter("raw is not null").distinct().withColumn("raw_code", F.when(F.col("raw").rlike(CODED), encode_three_bit(F.col("raw"))))
     left = wanted.select("raw", "raw_code", F.explode(_halves(F.col("raw"))).alias("at")).select("raw", "raw_code", "at.*")
     right = known.select("barcode", "line_no", "code", F.explode(_halves(F.col("barcode"))).alias("its")).select("barcode", "line_no", "code", *[F.col(f"its.{c}").alias(f"its_{c}") for c in ("half", "length", "part")])
@@ -65,9 +78,7 @@ def correct(rows: DataFrame, whitelist: DataFrame, raw: str = "CR", into: str =
 
     A whitelist of few variants (most, or BROADCAST_ROWS, at most) is looked up by them, broadcast; a larger one by halves of the distinct raw barcodes.
     """
-    # each base of a barcode can become one of the others of the alphabet, or it stays
-    n = whitelist.agg(F.sum(1 + F.length("barcode") * len(ALPHABET)).alias("n")).first()["n"] or 0
-    known = F.broadcast(variants(whitelist)) if n <= (BROADCAST_ROWS if most is None else most) else nearest(rows.select(F.col(raw).alias("raw")), whitelist).withColumnRenamed("raw", "variant")
+    known = F.broadcast(variants(whitelist)) if most_variants(whitelist) <= (BROADCAST_ROWS if most is None else most) else nearest(rows.select(F.col(raw).alias("raw")), whitelist).withColumnRenamed("raw", "variant")
     joined = rows.drop(into).join(known, rows[raw] == known["variant"], "left").drop("variant")
     return joined.withColumn(into, F.coalesce("corrected", raw) if fall_back else F.col("corrected")).drop("corrected")
 

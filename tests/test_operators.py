@@ -301,6 +301,24 @@ def test_long_barcodes_are_joined_by_shuffle(spark, monkeypatch):
     assert "broadcast" in str(barcodes.correct(reads, whitelist)._jdf.queryExecution().analyzed()).lower()
 
 
+def test_short_barcodes_have_few_variants(spark, monkeypatch):
+    """However long a whitelist is, of letters of the alphabet there are only so many texts of a length: they are broadcast, and reads neither shuffled nor read twice."""
+    from itertools import product
+
+    white = ["".join(p) for p in product("ACGT", repeat=3)]
+    whitelist = spark.createDataFrame([(b, i) for i, b in enumerate(white * 5)] + [(None, 999)], "barcode string, line_no long")
+    reads = spark.createDataFrame([(r,) for r in ("ACG", "NAC", "NNC", "AC", None)], "CR string")
+    wanted = {r.CR: r.CB for r in barcodes.correct(reads, whitelist, most=0).collect()}
+    assert wanted == {"ACG": "TCG", "NAC": "TAC", "NNC": None, "AC": None, None: None}
+    monkeypatch.setattr(barcodes, "BROADCAST_ROWS", 125)
+    assert "broadcast" in str(barcodes.correct(reads, whitelist)._jdf.queryExecution().analyzed()).lower()
+    assert {r.CR: r.CB for r in barcodes.correct(reads, whitelist).collect()} == wanted
+    # other letters can stay, so there is no such bound
+    monkeypatch.setattr(barcodes, "BROADCAST_ROWS", 125 + 15)
+    odd = whitelist.unionByName(spark.createDataFrame([("xCG", 1000)], "barcode string, line_no long"))
+    assert "broadcast" not in str(barcodes.correct(reads, odd)._jdf.queryExecution().analyzed()).lower()
+
+
 def test_only_the_corpus_folders_know_the_corpus_operators():
     """Nothing in the library but the subpackage itself imports it."""
     import re
