@@ -23,49 +23,73 @@ class SortError(Exception):
 
 #: Ordinals that one task orders: a file's records are dealt out in stretches of so many.
 STRETCH = 1 << 20
+#: Stretches that one task orders: what they hand on is dealt out in stretches of its own, of which each hands on a row.
+HANDED = 1 << 12
 
 
-def _stretches(rows: DataFrame, width: int) -> DataFrame:
-    return rows.withColumn("stretch", F.floor(F.col("rec") / width))
+def _whole(by: Sequence[str]) -> Column:
+    """The file, or other parts, as one key that is never null, though its parts may be: joined by it, rows stay where they are."""
+    return F.struct(*by) if by else F.lit(0)
 
 
-def _same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
-    """Condition that the keys and the stretch are equal; right's columns are named its_..."""
-    found = left["stretch"] == right["its_stretch"]
-    for c in by:
-        found &= left[c].eqNullSafe(right[f"its_{c}"])
-    return found
+def _joined(inside: DataFrame, handed: DataFrame, value: str, name: str) -> DataFrame:
+    """inside (whole, stretch) with name: the value of handed (whole, at) where at is the stretch."""
+    its = handed.select(F.col("whole").alias("its_whole"), F.col("at").alias("its_stretch"), F.col(value).alias(name))
+    return inside.join(its, (F.col("whole") == F.col("its_whole")) & (F.col("stretch") == F.col("its_stretch")), "left").drop("its_whole", "its_stretch")
+
+
+def _previous(parts: DataFrame, at: str, widths: Sequence[int]) -> DataFrame:
+    """parts (whole, own) with before: own of the part before in the order of at, and stretch. Within stretches of widths[0], these in stretches of widths[1], and so on."""
+    if not widths:
+        return parts.withColumn("before", F.lag("own").over(Window.partitionBy("whole").orderBy(at)))
+    dealt = parts.withColumn("stretch", F.floor(F.col(at) / widths[0]))
+    inside = dealt.withColumn("inner", F.lag("own").over(Window.partitionBy("whole", "stretch").orderBy(at)))
+    ends = dealt.groupBy("whole", "stretch").agg(F.max_by("own", at).alias("own")).select("whole", F.col("stretch").alias("at"), "own")
+    joined = _joined(inside, _previous(ends, "at", widths[1:]), "before", "outer")
+    return joined.withColumn("before", F.coalesce("inner", "outer")).drop("inner", "outer")
 
 
 def with_previous(rows: DataFrame, value: Column, by: Sequence[str] = ("file",), width: int = STRETCH) -> DataFrame:
     """rows with before: the value of the row before in the order of rec (as struct {value}; null for the first one), and stretch.
 
-    Rows are ordered within stretches of ordinals; the last row of each stretch, one row a stretch, is handed on.
+    Rows are ordered within stretches of ordinals; the last row of each stretch, one row a stretch, is handed on, in stretches again.
     """
-    dealt = _stretches(rows, width).withColumn("own", F.struct(value.alias("value")))
-    order = Window.partitionBy(*by, "stretch").orderBy("rec")
-    inside = dealt.withColumn("inner", F.lag("own").over(order))
-    ends = dealt.groupBy(*by, "stretch").agg(F.max_by("own", "rec").alias("last"))
-    handed = ends.withColumn("last", F.lag("last").over(Window.partitionBy(*by).orderBy("stretch")))
-    handed = handed.select(*[F.col(c).alias(f"its_{c}") for c in (*by, "stretch")], F.col("last").alias("outer"))
-    joined = inside.join(handed, _same(inside, handed, by), "left")
-    return joined.withColumn("before", F.coalesce("inner", "outer")).drop("own", "inner", "outer", *[f"its_{c}" for c in (*by, "stretch")])
+    dealt = rows.withColumns({"whole": _whole(by), "own": F.struct(value.alias("value"))})
+    return _previous(dealt, "rec", (width, HANDED)).select(*rows.columns, "stretch", "before")
+
+
+def _starts(parts: DataFrame, widths: Sequence[int]) -> DataFrame:
+    """whole, at, start: the run (from 1) that each part begins in. parts: whole, at (their order), first and last (structs of a tag), more (changes of tag inside)."""
+    dealt = parts.withColumn("stretch", F.floor(F.col("at") / widths[0]) if widths else F.lit(0))
+    order = Window.partitionBy("whole", "stretch").orderBy("at")
+    told = dealt.withColumns({"before": F.lag("last").over(order), "past": F.coalesce(F.lag("more").over(order), F.lit(0))})
+    # the first part of a stretch: whether it starts a run is known where stretches are ordered
+    new = F.when(F.col("before").isNull(), F.lit(0 if widths else 1)).otherwise((F.col("first") != F.col("before")).cast("int"))
+    inside = told.withColumn("step", F.col("past") + new)
+    inside = inside.withColumn("k", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if not widths:
+        return inside.select("whole", "at", F.col("k").alias("start"))
+    stretches = inside.groupBy("whole", "stretch").agg(F.min_by("first", "at").alias("first"), F.max_by("last", "at").alias("last"), F.max_by(F.col("k") + F.col("more"), "at").alias("more"))
+    starts = _starts(stretches.withColumnRenamed("stretch", "at"), widths[1:])
+    return _joined(inside, starts, "start", "base").select("whole", "at", (F.col("base") + F.col("k")).alias("start"))
 
 
 def run_groups(rows: DataFrame, tag: str, by: Sequence[str] = ("file",), drop_null: bool = False, width: int = STRETCH) -> DataFrame:
     """rows with run: the number (from 1) of the stretch of equal tags that a row is in, in the order of rec.
 
-    Null is a tag; a tag that comes again starts another run. Runs are numbered within each file, or other parts (by).
+    Null is a tag; a tag that comes again starts another run. Runs are numbered within each file, or other parts (by): changes of tag are
+    counted within stretches of ordinals, and these, one row a stretch, within stretches of their own, so that no task orders all of a file's.
     """
-    marked = with_previous(rows, F.col(tag), by, width)
-    marked = marked.withColumn("new", (F.col("before").isNull() | ~F.col(tag).eqNullSafe(F.col("before.value"))).cast("long"))
-    sums = marked.groupBy(*by, "stretch").agg(F.sum("new").alias("n"))
-    earlier = Window.partitionBy(*by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[F.col(c).alias(f"its_{c}") for c in (*by, "stretch")], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    order = Window.partitionBy(*by, "stretch").orderBy("rec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = marked.withColumn("k", F.sum("new").over(order))
-    joined = inside.join(starts, _same(inside, starts, by))
-    out = joined.withColumn("run", F.col("start") + F.col("k")).drop("new", "before", "stretch", "k", "start", *[f"its_{c}" for c in (*by, "stretch")])
+    rest = [c for c in rows.columns if c not in by]
+    dealt = rows.select(_whole(by).alias("whole"), *rest, F.floor(F.col("rec") / width).alias("stretch"))
+    order = Window.partitionBy("whole", "stretch").orderBy("rec")
+    new = F.when(F.row_number().over(order) == 1, 0).otherwise((~F.col(tag).eqNullSafe(F.lag(tag).over(order))).cast("long"))
+    inside = dealt.withColumn("new", new).withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = F.struct(F.col(tag).alias("value"))
+    stretches = inside.groupBy("whole", "stretch").agg(F.min_by(own, "rec").alias("first"), F.max_by(own, "rec").alias("last"), F.sum("new").alias("more"))
+    starts = _starts(stretches.withColumnRenamed("stretch", "at"), (HANDED,))
+    joined = _joined(inside, starts, "start", "start").withColumn("run", F.col("start") + F.col("k"))
+    out = joined.select(*[F.col(f"whole.{c}") if c in by else F.col(c) for c in rows.columns], "run")
     return out.filter(F.col(tag).isNotNull()) if drop_null else out
 
 

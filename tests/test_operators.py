@@ -182,6 +182,40 @@ def test_runs(spark, width):
     assert grouping.run_groups(df, "t").columns == ["file", "rec", "t", "run"]
 
 
+def test_stretches_hand_on_in_stretches(spark, monkeypatch):
+    """Runs and rows before, against one loop over each file; no task orders a row of each stretch of a file: these are dealt out in turn."""
+    import random
+
+    rng = random.Random(5)
+    recs = {f: sorted(rng.sample(range(400), 90)) for f in ("x", "y", None)}
+    rows = [(f, i, rng.choice(["a", "a", "b", None])) for f, all_of in recs.items() for i in all_of]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "file string, rec long, t string").repartition(3)
+    runs, before = {}, {}
+    for f in recs:
+        last, n = (), 0
+        for _, i, t in sorted(r for r in rows if r[0] == f) if f else sorted((r for r in rows if r[0] is None), key=lambda r: r[1]):
+            n += last != (t,)
+            runs[f, i], before[f, i] = n, last
+            last = (t,)
+    ordered = []  # rows of the windows that are over whole files
+    for name in ("_previous", "_starts"):
+        inner = getattr(grouping, name)
+
+        def seen(parts, *rest, inner=inner):
+            if not rest[-1]:
+                ordered.append(parts.count())
+            return inner(parts, *rest)
+
+        monkeypatch.setattr(grouping, name, seen)
+    for width, handed in ((1, 2), (2, 50), (7, 3), (1 << 20, 1 << 12)):
+        monkeypatch.setattr(grouping, "HANDED", handed)
+        assert {(r.file, r.rec): r.run for r in grouping.run_groups(df, "t", width=width).collect()} == runs
+        assert {(r.file, r.rec): tuple(r.before or ()) for r in grouping.with_previous(df, F.col("t"), width=width).collect()} == before
+        assert len(ordered) == 2 and max(ordered) <= 3 * (400 // (width * handed) + 1)
+        ordered.clear()
+
+
 def test_sorting(spark):
     df = spark.createDataFrame([("f", i, q, t) for i, (q, t) in enumerate([("x", "b"), ("y", "a"), ("a", None), ("a", "a")])], "file string, rec long, qname string, CB string")
     assert [(r.qname, r.CB) for r in grouping.tag_sort(df, ["CB"]).collect()] == [("a", None), ("a", "a"), ("y", "a"), ("x", "b")]
