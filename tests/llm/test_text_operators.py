@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -353,6 +354,35 @@ def test_main_text_equals_brute_force(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_pages_with_articles_are_differenced(spark):
+    """Every page is held against the nearest one; what articles share is told, and stays."""
+    shell = "<nav>n</nav><div>Top</div><article><h1>Title {0}</h1><p>Text {0}<p>Licence</article><div>Foot</div>"
+    rows = [(i, f"http://h.example/{i}", shell.format(i)) for i in range(30)] + [(50, "http://alone.example/", shell.format("x")), (51, "http://h.example/0/open", "<div>Top</div><p>Licence<p>mine")]
+    for parts in (1, 5):
+        got = {r.page_id: r for r in pagediff.main_text(spark.createDataFrame(rows, PAGES).repartition(parts)).collect()}
+        assert all(got[i].text == f"Title {i}\nText {i}\nLicence" and got[i].n_shared == 3 for i in range(1, 30))
+        assert (got[50].text, got[50].n_shared) == ("Title x\nText x\nLicence", 0)
+        # an article is no template: what it has stays on a page without one
+        assert (got[51].text, got[51].n_shared) == ("Licence\nmine", 1)
+
+
+def test_lines_that_come_again_and_again():
+    """20,000 cells of a few values in both pages: as long a common subsequence, and no time by all pairs of equal cells."""
+    rng = random.Random(9)
+    a, b = ([rng.randrange(3) for _ in range(20_000)] for _ in range(2))
+    begin = time.monotonic()
+    found = pagediff.common_lines(a, b)
+    assert time.monotonic() - begin < 20 and len(found) == pagediff._lengths(a, b)[-1] and found == sorted(found)
+    rest = iter(b)
+    assert all(a[i] in rest for i in found)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        old = pagediff.common_lines(a, b)
+        new = pagediff._by_bits(a, b)
+        rest = iter(b)
+        assert len(old) == len(new) and new == sorted(new) and all(a[i] in rest for i in new)
+
+
 def test_a_page_of_very_many_lines(spark):
     """200,000 lines, two pages of a host: every line that both have goes, in time that grows with the lines."""
     lines = [f"<p>l{i}" for i in range(200_000)]
