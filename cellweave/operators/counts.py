@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.sequence import single_gene
@@ -61,6 +66,42 @@ def dense_index(rows: DataFrame, order: list[str], name: str, keep: list[str] |
     return joined.select(*kept, (F.col("start") + F.col("k")).alias("index")).toDF(*names, name)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each batch: the partition, how many rows of it come before, how many there are, and the batch, compressed."""
+    from pyspark import TaskContext
+
+    part, first = TaskContext.get().partitionId(), 0
+    for b in batches:
+        if b.num_rows:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(b)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "first": [first], "n": [b.num_rows], "data": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+            first += b.num_rows
+
+
+def placed(ordered: DataFrame, name: str) -> DataFrame:
+    """ordered (sorted over its partitions in order) with a dense index from 0 in this order.
+
+    Rows are written to the checkpoint folder once, as compressed batches: a row of its own for each takes several times a number's bytes there.
+    """
+    names = [f"_{i}" for i in range(len(ordered.columns))]
+    blocks = written_once(ordered.toDF(*names).mapInArrow(_packed, "part int, first long, n long, data binary"))
+    sizes = blocks.groupBy("part").agg(F.sum("n").alias("size"))
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = sizes.select(F.col("part").alias("its"), F.coalesce(F.sum("size").over(over), F.lit(0)).alias("start"))
+    joined = blocks.join(F.broadcast(starts), blocks["part"] == starts["its"]).select((F.col("start") + F.col("first")).alias("first"), "data")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for rows in pa.ipc.open_stream(data.as_buffer()):
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.arange(first, first + rows.num_rows))], names=[*names, "index"])
+
+    fields = [StructField(n, f.dataType) for n, f in zip(names, ordered.schema.fields, strict=True)]
+    return joined.mapInArrow(unpacked, StructType([*fields, StructField("index", LongType())])).toDF(*ordered.columns, name)
+
+
 def cell_index(alignments: DataFrame) -> DataFrame:
     """cell, cell_index: in the order of first appearance."""
     return dense_index(first_seen(alignments), ["first_rec", "cell"], "cell_index").select("cell", "cell_index")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .counts import dense_index
+from .counts import dense_index, placed
 
 #: With more parts than these a split warns, or fails.
 MANY_PARTS, TOO_MANY_PARTS = 500, 1000
@@ -109,16 +109,21 @@ def sort_keys(tags: Sequence[str]) -> list[Column]:
     return [*[F.coalesce(F.col(t), F.lit("")) for t in tags], F.col("qname")]
 
 
-def tag_sort(rows: DataFrame, tags: Sequence[str]) -> DataFrame:
-    return rows.orderBy(*sort_keys(tags), "rec")
+def tag_sort(rows: DataFrame, tags: Sequence[str], made: Mapping[str, Column] | None = None) -> DataFrame:
+    """made: the columns that alignments have, of the narrow rows that they are made of; only these are shuffled, and columns that aren't sorted by are made behind the sort."""
+    if made is None:
+        return rows.orderBy(*sort_keys(tags), "rec")
+    keys = [*tags, "qname", "rec"]
+    dealt = rows.repartitionByRange(*[F.coalesce(made[t], F.lit("")) for t in tags], made["qname"], made["rec"])
+    keyed = dealt.select("*", *[made[k].alias(f"_{k}") for k in keys])
+    ordered = keyed.sortWithinPartitions(*sort_keys([f"_{t}" for t in tags])[:-1], "_qname", "_rec")
+    return ordered.select(*[(F.col(f"_{n}") if n in keys else c).alias(n) for n, c in made.items()])
 
 
-def tag_places(rows: DataFrame, tags: Sequence[str], name: str = "place", keep: Sequence[str] | None = None) -> DataFrame:
-    """rows (of distinct rec) with their places, from 0, in the order of tag_sort: by a range sort, no task sees all rows. keep: these columns only."""
-    keys = sort_keys(tags)
-    keyed = rows.select(*[k.alias(f"_key{i}") for i, k in enumerate(keys)], F.struct(*(rows.columns if keep is None else keep)).alias("_row"), F.col("rec").alias("_rec"))
-    placed = dense_index(keyed, [*[f"_key{i}" for i in range(len(keys))], "_rec"], "_place", ["_row"])
-    return placed.select("_row.*", F.col("_place").alias(name))
+def tag_places(rows: DataFrame, tags: Sequence[str], name: str = "place", keep: Sequence[str] | None = None, made: Mapping[str, Column] | None = None) -> DataFrame:
+    """rows (of distinct rec) with their places, from 0, in the order of tag_sort: by a range sort, no task sees all rows. keep: these columns only. made: as for tag_sort."""
+    ordered = tag_sort(rows, tags, made)
+    return placed(ordered if keep is None else ordered.select(*keep), name)
 
 
 def tag_order(code: str, cell: str = "CB", molecule: str = "UB", gene: str = "GE") -> list[str]:

@@ -19,7 +19,7 @@ from ..sources import readers, sinks
 from ..streaming import molecules
 from . import files
 from .oracles import ORACLES
-from .reads import alignments, gtf, pieces, split_bytes, whitelist
+from .reads import alignments, based, gtf, kept, made, pieces, split_bytes, whitelist
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -413,9 +413,14 @@ def tag_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tag_order_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every alignment in each order of the tags."""
-    rows = alignments(spark, sf_dir).select("rec", "qname", "CB", "UB", "GE")
-    placed = [grouping.tag_places(rows, grouping.tag_order(o), keep=["rec"]).select(F.lit(o).alias("tags"), "rec", "place") for o in grouping.TAG_ORDERS]
-    return reduce(DataFrame.unionByName, placed)
+    columns = {n: made()[n] for n in ("rec", "qname", "CB", "UB", "GE")}
+    folder = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    try:
+        rows = kept(based(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand", "p_type"), folder)
+        placed = [grouping.tag_places(rows, grouping.tag_order(o), keep=["rec"], made=columns).select(F.lit(o).alias("tags"), "rec", "place") for o in grouping.TAG_ORDERS]
+        return reduce(DataFrame.unionByName, placed)
+    finally:
+        removed(spark, folder)
 
 
 @query

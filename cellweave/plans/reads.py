@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import shuffles_removed
 from ..sources.raw import total_size
 from ..sources.splits import SPLIT
 
@@ -59,35 +60,52 @@ def split_bytes(paths: str | list[str]) -> int:
     return min(SPLIT, max(SPLIT_BYTES, total_size([paths] if isinstance(paths, str) else paths) // SPLITS))
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+def based(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What alignments are made of, a narrow row each: for what is shuffled or written on the way."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("l_quantity"), "l_returnflag", "l_linestatus")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type")
-    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    return rows.withColumn("NH", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).cast("int"))
+
+
+def kept(rows: DataFrame, path: str) -> DataFrame:
+    """Narrow rows from a folder of files, written once; the shuffle files behind them go."""
+    with shuffles_removed(rows.sparkSession):
+        rows.write.parquet(path, compression="zstd")
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def made() -> dict[str, Column]:
+    """The columns of alignments, of narrow rows."""
     order, part, supplier, number = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     off = (part % 10 == 0).cast("long")
     flag = F.when(number == 4, 4).otherwise(0) + F.when(F.col("l_linestatus") == "F", 16).otherwise(0) + F.when(supplier % 3 == 0, 1024).otherwise(0)
     location = F.when(F.col("l_returnflag") == "A", "CODING").when(F.col("l_returnflag") == "R", "INTRONIC").when(F.col("l_linestatus") == "F", "UTR").otherwise("INTERGENIC")
     cigar = F.when(part % 7 == 0, "6M100N6M").when(part % 5 == 1, "2S10M").otherwise("12M")
     gene = F.when(number == 5, F.concat_ws(",", "p_brand", "p_type")).when(number != 6, F.col("p_brand"))
-    return rows.select(
-        F.concat(F.lit("f"), (order % 4).cast("string")).alias("file"),
-        ((order * 8 + number) * (1 << 32) + part * (1 << 12) + supplier).alias("rec"),
-        F.concat(F.lit("Q"), order.cast("string")).alias("qname"),
-        flag.cast("int").alias("flag"),
-        F.col("l_returnflag").alias("rname"),
-        F.col("l_quantity").cast("int").alias("pos"),
-        cigar.alias("cigar"),
-        F.when(number != 7, dna(supplier, 8)).alias("CB"),
-        dna(supplier + off, 8).alias("CR"),
-        characters(supplier, 8).alias("CY"),
-        dna(part % 1024, 5).alias("UB"),
-        dna((part + off) % 1024, 5).alias("UR"),
-        characters(part, 5).alias("UY"),
-        gene.alias("GE"),
-        F.when(number != 3, location).alias("XF"),
-        F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).cast("int").alias("NH"),
-        qualities(order, 12).alias("qual"),
-    )
+    return {
+        "file": F.concat(F.lit("f"), (order % 4).cast("string")),
+        "rec": (order * 8 + number) * (1 << 32) + part * (1 << 12) + supplier,
+        "qname": F.concat(F.lit("Q"), order.cast("string")),
+        "flag": flag.cast("int"),
+        "rname": F.col("l_returnflag"),
+        "pos": F.col("l_quantity").cast("int"),
+        "cigar": cigar,
+        "CB": F.when(number != 7, dna(supplier, 8)),
+        "CR": dna(supplier + off, 8),
+        "CY": characters(supplier, 8),
+        "UB": dna(part % 1024, 5),
+        "UR": dna((part + off) % 1024, 5),
+        "UY": characters(part, 5),
+        "GE": gene,
+        "XF": F.when(number != 3, location),
+        "NH": F.col("NH"),
+        "qual": qualities(order, 12),
+    }
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return based(spark, sf_dir).select(*[c.alias(n) for n, c in made().items()])
 
 
 def _dna_sql(x: str, n: int) -> str:

@@ -96,3 +96,51 @@ def test_places_of_kept_columns(spark):
     rows = spark.createDataFrame([(1, "q", "B", None, "g"), (2, "p", "A", "u", "g"), (3, "p", None, "u", "g")], "rec long, qname string, CB string, UB string, GE string")
     got = grouping.tag_places(rows, ["CB", "UB"], keep=["rec"])
     assert got.columns == ["rec", "place"] and sorted(map(tuple, got.collect())) == [(1, 2), (2, 1), (3, 0)]
+
+
+def _shuffled(spark) -> int:
+    """Bytes of shuffle files that are there; those that go may take a moment."""
+    import time
+
+    found = []
+    for _ in range(10):
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        found.append(sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")))
+        time.sleep(0.3)
+    return min(found)
+
+
+def test_orders_leave_no_shuffle_files(spark):
+    from cellweave.plans import queries
+
+    before = _shuffled(spark)
+    found = queries.tag_order_permutations(spark, "/root/testdata/sf0.001")
+    assert _shuffled(spark) - before < 10_000
+    assert found.count() == 6 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_narrow_rows_are_sorted_as_alignments_are(spark):
+    from cellweave.operators import grouping
+    from cellweave.plans import reads
+
+    rows, narrow = reads.alignments(spark, "/root/testdata/sf0.001"), reads.based(spark, "/root/testdata/sf0.001")
+    for tags in (["CB", "UB", "GE"], ["GE", "CB"]):
+        sort = grouping.tag_sort(narrow, tags, reads.made())
+        assert sort.columns == rows.columns and sort.collect() == grouping.tag_sort(rows, tags).collect()
+        above, below = sort._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+        assert "AS qual" in above and "AS qual" not in below
+
+
+def test_places_are_written_as_batches(spark, monkeypatch):
+    """Odd names and types, parts without rows, nulls."""
+    from cellweave.operators import counts
+
+    written = []
+    once = counts.written_once
+    monkeypatch.setattr(counts, "written_once", lambda df: written.append(once(df)) or written[-1])
+    rows = spark.range(0, 50_000, 1, 7).filter("id < 20000 OR id > 40000").selectExpr("id AS `a.b`", "if(id % 3 = 0, null, map('k', id)) AS m", "id AS `A.C`")
+    got = counts.placed(rows, "place").collect()
+    assert [r.place for r in sorted(got, key=lambda r: r[0])] == list(range(len(got))) and len(got) == 20_000 + 9_999
+    assert all(r[1] == (None if r[0] % 3 == 0 else {"k": r[0]}) and r[2] == r[0] for r in got)
+    assert written[0].count() < 20
+    assert counts.placed(rows.limit(0), "place").isEmpty()
