@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import sequence as seq
 from ..operators import barcodes, counts, genes, grouping, metrics, qc, tagging
 from ..operators.counts import dense_index
-from ..shared import removed, shared_folder, written_once
+from ..shared import removed, shared_folder, shuffles_removed, written_once
 from ..sources import raw, readers, sinks
 from ..sources.raw import located
-from .reads import GTF_SQL, READS_SQL, WHITELIST_SQL, alignments, gtf, pieces, split_bytes, whitelist
+from .reads import GTF_SQL, READS_SQL, WHITELIST_SQL, alignments, based, gtf, kept, made, pieces, split_bytes, whitelist
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -60,13 +60,30 @@ def _reads(rows: DataFrame, path: str, n: int = 2) -> None:
 
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alignments(spark, sf_dir)
+    return _completed(alignments(spark, sf_dir))
+
+
+def _completed(rows: DataFrame) -> DataFrame:
+    """Alignments with every field that files of them have."""
     some = {"mapq": F.lit(60), "rnext": F.lit(None), "pnext": F.lit(-1), "tlen": F.lit(0), "seq": F.concat("CR", F.substring("UR", 1, 4))}
     return rows.withColumns(some | {"tags": F.create_map().cast("map<string,string>")})
 
 
 HEADER = ["@HD\tVN:1.6", *[f"@SQ\tSN:{r}\tLN:1000" for r in "ANR"]]
 
+
+
+def _sorted_bam(spark: SparkSession, sf_dir: str, path: str, tags: list[str]) -> str:
+    """One BAM file in a folder, sorted by tags: narrow rows are joined and written first, then sorted, so that shuffles of the two are never there together."""
+    target, narrow = f"{path}/sorted.bam", f"{path}/narrow"
+    located(path)[0].create_dir(located(path)[1])
+    rows = kept(based(spark, sf_dir), narrow)
+    with shuffles_removed(spark):
+        sinks.single_bam(_completed(grouping.tag_sort(rows, tags, made())), target, HEADER)
+    removed(spark, narrow)
+    return target
+
+
 # alignments
 
 
@@ -221,9 +238,7 @@ SELECT cell, gene, count(DISTINCT molecule) AS n FROM firsts WHERE n_genes = 1 A
 def sorted_file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of cells from a sorted BAM file read in splits: reads aren't shuffled."""
     with folder(spark) as path:
-        target = f"{path}/sorted.bam"
-        located(path)[0].create_dir(located(path)[1])
-        sinks.single_bam(grouping.tag_sort(_full(spark, sf_dir), ["CB", "UB", "GE"]), target, HEADER)
+        target = _sorted_bam(spark, sf_dir, path, ["CB", "UB", "GE"])
         found = metrics.cell_metrics(readers.alignments(spark, target, dense=False, split=split_bytes(target)), order=("CB", "UB", "GE"))
         names = {"molecules_with_single_read_evidence": "molecules_single", "fragments_with_single_read_evidence": "fragments_single"}
         return written_once(found.select("CB", *[F.col(c).alias(names.get(c, c)) for c in ("n_reads", "n_genes", "n_molecules", "n_fragments", *names)]))

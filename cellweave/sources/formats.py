@@ -291,6 +291,7 @@ class AlignmentWriter(DataSourceArrowWriter):
                     while data := part.read(8 << 20):
                         out.write(data)
                         at += len(data)
+                system.delete_file(m.name)  # at once: the blocks are never there twice
             out.write(BGZF_END)
         with system.open_output_stream(target + INDEX, compression=None) as out:
             out.write(json.dumps({"bytes": at + len(BGZF_END), "entries": entries}).encode())
@@ -298,9 +299,12 @@ class AlignmentWriter(DataSourceArrowWriter):
             system.delete_dir(located(self.folder)[1])
 
     def abort(self, messages: list) -> None:
+        from pyarrow import fs
+
+        system, _ = located(self.folder)
         for m in messages:
-            if m is not None:
-                located(self.folder)[0].delete_file(m.name)
+            if m is not None and system.get_file_info(m.name).type == fs.FileType.File:  # the commit deletes what it has copied
+                system.delete_file(m.name)
 
 
 def _source(kind: str, fields: StructType, writes: bool = False) -> type[DataSource]:

@@ -144,3 +144,47 @@ def test_places_are_written_as_batches(spark, monkeypatch):
     assert all(r[1] == (None if r[0] % 3 == 0 else {"k": r[0]}) and r[2] == r[0] for r in got)
     assert written[0].count() < 20
     assert counts.placed(rows.limit(0), "place").isEmpty()
+
+
+def test_sorted_files_leave_no_shuffle_files(spark):
+    """What is sorted and written is narrow before, and its shuffle files don't wait beside the file."""
+    from cellweave.plans import files
+
+    left, seen = _shuffled(spark), []
+    for query, tags in ((files.sorted_file_metrics, ["CB", "UB", "GE"]),):
+        with files.folder(spark) as path:
+            target = files._sorted_bam(spark, "/root/testdata/sf0.001", path, tags)
+            seen.append(_shuffled(spark) - left)
+            assert [p.rsplit("/", 1)[1] for p in files.parts(spark, path, "")] == ["sorted.bam", "sorted.bam.index"] and target.endswith("/sorted.bam")
+        query(spark, "/root/testdata/sf0.001")
+        seen.append(_shuffled(spark) - left)
+    assert max(seen) < 10_000
+
+
+def test_parts_go_as_they_are_copied(tmp_path, monkeypatch):
+    """While parts are put together, no block is there twice; a commit that failed is still undone."""
+    from types import SimpleNamespace
+
+    from cellweave.sources import formats
+
+    writer = formats.AlignmentWriter("bam", {"path": str(tmp_path / "x.bam"), "single": "true"}, True)
+    system, folder = formats.located(writer.folder)
+    system.create_dir(folder)
+    parts = [SimpleNamespace(name=f"{folder}/part-{k}", part=k, entries=[[0, 1, []]]) for k in range(3)]
+    for p in parts:
+        with system.open_output_stream(p.name) as out:
+            out.write(bytes(100_000))
+    there = []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(system, name)
+
+        def open_input_file(self, name):
+            there.append(len(list((tmp_path / folder.rsplit("/", 1)[1]).iterdir())))
+            return system.open_input_file(name)
+
+    monkeypatch.setattr(formats, "located", lambda path: (Watched(), path))
+    writer.commit(parts)
+    assert there == [3, 2, 1] and sorted(p.name for p in tmp_path.iterdir()) == ["x.bam", "x.bam.index"]
+    writer.abort(parts)
