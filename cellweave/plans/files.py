@@ -91,9 +91,7 @@ def _sorted_bam(spark: SparkSession, sf_dir: str, path: str, tags: list[str]) ->
 def one_sorted_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments sorted by tags in one BAM file; rows out of order in it, and how many a look at one reference finds."""
     with folder(spark) as path:
-        target = f"{path}/sorted.bam"
-        located(path)[0].create_dir(located(path)[1])
-        sinks.single_bam(grouping.tag_sort(_full(spark, sf_dir), ["CB", "UB"]), target, HEADER)
+        target = _sorted_bam(spark, sf_dir, path, ["CB", "UB"])
         rows = readers.alignments(spark, target, columns=["file", "rec", "qname", "CB", "UB"], split=split_bytes(target))
         late = grouping.out_of_order(rows, ["CB", "UB"]).select("CB", F.lit(1).cast("long").alias("late"), F.lit(0).cast("long").alias("here"), F.lit(0).cast("long").alias("n"))
         here = readers.alignments(spark, target, columns=["CB"], reference="A").select("CB", F.lit(0).cast("long").alias("late"), F.lit(1).cast("long").alias("here"), F.lit(0).cast("long").alias("n"))

@@ -151,7 +151,7 @@ def test_sorted_files_leave_no_shuffle_files(spark):
     from cellweave.plans import files
 
     left, seen = _shuffled(spark), []
-    for query, tags in ((files.sorted_file_metrics, ["CB", "UB", "GE"]),):
+    for query, tags in ((files.sorted_file_metrics, ["CB", "UB", "GE"]), (files.one_sorted_bam, ["CB", "UB"])):
         with files.folder(spark) as path:
             target = files._sorted_bam(spark, "/root/testdata/sf0.001", path, tags)
             seen.append(_shuffled(spark) - left)
