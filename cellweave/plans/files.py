@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as seq
 from ..operators import barcodes, counts, genes, grouping, metrics, qc, tagging
 from ..operators.counts import dense_index
-from ..shared import removed, shared_folder, shuffles_removed, written_once
+from ..shared import removed, shared_folder, written_once
 from ..sources import raw, readers, sinks
 from ..sources.raw import located
 from .reads import GTF_SQL, READS_SQL, WHITELIST_SQL, alignments, based, gtf, kept, made, pieces, split_bytes, whitelist
@@ -75,12 +75,10 @@ HEADER = ["@HD\tVN:1.6", *[f"@SQ\tSN:{r}\tLN:1000" for r in "ANR"]]
 
 def _sorted_bam(spark: SparkSession, sf_dir: str, path: str, tags: list[str]) -> str:
     """One BAM file in a folder, sorted by tags: narrow rows are joined and written first, then sorted, so that shuffles of the two are never there together."""
-    target, narrow = f"{path}/sorted.bam", f"{path}/narrow"
+    target = f"{path}/sorted.bam"
     located(path)[0].create_dir(located(path)[1])
-    rows = kept(based(spark, sf_dir), narrow)
-    with shuffles_removed(spark):
+    with kept(based(spark, sf_dir), f"{path}/narrow") as rows:
         sinks.single_bam(_completed(grouping.tag_sort(rows, tags, made())), target, HEADER)
-    removed(spark, narrow)
     return target
 
 

@@ -45,17 +45,22 @@ def _long(c: Column) -> Column:
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads with every field that files of alignments have."""
-    rows = alignments(spark, sf_dir)
+    return _completed(alignments(spark, sf_dir))
+
+
+def _completed(rows: DataFrame) -> DataFrame:
     some = {"mapq": F.lit(60), "rnext": F.lit(None), "pnext": F.lit(-1), "tlen": F.lit(0), "seq": F.concat("CR", F.substring("UR", 1, 4))}
     tags = {"tags": F.create_map(F.lit("AS"), F.col("pos").cast("string"), F.lit("XG"), F.col("rname")), "tag_types": F.create_map(F.lit("AS"), F.lit("i"), F.lit("XG"), F.lit("A"))}
     return rows.withColumns(some | tags)
 
 
 def _scanned(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Reads written as files, read again and counted; the files go."""
+    """Reads written as files in blocks, read again and counted; the files go. What reads are made of is joined before, its shuffles go before files are written."""
     folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     try:
-        sinks.alignments(_full(spark, sf_dir), folder, ["@HD\tVN:1.6", *[f"@SQ\tSN:{r}\tLN:1000" for r in "ANR"]], kind)
+        with kept(based(spark, sf_dir), f"{folder}-narrow") as narrow:
+            rows = _completed(narrow.select(*[c.alias(n) for n, c in made().items()]))
+            sinks.alignments(rows, folder, ["@HD\tVN:1.6", *[f"@SQ\tSN:{r}\tLN:1000" for r in "ANR"]], kind, blocks=kind == "sam")
         used = ["rname", "flag", "cigar", "qual", "NH", "CB", "GE", "tags", "tag_types"]
         rows = readers.alignments(spark, folder, {"sam": "r", "bam": "rb"}[kind], dense=False, columns=used)
         score, place = F.element_at("tags", "AS").cast("long"), F.element_at("tag_types", "AS")
@@ -414,13 +419,10 @@ def tag_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_order_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every alignment in each order of the tags."""
     columns = {n: made()[n] for n in ("rec", "qname", "CB", "UB", "GE")}
-    folder = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
-    try:
-        rows = kept(based(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand", "p_type"), folder)
+    narrow = based(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand", "p_type")
+    with kept(narrow, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}") as rows:
         placed = [grouping.tag_places(rows, grouping.tag_order(o), keep=["rec"], made=columns).select(F.lit(o).alias("tags"), "rec", "place") for o in grouping.TAG_ORDERS]
-        return reduce(DataFrame.unionByName, placed)
-    finally:
-        removed(spark, folder)
+    return reduce(DataFrame.unionByName, placed)
 
 
 @query

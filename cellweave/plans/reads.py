@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import shuffles_removed
+from ..shared import removed, shuffles_removed
 from ..sources.raw import total_size
 from ..sources.splits import SPLIT
 
@@ -68,11 +70,20 @@ def based(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("NH", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).cast("int"))
 
 
-def kept(rows: DataFrame, path: str) -> DataFrame:
-    """Narrow rows from a folder of files, written once; the shuffle files behind them go."""
-    with shuffles_removed(rows.sparkSession):
-        rows.write.parquet(path, compression="zstd")
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+#: Bytes of such rows in a file that a task reads: a million of them, about, so that what a task sorts or shuffles is bounded.
+NARROW_BYTES = 8 << 20
+
+
+@contextlib.contextmanager
+def kept(rows: DataFrame, path: str) -> Iterator[DataFrame]:
+    """Narrow rows from a folder of files, written once, for what is written in the meantime; shuffle files behind them go at once, those behind what is written as it is, the folder at the end."""
+    spark = rows.sparkSession
+    with shuffles_removed(spark, spark_sql_files_maxPartitionBytes=str(NARROW_BYTES)):
+        try:
+            rows.write.parquet(path, compression="zstd")
+            yield spark.read.schema(rows.schema).parquet(path)
+        finally:
+            removed(spark, path)
 
 
 def made() -> dict[str, Column]:

@@ -206,6 +206,8 @@ class Blocks:
 class AlignmentWriter(DataSourceArrowWriter):
     """A SAM or BAM file per partition, named part-<partition>-<attempt>, those that lost are deleted. header: JSON list of lines.
 
+    blocks: SAM lines in the blocks that BAM files have (BGZF), which readers can enter anywhere.
+
     single: one BAM file instead, of all partitions in order. Tasks write their blocks beside it; the commit puts them one after the other
     as they are, between one header and one end, and writes an index (<file>.index: where records begin, their ordinals and references).
     """
@@ -216,6 +218,7 @@ class AlignmentWriter(DataSourceArrowWriter):
         self.single = options.get("single") == "true"
         if self.single and kind != "bam":
             raise ValueError("one file of all partitions: BAM only")
+        self.packed = kind == "sam" and options.get("blocks") == "true"
         self.folder = f"{self.path}.parts-{uuid.uuid4().hex}" if self.single else self.path
 
     def references(self) -> dict[str, tuple[int, int]]:
@@ -242,9 +245,20 @@ class AlignmentWriter(DataSourceArrowWriter):
         system, folder = located(self.folder)
         system.create_dir(folder)
         done = WriterCommitMessage()
-        done.name, done.part, done.entries = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.{self.kind}", context.partitionId(), []
+        done.name, done.part, done.entries = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.{self.kind}{'.gz' if self.packed else ''}", context.partitionId(), []
         with system.open_output_stream(done.name, compression=None) as out:
-            if self.kind == "sam":
+            if self.packed:
+                held = bytearray("".join(h + "\n" for h in self.header).encode())
+                for batch in iterator:
+                    held += memoryview(parts_of(sam_array(batch))[0])
+                    whole = len(held) // BGZF_BLOCK * BGZF_BLOCK
+                    for at in range(0, whole, BGZF_BLOCK):
+                        out.write(bgzf_block(bytes(held[at : at + BGZF_BLOCK])))
+                    del held[:whole]
+                if held:
+                    out.write(bgzf_block(bytes(held)))
+                out.write(BGZF_END)
+            elif self.kind == "sam":
                 out.write("".join(h + "\n" for h in self.header).encode())
                 for batch in iterator:
                     out.write(memoryview(parts_of(sam_array(batch))[0]))

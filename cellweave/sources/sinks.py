@@ -43,10 +43,10 @@ def metrics_file(table: DataFrame, path: str) -> str:
     return path
 
 
-def alignments(rows: DataFrame, path: str, header: list[str], kind: str = "bam", mode: str = "overwrite") -> None:
-    """A folder of SAM or BAM files, one a partition, each with the header."""
+def alignments(rows: DataFrame, path: str, header: list[str], kind: str = "bam", mode: str = "overwrite", blocks: bool = False) -> None:
+    """A folder of SAM or BAM files, one a partition, each with the header. blocks: SAM files compressed as BAM files are (part-*.sam.gz), which are read in splits, too."""
     register(rows.sparkSession)
-    rows.write.format(kind).mode(mode).option("header", json.dumps(header)).save(path)
+    rows.write.format(kind).mode(mode).option("header", json.dumps(header)).option("blocks", str(blocks).lower()).save(path)
 
 
 def single_bam(rows: DataFrame, path: str, header: list[str]) -> None:

@@ -188,3 +188,33 @@ def test_parts_go_as_they_are_copied(tmp_path, monkeypatch):
     writer.commit(parts)
     assert there == [3, 2, 1] and sorted(p.name for p in tmp_path.iterdir()) == ["x.bam", "x.bam.index"]
     writer.abort(parts)
+
+
+def test_sam_in_blocks(spark, tmp_path):
+    """The same rows as of plain files, also in splits, in less space; a file has its end, one without rows the header."""
+    from cellweave.plans.files import HEADER, _full
+    from cellweave.sources import formats, readers, sinks
+
+    rows = _full(spark, "/root/testdata/sf0.001")
+    for name, blocks in (("plain", False), ("packed", True)):
+        sinks.alignments(rows.coalesce(1), str(tmp_path / name), HEADER, "sam", blocks=blocks)
+    (plain,), (packed,) = ([*(tmp_path / n).glob("part-*")] for n in ("plain", "packed"))
+    assert packed.name.endswith(".sam.gz") and packed.read_bytes().endswith(formats.BGZF_END) and packed.stat().st_size < plain.stat().st_size / 3
+    read = lambda name, **more: [tuple(r) for r in readers.alignments(spark, str(tmp_path / name), "r", columns=["rec", "qname", "qual", "CB"], **more).orderBy("rec").collect()]
+    assert len(read("plain")) == rows.count() and read("packed") == read("plain") == read("packed", split=50_000)
+    sinks.alignments(rows.limit(0), str(tmp_path / "none"), HEADER, "sam", blocks=True)
+    assert readers.alignments(spark, str(tmp_path / "none"), "r").isEmpty()
+
+
+def test_scans_leave_no_shuffle_files(spark, monkeypatch):
+    """While files are read nothing of their writing is there; tasks read narrow rows a part each."""
+    from cellweave.plans import queries
+    from cellweave.sources import readers
+
+    before, seen = _shuffled(spark), []
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    alignments = readers.alignments
+    monkeypatch.setattr(readers, "alignments", lambda spark, path, *more, **named: seen.append((_shuffled(spark) - before, [f for f in queries._local(spark, path)])) or alignments(spark, path, *more, **named))
+    assert queries.scan_sam(spark, "/root/testdata/sf0.001").count() == 3
+    assert seen[0][0] < 10_000 and all(f.endswith(".sam.gz") for f in seen[0][1])
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == split
